@@ -2,9 +2,8 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quarterdeck.llm import packing, sharding, simple8b
+from quarterdeck.llm import html, language, licenses, packing, sharding, simple8b, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +14,27 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identified(docs, language.fitted(docs))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
 def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(_table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -27,9 +43,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard_id")
 
 
+QUERIES = (op1_warc, op2_packing, op3_html, op4_language, op5_licenses, op7_simple8b, op9_sharding)
+
+
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op7_simple8b": op7_simple8b, "op9_sharding": op9_sharding}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_sharding": sharding.oracle("documents", "doc_id")}
+    return {"op1_warc": warc.ORACLE_SQL, "op9_sharding": sharding.oracle("documents", "doc_id")}
