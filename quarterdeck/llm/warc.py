@@ -10,17 +10,13 @@ magic, so tasks read ranges of a file in parallel and emit each candidate's leng
 declares, that is, its successor's offset. For each file, pointer jumping from offset 0 (every
 candidate's jump doubles in each round) keeps the candidates that the chain of records reaches; a magic
 in a payload is on no chain. A file holds at most RECORDS_PER_FILE records, which bounds the candidates' table.
-A payload that holds magics is put together from its candidates again.
+A payload that holds magics is put together from its candidates again, and every payload is held against its digest.
 
 Defined results: null html is an empty payload; pages of one payload that tie for the smallest page_id are all
 responses; a null page_id is smaller than none (it is the response only where all are null, and then no page
 refers to it); a null url leaves the header out; no pages give no rows; other columns are ignored.
 """
 
-import base64
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,57 +90,71 @@ def reachable(successor: np.ndarray) -> np.ndarray:
 
 
 def _chained(rows: pd.DataFrame) -> pd.DataFrame:
-    """One file's candidates to its records."""
+    """One file's candidates to its records, each with the candidates that it spans."""
+    file = rows["file"].iloc[0]
     rows = rows.sort_values(["block", "place"], kind="stable").reset_index(drop=True)
     rows = rows.iloc[1:].reset_index(drop=True)  # what stands before the first magic: nothing
     size = rows["size"].to_numpy(np.int64) + len(MAGIC)
     offset = np.cumsum(size) - size
+    valid = (rows["content"].notna() & rows["head"].notna()).to_numpy()
     end = offset + len(MAGIC) + rows["head"].fillna(0).to_numpy(np.int64) + rows["content"].fillna(0).to_numpy(np.int64) + len(END)
-    valid = rows["content"].notna().to_numpy() & (rows["head"].notna().to_numpy())
-    total = int(size.sum())
-    at = np.searchsorted(offset, end)
-    hit = valid & (at < len(offset)) & (offset[np.minimum(at, len(offset) - 1)] == end)
-    closing = valid & (end == total)
     own = np.arange(len(offset))
+    at = np.searchsorted(offset, end)
+    hit = valid & (at < len(offset)) & (offset[np.minimum(at, len(offset) - 1)] == end) if len(offset) else valid
+    closing = valid & (end == size.sum())
     on = reachable(np.where(hit, at, own)) if len(offset) else np.zeros(0, bool)
-    last = np.where(hit, at, np.where(closing, len(offset), own))
-    if len(offset) and not closing[np.flatnonzero(on)].any():
+    if len(offset) and not closing[on].any():
         raise ValueError("the chain of records does not reach the end of an archive")
-    out = rows.loc[on, ["page_id", "payload_bytes", "declared", "record_type", "refers_to", "digest"]].copy()
-    for k in np.flatnonzero(on & (last - own > 1)).tolist():
-        body = MAGIC.encode().join(bytes(x) for x in rows["body"].iloc[k : last[k]])
-        payload = body[int(rows["head"].iloc[k]) : -len(END)].split(END.encode(), 1)[1]
-        out.loc[k, "digest"] = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    response = out["record_type"] == "response"
-    if (response & (out["digest"] != out["declared"])).any():
+    last = np.where(hit, at, np.where(closing, len(offset), own + 1))
+    out = rows.loc[on, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest"]].copy()
+    whole = out["digest"].notna()
+    if (whole & (out["record_type"] == "response") & (out["digest"] != out["payload_digest"])).any():
         raise ValueError("a payload differs from its record's digest")
-    return out.rename(columns={"declared": "payload_digest"})[["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]]
+    out["file"] = file
+    out["spans"] = [rows["place"].iloc[k : last[k]].tolist() if last[k] - k > 1 else None for k in np.flatnonzero(on).tolist()]
+    return out.drop(columns="digest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives under path."""
     lines = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.withColumn("place", F.monotonically_increasing_id())
     head = F.expr(r"CASE WHEN instr(value, '\r\n\r\n') > 0 THEN substring_index(value, '\r\n\r\n', 1) END")
-    rows = lines.withColumn("place", F.monotonically_increasing_id()).withColumn("header", head)
 
     def field(name: str) -> Column:
         return F.nullif(F.regexp_extract("header", rf"(?:^|\n){name}: *([^\r\n]*)", 1), F.lit(""))
 
+    rows = lines.withColumn("header", head)
     rows = rows.withColumns({"size": F.octet_length("value").cast("long"), "head": (F.octet_length("header") + len(END)).cast("long"), "content": field("Content-Length").try_cast("long")})
     whole = F.col("size") == F.col("head") + F.col("content") + len(END)
-    block = F.expr("substring(value, length(header) + 5)")
-    payload = F.expr(r"substring(block_text, instr(block_text, '\r\n\r\n') + 4, length(block_text) - instr(block_text, '\r\n\r\n') - 7)")
-    rows = rows.withColumn("block_text", F.when(whole, block)).withColumn("payload", payload)
-    return rows.select(
+    rows = rows.withColumn("record", F.when(whole, F.col("value")))
+    chain = rows.select(
         "file", "block", "place", "size", "head", "content",
         field("X-Page-ID").try_cast("long").alias("page_id"),
         field("X-Payload-Length").try_cast("long").alias("payload_bytes"),
-        F.regexp_extract("header", r"(?:^|\n)WARC-Payload-Digest: sha1:([A-Z2-7]*)", 1).alias("declared"),
+        F.regexp_extract("header", r"(?:^|\n)WARC-Payload-Digest: sha1:([A-Z2-7]*)", 1).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         field("X-Refers-To-Page-ID").try_cast("long").alias("refers_to"),
-        F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload").cast("binary"))).alias("digest"),
-        F.when(F.coalesce(whole, F.lit(False)), None).otherwise(F.col("value").cast("binary")).alias("body"),
-    ).groupBy("file").applyInPandas(_chained, READ)
+        base32_sha1(payload("record").cast("binary")).alias("digest"),
+    ).groupBy("file").applyInPandas(_chained, f"{READ}, file string, spans array<long>")
+    chain, _ = saved(chain, "chain")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    plain = chain.where("spans IS NULL").select(columns)
+    if chain.where("spans IS NOT NULL").isEmpty():
+        return plain
+    # Payloads that hold the magic: their candidates, in order, make the record again.
+    parts = chain.where("spans IS NOT NULL").select(*columns, "file", F.col("spans")[0].alias("first_place"), F.posexplode("spans").alias("nth", "place"))
+    parts = parts.join(lines.select("file", "place", "value"), ["file", "place"])
+    joined = parts.groupBy("file", "first_place", *columns).agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("parts"))
+    joined = joined.withColumn("record", F.array_join(F.col("parts.value"), MAGIC))
+    same = F.assert_true((F.col("record_type") != "response") | (base32_sha1(payload("record").cast("binary")) == F.col("payload_digest")), F.lit("a payload differs from its record's digest"))
+    return plain.unionByName(joined.where(same.isNull()).select(columns))
+
+
+def payload(record: str) -> Column:
+    """What follows the record's header and HTTP head, without the record's end."""
+    block = f"substring({record}, instr({record}, '\\r\\n\\r\\n') + 4)"
+    return F.expr(f"substring({block}, instr({block}, '\\r\\n\\r\\n') + 4, length({block}) - instr({block}, '\\r\\n\\r\\n') - 7)")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
