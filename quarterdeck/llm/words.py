@@ -121,3 +121,18 @@ def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) ->
     for k in range(n):
         total += hashes[at + k] * up[k + 1]
     return mixed(total), out
+
+
+def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_hashes; a row of 1 to n - 1 words has one shingle, of all its words."""
+    found, at = shingle_hashes(hashes, bounds, n)
+    counts = np.diff(bounds)
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    if not len(short):
+        return found, at
+    up, _ = powers(n)
+    whole = np.array([mixed(np.sum(hashes[bounds[r] : bounds[r + 1]] * up[1 : counts[r] + 1], keepdims=True) + np.uint64(counts[r]))[0] for r in short.tolist()], np.uint64)
+    sizes = np.diff(at)
+    found = np.insert(found, at[short], whole)
+    sizes[short] = 1
+    return found, np.r_[0, np.cumsum(sizes)]
