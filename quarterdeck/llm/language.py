@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarterdeck.llm.words import LOWER, chunks, text_buffer
 
@@ -33,8 +34,6 @@ SAMPLE_ROWS = 2000
 LEAST_SEEN = 4
 UNKNOWN = "und"
 
-SCORED = "doc_id long, held_out boolean, lang_pred string, score double"
-
 _SPACE = np.full(256, False)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -174,30 +173,32 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
     return trees(langs, symbol, codes, by_lang)
 
 
-def identified(docs: DataFrame, model: Trees) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (the posterior of the language under equal priors)."""
+def identified(docs: DataFrame, model: Trees, whole_rows: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred and score (the posterior of the language under equal priors); before them all columns of docs if whole_rows."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.node, model.table))
+    n_kept = len(docs.columns) if whole_rows else 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Trees(*shared.value)
         names = np.array([*own.langs, UNKNOWN], object)
         for batch in batches:
-            data, offsets = text_buffer(batch.column(2))
-            letters = batch.column(3).to_numpy(zero_copy_only=False)
+            data, offsets = text_buffer(batch.column(n_kept + 1))
+            letters = batch.column(n_kept + 2).to_numpy(zero_copy_only=False)
             for first, last in chunks(offsets):
                 at = offsets[first : last + 1] - offsets[first]
-                bits = own.lengths(data[offsets[first] : offsets[last]], at)
                 known = letters[first:last] & (len(own.langs) > 0)
+                best, score = np.zeros(last - first, np.int64), np.zeros(last - first)
                 if own.langs:
+                    bits = own.lengths(data[offsets[first] : offsets[last]], at)
                     best = bits.argmin(axis=1)
                     odds = np.exp2(-np.minimum(bits - bits.min(axis=1)[:, None], 1000.0))
                     score = np.where(known, 1.0 / odds.sum(axis=1), 0.0)
-                else:
-                    best, score = np.zeros(last - first, np.int64), np.zeros(last - first)
                 picked = names[np.where(known, best, len(own.langs))]
-                rows = [batch.column(k).slice(first, last - first) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(picked, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                rows = [batch.column(k).slice(first, last - first) for k in range(n_kept + 1)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(picked, pa.string()), pa.array(score)], names=[*batch.schema.names[: n_kept + 1], "lang_pred", "score"])
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text.alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(score, SCORED)
+    kept = [F.col(f"`{c}`") for c in docs.columns] if whole_rows else [F.col("doc_id").cast("long").alias("doc_id")]
+    rows = docs.select(*kept, held_out(F.col("doc_id")).alias("held_out"), text.alias("_text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("_letters"))
+    schema = T.StructType([*rows.schema.fields[: n_kept + 1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(score, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.llm.words import chunks, text_buffer, word_hashes, words
+from quarterdeck.llm.words import Vocabulary, chunks, text_buffer, word_hashes, words
 
 THRESHOLD = 0.8
 
@@ -59,22 +59,6 @@ def hashes_of(text: str) -> np.ndarray:
     return word_hashes(words(data, np.array([0, len(data)]), fold_latin=False))
 
 
-class Vocabulary:
-    """A few hashes, found among many by a table of their top 16 bits first."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.unique(hashes)
-        self.top = np.zeros(1 << 16, bool)
-        self.top[self.hashes >> np.uint64(48)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of known hashes, their numbers)."""
-        at = np.flatnonzero(self.top[hashes >> np.uint64(48)])
-        number = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
-        same = self.hashes[number] == hashes[at]
-        return at[same], number[same]
-
-
 def word_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """How often each word of the vocabulary stands in all texts."""
 

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterdeck.llm import html, jaccard, language, licenses, packing, sharding, simple8b, warc
+from quarterdeck.llm import decontamination, html, jaccard, language, licenses, packing, sharding, simple8b, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard_id")
 
@@ -47,7 +51,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_warc, op2_packing, op3_html, op4_language, op5_licenses, op7_simple8b, op9_sharding, op10_jaccard)
+QUERIES = (op1_warc, op2_packing, op3_html, op4_language, op5_licenses, op7_simple8b, op8_decontamination, op9_sharding, op10_jaccard)
 
 
 def queries() -> dict:
