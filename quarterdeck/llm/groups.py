@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def consecutive(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
@@ -57,3 +58,23 @@ def map_groups(df: DataFrame, keys: list[str], each: Callable[[pa.RecordBatch],
 
     others = [c for c in df.columns if c not in keys]
     return df.select(*keys, *others).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def block_pairs(rows: DataFrame, blocks: str, item: str) -> DataFrame:
+    """Deals each group's rows to blocks by a hash of item and repeats a row for each pair of blocks (i <= j) with its own; side tells which of two it is in."""
+    own = F.pmod(F.xxhash64(item), F.col(blocks)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return rows.withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", blocks)
+
+
+def local_roots(adjacent: np.ndarray) -> np.ndarray:
+    """Smallest index of each node's component in a small symmetric boolean matrix."""
+    root = np.arange(len(adjacent))
+    while True:
+        nearest = np.where(adjacent, root[None, :], len(root)).min(axis=1)
+        new = np.minimum(root, nearest)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root
+        root = new

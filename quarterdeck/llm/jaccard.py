@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.llm.components import components
-from quarterdeck.llm.groups import map_groups
+from quarterdeck.llm.groups import block_pairs, local_roots, map_groups
 from quarterdeck.llm.storage import removed, saved
 from quarterdeck.llm.words import SHINGLE, chunks, mixed, shingle_sets, text_buffer, word_hashes, words
 
@@ -127,18 +127,6 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / WIDTH
 
 
-def local_roots(adjacent: np.ndarray) -> np.ndarray:
-    """Smallest index of each node's component in a small symmetric boolean matrix."""
-    root = np.arange(len(adjacent))
-    while True:
-        nearest = np.where(adjacent, root[None, :], len(root)).min(axis=1)
-        new = np.minimum(root, nearest)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _bucket_edges(candidate: float):
     def each(group: pa.RecordBatch) -> dict | None:
         """Keys bucket, i, j; then uid, side, tokens. Edges from each set to its local root."""
@@ -160,14 +148,6 @@ def _bucket_edges(candidate: float):
     return each
 
 
-def block_pairs(rows: DataFrame, key: str, blocks: str, item: str) -> DataFrame:
-    """Deals each group's rows to blocks by a hash of item and repeats a row for each pair of blocks (i <= j) with its own; side tells which of two it is in."""
-    own = F.pmod(F.xxhash64(item), F.col(blocks)).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    return rows.withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", blocks)
-
-
 def candidate_edges(reps: DataFrame, threshold: float, candidate: float, recall: float) -> tuple[DataFrame, list[str]]:
     """Edges (a, b) between representatives that some bucket shows to be near."""
     edges, paths = [], []
@@ -191,7 +171,7 @@ def candidate_edges(reps: DataFrame, threshold: float, candidate: float, recall:
             large = held.where((F.col("share") < LEAVES) | (F.col("uid") == F.col("pivot")))
             if at_end:
                 whole = whole.unionByName(large.select("uid", "bucket", "n", "tokens", F.ceil(F.col("n") / BUCKET).alias("blocks")))
-        found = block_pairs(whole.select("uid", "bucket", "tokens", "blocks"), "bucket", "blocks", "uid")
+        found = block_pairs(whole.select("uid", "bucket", "tokens", "blocks"), "blocks", "uid")
         edges.append(map_groups(found.select("bucket", "i", "j", "uid", "side", "tokens"), ["bucket", "i", "j"], _bucket_edges(candidate), "a long, b long"))
         if done or at_end:
             break
@@ -281,7 +261,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, reca
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")
     members = clusters.withColumnRenamed("id", "uid").join(totals.select("root", blocks), "root").join(reps.select("uid", "doc_id", "text_hash", "weight"), "uid")
     members, members_path = saved(members, "members")
-    dealt = block_pairs(shingle_rows(docs, members, n), "root", "blocks", "uid")
+    dealt = block_pairs(shingle_rows(docs, members, n), "blocks", "uid")
     links = map_groups(dealt.select("root", "i", "j", "uid", "side", "weight", "shingles"), ["root", "i", "j"], _cluster_links(threshold), "uid long, links double, root long")
     links, links_path = saved(links, "links")
     removed(spark, path, members_path, reps_path)

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterdeck.llm import decontamination, html, jaccard, language, licenses, packing, sharding, simple8b, warc
+from quarterdeck.llm import decontamination, embeddings, html, jaccard, language, licenses, packing, sharding, simple8b, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(_table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -51,7 +55,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_warc, op2_packing, op3_html, op4_language, op5_licenses, op7_simple8b, op8_decontamination, op9_sharding, op10_jaccard)
+QUERIES = (
+    op1_warc, op2_packing, op3_html, op4_language, op5_licenses,
+    op6_embeddings, op7_simple8b, op8_decontamination, op9_sharding, op10_jaccard,
+)
 
 
 def queries() -> dict:
