@@ -3,8 +3,9 @@
 Vectors of one label and equal components are one class and go on as its representative. Unit vectors are
 projected on PROJECTIONS random Gaussian directions. Two vectors collide on a projection if each lies in the window
 of half-width WINDOW centred at the other. The vectors of a cell are sorted by the first projection, so that
-a query's window is a slice; collisions with the slice are counted over all projections, and pairs with at least
-as many as calibration asks for are verified by their cosine in double precision.
+a query's partners are a slice (of half-width REACH distances, which nearly all pairs keep to); collisions with the
+slice are counted over all projections, and pairs with at least as many as calibration asks for are verified
+by their cosine in double precision.
 
 A label of at most CELL vectors is one cell. A larger one is dealt to cells several times: each time by the
 shifted intervals of some projections, more of them the larger the label, so that cells stay about the same
@@ -14,7 +15,7 @@ copies) is compared in pairs of blocks.
 
 Calibration. Two vectors at the threshold differ by `distance`; on a Gaussian direction their difference is
 normal with that deviation. That gives the chance of a collision, hence the count that a pair reaches with
-probability RECALL, and the chance to share an interval, hence the number of dealings.
+probability COUNT_RECALL, and the chance to share an interval, hence the number of dealings.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and vectors with
 a null label link with nothing (n_links 0, component_id their own vec_id, kept); vectors of different length don't link;
@@ -38,11 +39,14 @@ from quarterdeck.llm.words import mixed
 
 THRESHOLD = 0.98
 PROJECTIONS = 32
-RECALL = 0.999
+#: Chance that a pair at the threshold is dealt to one cell, and that it then collides often enough.
+RECALL, COUNT_RECALL = 0.999, 0.99999
 #: Vectors of a cell, and of one block of a cell that is larger than twice that.
 CELL = 4096
 #: Width of the intervals that deal large labels, in deviations of a random unit vector's projection.
 INTERVAL = 2.0
+#: Half-width of the slice and of the windows, in distances of two vectors at the threshold.
+REACH, WINDOW = 4, 2
 _FIRST = 8  # projections that are counted densely before pairs are listed
 
 
@@ -51,12 +55,12 @@ def distance(threshold: float) -> float:
 
 
 def window(threshold: float) -> float:
-    return 2 * distance(threshold)
+    return WINDOW * distance(threshold)
 
 
-def collisions_needed(m: int = PROJECTIONS, recall: float = RECALL) -> int:
+def collisions_needed(m: int = PROJECTIONS, recall: float = COUNT_RECALL) -> int:
     """The count that a pair at the threshold reaches with the given probability."""
-    p, tail = erf(2 / sqrt(2)), 0.0
+    p, tail = erf(WINDOW / sqrt(2)), 0.0
     for count in range(m, -1, -1):
         tail += comb(m, count) * p**count * (1 - p) ** (m - count)
         if tail >= recall:
@@ -142,7 +146,7 @@ def colliding_pairs(projected: np.ndarray, side: np.ndarray, half: float, needed
     order = np.argsort(projected[:, 0], kind="stable")
     p, of = projected[order], side[order]
     two = bool(side.any())
-    last = np.searchsorted(p[:, 0], p[:, 0] + half, "right")
+    last = np.searchsorted(p[:, 0], p[:, 0] + half * REACH / WINDOW, "right")
     for first in range(0, len(p), 256):
         rows = slice(first, min(first + 256, len(p)))
         end = int(last[rows].max())
