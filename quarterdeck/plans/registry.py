@@ -1,9 +1,13 @@
 """All queries of the panel engine and their DuckDB SQL, by name."""
 
+from quarterdeck.plans import panel_queries, selection_queries
+
+_MODULES = (panel_queries, selection_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
