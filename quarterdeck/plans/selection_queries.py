@@ -221,7 +221,7 @@ def promethee_rank(spark: SparkSession, d: str) -> DataFrame:
     return _round_all(_flows(spark, d), 9).select("quarter_idx", "entity_id", F.row_number().over(order).alias("promethee_rank"))
 
 
-@query("""SELECT quarter_idx, feature, place, CAST(coefficient AS DOUBLE) AS coefficient FROM (VALUES (1, 'a', 1, 0.5), (1, 'b', 2, 0.1), (2, 'a', 1, 0.5), (2, 'b', 2, 0.1), (3, 'c', 1, 0.2), (4, 'a', 1, 0.5), (4, 'b', 2, 0.1)) t(quarter_idx, feature, place, coefficient)""")
+@query("""SELECT quarter_idx, feature, place, CAST(coefficient AS DOUBLE) AS coefficient FROM (VALUES (1, 'a', 1, 0.5), (1, 'b', 2, 0.1), (2, 'a', 1, 0.5), (2, 'b', 2, 0.1), (3, 'c', 1, 0.2), (4, 'a', 1, 0.5), (4, 'c', 2, 0.2)) t(quarter_idx, feature, place, coefficient)""")
 def selected_features(spark: SparkSession, d: str) -> DataFrame:
     """Own picks for quarters 1 and 3 and those of the past for 2 and 4, of two features at most."""
     picks = spark.createDataFrame([(1, "a", 1, 0.5), (1, "b", 2, 0.1), (3, "c", 1, 0.2)], "quarter_idx int, feature string, step int, coefficient double")
