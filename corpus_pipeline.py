@@ -23,7 +23,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     decided = jaccard.joined(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows"))
     decided, _ = saved(decided, "decided")
     gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    out = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left_anti")
     again = decided.where("kept AND rows > 1").select(F.col("doc_id").alias("again_id"))
     if again.isEmpty():
         return out
