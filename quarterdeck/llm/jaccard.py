@@ -240,7 +240,8 @@ def shingle_rows(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     same = texts["doc_id"].eqNullSafe(members["doc_id"]) & (texts["text_hash"] == members["text_hash"])
-    found = texts.join(members, same).select("uid", "root", "weight", "blocks", "text")
+    # always a merge join: it moves the texts once, in proportion to the input, at every size
+    found = texts.join(members.hint("merge"), same).select("uid", "root", "weight", "blocks", "text")
     return found.mapInArrow(gather, "uid long, root long, weight long, blocks long, shingles binary")
 
 
