@@ -29,6 +29,8 @@ SMOOTHING = (0.25, 0.5, 0.25)
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: A tag whose quotes don't match ends at the next ">".
+_LENIENT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>(?:(?!)(.))?")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -86,8 +88,10 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
-        if m is None:  # a tag that the page's end cuts off
-            break
+        if m[4] == "<" and re.match(r"/?[a-zA-Z]", page[at + 1 : at + 3]):
+            m = _LENIENT.match(page, at)
+            if m is None:  # a tag that the page's end cuts off
+                break
         at = m.end()
         text = m[4]
         if text is not None:
