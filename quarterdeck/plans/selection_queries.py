@@ -1,4 +1,8 @@
-"""Queries on composites, rolling selection, PROMETHEE scores, portfolios, ratings, and the tables behind their figures."""
+"""Queries on composites, rolling selection, PROMETHEE scores, portfolios, ratings, and the tables behind their figures.
+
+Tables of a row per entity and quarter that a query reads several times (fits, ranks, turnover) are persisted; a
+lost executor's part is computed again from the sources.
+"""
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,8 +89,8 @@ def _with_macro(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _standardized(spark: SparkSession, d: str) -> DataFrame:
-    rows, columns = _with_macro(spark, d), [*STEP_FACTORS, *MACRO]
-    return preprocess.standardized(rows, preprocess.train_params(rows, columns), columns)
+    rows, columns = _with_macro(spark, d).persist(), [*STEP_FACTORS, *MACRO]
+    return preprocess.standardized(rows, preprocess.train_params(rows, columns), columns).persist()
 
 
 def _selection(spark: SparkSession, d: str, what: str, knobs: stepwise.Knobs = stepwise.Knobs(max_features=6)) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +253,7 @@ q AS (SELECT ret.*, benchmark_return, portfolio_return - benchmark_return AS exc
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     out = portfolio.hybrid_scores(_scored(spark, d), _round_all(_flows(spark, d), 9))
-    return out.withColumns({c: rounded(F.col(c), 9) for c in out.columns if c.startswith("hybrid")})
+    return out.withColumns({c: rounded(F.col(c), 9) for c in out.columns if c.startswith("hybrid")}).persist()
 
 
 @query(f"{_HYBRID} SELECT quarter_idx, split, entity_id, net_flow, {', '.join(f'{r6(c)} AS {c}' for c in ('future_return_1q', 'prediction', *_SCORES))} FROM hybrid")
@@ -374,5 +378,5 @@ def score_sample(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mainline_performance(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain: rolling selection, predictions, entropy-weighted flows, hybrid scores, portfolios, measures."""
-    scores = portfolio.hybrid_scores(stepwise_predictions(spark, d), _flows(spark, d))
+    scores = portfolio.hybrid_scores(stepwise_predictions(spark, d), _flows(spark, d)).persist()
     return portfolio.performance(portfolio.returns(scores, portfolio.holdings(scores)))
