@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarterdeck.llm.storage import free_name
 from quarterdeck.llm.words import LOWER, chunks, text_buffer
 
 ORDER = 3
@@ -174,9 +175,12 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
 
 
 def identified(docs: DataFrame, model: Trees, whole_rows: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (the posterior of the language under equal priors); before them all columns of docs if whole_rows."""
+    """doc_id, held_out, lang_pred and score (the posterior of the language under equal priors); after all columns of docs if whole_rows
+    (a name that docs has already gets an underscore)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.node, model.table))
     n_kept = len(docs.columns) if whole_rows else 1
+    taken = docs.columns if whole_rows else ["doc_id"]
+    out_name, text_name, letters_name, pred_name, score_name = (free_name(x, taken) for x in ("held_out", "_text", "_letters", "lang_pred", "score"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Trees(*shared.value)
@@ -195,10 +199,10 @@ def identified(docs: DataFrame, model: Trees, whole_rows: bool = False) -> DataF
                     score = np.where(known, 1.0 / odds.sum(axis=1), 0.0)
                 picked = names[np.where(known, best, len(own.langs))]
                 rows = [batch.column(k).slice(first, last - first) for k in range(n_kept + 1)]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(picked, pa.string()), pa.array(score)], names=[*batch.schema.names[: n_kept + 1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(picked, pa.string()), pa.array(score)], names=[*batch.schema.names[: n_kept + 1], pred_name, score_name])
 
     text = F.col("text").cast("string")
     kept = [F.col(f"`{c}`") for c in docs.columns] if whole_rows else [F.col("doc_id").cast("long").alias("doc_id")]
-    rows = docs.select(*kept, held_out(F.col("doc_id")).alias("held_out"), text.alias("_text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("_letters"))
-    schema = T.StructType([*rows.schema.fields[: n_kept + 1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = docs.select(*kept, held_out(F.col("doc_id")).alias(out_name), text.alias(text_name), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias(letters_name))
+    schema = T.StructType([*rows.schema.fields[: n_kept + 1], T.StructField(pred_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     return rows.mapInArrow(score, schema)
