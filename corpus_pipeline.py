@@ -9,26 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterdeck.llm import decontamination, jaccard, language, packing
-from quarterdeck.llm.storage import saved
+from quarterdeck.llm.storage import free_name, saved
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without any letter are rejected."""
     rows = language.identified(docs, language.fitted(docs), whole_rows=True)
-    return rows.where(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+    predicted = rows.columns[-2]
+    return rows.where(F.col(predicted) != language.UNKNOWN).select(docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that the Jaccard join links: the one of the smallest doc_id."""
     decided = jaccard.joined(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows"))
     decided, _ = saved(decided, "decided")
-    gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    out = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left_anti")
-    again = decided.where("kept AND rows > 1").select(F.col("doc_id").alias("again_id"))
+    other = free_name("decided_id", docs.columns)
+    gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias(other))
+    out = docs.join(gone.hint("merge"), F.col("doc_id") == F.col(other), "left_anti")
+    again = decided.where("kept AND rows > 1").select(F.col("doc_id").alias(other))
     if again.isEmpty():
         return out
     # Rows that repeat a kept doc_id and its text: one of them stays.
-    same = F.col("doc_id").eqNullSafe(F.col("again_id"))
+    same = F.col("doc_id").eqNullSafe(F.col(other))
     repeated = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return out.join(again, same, "left_anti").unionByName(repeated)
 
