@@ -33,6 +33,8 @@ SYMBOLS = 64
 BITS = 6
 SAMPLE_ROWS = 2000
 LEAST_SEEN = 4
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 1 << 18
 UNKNOWN = "und"
 
 _SPACE = np.full(256, False)
@@ -159,7 +161,7 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             of = np.array([number[x] for x in batch.column(0).to_pylist()])
-            for first, last in chunks(offsets, 1 << 22):
+            for first, last in chunks(offsets):
                 at = offsets[first : last + 1] - offsets[first]
                 code, own = context_codes(data[offsets[first] : offsets[last]], at, symbol)
                 lang = np.repeat(of[first:last], np.diff(at)).astype(np.int64)
@@ -181,14 +183,15 @@ def identified(docs: DataFrame, model: Trees, whole_rows: bool = False) -> DataF
     n_kept = len(docs.columns) if whole_rows else 1
     taken = docs.columns if whole_rows else ["doc_id"]
     out_name, text_name, letters_name, pred_name, score_name = (free_name(x, taken) for x in ("held_out", "_text", "_letters", "lang_pred", "score"))
+    at_text = docs.columns.index("text") if whole_rows else n_kept + 2
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Trees(*shared.value)
         names = np.array([*own.langs, UNKNOWN], object)
         for batch in batches:
-            data, offsets = text_buffer(batch.column(n_kept + 1))
-            letters = batch.column(n_kept + 2).to_numpy(zero_copy_only=False)
-            for first, last in chunks(offsets):
+            data, offsets = text_buffer(batch.column(at_text))
+            letters = batch.column(n_kept + 1).to_numpy(zero_copy_only=False)
+            for first, last in chunks(offsets, SCORED_BYTES):
                 at = offsets[first : last + 1] - offsets[first]
                 known = letters[first:last] & (len(own.langs) > 0)
                 best, score = np.zeros(last - first, np.int64), np.zeros(last - first)
@@ -203,6 +206,7 @@ def identified(docs: DataFrame, model: Trees, whole_rows: bool = False) -> DataF
 
     text = F.col("text").cast("string")
     kept = [F.col(f"`{c}`") for c in docs.columns] if whole_rows else [F.col("doc_id").cast("long").alias("doc_id")]
-    rows = docs.select(*kept, held_out(F.col("doc_id")).alias(out_name), text.alias(text_name), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias(letters_name))
+    letters_there = F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias(letters_name)
+    rows = docs.select(*kept, held_out(F.col("doc_id")).alias(out_name), letters_there, *([] if whole_rows else [text.alias(text_name)]))
     schema = T.StructType([*rows.schema.fields[: n_kept + 1], T.StructField(pred_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     return rows.mapInArrow(score, schema)
