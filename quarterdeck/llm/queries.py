@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterdeck.llm import decontamination, embeddings, html, jaccard, language, licenses, packing, sharding, simple8b, warc
+from quarterdeck.llm import decontamination, embeddings, html, jaccard, language, licenses, oracles, packing, sharding, simple8b, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op9_sharding": sharding.oracle("documents", "doc_id")}
+    return {
+        "op1_warc": warc.ORACLE_SQL,
+        "op6_embeddings": oracles.COSINE,
+        "op8_decontamination": oracles.CONTAINMENT,
+        "op9_sharding": sharding.oracle("documents", "doc_id"),
+        "op10_jaccard": oracles.JACCARD,
+    }
