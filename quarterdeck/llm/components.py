@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = _digest(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
+        # written, so that both sides of the join come straight from an exchange: only then can Spark split the rows of a hot id
+        least, least_path = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "least")
         # large star: u > v hangs on v's smallest neighbour
         large = now.select(F.col("b").alias("v"), F.col("a").alias("u")).join(least.withColumnRenamed("a", "v"), "v").select(F.col("u").alias("a"), F.col("root").alias("b"))
         # small star: v and its smaller neighbours hang on the smallest of them
@@ -28,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(smallest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("root").alias("b")), F.struct(F.col("a"), F.col("root").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         small, next_path = saved(small, "edges")
         after = _digest(small)
-        removed(spark, path)
+        removed(spark, path, least_path)
         now, path = small, next_path
         if after == before:
             return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
