@@ -11,6 +11,8 @@ declares, that is, its successor's offset. For each file, pointer jumping from o
 candidate's jump doubles in each round) keeps the candidates that the chain of records reaches; a magic
 in a payload is on no chain. A file holds at most RECORDS_PER_FILE records, which bounds the candidates' table.
 A payload that holds magics is put together from its candidates again, and every payload is held against its digest.
+Those candidates are found by the hash of what they hold: how Spark splits the files follows from the cores it has,
+so a candidate's place in one scan need not be its place in the next, after an executor was lost.
 
 Defined results: null html is an empty payload; pages of one payload that tie for the smallest page_id are all
 responses; a null page_id is smaller than none (it is the response only where all are null, and then no page
@@ -111,14 +113,15 @@ def _chained(rows: pd.DataFrame) -> pd.DataFrame:
     if (whole & (out["record_type"] == "response") & (out["digest"] != out["payload_digest"])).any():
         raise ValueError("a payload differs from its record's digest")
     out["file"] = file
-    out["spans"] = [rows["place"].iloc[k : last[k]].tolist() if last[k] - k > 1 else None for k in np.flatnonzero(on).tolist()]
+    out["first"] = offset[on]
+    out["spans"] = [rows["key"].iloc[k : last[k]].tolist() if last[k] - k > 1 else None for k in np.flatnonzero(on).tolist()]
     return out.drop(columns="digest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives under path."""
     lines = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    lines = lines.withColumn("place", F.monotonically_increasing_id())
+    lines = lines.withColumns({"place": F.monotonically_increasing_id(), "key": F.xxhash64("value")})
     head = F.expr(r"CASE WHEN instr(value, '\r\n\r\n') > 0 THEN substring_index(value, '\r\n\r\n', 1) END")
 
     def field(name: str) -> Column:
@@ -129,23 +132,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     whole = F.col("size") == F.col("head") + F.col("content") + len(END)
     rows = rows.withColumn("record", F.when(whole, F.col("value")))
     chain = rows.select(
-        "file", "block", "place", "size", "head", "content",
+        "file", "block", "place", "key", "size", "head", "content",
         field("X-Page-ID").try_cast("long").alias("page_id"),
         field("X-Payload-Length").try_cast("long").alias("payload_bytes"),
         F.regexp_extract("header", r"(?:^|\n)WARC-Payload-Digest: sha1:([A-Z2-7]*)", 1).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         field("X-Refers-To-Page-ID").try_cast("long").alias("refers_to"),
         base32_sha1(payload("record").cast("binary")).alias("digest"),
-    ).groupBy("file").applyInPandas(_chained, f"{READ}, file string, spans array<long>")
+    ).groupBy("file").applyInPandas(_chained, f"{READ}, file string, first long, spans array<long>")
     chain, _ = saved(chain, "chain")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     plain = chain.where("spans IS NULL").select(columns)
     if chain.where("spans IS NOT NULL").isEmpty():
         return plain
     # Payloads that hold the magic: their candidates, in order, make the record again.
-    parts = chain.where("spans IS NOT NULL").select(*columns, "file", F.col("spans")[0].alias("first_place"), F.posexplode("spans").alias("nth", "place"))
-    parts = parts.join(lines.select("file", "place", "value"), ["file", "place"])
-    joined = parts.groupBy("file", "first_place", *columns).agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("parts"))
+    parts = chain.where("spans IS NOT NULL").select(*columns, "file", "first", F.posexplode("spans").alias("nth", "key"))
+    needed = lines.select("file", "key", "value").join(parts.select("file", "key").distinct(), ["file", "key"], "left_semi")
+    parts = parts.join(needed.dropDuplicates(["file", "key"]), ["file", "key"])
+    joined = parts.groupBy("file", "first", *columns).agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("parts"))
     joined = joined.withColumn("record", F.array_join(F.col("parts.value"), MAGIC))
     same = F.assert_true((F.col("record_type") != "response") | (base32_sha1(payload("record").cast("binary")) == F.col("payload_digest")), F.lit("a payload differs from its record's digest"))
     return plain.unionByName(joined.where(same.isNull()).select(columns))
