@@ -68,6 +68,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.ORACLE_SQL,
+        "op5_licenses": oracles.licenses(licenses.TEMPLATES, licenses.PHRASES, licenses.THRESHOLD),
         "op6_embeddings": oracles.COSINE,
         "op8_decontamination": oracles.CONTAINMENT,
         "op9_sharding": sharding.oracle("documents", "doc_id"),
