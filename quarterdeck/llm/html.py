@@ -51,13 +51,15 @@ _MARKS = frozenset(
 _ROOTS = frozenset(("article", "main"))
 
 
-def _dropped(tag: str, attributes: str, inside: bool) -> bool:
+def _dropped(tag: str, attributes: str, inside: bool, nested: bool) -> bool:
+    """inside: in an article or main element; nested: an article in an article, such as a reader's comment."""
     if tag in _DROPPED or tag == "header" and not inside:
         return True
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for _, value in _ATTRIBUTE.findall(attributes):
-            if not _MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-                return True
+    if attributes and tag not in ("html", "body"):
+        if tag not in _ROOTS or nested:
+            for _, value in _ATTRIBUTE.findall(attributes):
+                if not _MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
+                    return True
         return bool(re.search(r"\shidden(?=[\s=]|\Z)|aria-hidden\s*=\s*[\"']?true", attributes, re.I))
     return False
 
@@ -141,7 +143,7 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path", "use"):
             continue
         made += 1
-        gone = _dropped(tag, m[3], roots > 0)
+        gone = _dropped(tag, m[3], roots > 0, tag == "article" and any(x[0] == tag for x in stack))
         stack.append((tag, made, gone))
         dropped += gone
         anchors += tag == "a"

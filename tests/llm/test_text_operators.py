@@ -187,6 +187,12 @@ def test_page_text(spark):
     assert got[4]["text"] == "plain text" and got[5]["text"] == "cut" and got[None]["text"] == "deep text."
 
 
+def test_readers_comments_in_articles():
+    page = """<body><main class="with-sidebar"><article class="post has-sidebar"><h2>Title</h2><p>The text, of some length, is here.</p>
+    <article class="comment-body"><p>What a reader says, at length, with marks.</p></article></article></main></body>"""
+    assert html.main_text(page) == "Title The text, of some length, is here."
+
+
 def test_containment_against_brute_force(spark):
     rng = np.random.default_rng(8)
     vocabulary = [f"w{k}" for k in range(400)]
