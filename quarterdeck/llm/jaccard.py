@@ -230,10 +230,21 @@ def _cluster_links(threshold: float):
 
 
 def shingle_rows(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """members with their exact sets (sorted 64-bit shingle hashes) in column shingles."""
+    """members with their exact sets (sorted 64-bit shingle hashes) in column shingles.
+
+    Rows that repeat a member's doc_id and text come one after the other from the merge join; a task passes on the first.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            uid = batch.column(0).to_numpy()
+            fresh = np.r_[uid[0] != last, uid[1:] != uid[:-1]]
+            last = uid[-1]
+            if not fresh.all():
+                batch = batch.filter(pa.array(fresh))
             for first, sets in _sets_of(batch.column(4), n):
                 rows = [batch.column(k).slice(first, len(sets)) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["uid", "root", "weight", "blocks", "shingles"])

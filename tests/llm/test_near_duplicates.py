@@ -91,6 +91,17 @@ def test_jaccard_of_nulls_and_nothing(spark):
     assert jaccard.joined(rows.limit(0)).collect() == []
 
 
+def test_jaccard_passes_repeated_rows_once(spark):
+    """Rows that repeat a document don't pile up in its cluster."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, None, None, None)] * 500 + [(2, text + " more", None, None, None)] * 2 + [(3, "other words", None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    members = spark.createDataFrame([(10, 10, 500, 1, 1, text)], "uid long, root long, weight long, blocks long, doc_id long, text string").selectExpr("uid", "root", "weight", "blocks", "doc_id", "xxhash64(text) AS text_hash")
+    assert jaccard.shingle_rows(df, members, 5).count() <= 8
+    got = {(r["doc_id"], r["n_links"], r["component_id"]) for r in jaccard.joined(df).collect()}
+    assert got == {(1, 501, 1), (2, 501, 1), (3, 0, 3)}
+
+
 def test_runs_reach_the_recall():
     q = 1.0
     for _ in range(jaccard.DEPTH):
