@@ -4,9 +4,12 @@ A page is read into blocks: runs of text between block-level tags, each with its
 a page, text length, punctuation and link text are summed per path and divided by the path's blocks
 (text to tag path ratio); the ratios are smoothed over paths in page order, so that a heading or a list
 between long paragraphs is lifted by them; length and punctuation ratios are fused by product, reduced
-by the share of link text; paths over a fraction of the best one are content paths. The content's root is
-the article or main element on them, or else the deepest element that all of them share, and the blocks
-under it are the text. Elements that are boilerplate by name or by class, id or role never count.
+by the share of link text; paths over a fraction of the best one are content paths. Where the best path lies
+in an article or main element, the text is all blocks of every outermost such element that has a block on a content
+path. Else it is the blocks under the deepest element that all content paths share, without blocks of mostly
+link text before the first or after the last content block. Elements that are boilerplate by name or by class,
+id or role never count; an outermost article with such a class, id or role counts only where no other article or main
+element has text.
 
 A page is one row, so this is a map without a shuffle.
 
@@ -64,8 +67,15 @@ def _dropped(tag: str, attributes: str, inside: bool, nested: bool) -> bool:
     return False
 
 
+def _marked(attributes: str) -> bool:
+    """A whole class, id or role is a boilerplate word; parts of one, as in has-sidebar, say little of a whole article."""
+    return any(not _MARKS.isdisjoint(value.strip("\"'").lower().split()) for _, value in _ATTRIBUTE.findall(attributes))
+
+
 def blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """(path, text, characters of link text) of every block outside boilerplate, in page order; a path is of (tag, number) pairs."""
+    """(path, text, characters of link text) of every block outside boilerplate, in page order; a path is of (tag, number) pairs.
+
+    The number of an outermost article that is boilerplate by class, id or role is negative."""
     out: list[tuple[tuple, str, int]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, number of the element, dropped
     parts: list[str] = []
@@ -143,8 +153,9 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path", "use"):
             continue
         made += 1
-        gone = _dropped(tag, m[3], roots > 0, tag == "article" and any(x[0] == tag for x in stack))
-        stack.append((tag, made, gone))
+        nested = tag == "article" and any(x[0] == tag for x in stack)
+        gone = _dropped(tag, m[3], roots > 0, nested)
+        stack.append((tag, -made if tag == "article" and not nested and _marked(m[3]) else made, gone))
         dropped += gone
         anchors += tag == "a"
         roots += tag in _ROOTS
@@ -157,6 +168,9 @@ def main_text(page: str) -> str:
     found = blocks(page)
     if not found:
         return ""
+    plain = [x for x in found if all(number > 0 for _, number in x[0])]
+    if any(tag in _ROOTS for path, _, _ in plain for tag, _ in path):
+        found = plain
     sums: dict[tuple, list[float]] = {}
     for path, text, links in found:
         s = sums.setdefault(tuple(x[0] for x in path), [0, 0, 0, 0])
@@ -177,16 +191,16 @@ def main_text(page: str) -> str:
     # a path's weight is its ratio times its share of blocks: many paragraphs outweigh one long notice
     best = max(paths, key=lambda p: (fused[p] * sums[p][3], sums[p][0]))
     least = THRESHOLD * fused[best]
-    content = [path for path, _, _ in found if fused[tuple(x[0] for x in path)] >= least] or [path for path, _, _ in found]
-    anchor = next(path for path, _, _ in found if tuple(x[0] for x in path) == best)
-    named = [k for k, x in enumerate(anchor) if x[0] in _ROOTS]
-    if named:
-        root = anchor[: named[0] + 1]
-        return " ".join(text for path, text, _ in found if path[: len(root)] == root)
-    shared = [p for p in content if p[:2] == anchor[:2]]
-    depth = min(len(p) for p in shared)
-    root = anchor[: next((k for k in range(depth) if any(p[k] != anchor[k] for p in shared)), depth)]
-    return " ".join(text for path, text, links in found if path[: len(root)] == root and links * 2 <= len(text))
+    on = [fused[tuple(x[0] for x in path)] >= least for path, _, _ in found]
+    if not _ROOTS.isdisjoint(best):
+        roots = [next((path[: k + 1] for k, x in enumerate(path) if x[0] in _ROOTS), None) for path, _, _ in found]
+        content = {root for root, x in zip(roots, on, strict=True) if x and root}
+        return " ".join(text for root, (_, text, _) in zip(roots, found, strict=True) if root in content)
+    at = [k for k, x in enumerate(on) if x]
+    first, *others = [found[k][0] for k in at]
+    depth = next((k for k, x in enumerate(first) if any(p[k : k + 1] != (x,) for p in others)), len(first))
+    root = first[:depth]
+    return " ".join(text for k, (path, text, links) in enumerate(found) if path[:depth] == root and (on[k] or at[0] < k < at[-1] or links * 2 <= len(text)))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -193,6 +193,26 @@ def test_readers_comments_in_articles():
     assert html.main_text(page) == "Title The text, of some length, is here."
 
 
+def test_all_articles_of_a_page():
+    one, two = "The first part, of some length, is here.", "The second part, as long, is there."
+    page = f"<html><body><article class=card><p>{one}</p></article><article><p>{two}</p><p>{one}</p></article></body></html>"
+    assert html.main_text(page) == f"{one} {two} {one}"
+    page = f"<html><body><article><p>{one}</p></article><main><article><p>{two}</p><p>{one}</p></article></main></body></html>"
+    assert html.main_text(page) == f"{one} {two} {one}"
+    notice = "<article class='site notice'><p>We use, as all do, some small files here.</p></article>"
+    assert html.main_text(f"<body>{notice}<article><p>{one}</p></article></body>") == one
+    assert html.main_text(f"<body>{notice}</body>") == "We use, as all do, some small files here."
+
+
+def test_pages_without_body_or_article():
+    one, two = "The first part, of some length, is here.", "The second part, as long, is there."
+    assert html.main_text(f"<p>{one}<p>{two}") == f"{one} {two}"
+    assert html.main_text(f"<div><div><p>{one}</p></div><div><p>{two}</p></div></div>") == f"{one} {two}"
+    linked = "<p>See <a href=x>this, which is a long name of a link</a>.</p><ul><li><a href=y>A source</a></ul>"
+    page = f"<html><body><div><div><a href=z>Home</a></div><p>{one}</p>{linked}<p>{two}</p><div><a href=z>Next</a></div></div></body></html>"
+    assert html.main_text(page) == f"{one} See this, which is a long name of a link. A source {two}"
+
+
 def test_containment_against_brute_force(spark):
     rng = np.random.default_rng(8)
     vocabulary = [f"w{k}" for k in range(400)]
