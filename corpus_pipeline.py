@@ -20,19 +20,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the Jaccard join links: the one of the smallest doc_id."""
-    decided = jaccard.joined(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows"))
-    decided, _ = saved(decided, "decided")
-    other = free_name("decided_id", docs.columns)
-    gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias(other))
-    out = docs.join(gone.hint("merge"), F.col("doc_id") == F.col(other), "left_anti")
-    again = decided.where("kept AND rows > 1").select(F.col("doc_id").alias(other))
-    if again.isEmpty():
-        return out
-    # Rows that repeat a kept doc_id and its text: one of them stays.
-    same = F.col("doc_id").eqNullSafe(F.col(other))
-    repeated = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(again, same, "left_anti").unionByName(repeated)
+    """One row of each group that the Jaccard join links: that of the smallest doc_id; null is the largest."""
+    row, other = free_name("row_id", docs.columns), free_name("gone_id", docs.columns)
+    # written with the number, so that each row has the same one in the join and here
+    docs, _ = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    gone = jaccard.joined(docs, row=row).where(~F.col("kept")).select(F.col(row).alias(other))
+    return docs.join(gone.hint("merge"), F.col(row) == F.col(other), "left_anti").drop(row)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

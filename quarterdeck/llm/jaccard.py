@@ -67,8 +67,8 @@ def _sets_of(column: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]
         yield first, [np.unique(shingles[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """uid, doc_id, text_hash, the set's two keys and size, and its signature; keys are null for an empty set."""
+def signatures(docs: DataFrame, n: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """uid (column row, if given), doc_id, text_hash, the set's two keys and size, and its signature; keys are null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 keys = [pa.array(k.view(np.int64), mask=empty) for k in (key1, key2)]
                 yield pa.RecordBatch.from_arrays([*rows, *keys, pa.array(sizes.astype(np.int32)), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["uid", "doc_id", "text_hash", "key1", "key2", "size", "tokens"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(sign, "uid long, doc_id long, text_hash long, key1 long, key2 long, size int, tokens binary")
 
 
@@ -256,14 +256,18 @@ def shingle_rows(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return found.mapInArrow(gather, "uid long, root long, weight long, blocks long, shingles binary")
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), n_links (other documents linked
-    directly, copies included), component_id (smallest doc_id reachable by links), kept (it is that document)."""
+    directly, copies included), component_id (smallest doc_id reachable by links), kept (it is that document).
+
+    row names a column of docs with a different long in each row. It is put in front of the result, and kept is then
+    true for one row of each group only: that of the smallest doc_id (null is the largest), and of these of the smallest row."""
     spark = docs.sparkSession
     candidate = threshold - 4 * (threshold * (1 - threshold) / WIDTH) ** 0.5
-    signed, signed_path = saved(signatures(docs, n), "signatures")
+    signed, signed_path = saved(signatures(docs, n, row), "signatures")
     full = signed.where(F.col("key1").isNotNull())
-    classes = full.groupBy("key1", "key2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first")] if row else []
+    classes = full.groupBy("key1", "key2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), *first)
     classes, classes_path = saved(classes, "classes")
     reps, reps_path = saved(full.select("uid", "tokens", "size", "doc_id", "text_hash").join(classes.select("uid", "weight"), "uid"), "representatives")
     edges, paths = candidate_edges(reps, threshold, candidate, recall)
@@ -280,13 +284,15 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, reca
     groups = components(links.where("uid <> root").select(F.col("uid").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("uid").agg(F.sum("links").cast("long").alias("links"))
     by_class = classes.join(counted, "uid", "left").join(groups.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    smallest = by_class.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    by_class = by_class.join(smallest, "root").select("key1", "key2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    rows = signed.select("doc_id", "key1", "key2").join(by_class, ["key1", "key2"], "left")
+    smallest = by_class.groupBy("root").agg(F.min("class_id").alias("component_id"), *([F.min("first").getField("uid").alias("first_row")] if row else []))
+    by_class = by_class.join(smallest, "root").select("key1", "key2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", *(["first_row"] if row else []))
+    rows = signed.select("uid", "doc_id", "key1", "key2").join(by_class, ["key1", "key2"], "left")
+    kept = F.col("uid") == F.col("first_row") if row else F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id"))
     return rows.select(
+        *([F.col("uid").alias(row)] if row else []),
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")), F.lit(True)).alias("kept"),
+        F.coalesce(kept, F.lit(True)).alias("kept"),
     )

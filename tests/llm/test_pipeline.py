@@ -27,3 +27,17 @@ def test_stages_in_order_and_effective(spark, tmp_path):
     assert kept[2] == list(range(60))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} == set(range(60))
+
+
+def test_near_duplicates_go_by_row(spark, tmp_path):
+    """Null ids and several texts under one id leave one row of each group."""
+    texts = [" ".join(f"{stem}{k}" for k in range(60)) for stem in "abcd"]
+    near = [t + " more" for t in texts]
+    docs = [(None, texts[0]), (7, near[0]), (None, texts[0])]  # a null copy of a document with an id
+    docs += [(None, texts[1]), (None, near[1]), (None, texts[1])]  # null ids only
+    docs += [(5, texts[2]), (5, near[2]), (5, texts[2]), (9, texts[3]), (5, near[3]), (4, texts[3])]  # one id in two groups
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row_id", F.lit("x")).repartition(3)
+    got = corpus_pipeline.remove_near_duplicates(spark, df, str(tmp_path))
+    assert got.columns == ["doc_id", "text", "row_id"]
+    got = [(r["doc_id"], r["text"].split()[0]) for r in got.collect()]
+    assert sorted(got, key=str) == [(4, "d0"), (5, "c0"), (7, "a0"), (None, "b0")]
