@@ -11,13 +11,15 @@ from quarterdeck.functions.stats import average_rank_pct, correlation, min_max,
 from quarterdeck.operators import evaluation, macro, mcda, portfolio, preprocess, stepwise
 from quarterdeck.plans.panel_queries import _quarterly_sql, r6
 from quarterdeck.sources import panel as source
-from quarterdeck.sources.panel import MACRO, MONTHLY_SQL, PANEL_SQL
+from quarterdeck.sources.panel import FACTORS, MACRO, MONTHLY_SQL, PANEL_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 FEATURES = {"f_disc": -1, "f_unit": 1, "f_rshare": -1, "f_growth": 1, "f_acct": 1}
 STEP_FACTORS = ("f_disc", "f_tax", "f_qty", "f_unit", "f_rshare", "f_pstd", "f_acct")
+#: Factors of the selection: all but f_growth, which is the return ret_3m.
+ELIGIBLE = tuple(f for f in FACTORS if f != "f_growth")
 LABEL = "future_return_1q"
 GRADES = portfolio.GRADES
 
@@ -89,13 +91,13 @@ def _with_macro(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _standardized(spark: SparkSession, d: str) -> DataFrame:
-    rows, columns = _with_macro(spark, d).persist(), [*STEP_FACTORS, *MACRO]
+    rows, columns = _with_macro(spark, d).persist(), [*ELIGIBLE, *MACRO]
     return preprocess.standardized(rows, preprocess.train_params(rows, columns), columns).persist()
 
 
-def _selection(spark: SparkSession, d: str, what: str, knobs: stepwise.Knobs = stepwise.Knobs(max_features=6)) -> tuple[DataFrame, DataFrame]:
+def _selection(spark: SparkSession, d: str, what: str, knobs: stepwise.Knobs = stepwise.Knobs()) -> tuple[DataFrame, DataFrame]:
     rows = _standardized(spark, d)
-    z, m = [f"z_{f}" for f in STEP_FACTORS], [f"z_{x}" for x in MACRO]
+    z, m = [f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO]
     targets = spark.range(1 + knobs.window, 28).select(F.col("id").cast("int").alias("quarter_idx"))
     return rows, stepwise.solved(stepwise.moments(rows, z, m, LABEL), targets, z, m, knobs, what)
 
@@ -108,7 +110,7 @@ def stepwise_log(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stepwise_predictions(spark: SparkSession, d: str) -> DataFrame:
     rows, models = _selection(spark, d, "model")
-    out = stepwise.predicted(rows, models, [f"z_{f}" for f in STEP_FACTORS], [f"z_{x}" for x in MACRO])
+    out = stepwise.predicted(rows, models, [f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO])
     out = out.withColumn("stagewise_rank", F.row_number().over(Window.partitionBy("quarter_idx").orderBy(F.desc("prediction"), "entity_id")))
     return out.withColumn("stagewise_rank_pct", average_rank_pct("prediction", "quarter_idx")).select("quarter_idx", "split", "entity_id", "entity_name", LABEL, "prediction", "stagewise_rank", "stagewise_rank_pct", "selected_feature_count", "selected_features")
 
