@@ -50,7 +50,7 @@ class Items:
         classes: dict[int, list[int]] = {}
         for k, s in enumerate(self.sets):
             if len(s):
-                classes.setdefault(max(3, int(len(s)).bit_length()), []).append(k)
+                classes.setdefault(int(len(s)).bit_length(), []).append(k)
         #: upper size of a class: for each permutation the minwise values and the items that have each
         self.classes = {}
         for bits, members in sorted(classes.items()):

@@ -213,6 +213,15 @@ def test_pages_without_body_or_article():
     assert html.main_text(page) == f"{one} See this, which is a long name of a link. A source {two}"
 
 
+def test_shortest_items_in_long_texts():
+    """An item of five words is found in a long text with the stated recall."""
+    items = [" ".join(f"i{k}w{j}" for j in range(5)) for k in range(1000)]
+    texts = [" ".join([*(f"a{k}x{j}" for j in range(40)), item, *(f"b{k}x{j}" for j in range(40))]) for k, item in enumerate(items)]
+    block = decontamination.Items(list(range(1000)), items, decontamination.THRESHOLD, decontamination.RECALL)
+    found = {(x[0], x[1]) for _, _, out in block.matches(pa.array(texts, pa.string())) for x in out}
+    assert found <= {(k, k) for k in range(1000)} and len(found) >= 995
+
+
 def test_containment_against_brute_force(spark):
     rng = np.random.default_rng(8)
     vocabulary = [f"w{k}" for k in range(400)]
