@@ -12,6 +12,18 @@ def long_form(panel: DataFrame, features: dict[str, int]) -> DataFrame:
     return panel.select("quarter_idx", "entity_id", F.inline(rows))
 
 
+def composite_form(panel: DataFrame, picks: DataFrame, catalogue: list[tuple[str, str, str]]) -> DataFrame:
+    """Values z_factor * z_macro of the composites picked for each quarter (columns quarter_idx, feature, coefficient), negated where the coefficient is negative.
+
+    catalogue: composite, column of the factor and column of the macro series."""
+    values = F.create_map(*(x for name, f, m in catalogue for x in (F.lit(name), F.col(f) * F.col(m))))
+    sign = F.when(F.col("coefficient") < 0, -1.0).otherwise(1.0)
+    own = picks.groupBy("quarter_idx").agg(F.collect_list(F.struct("feature", sign.alias("sign"))).alias("picks"))
+    rows = panel.join(F.broadcast(own), "quarter_idx").withColumn("values", values)  # a row per quarter
+    rows = rows.select("quarter_idx", "entity_id", "values", F.inline("picks"))
+    return rows.select("quarter_idx", "entity_id", "feature", (F.element_at("values", F.col("feature")) * F.col("sign")).alias("value"))
+
+
 def benefits(long: DataFrame) -> DataFrame:
     """value as 0 to 1 within quarter and feature, after filling nulls with the median there (0 if there is none)."""
     own = Window.partitionBy("quarter_idx", "feature")

@@ -234,6 +234,31 @@ def selected_features(spark: SparkSession, d: str) -> DataFrame:
     return mcda.selected_features(picks, spark.range(1, 5).select(F.col("id").cast("int").alias("quarter_idx")), 2)
 
 
+#: Composites of a quarter that the net flows use at most, as published.
+TOP_COMPOSITES = 20
+
+
+def _picks(spark: SparkSession, log: DataFrame) -> DataFrame:
+    chosen = log.select("quarter_idx", F.col("selected_feature").alias("feature"), "step", "coefficient")
+    targets = spark.range(1 + stepwise.Knobs().window, 28).select(F.col("id").cast("int").alias("quarter_idx"))
+    return mcda.selected_features(chosen, targets, TOP_COMPOSITES)
+
+
+@query()
+def selected_composites(spark: SparkSession, d: str) -> DataFrame:
+    """The composites of each quarter's net flows, with the coefficient whose sign is their direction."""
+    return _picks(spark, stepwise_log(spark, d).persist())
+
+
+def _composite_flows(spark: SparkSession, d: str) -> DataFrame:
+    """Net flows over each quarter's selected composites."""
+    rows, log = _selection(spark, d, "log")
+    names = stepwise.catalogue([f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO])
+    log = spark.createDataFrame(log.collect(), log.schema)  # 15 quarters of 15 steps at most; the plan ends there
+    benefit = mcda.benefits(mcda.composite_form(rows, _picks(spark, log), names))
+    return mcda.flows(benefit, mcda.entropy_weights(benefit))
+
+
 # --- hybrid scores, portfolios, ratings --------------------------------------------------------------------------------
 
 _HYBRID = f"""{_FLOWS}, scored AS (SELECT quarter_idx, entity_id, split, future_return_1q, -f_growth AS prediction FROM panel WHERE quarter_idx >= 13), h0 AS (SELECT scored.*, round(net_flow, 9) AS net_flow FROM scored JOIN fl USING (quarter_idx, entity_id)),
@@ -379,6 +404,6 @@ def score_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mainline_performance(spark: SparkSession, d: str) -> DataFrame:
-    """The whole chain: rolling selection, predictions, entropy-weighted flows, hybrid scores, portfolios, measures."""
-    scores = portfolio.hybrid_scores(stepwise_predictions(spark, d), _flows(spark, d)).persist()
+    """The whole chain: rolling selection, predictions, entropy-weighted flows of the selected composites, hybrid scores, portfolios, measures."""
+    scores = portfolio.hybrid_scores(stepwise_predictions(spark, d), _composite_flows(spark, d)).persist()
     return portfolio.performance(portfolio.returns(scores, portfolio.holdings(scores)))

@@ -1,4 +1,8 @@
+import pytest
+
 import __spark_entry__ as entry
+from quarterdeck.operators import mcda
+from quarterdeck.plans import selection_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -7,3 +11,19 @@ def test_selection_takes_up_to_fifteen_of_all_factors(spark):
     rows = entry.queries()["stepwise_log"](spark, SF).collect()
     assert 6 < max(r["step"] for r in rows) <= 15
     assert {"f_lines", "f_parts"} <= {r["selected_feature"].split("z_")[1].rstrip("_") for r in rows}
+
+
+def test_flows_use_the_composites_of_the_quarter(spark):
+    panel = spark.createDataFrame([(1, 1, 2.0, 3.0, 5.0), (1, 2, -1.0, 4.0, 5.0), (2, 1, 2.0, 3.0, 7.0)], "quarter_idx int, entity_id int, a double, b double, m double")
+    picks = spark.createDataFrame([(1, "am", 0.5), (1, "bm", -0.1), (2, "bm", 0.0)], "quarter_idx int, feature string, coefficient double")
+    got = sorted(tuple(r) for r in mcda.composite_form(panel, picks, [("am", "a", "m"), ("bm", "b", "m")]).collect())
+    assert got == [(1, 1, "am", 10.0), (1, 1, "bm", -15.0), (1, 2, "am", -5.0), (1, 2, "bm", -20.0), (2, 1, "bm", 21.0)]
+
+
+def test_chain_goes_by_the_selection(spark, monkeypatch):
+    """The chain's flows are those of the picks: fixed factors are not read."""
+    picks = entry.queries()["selected_composites"](spark, SF).collect()
+    log = {(r["quarter_idx"], r["selected_feature"]): r["coefficient"] for r in entry.queries()["stepwise_log"](spark, SF).collect()}
+    assert {(r["quarter_idx"], r["feature"]): pytest.approx(r["coefficient"]) for r in picks} == log
+    monkeypatch.setattr(selection_queries, "_flows", None)
+    assert entry.queries()["mainline_performance"](spark, SF).count() == 4 * 13
