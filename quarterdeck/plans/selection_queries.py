@@ -398,8 +398,13 @@ def top_selected_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def score_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Rows for the scatter of the two scores: a seeded sample, at most 6000 as the figure shows."""
-    return _hybrid(spark, d).select("quarter_idx", "entity_id", "pure_stagewise_score", "pure_promethee_score").sample(0.5, seed=42).limit(6000)
+    """Rows for the scatter of the two scores, coloured by the label: all that have the three, or a seeded sample of 6000, as the figure shows."""
+    return _sampled(_hybrid(spark, d), 6000)
+
+
+def _sampled(scores: DataFrame, most: int) -> DataFrame:
+    rows = scores.select("quarter_idx", "entity_id", "pure_stagewise_score", "pure_promethee_score", LABEL).dropna(subset=["pure_stagewise_score", "pure_promethee_score", LABEL])
+    return rows.orderBy(F.xxhash64(F.lit(7), "quarter_idx", "entity_id"), "quarter_idx", "entity_id").limit(most)
 
 
 @query()

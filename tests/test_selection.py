@@ -27,3 +27,12 @@ def test_chain_goes_by_the_selection(spark, monkeypatch):
     assert {(r["quarter_idx"], r["feature"]): pytest.approx(r["coefficient"]) for r in picks} == log
     monkeypatch.setattr(selection_queries, "_flows", None)
     assert entry.queries()["mainline_performance"](spark, SF).count() == 4 * 13
+
+
+def test_score_sample_is_whole_or_uniform(spark):
+    rows = [(k % 15, k, 0.5, None if k == 3 else 0.1, None if k == 4 else 1.0) for k in range(2000)]
+    df = spark.createDataFrame(rows, "quarter_idx int, entity_id int, pure_stagewise_score double, pure_promethee_score double, future_return_1q double")
+    assert {r["entity_id"] for r in selection_queries._sampled(df, 6000).collect()} == set(range(2000)) - {3, 4}
+    some = [r["entity_id"] for r in selection_queries._sampled(df, 500).collect()]
+    assert len(set(some)) == 500 and 0.4 < sum(k < 1000 for k in some) / 500 < 0.6
+    assert some == [r["entity_id"] for r in selection_queries._sampled(df.repartition(7), 500).collect()]
