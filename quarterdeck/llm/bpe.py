@@ -1,8 +1,13 @@
 """Token ids of whole text columns: the tokenizers library encodes each distinct word, numpy spreads the ids.
 
 Byte-level BPE never merges across the boundaries of its pre-tokens, so a text's ids are those of its
-pre-tokens in order. Texts of ASCII and Latin-1 letters are cut into pre-tokens by numpy; any
-other text goes to the library whole. Both ways give the ids of Tokenizer.encode.
+pre-tokens in order. Texts of ASCII and Latin-1 letters are cut into pre-tokens by numpy; other texts go to the
+library, and so does a whole text that holds one of the tokenizer's added tokens. All ways give the ids of
+Tokenizer.encode as the library is by default.
+
+A text over CHUNK bytes is encoded in pieces that are cut before a blank after an ASCII letter, digit or sign, where a
+pre-token starts whatever stands around; so memory is bounded by the piece (and four bytes an id) for any text
+with blanks. A word is known again by its length and, beyond eight bytes, a 128-bit hash.
 """
 
 import os
@@ -12,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from quarterdeck.llm.words import chunks, span_hashes, text_buffer
+from quarterdeck.llm.words import CHUNK, chunks, span_keys, text_buffer
 
 _LETTER, _DIGIT, _OTHER, _SPACE = range(4)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -72,13 +77,13 @@ class Encoder:
     def __init__(self, path: str, keep: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.keep = keep
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.refs = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32)
+        self.hashes, self.checks, self.refs = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32)
         self.first, self.count, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
         self.n_words = self.n_ids = 0
 
@@ -123,16 +128,18 @@ class Encoder:
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = pretoken_starts(data, offsets)
         ends = np.r_[starts[1:], len(data)]
-        hashes = span_hashes(data, starts, ends)
+        hashes, checks = span_keys(data, starts, ends)
         slots = (hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)
         refs = self.refs[slots].astype(np.int64)
-        missing = np.flatnonzero(self.hashes[slots] != hashes)
+        missing = np.flatnonzero((self.hashes[slots] != hashes) | (self.checks[slots] != checks))
         if len(missing):
-            new, at, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            _, at, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            if (checks[missing][at][back] != checks[missing]).any():  # words that share 64 bits
+                _, at, back = np.unique(np.rec.fromarrays([hashes[missing], checks[missing]]), return_index=True, return_inverse=True)
             raw, at = data.tobytes(), missing[at]
             base = self._added([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             refs[missing] = base + back
-            self.hashes[slots[at]], self.refs[slots[at]] = new, np.arange(base, base + len(new))
+            self.hashes[slots[at]], self.checks[slots[at]], self.refs[slots[at]] = hashes[at], checks[at], np.arange(base, base + len(at))
         counts = self.count[refs]
         total = np.r_[0, np.cumsum(counts)]
         ids = self.ids[np.repeat(self.first[refs] - total[:-1], counts) + np.arange(total[-1])]
@@ -140,19 +147,51 @@ class Encoder:
             self.forget()
         return ids, total[np.searchsorted(starts, offsets)]
 
+    def _holds_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that hold the text of an added token."""
+        raw, out = data.tobytes(), np.zeros(len(offsets) - 1, bool)
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    out[row] = True
+                    at = raw.find(token, int(offsets[row + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        return out
+
+    def _library(self, raw: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+    def _alone(self, data: np.ndarray, plain: bool, whole: bool) -> np.ndarray:
+        """Ids of one text, piece by piece unless it must stay whole."""
+        parts = []
+        for a, b in [(0, len(data))] if whole else pieces(data):
+            part = data[a:b]
+            parts.append(self._plain(part, np.array([0, len(part)]))[0] if plain else self._library(part.tobytes()))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yields (first row, ids, offsets of ids by row) for some rows after the other, until all are done."""
         data, offsets = text_buffer(column)
         for first, last in chunks(offsets):
             at = offsets[first : last + 1] - offsets[first]
             part = data[offsets[first] : offsets[last]]
-            plain = plain_rows(part, at) if len(part) else np.ones(last - first, bool)
+            if not len(part):
+                yield first, np.empty(0, np.uint32), np.zeros(last - first + 1, np.int64)
+                continue
+            added = self._holds_added(part, at)
+            plain = plain_rows(part, at) & ~added
+            if last == first + 1:
+                ids = self._alone(part, bool(plain[0]), bool(added[0]))
+                yield first, ids, np.array([0, len(ids)])
+                continue
             cuts = np.r_[0, np.flatnonzero(np.diff(plain)) + 1, last - first]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if not plain[a]:
                     for row in range(a, b):
-                        text = part[at[row] : at[row + 1]].tobytes().decode("utf-8", "replace")
-                        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                        ids = self._library(part[at[row] : at[row + 1]].tobytes())
                         yield first + row, ids, np.array([0, len(ids)])
                 elif at[a] == at[b]:
                     yield first + a, np.empty(0, np.uint32), np.zeros(b - a + 1, np.int64)
@@ -161,6 +200,23 @@ class Encoder:
                     yield first + a, ids, ends
 
 
+def pieces(data: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of a text of about limit bytes, cut only before a blank after an ASCII character that is no white space."""
+    a, n = 0, len(data)
+    while n - a > limit:
+        b, step = 0, limit
+        while not b and a + step < n:  # a longer piece only where nothing can be cut
+            part = data[a : a + step + 1]
+            cuts = np.flatnonzero((part[1:] == _BLANK) & (part[:-1] > _BLANK) & (part[:-1] < 127))
+            b = int(cuts[-1]) + 1 if len(cuts) else 0
+            step *= 2
+        if not b:
+            break
+        yield a, a + b
+        a += b
+    yield a, n
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -56,7 +56,7 @@ SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 def hashes_of(text: str) -> np.ndarray:
     """Hashes of a text's words in order."""
     data = np.frombuffer(text.encode(), np.uint8)
-    return word_hashes(words(data, np.array([0, len(data)]), fold_latin=False))
+    return word_hashes(words(data, np.array([0, len(data)]), unicode=False))
 
 
 def word_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -67,7 +67,7 @@ def word_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for first, last in chunks(offsets):
-                _, number = vocabulary.find(word_hashes(words(data, offsets[first : last + 1], fold_latin=False)))
+                _, number = vocabulary.find(word_hashes(words(data, offsets[first : last + 1], unicode=False)))
                 total += np.bincount(number, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["word", "n"])
 
@@ -138,7 +138,7 @@ def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: fl
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for first, last in chunks(offsets):
-                found = words(data, offsets[first : last + 1], fold_latin=False)
+                found = words(data, offsets[first : last + 1], unicode=False)
                 hashes = word_hashes(found)
                 n = last - first
                 base: list[set] = [set() for _ in range(n)]

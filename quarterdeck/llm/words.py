@@ -1,10 +1,15 @@
 """Words, word hashes and word shingles of whole Arrow text columns, by numpy over the column's own bytes.
 
-A word is a maximal run of ASCII letters or digits and of bytes of non-ASCII characters. Hashes ignore
-the case of A-Z and of the Latin-1 letters, so that copies that differ in case or punctuation agree.
+A word is a maximal run of ASCII letters or digits and of bytes of non-ASCII characters. Folded words are in
+lower case, by Unicode's simple mapping of single characters, so that copies that differ in case or punctuation agree.
+
+Spans are hashed eight bytes at a time by bijective mixing, so different words of up to eight bytes never share
+a hash; longer ones share one of 64 bits by chance only (no sums or powers that a chosen text could cancel).
 """
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -13,10 +18,12 @@ import pyarrow as pa
 #: Bytes of text that are scanned at once; one longer document is scanned alone.
 CHUNK = 1 << 20
 SHINGLE = 5
+#: Spans over this many bytes are hashed one by one.
+LONG_SPAN = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+_SPAN_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True
@@ -33,17 +40,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+@cache
+def powers(n: int) -> np.ndarray:
+    """Powers 0 to n of the base modulo 2**64."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse modulo 2**64."""
-    global _powers, _inverse
-    if len(_powers) <= n:
-        size = max(n + 1, CHUNK + 1)
-        _powers = np.cumprod(np.r_[np.uint64(1), np.full(size, _BASE)])
-        _inverse = np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))])
-    return _powers, _inverse
+@cache
+def simple_lower() -> np.ndarray:
+    """The lower-case letter of each code point below the last cased one."""
+    out = np.arange(0x1E944, dtype=np.uint32)
+    for c in range(len(out)):
+        lower = chr(c).lower()
+        if len(lower) == 1:
+            out[c] = ord(lower)
+    out[0x130] = ord("i")
+    return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +80,65 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         first = last
 
 
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of byte spans, together one of 128 bits; of spans of up to eight bytes they are bijective.
+
+    Equal bytes give equal hashes wherever they stand. The second is the length of a span of up to eight bytes.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    view = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    sizes = ends - starts
+    first = mixed(view[starts] & _SPAN_MASK[np.minimum(sizes, 8)])
+    second = sizes.astype(np.uint64)
+    live = np.flatnonzero(sizes > 8)
+    if not len(live):
+        return first, second
+    long = live[sizes[live] > LONG_SPAN]
+    live = live[sizes[live] <= LONG_SPAN]
+    one, two = first[live] + second[live] * _OTHER, mixed(first[live] ^ _BASE)
+    done = 8
+    at = np.arange(len(live))
+    while len(at):
+        own = live[at]
+        part = view[starts[own] + done] & _SPAN_MASK[np.minimum(sizes[own] - done, 8)]
+        one[at] = mixed(one[at] * _BASE + part)
+        two[at] = mixed(two[at] * _OTHER ^ part)
+        done += 8
+        at = at[sizes[own] > done]
+    first[live], second[live] = one, two
+    for k in long.tolist():
+        digest = hashlib.blake2b(padded[starts[k] : ends[k]], digest_size=16).digest()
+        first[k], second[k] = np.frombuffer(digest, "<u8")
+    return first, second
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """The first of span_keys()."""
+    return span_keys(data, starts, ends)[0]
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of UTF-8 in lower case, and their offsets; of bytes that are no UTF-8, A-Z alone is folded."""
+    if not len(data) or int(data.max()) < 0x80:
+        return LOWER[data], offsets
+    if int(data.max()) <= 0xC3:  # Latin-1 letters only
+        data = LOWER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3) + 1
+        lead = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
+        data[lead] += 32
+        return data, offsets
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    except UnicodeDecodeError:
+        return LOWER[data], offsets
+    table = simple_lower()
+    cased = points < len(table)
+    lower = points.copy()
+    lower[cased] = table[points[cased]]
+    ends = np.r_[0, np.cumsum(np.ones(len(lower), np.uint8) + (lower > 0x7F) + (lower > 0x7FF) + (lower > 0xFFFF), dtype=np.int64)]
+    row = np.r_[0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)][offsets]
+    return np.frombuffer(lower.tobytes().decode("utf-32-le").encode(), np.uint8), ends[row]
 
 
 class Words(NamedTuple):
@@ -84,17 +149,13 @@ class Words(NamedTuple):
     offsets: np.ndarray  # bytes of row i in data
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold_latin: bool = True) -> Words:
-    """Words of rows that lie one after the other in data."""
+def words(data: np.ndarray, offsets: np.ndarray, unicode: bool = True) -> Words:
+    """Words of rows that lie one after the other in data, in lower case (A-Z alone, unless unicode)."""
     base = offsets[0]
     data, offsets = data[base : offsets[-1]], offsets - base
+    data, offsets = folded(data, offsets) if unicode else (LOWER[data], offsets)
     n = len(data)
     is_word = IS_WORD[data]
-    data = LOWER[data]
-    if fold_latin:
-        lead = np.flatnonzero(data[:-1] == 0xC3) + 1
-        lead = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
-        data[lead] += 32
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     joined = np.zeros(n + 1, bool)  # byte i continues the word of byte i - 1
@@ -116,7 +177,7 @@ def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) ->
     if not out[-1]:
         return np.empty(0, np.uint64), out
     at = np.arange(out[-1]) + np.repeat(bounds[:-1] - out[:-1], counts)
-    up, _ = powers(n)
+    up = powers(n)
     total = np.zeros(len(at), np.uint64)
     for k in range(n):
         total += hashes[at + k] * up[k + 1]
@@ -130,7 +191,7 @@ def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) -> tu
     short = np.flatnonzero((counts > 0) & (counts < n))
     if not len(short):
         return found, at
-    up, _ = powers(n)
+    up = powers(n)
     whole = np.array([mixed(np.sum(hashes[bounds[r] : bounds[r + 1]] * up[1 : counts[r] + 1], keepdims=True) + np.uint64(counts[r]))[0] for r in short.tolist()], np.uint64)
     sizes = np.diff(at)
     found = np.insert(found, at[short], whole)

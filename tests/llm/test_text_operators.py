@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quarterdeck.llm import bpe, decontamination, html, language, licenses, packing, sharding, simple8b
+from quarterdeck.llm import bpe, decontamination, html, language, licenses, packing, sharding, simple8b, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, slot string, label string"
@@ -21,7 +21,6 @@ def docs(spark, texts, langs=None, ids=None):
 
 def reference_ids(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -40,6 +39,55 @@ def test_encoder_gives_the_library_s_ids():
     assert got == reference_ids(texts)
 
 
+def test_words_that_a_polynomial_hash_confuses():
+    """Thue-Morse words of 2,048 bytes share every polynomial hash modulo 2**64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [f"x {word} {other} {word}y {other}", "nul \x00 \x00\x00 a\x00 a"]
+    got = [ids.tolist() for _, ids, _ in bpe.Encoder(PATH)(pa.array(texts[:1]))] + [ids.tolist() for _, ids, _ in bpe.Encoder(PATH)(pa.array(texts[1:]))]
+    assert got == reference_ids(texts)
+    data = np.frombuffer((word + other).encode(), np.uint8)
+    one, two = words.span_keys(data, np.array([0, 2048]), np.array([2048, 4096]))
+    assert one[0] != one[1] and two[0] != two[1]
+
+
+@pytest.mark.parametrize("unit", ["the naïve Straße, don't  go\n\n 12 ", "привет, мир это  Ελληνικά 日本語\n\t x ", "plain <|endoftext|> words "])
+def test_very_long_texts_are_encoded_in_pieces(unit):
+    text = unit * 4000
+    encode = bpe.Encoder(PATH)
+    at = list(bpe.pieces(np.frombuffer(text.encode(), np.uint8), 5000))
+    assert at[0][0] == 0 and at[-1][1] == len(text.encode()) and all(a[1] == b[0] for a, b in zip(at[:-1], at[1:], strict=True)) and len(at) > 10
+    whole = "endoftext" in text
+    data = np.frombuffer(text.encode(), np.uint8)
+    if not whole:
+        plain = bool(bpe.plain_rows(data, np.array([0, len(data)]))[0])
+        parts = [encode._plain(data[a:b], np.array([0, b - a]))[0] if plain else encode._library(data[a:b].tobytes()) for a, b in at]
+        assert np.concatenate(parts).tolist() == reference_ids([text])[0]
+    (_, ids, _), = encode(pa.array([text]))
+    assert ids.tolist() == reference_ids([text])[0]
+
+
+def test_text_of_fifty_megabytes():
+    unit = "Some plain words, of which there are many; "
+    text = unit * (50_000_000 // len(unit))
+    (_, ids, _), = bpe.Encoder(PATH)(pa.array([text]))
+    start, again = reference_ids([unit + unit[:-1]])[0], reference_ids([unit * 3])[0]
+    per = len(again) - len(reference_ids([unit * 2])[0])
+    n = len(text) // len(unit)
+    assert len(ids) == len(again) + (n - 3) * per
+    assert (ids[per : 2 * per] == ids[per * (n - 2) : per * (n - 1)]).all() and ids[: len(start)].tolist() == start
+
+
+def test_folding_is_unicode_s():
+    texts = ["ПРИВЕТ Мир", "ΣΊΣΥΦΟΣ", "ÀÉ×ß Ÿ", "abc XYZ", "", "İI", "ＡＢ𐐀 x"]
+    data, offsets = words.text_buffer(pa.array(texts))
+    got, at = words.folded(data, offsets)
+    rows = [got[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert rows == ["привет мир", "σίσυφοσ", "àé×ß ÿ", "abc xyz", "", "ii", "ａｂ𐐨 x"]
+
+
 def test_packing_covers_every_id_once(spark):
     texts = ODD + ["the quick brown fox " * n for n in range(1, 60)] + ["same text"] * 20
     expected = {k: [*ids, 0] for k, ids in enumerate(reference_ids(texts))}
