@@ -1,25 +1,33 @@
 """Operator 3: main text of web pages by tag-path ratios.
 
-A page is read into blocks: runs of text between block-level tags, each with its root-to-leaf tag path. Over
-a page, text length, punctuation and link text are summed per path and divided by the path's blocks
-(text to tag path ratio); the ratios are smoothed over paths in page order, so that a heading or a list
-between long paragraphs is lifted by them; length and punctuation ratios are fused by product, reduced
-by the share of link text; paths over a fraction of the best one are content paths. Where the best path lies
-in an article or main element, the text is all blocks of every outermost such element that has a block on a content
-path. Else it is the blocks under the deepest element that all content paths share, without blocks of mostly
-link text before the first or after the last content block. Elements that are boilerplate by name or by class,
-id or role never count; an outermost article with such a class, id or role counts only where no other article or main
-element has text.
-
-A page is one row, so this is a map without a shuffle.
+A page is read into blocks: runs of text between block-level tags, each with its root-to-leaf tag path. A step of a
+path is the tag, for containers (div, section, article and the like) with its classes, and a flag where class, id
+or role names boilerplate. Over a page, text length, punctuation and link text are summed per path and divided by
+the path's blocks (text to tag path ratio). Both ratios are smoothed over paths in page order, between paths of one
+container or of a container and the one around it; they are fused by product and reduced by the share of link
+text and by the path's weight (STRONG where a step is named as boilerplate, WEAK where a class only contains such a
+word). A heading takes the score of the path that it heads. Paths over THRESHOLD of the best one are content paths.
+
+Content nodes are the containers at least half of whose own text is on content paths; all blocks of theirs are
+returned. So are those of containers inside them that are neither named as boilerplate nor mostly links: those in an
+article with a content node, and those around which a content node has text of its own.
+
+Elements that are boilerplate by their tag (nav, footer, aside, form, script, a header outside of the article
+and so on) are read but never count.
+
+A page is one row, so this is a map without a shuffle. Time and memory are linear in the page: a path is a node of a
+tree of steps, and end tags look no further up than LOOK elements.
 
 Defined results: null, empty and text-free pages give an empty text and n_chars 0; null page_id and url are kept;
 repeated rows get a row each; broken markup is read as browsers do in the common cases (unclosed
-p, li, b; stray end tags; a tag cut off at the end); other columns are ignored.
+p, li, b; stray end tags; a tag cut off at the end); of equal scores the longer path and then the first one is
+best; no pages give no rows; other columns are ignored.
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -27,7 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.1
-SMOOTHING = (0.25, 0.5, 0.25)
+SMOOTHING = 0.25
+#: Weight of a path with a step that class, id or role name as boilerplate, or with a class that holds such a word.
+STRONG, WEAK = 1e-6, 0.5
+#: Open elements that an end tag, or a tag that closes others, looks at.
+LOOK = 256
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
@@ -45,42 +57,67 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPE = frozenset("ul ol dl table article section div body html select".split())
 #: Elements that are never content.
 _DROPPED = frozenset("head nav footer aside form script style noscript iframe object svg canvas template button select textarea title dialog menu audio video map math".split())
-#: Words of class, id and role that mark boilerplate.
+#: Words of class, id and role that name boilerplate.
 _MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner cookie cookies notice notices consent gdpr popup modal overlay "
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion teaser teasers banner cookie cookies notice notices consent gdpr popup modal overlay "
     "menu menus nav navbar navigation breadcrumb breadcrumbs masthead header footer sidebar aside complementary contentinfo widget widgets share sharing social related recommended "
     "comment comments commentlist disqus reply replies respond newsletter subscribe subscription signup login search pagination pager toolbar alert disclaimer copyright".split()
 )
+#: First words of a class that speak of a part of the element, or of a part of the article; last words that tell a state.
+_OF_PART = frozenset("has with without no entry post article story content main hero".split())
+_STATE = frozenset("enabled disabled open closed active visible on off".split())
 _ROOTS = frozenset(("article", "main"))
+_CONTAINERS = frozenset("html body div section article main td th center details".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def _dropped(tag: str, attributes: str, inside: bool, nested: bool) -> bool:
-    """inside: in an article or main element; nested: an article in an article, such as a reader's comment."""
-    if tag in _DROPPED or tag == "header" and not inside:
-        return True
-    if attributes and tag not in ("html", "body"):
-        if tag not in _ROOTS or nested:
-            for _, value in _ATTRIBUTE.findall(attributes):
-                if not _MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-                    return True
-        return bool(re.search(r"\shidden(?=[\s=]|\Z)|aria-hidden\s*=\s*[\"']?true", attributes, re.I))
-    return False
+@lru_cache(1 << 14)
+def _attributes(text: str) -> tuple[str, float, bool]:
+    """(classes without digits, weight, hidden) of a tag's attributes."""
+    classes, weight = "", 1.0
+    for name, value in _ATTRIBUTE.findall(text):
+        value = value.strip("\"'").lower()
+        if name.lower() == "class":
+            classes = ".".join(re.sub(r"[\d_-]+", "", value).split())
+        for token in value.split():
+            words = [x for x in re.split(r"[^a-z]+", token) if x]
+            if not _MARKS.isdisjoint(words):
+                named = len(words) == 1 or words[0] not in _OF_PART and words[-1] not in _STATE and (words[0] in _MARKS or words[-1] in _MARKS)
+                weight = min(weight, STRONG if named else WEAK)
+    return classes, weight, bool(re.search(r"\shidden(?=[\s=]|\Z)|aria-hidden\s*=\s*[\"']?true", text, re.I))
 
 
-def _marked(attributes: str) -> bool:
-    """A whole class, id or role is a boilerplate word; parts of one, as in has-sidebar, say little of a whole article."""
-    return any(not _MARKS.isdisjoint(value.strip("\"'").lower().split()) for _, value in _ATTRIBUTE.findall(attributes))
+class Paths:
+    """The tree of a page's tag paths; a path is the number of its last step."""
 
+    def __init__(self):
+        self.number: dict[tuple[int, str], int] = {}
+        self.tag, self.container, self.around, self.weight, self.article = [""], [0], [0], [1.0], [-1]
 
-def blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """(path, text, characters of link text) of every block outside boilerplate, in page order; a path is of (tag, number) pairs.
+    def step(self, parent: int, tag: str, classes: str, weight: float) -> int:
+        nested = tag == "article" and self.article[parent] >= 0  # an article in an article is a reader's comment
+        weight = STRONG if nested else 1.0 if tag in ("html", "body") else weight
+        key = (parent, f"{tag}.{classes}!{weight}" if tag in _CONTAINERS else f"{tag}!{weight}")
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.tag)
+            own = tag in _CONTAINERS and not (tag in ("td", "th") and self.article[parent] >= 0) or weight == STRONG
+            self.tag.append(tag)
+            self.container.append(found if own else self.container[parent])
+            self.around.append(self.container[parent] if own else self.around[parent])
+            self.weight.append(min(weight, self.weight[parent]))
+            self.article.append(found if tag == "article" and not nested else self.article[parent])
+        return found
 
-    The number of an outermost article that is boilerplate by class, id or role is negative."""
-    out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number of the element, dropped
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """The page's paths and (path, text, characters of link text) of every block that no tag makes boilerplate, in page order."""
+    out: list[tuple[int, str, int]] = []
+    paths = Paths()
+    stack: list[tuple[str, int, bool]] = []  # tag, path, dropped
+    opened: Counter = Counter()
     parts: list[str] = []
-    path: tuple = ()
-    links = made = dropped = anchors = roots = 0
+    path = links = dropped = 0
 
     def closed() -> None:
         nonlocal links
@@ -90,12 +127,12 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             parts.clear()
         links = 0
 
-    def pop() -> None:
-        nonlocal dropped, anchors, roots
-        tag, _, gone = stack.pop()
-        dropped -= gone
-        anchors -= tag == "a"
-        roots -= tag in _ROOTS
+    def close(k: int) -> None:
+        nonlocal dropped
+        while len(stack) > k:
+            tag, _, gone = stack.pop()
+            opened[tag] -= 1
+            dropped -= gone
 
     at, end = 0, len(page)
     while at < end:
@@ -109,41 +146,42 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if text is not None:
             if not dropped:
                 if not parts:
-                    path = tuple((x[0], x[1]) for x in stack)
+                    path = stack[-1][1] if stack else 0
                 parts.append(text)
-                if anchors:
+                if opened["a"]:
                     links += len(text)
             continue
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag not in _INLINE:
+        inline = tag in _INLINE
+        if not inline:
             if tag == "br":
                 parts.append(" ") if parts else None
             else:
                 closed()
+        least = max(len(stack) - LOOK, 0) if inline or tag in _CLOSES else 0
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if tag in _INLINE and stack[k][0] not in _INLINE:
-                    break
+            if opened[tag]:
+                for k in range(len(stack) - 1, least - 1, -1):
+                    if stack[k][0] == tag:
+                        close(k)
+                        break
+                    if inline and stack[k][0] not in _INLINE:
+                        break
             continue
         if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
-        elif tag in _CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
+            if opened["p"]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == "p":
+                        close(k)
+                        break
+                    if stack[k][0] not in _INLINE:
+                        break
+        elif tag in _CLOSES and any(opened[x] for x in _CLOSES[tag]):
+            for k in range(len(stack) - 1, least - 1, -1):
                 if stack[k][0] in _CLOSES[tag]:
-                    while len(stack) > k:
-                        pop()
+                    close(k)
                 elif stack[k][0] in _SCOPE:
                     break
         if tag in _RAW:
@@ -152,55 +190,79 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             continue
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path", "use"):
             continue
-        made += 1
-        nested = tag == "article" and any(x[0] == tag for x in stack)
-        gone = _dropped(tag, m[3], roots > 0, nested)
-        stack.append((tag, -made if tag == "article" and not nested and _marked(m[3]) else made, gone))
+        classes, weight, hidden = _attributes(m[3]) if m[3] else ("", 1.0, False)
+        gone = tag in _DROPPED or tag == "header" and not (opened["article"] or opened["main"]) or hidden and tag not in ("html", "body")
+        parent = stack[-1][1] if stack else 0
+        stack.append((tag, parent if inline and weight != STRONG else paths.step(parent, tag, classes, weight), gone))
+        opened[tag] += 1
         dropped += gone
-        anchors += tag == "a"
-        roots += tag in _ROOTS
     closed()
-    return out
+    return paths, out
 
 
-def main_text(page: str) -> str:
-    """The text of a page's content blocks, joined by one space."""
-    found = blocks(page)
-    if not found:
-        return ""
-    plain = [x for x in found if all(number > 0 for _, number in x[0])]
-    if any(tag in _ROOTS for path, _, _ in plain for tag, _ in path):
-        found = plain
-    sums: dict[tuple, list[float]] = {}
+def scores(paths: Paths, found: list[tuple[int, str, int]]) -> tuple[dict[int, float], dict[int, list[float]]]:
+    """Fused ratio of each path with text, and its sums of text, punctuation, link text and blocks."""
+    sums: dict[int, list[float]] = {}
     for path, text, links in found:
-        s = sums.setdefault(tuple(x[0] for x in path), [0, 0, 0, 0])
+        s = sums.setdefault(path, [0, 0, 0, 0])
         s[0] += len(text)
         s[1] += len(_PUNCTUATION.findall(text))
         s[2] += min(links, len(text))
         s[3] += 1
-    paths = list(sums)
+    order = list(sums)
     length = [s[0] / s[3] for s in sums.values()]
     marks = [(s[1] + 1) / s[3] for s in sums.values()]
-    prose = [1 - s[2] / s[0] for s in sums.values()]
+
+    def near(i: int, j: int) -> bool:
+        """Neighbours in page order that a reader takes for one text: of one container, or of one and the next one around it."""
+        if not 0 <= j < len(order):
+            return False
+        a, b = paths.container[order[i]], paths.container[order[j]]
+        return a == b or (paths.around[a] == b or paths.around[b] == a) and paths.weight[a] == paths.weight[b]
 
     def smooth(x: list[float]) -> list[float]:
-        a, b, c = SMOOTHING
-        return [a * x[max(k - 1, 0)] + b * x[k] + c * x[min(k + 1, len(x) - 1)] for k in range(len(x))]
+        return [(1 - 2 * SMOOTHING) * x[k] + SMOOTHING * (x[k - 1] if near(k, k - 1) else x[k]) + SMOOTHING * (x[k + 1] if near(k, k + 1) else x[k]) for k in range(len(x))]
+
+    fused = {p: a * b * max(1 - s[2] / s[0], 0.01) * paths.weight[p] for (p, s), a, b in zip(sums.items(), smooth(length), smooth(marks), strict=True)}
+    for k in range(len(order) - 2, -1, -1):
+        p, after = order[k], order[k + 1]
+        if paths.tag[p] in _HEADINGS and paths.weight[p] == paths.weight[after]:
+            inner = paths.container[after]
+            for _ in range(8):
+                if inner == paths.container[p]:
+                    fused[p] = max(fused[p], fused[after])
+                    break
+                inner = paths.around[inner]
+    return fused, sums
+
 
-    fused = dict(zip(paths, (a * b * c for a, b, c in zip(smooth(length), smooth(marks), prose, strict=True)), strict=True))
+def main_text(page: str) -> str:
+    """The text of a page's content nodes, joined by one space."""
+    paths, found = blocks(page)
+    if not found:
+        return ""
+    fused, sums = scores(paths, found)
     # a path's weight is its ratio times its share of blocks: many paragraphs outweigh one long notice
-    best = max(paths, key=lambda p: (fused[p] * sums[p][3], sums[p][0]))
+    best = max(fused, key=lambda p: (fused[p] * sums[p][3], sums[p][0]))
     least = THRESHOLD * fused[best]
-    on = [fused[tuple(x[0] for x in path)] >= least for path, _, _ in found]
-    if not _ROOTS.isdisjoint(best):
-        roots = [next((path[: k + 1] for k, x in enumerate(path) if x[0] in _ROOTS), None) for path, _, _ in found]
-        content = {root for root, x in zip(roots, on, strict=True) if x and root}
-        return " ".join(text for root, (_, text, _) in zip(roots, found, strict=True) if root in content)
-    at = [k for k, x in enumerate(on) if x]
-    first, *others = [found[k][0] for k in at]
-    depth = next((k for k, x in enumerate(first) if any(p[k : k + 1] != (x,) for p in others)), len(first))
-    root = first[:depth]
-    return " ".join(text for k, (path, text, links) in enumerate(found) if path[:depth] == root and (on[k] or at[0] < k < at[-1] or links * 2 <= len(text)))
+    total: dict[int, list[float]] = {}  # of a container: its own text, that on content paths, and link text
+    for p, s in sums.items():
+        t = total.setdefault(paths.container[p], [0, 0, 0])
+        t[0] += s[0]
+        t[1] += s[0] if fused[p] >= least else 0
+        t[2] += s[2]
+    content = {c for c, t in total.items() if 2 * t[1] >= t[0]}
+    articles = {paths.article[c] for c in content}
+    own = set(content)  # with text of their own
+    for c in sorted(set(range(len(paths.tag))) - own):  # a step's number is larger than those of the steps before it
+        if paths.container[c] != c:
+            continue
+        around = paths.around[c]
+        plain = paths.weight[c] == paths.weight[around] and 2 * total.get(c, (1, 0, 0))[2] < total.get(c, (1, 0, 0))[0]
+        if plain and (around in own or paths.article[c] >= 0 and paths.article[c] in articles):
+            own.add(c)
+            content.add(c)
+    return " ".join(text for p, text, _ in found if paths.container[p] in content)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import numpy as np
@@ -261,6 +262,72 @@ def test_pages_without_body_or_article():
     assert html.main_text(page) == f"{one} See this, which is a long name of a link. A source {two}"
 
 
+PROSE = "A long sentence of prose, with commas, stops and many words, is here to be read by all. "
+
+
+def test_attributes_weigh_and_ratios_decide():
+    story = (PROSE * 4).strip()
+    rest = f"<p>{story}</p>" * 4
+    whole = " ".join([story] * 4)
+    assert html.main_text(f'<body><div class="wrap has-sidebar">{rest}</div></body>') == whole
+    assert html.main_text(f'<body><article class="post share-buttons-enabled">{rest}</article><div class="share-buttons"><p>{PROSE}</p></div></body>') == whole
+    assert html.main_text(f"<body><main><div class=teaser><p>Read on.</p></div><div class=story>{rest}</div></main></body>") == whole
+    assert html.main_text(f"<body><main><div class=box><p>Read on</p></div><div class=story>{rest}</div></main></body>") == whole
+    assert html.main_text(f"<body><div class=page><div class=links><a href=x>One</a> <a href=y>Two</a></div><div class=text><h1>A title</h1><p class=byline>By me</p><div class=inner>{rest}</div></div></div></body>") == f"A title By me {whole}"
+    assert html.main_text(f"<body><article><h1>T</h1><div class=quote><p>Short.</p></div>{rest}<table><tr><td><a href=x>Cell</a><td>2</table><section class=end><p>End</p></section></article></body>") == f"T Short. {whole} Cell 2 End"
+    assert html.main_text(f"<body><article>{rest}<article><p>{PROSE}</p></article><ol class=comment-list><li>{PROSE}</ol><div role=complementary>{PROSE}</div></article></body>") == whole
+    assert html.main_text(f"<body class=ads><div class='sidebar'>{PROSE * 20}</div><div id=text><p>Short text.</p></div></body>") == "Short text."
+
+
+def test_path_scores_against_brute_force():
+    """On pages of known structure: sums, smoothing and fusion written out per path."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        page, rows = "", []
+        for _ in range(int(rng.integers(1, 9))):
+            box, tag = ["div class=a", "div class=b", "section"][rng.integers(3)], ["p", "pre", "h2"][rng.integers(3)]
+            inner = ""
+            for _ in range(int(rng.integers(1, 5))):
+                text = " ".join("word," if rng.random() < 0.3 else "word" for _ in range(int(rng.integers(1, 40))))
+                inner += f"<{tag}>{text}</{tag}>"
+                rows.append(((box, tag), text))
+            page += f"<{box}>{inner}</{box.split()[0]}>"
+        paths, found = html.blocks(f"<body>{page}</body>")
+        assert [x[1] for x in found] == [x[1] for x in rows]
+        order = list(dict.fromkeys(x[0] for x in rows))
+        length = [np.mean([len(t) for p, t in rows if p == q]) for q in order]
+        marks = [(sum(t.count(",") for p, t in rows if p == q) + 1) / sum(p == q for p, _ in rows) for q in order]
+
+        def smooth(x):
+            return [0.5 * x[k] + sum(0.25 * x[j if 0 <= j < len(x) and order[j][0] == order[k][0] else k] for j in (k - 1, k + 1)) for k in range(len(x))]
+
+        expected = [a * b for a, b in zip(smooth(length), smooth(marks), strict=True)]
+        for k in range(len(order) - 2, -1, -1):
+            if order[k][1] == "h2" and order[k][0] == order[k + 1][0]:
+                expected[k] = max(expected[k], expected[k + 1])
+        fused, sums = html.scores(paths, found)
+        assert list(fused.values()) == pytest.approx(expected)
+        assert sum(s[3] for s in sums.values()) == len(rows)
+
+
+@pytest.mark.parametrize("unit", ["<div>x ", "<b>", "</div></p></li>", "<ul><li><center>x", "<p>x<td>", "<div class=a{}>x", "<span><div>x"])
+def test_deep_and_long_pages_take_linear_time(unit):
+    times = []
+    for n in (25_000, 100_000):
+        page = "".join(unit.replace("{}", str(k)) for k in range(n)) if "{}" in unit else unit * n
+        start = time.process_time()
+        html.main_text(page)
+        times.append(time.process_time() - start)
+    assert times[1] < 12 * times[0] + 1
+
+
+def test_odd_pages(spark):
+    assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string, text string")).collect() == []
+    rows = [(1, "u", "<article><p>Same.</p></article>", "x")] * 2 + [(2, "u", "<p>" + "long text. " * 200_000, "y"), (3, "u", "<a href=x>Only</a> <a href=y>links</a>", "z"), (4, "u", "<!-- -->", "z")]
+    got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, 5), (1, 5), (2, 2_199_999), (3, 10), (4, 0)]
+
+
 def test_shortest_items_in_long_texts():
     """An item of five words is found in a long text with the stated recall."""
     items = [" ".join(f"i{k}w{j}" for j in range(5)) for k in range(1000)]
