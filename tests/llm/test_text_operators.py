@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarterdeck.llm import bpe, decontamination, html, language, licenses, packing, sharding, simple8b, words
@@ -328,36 +329,43 @@ def test_odd_pages(spark):
     assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(1, 5), (1, 5), (2, 2_199_999), (3, 10), (4, 0)]
 
 
-def test_shortest_items_in_long_texts():
+def test_shortest_items_in_long_texts(spark):
     """An item of five words is found in a long text with the stated recall."""
     items = [" ".join(f"i{k}w{j}" for j in range(5)) for k in range(1000)]
     texts = [" ".join([*(f"a{k}x{j}" for j in range(40)), item, *(f"b{k}x{j}" for j in range(40))]) for k, item in enumerate(items)]
-    block = decontamination.Items(list(range(1000)), items, decontamination.THRESHOLD, decontamination.RECALL)
-    found = {(x[0], x[1]) for _, _, out in block.matches(pa.array(texts, pa.string())) for x in out}
+    df, bench = docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contained(df, bench).collect()}
     assert found <= {(k, k) for k in range(1000)} and len(found) >= 995
 
 
-def test_containment_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_BYTES, 0])
+def test_containment_against_brute_force(spark, limit):
     rng = np.random.default_rng(8)
     vocabulary = [f"w{k}" for k in range(400)]
-    items = [" ".join(rng.choice(vocabulary, n)) for n in (6, 12, 20, 40, 90, 200)] + ["too short", "", None]
+    items = [" ".join(rng.choice(vocabulary, n)) for n in (6, 12, 20, 40, 90, 200)]
+    items += ["Мама мыла раму, а Папа читал Газету", "Ο ΑΝΔΡΑΣ και η ΓΥΝΑΙΚΑ είναι ΣΤΟ σπίτι", "too short", "", None, items[2]]
     texts = [" ".join(rng.choice(vocabulary, 300)) for _ in range(20)]
-    for k, item in enumerate(items[:6]):
-        words = item.split()
-        texts += [" ".join(rng.choice(vocabulary, 2000)) + " " + item.upper() + " " + texts[k], item, " ".join(words[: len(words) // 2]), " ".join(words[: max(5, int(len(words) * 0.95))]) + " x"]
+    for k, item in enumerate(items[:8]):
+        parts = item.split()
+        texts += [" ".join(rng.choice(vocabulary, 2000)) + " " + item.upper() + " " + texts[k], item, item.lower(), " ".join(parts[: len(parts) // 2]), " ".join(parts[: max(5, int(len(parts) * 0.95))]) + " x"]
     texts += [None, "", "one two"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
 
     def shingles(text):
-        words = WORD.findall((text or "").lower())
-        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+        found = WORD.findall("".join(c.lower() for c in text or ""))
+        return {tuple(found[i : i + 5]) for i in range(len(found) - 4)}
 
     expected = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if shingles(item) and len(shingles(item) & shingles(t)) >= 0.8 * len(shingles(item)) - 1e-9}
-    df = docs(spark, texts)
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contained(df, bench).collect()} == expected
-    clean = {r["doc_id"] for r in decontamination.decontaminated(df, bench).collect()}
-    assert clean == set(range(len(texts))) - {d for d, _ in expected}
-    assert decontamination.contained(df, bench.limit(0)).collect() == []
+    df = docs(spark, texts).withColumn("row_id", F.lit(1)).withColumn("item_id", F.lit("x"))
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contained(df, bench, broadcast_bytes=limit).collect()} == expected
+    kept = decontamination.decontaminated(df, bench, broadcast_bytes=limit)
+    assert kept.columns == df.columns
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in expected}
+    assert decontamination.contained(df, bench.limit(0), broadcast_bytes=limit).collect() == []
+    assert decontamination.decontaminated(df, bench.limit(0), broadcast_bytes=limit).count() == len(texts)
+    assert decontamination.contained(df.limit(0), bench, broadcast_bytes=limit).collect() == []
+    twice = decontamination.contained(df.unionByName(df.withColumn("doc_id", F.lit(None).cast("long"))), bench, broadcast_bytes=limit).collect()
+    assert sorted(r["item_id"] for r in twice if r["doc_id"] is None) == sorted(i for _, i in expected)
 
 
 def test_sharding_is_even_and_stable(spark):
