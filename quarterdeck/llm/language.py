@@ -1,22 +1,27 @@
 """Operator 4: language identification by prediction by partial matching.
 
-For each language there is a tree of byte contexts of up to ORDER bytes. A byte's code length is that of
-its frequency in the longest context known, or of that context's escape followed by its code length in
-the next shorter one, down to the uniform code. The statistics are frozen after training, so code lengths
-are a table of context and byte, and a whole text's exact code length under every language is one
-gather and sum. The language with the shortest code is predicted.
+For each language there is a tree of contexts of up to ORDER bytes. A byte's code length is that of its frequency in
+the longest context known in which it was seen, after the escapes of the longer contexts known; a byte seen in
+none costs 8 bits after all escapes. A context of n bytes and k different ones gives a byte seen m times
+m / (n + k) and the escape k / (n + k). The statistics are frozen after training, so a whole text's exact code
+length under every language is a sum over its bytes, whatever their order. The language with the shortest code is predicted.
+Bytes are coded as they are, and a text is preceded by ORDER blanks.
 
-Bytes are folded to SYMBOLS symbols: A-Z to a-z, digits to one, white space to one, and the bytes that
-the sample has most; the rest share one symbol.
+The trees are fitted on a bounded sample of the labelled rows that are not held out: texts drawn by their hash, about
+SAMPLE_ROWS rows and SAMPLE_BYTES bytes per language, each text once. Spark counts the contexts; a task per language
+makes its tree. Contexts seen fewer than LEAST_SEEN times are left out, and more of them until the
+model has at most MODEL_BYTES, which is checked before it is broadcast. All else covers all rows and whole texts.
 
-The trees are fitted on a bounded sample of the labelled rows: SAMPLE_ROWS per language, drawn by the hash
-of doc_id among rows that are not held out. Everything else covers all rows and whole texts.
+In a task all trees together are tables of (context, byte) with a column of code lengths per language, found by
+open addressing; a chunk of texts goes through the orders from the longest to the shortest.
 
 Defined results: null texts and texts without a letter are `und` with score 0; a null doc_id is neither held out
-nor learned from; rows with a null lang are predicted but not learned from; repeated rows get equal
-results; with no labelled row everything is `und`; ties go to the first language in order; other columns are ignored.
+nor learned from; rows with a null lang are predicted but not learned from; repeated rows get equal results; with no labelled
+row everything is `und`; ties go to the first language in order; no documents give no rows; a very long text is scored
+in parts, in bounded memory beside the text; other columns are ignored, or kept if whole_rows.
 """
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,173 +30,250 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterdeck.llm.storage import free_name
-from quarterdeck.llm.words import LOWER, chunks, text_buffer
+from quarterdeck.llm.groups import consecutive
+from quarterdeck.llm.storage import free_name, removed, saved
+from quarterdeck.llm.words import chunks, mixed, text_buffer
 
-ORDER = 3
-SYMBOLS = 64
-BITS = 6
-SAMPLE_ROWS = 2000
-LEAST_SEEN = 4
-#: Bytes of text that are scored at once.
-SCORED_BYTES = 1 << 18
+ORDER = 4
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
+LEAST_SEEN = 3
+MODEL_BYTES = 64 << 20
+#: Bytes of text that are scored at once, for one language.
+SCORED_BYTES = 1 << 19
 UNKNOWN = "und"
 
-_SPACE = np.full(256, False)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLANK = 0x20202020
+_DRAWN = 1 << 30
+#: One row per context (symbol -1, bits of its escape) or byte in a context.
+_TREE = "lang int, order int, context long, symbol int, seen long, bits double"
 
 
-def folded_bytes() -> np.ndarray:
-    out = LOWER.copy()
-    out[48:58] = 48
-    out[_SPACE] = 32
+def context_codes(data: np.ndarray, before: int = _BLANK) -> np.ndarray:
+    """The ORDER bytes before each byte of one text, the last of them lowest, and the byte: ORDER + 1 bytes in one integer."""
+    padded = np.r_[np.frombuffer(before.to_bytes(ORDER, "big"), np.uint8), data].astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
+    for k in range(ORDER + 1):
+        out = out << np.uint64(8) | padded[k : k + len(data)]
     return out
 
 
-def alphabet(counts: np.ndarray) -> np.ndarray:
-    """Symbol of each byte: 0 is white space, 1 whatever is rare, the rest by falling frequency."""
-    fold = folded_bytes()
-    totals = np.bincount(fold, weights=counts, minlength=256)
-    totals[32] = 0
-    order = [b for b in np.lexsort((np.arange(256), -totals)).tolist() if totals[b] > 0][: SYMBOLS - 2]
-    symbol = np.ones(256, np.uint8)
-    symbol[32] = 0
-    for k, b in enumerate(order):
-        symbol[b] = k + 2
-    return symbol[fold]
-
-
-def context_codes(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code of the ORDER symbols before each byte, symbol of the byte); a text is preceded by white space."""
-    own = symbol[data].astype(np.int32)
-    n, code = len(own), np.zeros(len(own), np.int32)
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    ends = offsets[1:][np.diff(offsets) > 0]
-    for back in range(1, ORDER + 1):
-        before = np.zeros(n, np.int32)
-        before[back:] = own[: n - back]
-        for k in range(back):
-            before[(starts + k)[starts + k < ends]] = 0
-        code |= before << (BITS * (back - 1))
-    return code, own
+def chunk_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """context_codes() of texts that lie one after the other, each preceded by blanks."""
+    out = context_codes(data)
+    for k in range(ORDER):  # the k-th byte of a text: ORDER - k blanks before it
+        at = (offsets[:-1] + k)[np.diff(offsets) > k]
+        kept = np.uint64((1 << (8 * (k + 1))) - 1)
+        out[at] = out[at] & kept | np.uint64((_BLANK << (8 * (k + 1))) & ((1 << (8 * (ORDER + 1))) - 1)) & ~kept
+    return out
+
+
+def tree(codes: np.ndarray, counts: np.ndarray, least: int = LEAST_SEEN) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(order, contexts, symbols, seen, bits) of one language, by order; symbol -1 is the escape. seen is the context's total."""
+    for order in range(ORDER + 1):
+        pair, back = np.unique(codes & np.uint64((1 << (8 * (order + 1))) - 1), return_inverse=True)
+        n = np.bincount(back, weights=counts)
+        context, first, kinds = np.unique(pair >> np.uint64(8), return_index=True, return_counts=True)
+        total = np.add.reduceat(n, first)
+        of = np.repeat(np.arange(len(context)), kinds)
+        bits = -np.log2(n / (total + kinds)[of])
+        kept = total >= (least if order else 1)
+        own = kept[of]
+        yield (
+            order,
+            np.r_[pair[own] >> np.uint64(8), context[kept]].astype(np.int64),
+            np.r_[(pair[own] & np.uint64(255)).astype(np.int32), np.full(int(kept.sum()), -1, np.int32)],
+            np.r_[total[of][own], total[kept]].astype(np.int64),
+            np.r_[bits[own], -np.log2(kinds / (total + kinds))[kept]],
+        )
+
+
+class Lookup:
+    """Numbers of known 64-bit keys by open addressing; keys are distinct and below 2**63."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(int(3 * len(keys)).bit_length(), 4)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot_key, self.slot_number = np.full(1 << bits, np.uint64(1) << np.uint64(63)), np.zeros(1 << bits, np.int32)
+        pending, self.probes = np.arange(len(keys)), 0
+        start = (mixed(keys) >> self.shift).astype(np.int64)
+        while len(pending):
+            slot = (start[pending] + self.probes) & self.mask
+            free = self.slot_key[slot] == np.uint64(1) << np.uint64(63)
+            _, first = np.unique(slot[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.slot_key[slot[won]], self.slot_number[slot[won]] = keys[pending[won]], pending[won]
+            pending = np.delete(pending, won)
+            self.probes += 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if unknown."""
+        slot = (mixed(keys) >> self.shift).astype(np.int64)
+        held = self.slot_key[slot]
+        out = np.where(held == keys, self.slot_number[slot], -1)
+        open_ = np.flatnonzero((held != keys) & (held != np.uint64(1) << np.uint64(63)))
+        for probe in range(1, self.probes):
+            if not len(open_):
+                break
+            at = (slot[open_] + probe) & self.mask
+            held = self.slot_key[at]
+            same = held == keys[open_]
+            out[open_[same]] = self.slot_number[at[same]]
+            open_ = open_[~same & (held != np.uint64(1) << np.uint64(63))]
+        return out
 
 
 class Trees:
-    """Frozen code lengths in bits: table[node, symbol, language], and the node of each context code."""
+    """Frozen code lengths of all languages: for each order the known (context, byte) codes and contexts, with a row of bits per language."""
+
+    def __init__(self, langs: list[str], orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.langs, self.orders, self.key = langs, orders, uuid.uuid4().hex
+        self._lookups: list[tuple[Lookup, Lookup]] = []
 
-    def __init__(self, langs: list[str], symbol: np.ndarray, node: np.ndarray, table: np.ndarray):
-        self.langs, self.symbol, self.node, self.table = langs, symbol, node, table
+    def __getstate__(self):
+        return {"langs": self.langs, "orders": self.orders, "key": self.key, "_lookups": []}
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for order in self.orders for x in order)
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length in bits of each text (rows) under each language (columns)."""
+        """Code length in bits of each text (rows) under each language (columns); only a lone text is scored in parts."""
+        step = max(SCORED_BYTES // len(self.langs), 4096)
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        if len(data) and len(self.langs):
-            code, own = context_codes(data, offsets, self.symbol)
-            bits = self.table[self.node[code] * SYMBOLS + own]
-            full = np.flatnonzero(np.diff(offsets) > 0)
-            out[full] = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.float64)
+        for first, last in chunks(offsets, step):
+            a, b = int(offsets[first]), int(offsets[last])
+            if last > first + 1:
+                bits = self._bits(chunk_codes(data[a:b], offsets[first : last + 1] - a))
+                full = np.flatnonzero(np.diff(offsets[first : last + 1]) > 0)
+                out[first + full] = np.add.reduceat(bits, offsets[first + full] - a, axis=0, dtype=np.float64)
+                continue
+            before = _BLANK
+            for k in range(a, b, step):
+                part = data[k : min(k + step, b)]
+                out[first] += self._bits(context_codes(part, before)).sum(axis=0, dtype=np.float64)
+                before = int.from_bytes((before.to_bytes(ORDER, "big") + part[-ORDER:].tobytes())[-ORDER:], "big")
+        return out
+
+    def _bits(self, codes: np.ndarray) -> np.ndarray:
+        if not self._lookups:
+            self._lookups = [(Lookup(pairs), Lookup(contexts)) for pairs, _, contexts, _ in self.orders]
+        out = np.zeros((len(codes), len(self.langs)), np.float32)
+        live = np.arange(len(codes))
+        for order in range(ORDER, -1, -1):
+            pair, context = self._lookups[order]
+            own = codes[live] & np.uint64((1 << (8 * (order + 1))) - 1)
+            number = pair.find(own)
+            hit = number >= 0
+            out[live[hit]] += self.orders[order][1][number[hit]]
+            live, own = live[~hit], own[~hit] >> np.uint64(8)
+            if not len(live):
+                return out
+            number = context.find(own)
+            hit = number >= 0
+            out[live[hit]] += self.orders[order][3][number[hit]]
+        out[live] += 8
         return out
 
 
-def trees(langs: list[str], symbol: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> Trees:
-    """codes: context code and symbol together, sorted; counts: rows by code, columns by language."""
-    size = 1 << (BITS * ORDER)
-    node = np.zeros(size, np.int32)
-    tables = [np.full((1, SYMBOLS, len(langs)), float(BITS))]
-    for order in range(ORDER + 1):
-        keep = (1 << (BITS * order)) - 1
-        context, own = (codes >> BITS) & keep, codes & (SYMBOLS - 1)
-        key, back = np.unique(context * SYMBOLS + own, return_inverse=True)
-        seen = np.zeros((len(key), len(langs)))
-        np.add.at(seen, back, counts)
-        contexts, of = np.unique(key // SYMBOLS, return_inverse=True)
-        total, kinds = np.zeros((len(contexts), len(langs))), np.zeros((len(contexts), len(langs)))
-        np.add.at(total, of, seen)
-        np.add.at(kinds, of, seen > 0)
-        useful = total.max(axis=1) >= (LEAST_SEEN if order else 1)
-        parent = node[contexts]  # codes of shorter contexts: the bytes before are zero there, and all share its node
-        base = np.concatenate(tables)[parent]
-        known = total > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(known, -np.log2(kinds / (total + kinds)), 0.0)
-            direct = -np.log2(seen / (total[of] + kinds[of]))
-        table = base + escape[:, None, :]
-        hit = seen > 0
-        row, lang = np.nonzero(hit)
-        table[of[row], (key % SYMBOLS)[row], lang] = direct[row, lang]
-        first = sum(len(x) for x in tables)
-        number = np.where(useful, first + np.cumsum(useful) - 1, parent)
-        tables.append(table[useful])
-        lookup = node[: keep + 1].copy()
-        lookup[contexts] = number
-        node = np.tile(lookup, size // (keep + 1)).astype(np.int32)
-    return Trees(langs, symbol, node, np.concatenate(tables).reshape(-1, len(langs)).astype(np.float32))
+def merged(langs: list[str], lang: np.ndarray, order: np.ndarray, context: np.ndarray, symbol: np.ndarray, bits: np.ndarray) -> Trees:
+    """One table per order of all languages' trees: what a language has not seen in a context costs its escape and the next shorter context's bits."""
+    orders, below = [], None
+    for k in range(ORDER + 1):
+        own = order == k
+        escape = own & (symbol < 0)
+        contexts, of = np.unique(context[escape], return_inverse=True)
+        escapes = np.zeros((len(contexts), len(langs)), np.float32)
+        escapes[of, lang[escape]] = bits[escape]
+        pair = own & (symbol >= 0)
+        codes, of = np.unique(context[pair] << 8 | symbol[pair], return_inverse=True)
+        table = np.full((len(codes), len(langs)), 8.0, np.float32)
+        if below is not None:  # a language that lacks the shorter pair has its bits there too: 8 and the escapes on the way
+            number = np.searchsorted(below[0], codes & ((1 << (8 * k)) - 1))
+            table = below[1][number].copy()
+        at = np.searchsorted(contexts, codes >> 8)
+        table += escapes[at]
+        table[of, lang[pair]] = bits[pair]
+        below = (codes, table)
+        orders.append((codes.astype(np.uint64), table, contexts.astype(np.uint64), escapes))
+    return Trees(langs, orders)
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from at most about sample_rows rows of each language that are not held out."""
+def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, model_bytes: int = MODEL_BYTES) -> Trees:
+    """Trees from about sample_rows texts and sample_bytes bytes of each language that are not held out."""
     spark = docs.sparkSession
-    labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    labelled = docs.where(F.col("doc_id").isNotNull() & lang.isNotNull() & text.isNotNull() & ~held_out(F.col("doc_id"))).select(lang.alias("lang"), text.alias("text"))
+    totals = {r["lang"]: (r["n"], r["bytes"]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()}
     langs = sorted(totals)
     if not langs:
-        return Trees([], np.zeros(256, np.uint8), np.zeros(1 << (BITS * ORDER), np.int32), np.zeros((SYMBOLS, 0), np.float32))
-    rates = spark.createDataFrame([(x, min(1.0, sample_rows / totals[x])) for x in langs], "lang string, rate double")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.join(F.broadcast(rates), "lang").where(share < F.col("rate")).select("lang", F.col("text").cast("string").alias("text"))
-    number = {x: k for k, x in enumerate(langs)}
-
-    def byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            total += np.bincount(data[offsets[0] : offsets[-1]], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
+        return Trees([], [])
+    rates = spark.createDataFrame([(k, x, int(_DRAWN * min(1.0, sample_rows / totals[x][0], sample_bytes / max(totals[x][1], 1)))) for k, x in enumerate(langs)], "number int, lang string, drawn long")
+    sample = labelled.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("text"), F.lit(_DRAWN)) < F.col("drawn")).select("number", "text").distinct()
 
-    counts = np.zeros(256)
-    for r in sample.mapInArrow(byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        counts[r["byte"]] = r["n"]
-    symbol = alphabet(counts)
-
-    def context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            of = np.array([number[x] for x in batch.column(0).to_pylist()])
+            of = batch.column(0).to_numpy()
             for first, last in chunks(offsets):
-                at = offsets[first : last + 1] - offsets[first]
-                code, own = context_codes(data[offsets[first] : offsets[last]], at, symbol)
-                lang = np.repeat(of[first:last], np.diff(at)).astype(np.int64)
-                key, n = np.unique(lang << (BITS * (ORDER + 1)) | code.astype(np.int64) << BITS | own, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-    seen = sample.mapInArrow(context_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    key, n = np.array([r["key"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.int64)
-    codes, back = np.unique(key & ((1 << (BITS * (ORDER + 1))) - 1), return_inverse=True)
-    by_lang = np.zeros((len(codes), len(langs)), np.int64)
-    by_lang[back, key >> (BITS * (ORDER + 1))] = n
-    return trees(langs, symbol, codes, by_lang)
+                for number in np.unique(of[first:last]).tolist():
+                    rows = np.flatnonzero(of[first:last] == number) + first
+                    code, n = np.unique(np.concatenate([context_codes(data[offsets[r] : offsets[r + 1]]) for r in rows.tolist()]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), number, np.int32)), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in consecutive(batches, 1):
+            number, codes, counts = (group.column(k).to_numpy() for k in range(3))
+            for order, context, symbol, seen, bits in tree(codes.view(np.uint64), counts):
+                columns = [np.full(len(context), number[0], np.int32), np.full(len(context), order, np.int32), context, symbol, seen, bits]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in _TREE.split(", ")])
+
+    counts = sample.mapInArrow(count, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    trees, path = saved(counts.repartition("lang").sortWithinPartitions("lang").select("lang", "code", "n").mapInArrow(grow, _TREE), "trees")
+    # a (context, byte) takes its code and a float of each language, at most
+    sizes = trees.groupBy(F.when(F.col("order") == 0, 1 << 62).otherwise(F.col("seen")).alias("seen")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("seen"))
+    room, least = model_bytes // (8 + 4 * len(langs)), LEAST_SEEN
+    for r in sizes.toLocalIterator():
+        room -= r["n"]
+        if room < 0 and r["seen"] < 1 << 62:
+            least = r["seen"] + 1
+            break
+    kept = trees.where((F.col("order") == 0) | (F.col("seen") >= least)).toArrow()
+    removed(spark, path)
+    # a context's shorter ones were seen at least as often, so they are kept with it
+    return merged(langs, *(kept.column(x).to_numpy() for x in ("lang", "order", "context", "symbol", "bits")))
+
+
+_trees: dict[str, Trees] = {}
+
+
+def _in_worker(model: Trees) -> Trees:
+    """The model with its lookups, made once in each Python worker."""
+    if model.key not in _trees:
+        _trees.clear()
+        _trees[model.key] = model
+    return _trees[model.key]
 
 
 def identified(docs: DataFrame, model: Trees, whole_rows: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the posterior of the language under equal priors); after all columns of docs if whole_rows
     (a name that docs has already gets an underscore)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.symbol, model.node, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     n_kept = len(docs.columns) if whole_rows else 1
     taken = docs.columns if whole_rows else ["doc_id"]
     out_name, text_name, letters_name, pred_name, score_name = (free_name(x, taken) for x in ("held_out", "_text", "_letters", "lang_pred", "score"))
     at_text = docs.columns.index("text") if whole_rows else n_kept + 2
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trees(*shared.value)
+        own = _in_worker(shared.value)
         names = np.array([*own.langs, UNKNOWN], object)
         for batch in batches:
             data, offsets = text_buffer(batch.column(at_text))
             letters = batch.column(n_kept + 1).to_numpy(zero_copy_only=False)
-            for first, last in chunks(offsets, SCORED_BYTES):
+            for first, last in chunks(offsets):
                 at = offsets[first : last + 1] - offsets[first]
                 known = letters[first:last] & (len(own.langs) > 0)
                 best, score = np.zeros(last - first, np.int64), np.zeros(last - first)

@@ -173,34 +173,56 @@ def test_language_learns_and_rejects(spark):
     assert language.identified(df, model, whole_rows=True).columns[:5] == df.columns
 
 
-def test_code_lengths_are_those_of_the_trees():
-    """Against prediction by partial matching on plain dictionaries."""
-    text = b"abracadabra abracadabra"
-    data, symbol = np.frombuffer(text, np.uint8), language.alphabet(np.bincount(np.frombuffer(text, np.uint8), minlength=256))
-    code, own = language.context_codes(data, np.array([0, len(data)]), symbol)
-    key, n = np.unique(code.astype(np.int64) << language.BITS | own, return_counts=True)
-    trees = language.trees(["x"], symbol, key, n[:, None])
-    padded = [0] * language.ORDER + own.tolist()
-    seen = {}
-    for i in range(len(own)):
-        for order in range(language.ORDER + 1):
-            context = tuple(padded[i + language.ORDER - order : i + language.ORDER])
-            seen.setdefault(context, {}).setdefault(padded[i + language.ORDER], 0)
-            seen[context][padded[i + language.ORDER]] += 1
-
-    def bits(context, s):
+def ppm(texts, text, least=language.LEAST_SEEN):
+    """Code length of a text by prediction by partial matching on plain dictionaries."""
+    seen, pad = {}, b" " * language.ORDER
+    for raw in texts:
+        for i in range(len(raw)):
+            for order in range(language.ORDER + 1):
+                context = (pad + raw)[i + language.ORDER - order : i + language.ORDER]
+                own = seen.setdefault(context, {})
+                own[raw[i]] = own.get(raw[i], 0) + 1
+
+    def bits(context, byte):
+        shorter = bits(context[1:], byte) if context else 8
         found = seen.get(context)
-        shorter = bits(context[1:], s) if context else np.log2(language.SYMBOLS)
-        if not found or context and sum(found.values()) < language.LEAST_SEEN:
+        if not found or context and sum(found.values()) < least:
             return shorter
         total, kinds = sum(found.values()), len(found)
-        return -np.log2(found[s] / (total + kinds)) if s in found else -np.log2(kinds / (total + kinds)) + shorter
-
-    test = np.frombuffer(b"cadabra zzz abr", np.uint8)
-    code, own = language.context_codes(test, np.array([0, len(test)]), symbol)
-    padded = [0] * language.ORDER + own.tolist()
-    expected = sum(bits(tuple(padded[i : i + language.ORDER]), padded[i + language.ORDER]) for i in range(len(own)))
-    assert trees.lengths(test, np.array([0, len(test)]))[0, 0] == pytest.approx(expected, rel=1e-5)
+        return -np.log2(found[byte] / (total + kinds)) if byte in found else -np.log2(kinds / (total + kinds)) + shorter
+
+    return sum(bits((pad + text)[i : i + language.ORDER], text[i]) for i in range(len(text)))
+
+
+def test_code_lengths_against_brute_force(spark):
+    learned = {"x": ["abracadabra abracadabra", "Ελλάδα και Ελλάδα", "cad abra\n\n cad"] * 2, "y": ["the cat sat on the mat, the rat sat", "日本語 日本語 日本", "Cat! Rat! Mat!"]}
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5][: sum(map(len, learned.values()))]
+    rows = [(t, lang) for lang, texts in learned.items() for t in texts]
+    model = language.fitted(docs(spark, [t for t, _ in rows], [x for _, x in rows], ids))
+    assert model.langs == ["x", "y"] and 0 < model.nbytes < language.MODEL_BYTES
+    texts = ["cadabra zzz abr", "the mat", "", "日本 Ελλάδα Cat", "q", "\x00\x01 ab"] + ["abra the cat " * 3000]
+    raw = [t.encode() for t in texts]
+    got = model.lengths(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    for k, lang in enumerate(model.langs):
+        own = [t.encode() for t in dict.fromkeys(learned[lang])]
+        assert got[:-1, k] == pytest.approx([ppm(own, x) for x in raw[:-1]], rel=1e-5)
+        assert got[-1, k] == pytest.approx(ppm(own, raw[-1][:13]) + 2999 * (ppm(own, raw[-1][:26]) - ppm(own, raw[-1][:13])), rel=1e-4)
+    small = language.fitted(docs(spark, [t for t, _ in rows], [x for _, x in rows], ids), model_bytes=2000)
+    assert small.nbytes < model.nbytes
+
+
+def test_held_out_accuracy(spark):
+    """Of every language of the small documents table, on rows that nothing is learned from."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.identified(table, language.fitted(table)).where("held_out").join(table.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL").collect()
+    for lang in {r["lang"] for r in rows}:
+        own = [r["lang_pred"] == lang for r in rows if r["lang"] == lang]
+        assert len(own) > 5 and np.mean(own) >= 0.9, (lang, len(own), np.mean(own))
+
+
+def test_language_of_nothing(spark):
+    none = docs(spark, [])
+    assert language.identified(none, language.fitted(none)).collect() == []
 
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
