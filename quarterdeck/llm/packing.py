@@ -8,7 +8,8 @@ the pattern is repeated as often as the counts allow. Each piece then takes the
 among the pieces of its length has in the plan, so no task ever gathers pieces.
 
 Defined results: a null or empty text is one piece that holds the end id alone; a null doc_id is kept;
-repeated rows are packed each on their own; no documents give no rows; other columns are ignored.
+repeated rows are packed each on their own; no documents give no rows; a very long text is encoded piece by piece and cut into
+windows as any other; pieces of one length that tie for a place take it in the order of the tasks; other columns are ignored.
 """
 
 import zlib

@@ -7,7 +7,9 @@ few other slots. The table's size is a parameter, never the data's, so it is bro
 is then one lookup of its hash modulo the size.
 
 Defined results: a null key hashes as the empty string; repeated keys get the same shard; no rows give no
-rows; a column of the input named slot or shard_id is dropped in favour of the operator's.
+rows; columns of the input are kept, and a new one whose name is taken gets an underscore; ties can't occur; a key of any
+length or type is hashed as text. A hot key's rows go to one shard by definition, but placed() doesn't move rows, and
+written() writes a shard's rows from wherever they are.
 """
 
 import hashlib
@@ -16,6 +18,8 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.llm.storage import free_name
+
 SLOTS = 8191
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
@@ -44,12 +48,22 @@ def lookup_table(shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> tuple[
 
 
 def placed(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """df with slot and shard_id."""
+    """df with slot and shard_id after its columns."""
     spark = df.sparkSession
-    table = spark.createDataFrame([(k, x) for k, x in enumerate(lookup_table(shards, slots))], "slot long, shard_id int")
-    digest = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15)
-    slot = F.conv(digest, 16, 10).cast("long") % slots
-    return df.drop("slot", "shard_id").withColumn("slot", slot).join(F.broadcast(table), "slot")
+    slot, shard, entry = (free_name(x, df.columns) for x in ("slot", "shard_id", "_entry"))
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(lookup_table(shards, slots))], f"{entry} long, {shard} int")
+    digest = F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")), 1, 15)
+    rows = df.select("*", (F.conv(digest, 16, 10).cast("long") % slots).alias(slot))
+    return rows.join(F.broadcast(table), F.col(slot) == F.col(entry)).drop(entry)
+
+
+def written(df: DataFrame, key: str, path: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, files: int = 1) -> None:
+    """Writes df as Parquet with a folder for each shard, of about `files` files."""
+    rows = placed(df, key, shards, slots)
+    slot, shard = rows.columns[-2:]
+    # dealt by shard and a number of the row, so that a hot shard is written by several tasks
+    dealt = rows.withColumn(free_name("_deal", rows.columns), F.pmod(F.monotonically_increasing_id(), F.lit(files)))
+    dealt.repartition(len(shards) * files, shard, dealt.columns[-1]).drop(dealt.columns[-1], slot).write.partitionBy(shard).parquet(path)
 
 
 def oracle(table: str, key: str) -> str:

@@ -6,14 +6,16 @@ selector; selector s packs COUNTS[s] ids of 60 // COUNTS[s] bits each, the first
 ESCAPE announces one id over 60 bits, stored whole in the next word. Ids are cut into blocks of
 BLOCK ids; a block starts on a word of its own and `block_words` has each block's first word, so blocks decode
 independently and all words of one selector decode at once. doc_ids and doc_lens give the documents,
-first_id the ids that the shard holds before the segment.
+first_id the ids that the shard holds before the segment. The number of shards follows from the texts' bytes.
 
 Defined results: a null or empty text is the end id alone; a null doc_id sorts first; documents of one doc_id
-are ordered by their text's hash; no documents give no rows; other columns are ignored.
+are ordered by their text's hash; no documents give no rows; a very long text is one segment, encoded piece by
+piece; texts are cut at the tokenizer's added tokens as the library does; other columns are ignored.
 """
 
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ WIDTHS = 60 // COUNTS
 ESCAPE = 15
 BLOCK = 1024
 SEGMENT = 1 << 18
+#: Text of one shard, about.
+SHARD_BYTES = 256 << 20
 END_ID = 2
 
 SEGMENTS = "shard int, segment int, first_id long, n_ids long, doc_ids array<long>, doc_lens array<long>, block_words array<int>, words binary"
@@ -127,7 +131,9 @@ def decoded(words: np.ndarray, block_words: np.ndarray, n: int, block: int = BLO
 def written(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, n_shards: int | None = None) -> None:
     """Writes the ids of all documents under path, in shards of ascending doc_id."""
     spark = docs.sparkSession
-    n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not n_shards:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.lit(0))).first()[0]
+        n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / SHARD_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment, first_id = TaskContext.get().partitionId(), 0, 0
@@ -163,8 +169,9 @@ def written(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_I
         if parts:
             yield closed()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n_shards, "doc_id")
-    ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # equal rows differ by their number, so that even one repeated document is dealt to several shards
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"digest": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(n_shards, "doc_id", "digest", "nth").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
     ordered.mapInArrow(encode, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 

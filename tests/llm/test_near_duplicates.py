@@ -140,3 +140,9 @@ def test_collisions_are_calibrated():
     directions = embeddings.directions(24)
     count = (np.abs((a - b) @ directions) <= embeddings.window(embeddings.THRESHOLD)).sum(1)
     assert (count >= embeddings.collisions_needed()).mean() > 0.995
+
+
+def test_vectors_with_labels_of_text(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [1.0, 2.01], "a"), (3, [1.0, 2.0], "b"), (4, [1.0, 2.0], None), (5, [1.0, 2.0], "a")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (0, 4), 5: (2, 1)}

@@ -41,3 +41,20 @@ def test_near_duplicates_go_by_row(spark, tmp_path):
     assert got.columns == ["doc_id", "text", "row_id"]
     got = [(r["doc_id"], r["text"].split()[0]) for r in got.collect()]
     assert sorted(got, key=str) == [(4, "d0"), (5, "c0"), (7, "a0"), (None, "b0")]
+
+
+def test_empty_tables_nulls_and_a_long_text(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{k % 977}x{k}" for k in range(60_000))
+    words = "the and of that this with number things is here in place".split()
+    rows = [(k, " ".join(f"{w}{k}" for w in words), "en", "s", 1) for k in range(20)] + [(None, long, None, None, None), (None, None, None, None, None), (50, long + " end", "en", "s", 1)]
+    for name, docs, items in (("a", [], []), ("b", rows, []), ("c", [], [(1, "an item of five words")]), ("d", [(1, None, "en", "s", 1), (2, "", None, "s", 1)], [(1, None)])):
+        folder = tmp_path / name
+        spark.createDataFrame(docs, columns).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        if name == "b":
+            assert {r["doc_id"] for r in got} == {*range(20), 50}
+            assert sum(r["length"] for r in got if r["doc_id"] == 50) == {r["doc_tokens"] for r in got if r["doc_id"] == 50}.pop()
+        else:
+            assert got == []

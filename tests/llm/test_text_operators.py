@@ -137,7 +137,7 @@ def test_simple8b_round_trip_with_escapes():
             assert (simple8b.decoded(words, at, n) == ids.astype(np.uint64)).all()
 
 
-def test_token_files(spark):
+def test_token_files(spark, tmp_path):
     texts = ODD + ["again and again"] * 7
     ids = list(range(len(texts)))[::-1]
     expected, start = {}, 0
@@ -148,6 +148,13 @@ def test_token_files(spark):
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in simple8b.round_trip(docs(spark, texts, ids=ids), PATH).collect()}
     assert got == expected
     assert simple8b.round_trip(docs(spark, []), PATH).collect() == []
+    rows = docs(spark, ["one text"] * 200 + [None, "other"], ids=[7] * 200 + [None, 7])
+    path = str(tmp_path / "ids")
+    simple8b.written(rows, path, PATH, n_shards=4)
+    got = simple8b.documents_of(spark, path).collect()
+    assert len(got) == 202 and sorted(r["start"] for r in got) == list(np.r_[0, np.cumsum([r["n_tokens"] for r in sorted(got, key=lambda r: r["start"])])[:-1]])
+    assert got[0]["start"] >= 0 and min(got, key=lambda r: r["start"])["doc_id"] is None
+    assert spark.read.parquet(path).select("shard").distinct().count() > 1
 
 
 def test_language_learns_and_rejects(spark):
@@ -390,14 +397,21 @@ def test_containment_against_brute_force(spark, limit):
     assert sorted(r["item_id"] for r in twice if r["doc_id"] is None) == sorted(i for _, i in expected)
 
 
-def test_sharding_is_even_and_stable(spark):
+def test_sharding_is_even_and_stable(spark, tmp_path):
     table = np.array(sharding.lookup_table())
     counts = np.bincount(table, minlength=len(sharding.SHARDS))
     assert counts.max() - counts.min() <= 1
     fewer = np.array(sharding.lookup_table(sharding.SHARDS[:-1]))
     kept = table != len(sharding.SHARDS) - 1
     assert (table[kept] != fewer[kept]).mean() < 0.25
-    rows = sharding.placed(spark.createDataFrame([(1, 9), (1, 9), (None, 9)], "doc_id long, slot int"), "doc_id").collect()
-    assert len(rows) == 3 and rows[0]["shard_id"] == table[rows[0]["slot"]]
+    df = spark.createDataFrame([(1, 9), (1, 9), (None, 9)], "doc_id long, slot int")
+    placed = sharding.placed(df, "doc_id")
+    assert placed.columns == ["doc_id", "slot", "slot_", "shard_id"]
+    rows = placed.collect()
+    assert len(rows) == 3 and all(r["slot"] == 9 and r["shard_id"] == table[r["slot_"]] for r in rows)
+    assert sharding.placed(df, "slot").count() == 3 and sharding.placed(df.limit(0), "doc_id").collect() == []
+    sharding.written(df, "doc_id", str(tmp_path / "shards"), files=2)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r["doc_id"] or 0, r["slot"], r["shard_id"]) for r in back.collect()) == sorted((r["doc_id"] or 0, r["slot"], r["shard_id"]) for r in rows)
     with pytest.raises(ValueError, match="prime"):
         sharding.lookup_table(slots=8190)
