@@ -1,7 +1,10 @@
 """The corpus pipeline: language identification, near-duplicate removal, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and
-reads again as the next stage's docs. All stages but the last return the columns of documents.
+reads again as the next stage's docs. All stages but the last return the columns of documents, whatever their names.
+
+Every stage decides row by row: repeated rows and rows that share a doc_id, a null one too, are documents of their own. Empty
+tables give empty tables. Very long texts are treated whole (the operators state the memory that they take).
 """
 
 import public_tokenizers
@@ -13,14 +16,16 @@ from quarterdeck.llm.storage import free_name, saved
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without any letter are rejected."""
+    """Documents in a language that can be told. Null texts and texts without any letter are rejected, and all of them if no
+    row has a lang to learn from; a null lang is predicted as any other; ties in length of code count as told."""
     rows = language.identified(docs, language.fitted(docs), whole_rows=True)
     predicted = rows.columns[-2]
     return rows.where(F.col(predicted) != language.UNKNOWN).select(docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that the Jaccard join links: that of the smallest doc_id; null is the largest."""
+    """One row of each group that the Jaccard join links: that of the smallest doc_id; null is the largest, and rows that tie
+    go by their place. Texts without a word link with nothing and stay."""
     row, other = free_name("row_id", docs.columns), free_name("gone_id", docs.columns)
     # written with the number, so that each row has the same one in the join and here
     docs, _ = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
@@ -29,12 +34,12 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. Null and empty texts, and all if the benchmark is empty, stay."""
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in training sequences."""
+    """Places of all documents' pieces in training sequences; a null or empty text is the end id alone."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
