@@ -10,8 +10,7 @@ by their cosine in double precision.
 A label of at most CELL vectors is one cell. A larger one is dealt to cells several times: each time by the
 shifted intervals of some projections, more of them the larger the label, so that cells stay about the same
 size and the work grows about as the number of vectors. The number of times follows from RECALL. A pair
-is counted only in the first cell that its vectors share. A cell that nothing splits (one big group of near
-copies) is compared in pairs of blocks.
+is counted only in the first cell that its vectors share. A cell that nothing splits is compared in pairs of blocks.
 
 Calibration. Two vectors at the threshold differ by `distance`; on a Gaussian direction their difference is
 normal with that deviation. That gives the chance of a collision, hence the count that a pair reaches with
@@ -19,7 +18,11 @@ probability COUNT_RECALL, and the chance to share an interval, hence the number
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and vectors with
 a null label link with nothing (n_links 0, component_id their own vec_id, kept); vectors of different length don't link;
-repeated rows link with each other; no vectors give no rows; other columns are ignored.
+repeated rows link with each other; a label that is no integer is told by a 64-bit hash of its text; vectors of any
+length do, one at a time being in memory whole; no vectors give no rows; other columns are ignored.
+
+A group of near copies that no interval splits costs its square, because n_links counts every link and
+most of its pairs lie near the threshold; its tiles are counted and verified densely, as matrix products.
 """
 
 import hashlib
@@ -31,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarterdeck.llm.components import components
 from quarterdeck.llm.groups import block_pairs, map_groups
@@ -41,6 +45,8 @@ THRESHOLD = 0.98
 PROJECTIONS = 32
 #: Chance that a pair at the threshold is dealt to one cell, and that it then collides often enough.
 RECALL, COUNT_RECALL = 0.999, 0.99999
+#: Labels up to this number (16 bytes each) are broadcast with their sizes.
+LABELS = 1 << 20
 #: Vectors of a cell, and of one block of a cell that is larger than twice that.
 CELL = 4096
 #: Width of the intervals that deal large labels, in deviations of a random unit vector's projection.
@@ -48,6 +54,7 @@ INTERVAL = 2.0
 #: Half-width of the slice and of the windows, in distances of two vectors at the threshold.
 REACH, WINDOW = 4, 2
 _FIRST = 8  # projections that are counted densely before pairs are listed
+_DENSE = 16  # a tile with more than one pair in so many goes on densely
 
 
 def distance(threshold: float) -> float:
@@ -97,7 +104,9 @@ def classed(vectors: DataFrame) -> DataFrame:
     """uid, vec_id, label, dim, two keys of the components (null if it can't link) and the components as doubles."""
     values = F.col("embedding").cast("array<double>")
     usable = F.col("label").isNotNull() & F.coalesce(F.size(values) > 0, F.lit(False)) & ~F.coalesce(F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) & F.coalesce(F.exists(values, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.when(usable, values).alias("x"))
+    whole = isinstance(vectors.schema["label"].dataType, T.IntegralType)
+    label = F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string")))
+    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), F.when(usable, values).alias("x"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,28 +150,67 @@ def cells(reps: DataFrame, threshold: float) -> DataFrame:
     return reps.select("uid", "label", "dim", "n", "x").mapInArrow(deal, "uid long, cell long, earlier binary")
 
 
-def colliding_pairs(projected: np.ndarray, side: np.ndarray, half: float, needed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (of the two sides, if there are two) with enough collisions, some at a time."""
+def colliding_pairs(projected: np.ndarray, side: np.ndarray, half: float, needed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Pairs of rows (of the two sides, if there are two) with enough collisions: lists of both rows, or, where
+    most of a tile collides, the tile's rows and columns and a mask of pairs."""
     order = np.argsort(projected[:, 0], kind="stable")
-    p, of = projected[order], side[order]
+    p, of = np.ascontiguousarray(projected[order].T), side[order]
     two = bool(side.any())
-    last = np.searchsorted(p[:, 0], p[:, 0] + half * REACH / WINDOW, "right")
-    for first in range(0, len(p), 256):
-        rows = slice(first, min(first + 256, len(p)))
+    last = np.searchsorted(p[0], p[0] + half * REACH / WINDOW, "right")
+    for first in range(0, len(order), 256):
+        rows = slice(first, min(first + 256, len(order)))
         end = int(last[rows].max())
+
+        def collisions(j: int, rows=rows, first=first, end=end) -> np.ndarray:
+            return np.abs(p[j, rows, None] - p[j, None, first:end]) <= half
+
         count = np.zeros((rows.stop - first, end - first), np.int8)
         for j in range(_FIRST):
-            count += np.abs(p[rows, j, None] - p[None, first:end, j]) <= half
+            count += collisions(j)
         enough = count >= needed - (PROJECTIONS - _FIRST)
         enough &= np.arange(first, end)[None, :] > np.arange(first, rows.stop)[:, None]
         if two:
             enough &= of[rows, None] != of[None, first:end]
+        if int(enough.sum()) > enough.size // _DENSE:
+            for j in range(_FIRST, PROJECTIONS):
+                count += collisions(j)
+            yield order[rows], order[first:end], enough & (count >= needed)
+            continue
         a, b = np.nonzero(enough)
         for k in range(0, len(a), 1 << 18):
             i, j = a[k : k + (1 << 18)] + first, b[k : k + (1 << 18)] + first
-            total = (np.abs(p[i] - p[j]) <= half).sum(axis=1)
+            total = (np.abs(p[:, i] - p[:, j]) <= half).sum(axis=0)
             keep = total >= needed
-            yield order[i[keep]], order[j[keep]]
+            yield order[i[keep]], order[j[keep]], None
+
+
+class Roots:
+    """The smallest row that links lead to, link by link."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.root
+        while True:  # the smaller root of each link, and of that root, until nothing changes
+            new = root.copy()
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            new = np.minimum(new, new[new])
+            if (new == root).all():
+                break
+            root = new
+        self.root = root
+
+    def join_tile(self, rows: np.ndarray, columns: np.ndarray, linked: np.ndarray) -> None:
+        """A row's links all get one root; in a dense tile few rows still bring a new one."""
+        for r in np.flatnonzero(linked.any(axis=1)).tolist():
+            found = self.root[columns[linked[r]]]
+            own = self.root[rows[r]]
+            if (found != own).any():
+                met = np.unique(np.r_[found, own])
+                self.root[np.isin(self.root, met)] = met[0]
 
 
 def _cell_links(threshold: float):
@@ -176,8 +224,20 @@ def _cell_links(threshold: float):
         x = units(group.column(7).to_pylist())
         earlier = group.column(6).to_pylist()
         before = np.frombuffer(b"".join(earlier), "<u8").reshape(len(uid), -1)
-        links, a, b = np.zeros(len(uid)), [], []
-        for i, j in colliding_pairs(x @ directions(x.shape[1]), side, half, needed):
+        links, roots, a, b = np.zeros(len(uid)), Roots(len(uid)), [], []
+        for i, j, near in colliding_pairs(x @ directions(x.shape[1]), side, half, needed):
+            if near is not None:
+                cosine = x[i] @ x[j].T
+                close = np.argwhere(near & (np.abs(cosine - threshold) < 1e-9))  # decided by the same sum as elsewhere
+                near &= cosine >= threshold
+                if len(close):
+                    near[close[:, 0], close[:, 1]] = np.einsum("ij,ij->i", x[i[close[:, 0]]], x[j[close[:, 1]]]) >= threshold
+                for t in range(before.shape[1]):
+                    near &= before[i, t][:, None] != before[j, t][None, :]
+                links[i] += near @ weight[j]
+                np.add.at(links, j, weight[i] @ near)
+                roots.join_tile(i, j, near)
+                continue
             near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
             i, j = i[near], j[near]
             fresh = ~(before[i] == before[j]).any(axis=1) if before.shape[1] else np.ones(len(i), bool)
@@ -186,21 +246,12 @@ def _cell_links(threshold: float):
             np.add.at(links, j, weight[i])
             a.append(i)
             b.append(j)
-        if not sum(map(len, a)):
-            return None
-        a, b = np.concatenate(a), np.concatenate(b)
-        root = np.arange(len(uid))
-        while True:  # the smaller root of each link, and of that root, until nothing changes
-            new = root.copy()
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = np.minimum(new, new[new])
-            if (new == root).all():
-                break
-            root = new
+        if a:
+            roots.join(np.concatenate(a), np.concatenate(b))
         own = np.flatnonzero(links)
-        return {"uid": uid[own], "links": links[own], "root": uid[root[own]]}
+        if not len(own):
+            return None
+        return {"uid": uid[own], "links": links[own], "root": uid[roots.root[own]]}
 
     return each
 
@@ -215,13 +266,16 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reps = full.select("uid", "label", "dim", "x").join(classes.select("uid", "weight"), "uid")
     reps, reps_path = saved(reps, "representatives")
     sizes = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes, sizes_path = saved(sizes, "label-sizes")
+    if sizes.count() <= LABELS:  # a label may hold most rows: they then stay where they are
+        sizes = F.broadcast(sizes)
     dealt, dealt_path = saved(cells(reps.join(sizes, "label"), threshold), "cells")
     counts = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.when(F.col("n") <= 2 * CELL, F.lit(1)).otherwise(F.ceil(F.col("n") / CELL)).cast("long").alias("blocks")
     found = dealt.join(counts.select("cell", blocks), "cell").join(reps.select("uid", "weight", "x"), "uid")
     pairs = block_pairs(found, "blocks", "uid").select("cell", "i", "j", "uid", "side", "weight", "earlier", "x")
     links, links_path = saved(map_groups(pairs, ["cell", "i", "j"], _cell_links(threshold), "uid long, links double, root long"), "links")
-    removed(spark, reps_path, dealt_path)
+    removed(spark, reps_path, dealt_path, sizes_path)
     groups = components(links.where("uid <> root").select(F.col("uid").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("uid").agg(F.sum("links").cast("long").alias("links"))
     by_class = classes.join(counted, "uid", "left").join(groups.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
