@@ -19,7 +19,9 @@ per class and hung on local roots, and connected components of those give the gr
 
 Defined results: a text of one to four words is one shingle of all its words; a null, empty or wordless text
 links with nothing and stays; a null doc_id is kept as null and is the smallest of a group only if all are;
-repeated rows are copies of each other; no documents give no rows; other columns are ignored.
+repeated rows are copies of each other; words are folded by Unicode's lower case, so texts that differ in case or punctuation
+alone are one class; shingles are 64-bit hashes; no documents give no rows; a very long text is one set, in memory of about
+40 bytes for each of its own; other columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -44,6 +46,10 @@ RECALL = 0.99
 CANDIDATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / WIDTH) ** 0.5
 #: Estimated similarity to a pivot at which a set leaves a large bucket, and at which it gets an edge.
 LEAVES, NEAR = 0.93, 0.45
+#: Large buckets up to this number (16 bytes each) are broadcast with their sizes.
+HOT_BUCKETS = 1 << 20
+#: So are their pivots with signatures (280 bytes each).
+HOT_PIVOTS = 1 << 17
 #: Sets and shingles of one block of a cluster.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 
@@ -155,15 +161,24 @@ def candidate_edges(reps: DataFrame, threshold: float, candidate: float, recall:
     for depth in range(1, DEPTH + 1):
         rows, path = saved(frontier, "paths")
         paths.append(path)
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows, path = saved(rows.join(sizes, "bucket").join(reps.select("uid", "tokens"), "uid"), "buckets")
+        sizes, path = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        paths.append(path)
+        hot = sizes.where(F.col("n") > BUCKET)
+        if hot.count() <= HOT_BUCKETS:  # their rows then stay where they are; beyond, Spark splits the join's large keys
+            hot = F.broadcast(hot)
+        cold = rows.join(hot, "bucket", "left_anti").join(sizes.where(F.col("n") <= BUCKET), "bucket")
+        rows = rows.join(hot, "bucket").unionByName(cold)
+        rows, path = saved(rows.join(reps.select("uid", "tokens"), "uid"), "buckets")
         paths.append(path)
         large = rows.where(F.col("n") > BUCKET)
         at_end = depth == DEPTH
         whole = rows.where(F.col("n") <= BUCKET).withColumn("blocks", F.lit(1).cast("long"))
         done = large.isEmpty()
         if not done:
-            pivots = large.groupBy("bucket").agg(F.min("uid").alias("pivot")).join(reps.select(F.col("uid").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot")
+            pivots, path = saved(large.groupBy("bucket").agg(F.min(F.struct("uid", "tokens")).alias("p")).select("bucket", F.col("p.uid").alias("pivot"), F.col("p.tokens").alias("pivot_tokens")), "pivot-sets")
+            paths.append(path)
+            if pivots.count() <= HOT_PIVOTS:
+                pivots = F.broadcast(pivots)
             held = large.join(pivots, "bucket")
             held, path = saved(against_pivot(held), "pivots")
             paths.append(path)
