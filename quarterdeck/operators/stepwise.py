@@ -4,6 +4,9 @@ Within a quarter a macro value is constant, so every moment of a composite z_i *
 times products of the m. One aggregation over the entity factors alone (not over their composites) gives all
 that the selection needs; a window's moments are the sum of its quarters'. The solve for each target
 quarter is small and of a size that does not depend on the number of entities.
+
+A composite that is null takes the window's median of that composite: sums over the null rows, which are additive
+too, let the moments be corrected for any fill, and only the medians (fills()) need another pass, where there are nulls.
 """
 
 from dataclasses import dataclass
@@ -13,8 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.functions.stats import average_rank, correlation
+
 LOG = "quarter_idx int, window_start int, window_end int, step int, selected_feature string, coefficient double, train_r2 double, selection_abs_corr double, sse_improvement double"
-MODEL = "quarter_idx int, feature string, place int, stock_factor string, macro_factor string, mean double, std double, beta double, intercept double"
+MODEL = "quarter_idx int, feature string, place int, stock_factor string, macro_factor string, mean double, std double, fill double, beta double, intercept double"
+STEPS = f"{MODEL}, step int"
 
 
 @dataclass(frozen=True)
@@ -32,23 +38,48 @@ def catalogue(factors: list[str], macro: list[str]) -> list[tuple[str, str, str]
 
 
 def moments(panel: DataFrame, factors: list[str], macro: list[str], label: str) -> DataFrame:
-    """One row per quarter: n, sums of y, y * y, z, z * y and z * z' over labelled rows, and the quarter's macro values."""
+    """One row per quarter: n, sums of y, y * y, z, z * y and z * z' over labelled rows, the same of null marks u
+    (u, u * y, u * z', u * u'), and the quarter's macro values."""
     rows = panel.where(F.col(label).isNotNull())
-    z, y = [F.col(f) for f in factors], F.col(label)
-    sums = [F.sum(x) for x in z], [F.sum(x * y) for x in z], [F.sum(z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))]
+    y = F.col(label)
+    z, u = [F.coalesce(F.col(f), F.lit(0.0)) for f in factors], [F.col(f).isNull().cast("double") for f in factors]
+    p = range(len(factors))
+    upper = [(i, j) for i in p for j in range(i, len(factors))]
+
+    def sums(values) -> F.Column:
+        return F.array(*(F.sum(x) for x in values))
+
     return rows.groupBy("quarter_idx").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
-        F.array(*sums[0]).alias("sz"), F.array(*sums[1]).alias("szy"), F.array(*sums[2]).alias("szz"), F.array(*(F.first(m) for m in macro)).alias("m"),
+        sums(z).alias("sz"), sums(x * y for x in z).alias("szy"), sums(z[i] * z[j] for i, j in upper).alias("szz"),
+        sums(u).alias("su"), sums(x * y for x in u).alias("suy"), sums(u[i] * z[j] for i in p for j in p).alias("suz"), sums(u[i] * u[j] for i, j in upper).alias("suu"),
+        F.array(*(F.first(m) for m in macro)).alias("m"),
     )
 
 
-def expanded(row: pd.Series, p: int) -> tuple[float, float, float, np.ndarray, np.ndarray, np.ndarray]:
-    """A quarter's moments of all composites: n, sy, syy, sums, sums with y, and the Gram matrix."""
-    m = np.asarray(row["m"], float)
+def fills(panel: DataFrame, targets: DataFrame, factors: list[str], macro: list[str], label: str, window: int) -> DataFrame:
+    """(target, fill): the median of each composite over the labelled rows of the target's window; 0 if all are null."""
+    rows = _windows(panel.where(F.col(label).isNotNull()), targets, window)
+    medians = (F.coalesce(F.median(F.col(f) * F.col(m)), F.lit(0.0)) for f in factors for m in macro)
+    return rows.groupBy("target").agg(F.array(*medians).alias("fill"))
+
+
+def _square(row: pd.Series, name: str, p: int) -> np.ndarray:
     upper = np.zeros((p, p))
-    upper[np.triu_indices(p)] = row["szz"]
-    full = upper + np.triu(upper, 1).T
-    return row["n"], row["sy"], row["syy"], np.kron(row["sz"], m), np.kron(row["szy"], m), np.kron(full, np.outer(m, m))
+    upper[np.triu_indices(p)] = row[name]
+    return upper + np.triu(upper, 1).T
+
+
+def expanded(row: pd.Series, p: int, fill: np.ndarray) -> tuple[float, float, float, np.ndarray, np.ndarray, np.ndarray]:
+    """A quarter's moments of all composites, filled where null: n, sy, syy, sums, sums with y, and the Gram matrix."""
+    m = np.asarray(row["m"], float)
+    one = np.ones(len(m))
+    sc, scy, scc = np.kron(row["sz"], m), np.kron(row["szy"], m), np.kron(_square(row, "szz", p), np.outer(m, m))
+    if np.any(row["su"]):
+        cross = fill[:, None] * np.kron(np.reshape(row["suz"], (p, p)), np.outer(one, m))
+        sc, scy = sc + fill * np.kron(row["su"], one), scy + fill * np.kron(row["suy"], one)
+        scc = scc + cross + cross.T + np.outer(fill, fill) * np.kron(_square(row, "suu", p), np.outer(one, one))
+    return row["n"], row["sy"], row["syy"], sc, scy, scc
 
 
 def select(n: float, sy: float, syy: float, sc: np.ndarray, scy: np.ndarray, scc: np.ndarray, knobs: Knobs) -> tuple[list[dict], list[int], np.ndarray, np.ndarray, np.ndarray, float]:
@@ -79,7 +110,7 @@ def select(n: float, sy: float, syy: float, sc: np.ndarray, scy: np.ndarray, scc
         if picks and gain < knobs.min_improvement:
             break
         picks, beta, sse = tried, new, left
-        log.append({"step": len(picks), "pick": best, "coefficient": float(new[-1]), "train_r2": float(1 - left / total) if total > 1e-12 else None, "selection_abs_corr": float(corr[best]), "sse_improvement": float(gain)})
+        log.append({"step": len(picks), "pick": best, "coefficient": float(new[-1]), "train_r2": float(1 - left / total) if total > 1e-12 else None, "selection_abs_corr": float(corr[best]), "sse_improvement": float(gain), "picks": picks, "beta": beta})
     return log, picks, beta, mean, std, my
 
 
@@ -88,37 +119,83 @@ def _windows(quarterly: DataFrame, targets: DataFrame, window: int) -> DataFrame
     return F.broadcast(targets.withColumnRenamed("quarter_idx", "target")).join(quarterly, F.col("quarter_idx").between(F.col("target") - window, F.col("target") - 1))
 
 
-def solved(quarterly: DataFrame, targets: DataFrame, factors: list[str], macro: list[str], knobs: Knobs, what: str) -> DataFrame:
-    """The selection log (what = "log") or the fitted models (what = "model") of all target quarters."""
-    names, p = catalogue(factors, macro), len(factors)
+def solved(quarterly: DataFrame, targets: DataFrame, factors: list[str], macro: list[str], knobs: Knobs, what: str, filled: DataFrame | None = None) -> DataFrame:
+    """The selection log (what = "log"), the fitted models (what = "model") or the fits of every step (what = "steps") of all target quarters.
+
+    filled is fills(), needed where factors are null."""
+    names, p, schema = catalogue(factors, macro), len(factors), {"log": LOG, "model": MODEL, "steps": STEPS}[what]
+
+    given = filled is not None
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         target = int(rows["target"].iloc[0])
-        parts = [expanded(r, p) for _, r in rows.sort_values("quarter_idx").iterrows()]
+        if not given and any(np.any(x) for x in rows["su"]):
+            raise ValueError("factors are null: fills() of the windows are needed")
+        fill = np.asarray(rows["fill"].iloc[0], float) if given else np.zeros(len(names))
+        parts = [expanded(r, p, fill) for _, r in rows.sort_values("quarter_idx").iterrows()]
         n, sy, syy, sc, scy, scc = (sum(x) for x in zip(*parts, strict=True))
-        columns = [x.split()[0] for x in (LOG if what == "log" else MODEL).split(", ")]
+        columns = [x.split()[0] for x in schema.split(", ")]
         if n < knobs.least_rows:
             return pd.DataFrame(columns=columns)
         log, picks, beta, mean, std, my = select(n, sy, syy, sc, scy, scc, knobs)
+
+        def terms(picks: list[int], beta: np.ndarray, step: int) -> list[dict]:
+            return [{"quarter_idx": target, "feature": names[k][0], "place": i + 1, "stock_factor": names[k][1], "macro_factor": names[k][2], "mean": mean[k], "std": std[k], "fill": fill[k], "beta": b, "intercept": my, "step": step} for i, (k, b) in enumerate(zip(picks, beta, strict=True))]
+
         if what == "log":
             out = [{"quarter_idx": target, "window_start": target - knobs.window, "window_end": target - 1, "selected_feature": names[r["pick"]][0], **r} for r in log]
+        elif what == "steps":
+            out = [t for r in log for t in terms(r["picks"], r["beta"], r["step"])]
         else:
-            out = [{"quarter_idx": target, "feature": names[k][0], "place": i + 1, "stock_factor": names[k][1], "macro_factor": names[k][2], "mean": mean[k], "std": std[k], "beta": b, "intercept": my} for i, (k, b) in enumerate(zip(picks, beta, strict=True))]
-            out = out or [{"quarter_idx": target, "feature": None, "place": 0, "stock_factor": None, "macro_factor": None, "mean": 0.0, "std": 1.0, "beta": 0.0, "intercept": my}]
+            out = terms(picks, beta, len(picks))
+            out = out or [{"quarter_idx": target, "feature": None, "place": 0, "stock_factor": None, "macro_factor": None, "mean": 0.0, "std": 1.0, "fill": 0.0, "beta": 0.0, "intercept": my}]
         return pd.DataFrame(out, columns=columns)
 
-    return _windows(quarterly, targets, knobs.window).groupBy("target").applyInPandas(solve, LOG if what == "log" else MODEL)
+    rows = _windows(quarterly, targets, knobs.window)
+    if given:
+        rows = rows.join(F.broadcast(filled), "target")  # a row for each target
+    return rows.groupBy("target").applyInPandas(solve, schema)
 
 
-def predicted(panel: DataFrame, models: DataFrame, factors: list[str], macro: list[str]) -> DataFrame:
-    """panel rows of the target quarters with prediction, selected features in order and their number."""
+_TERM = ("place", "feature", "stock_factor", "macro_factor", "mean", "std", "fill", "beta")
+
+
+def _values(factors: list[str], macro: list[str]):
+    """(columns of factor and macro maps by name, function of a term's value over them)."""
     z = F.create_map(*(x for f in factors for x in (F.lit(f), F.col(f))))
     m = F.create_map(*(x for c in macro for x in (F.lit(c), F.col(c))))
-    one = models.groupBy("quarter_idx").agg(F.array_sort(F.collect_list(F.struct("place", "feature", "stock_factor", "macro_factor", "mean", "std", "beta"))).alias("terms"), F.first("intercept").alias("intercept"))
-    rows = panel.join(F.broadcast(one), "quarter_idx").withColumns({"_z": z, "_m": m})  # a row per target quarter
 
     def term(t):
-        return F.coalesce(t["beta"] * (F.element_at("_z", t["stock_factor"]) * F.element_at("_m", t["macro_factor"]) - t["mean"]) / t["std"], F.lit(0.0))
+        value = F.coalesce(F.element_at("_z", t["stock_factor"]) * F.element_at("_m", t["macro_factor"]), t["fill"])
+        return F.coalesce(t["beta"] * (value - t["mean"]) / t["std"], F.lit(0.0))
+
+    return {"_z": z, "_m": m}, term
+
+
+def train_rank_ics(panel: DataFrame, steps: DataFrame, factors: list[str], macro: list[str], label: str, window: int) -> DataFrame:
+    """(quarter_idx, step, train_rankic): rank correlation of each step's fit with the label over the window's labelled rows."""
+    one = steps.groupBy("quarter_idx", "step").agg(F.collect_list(F.struct(*_TERM)).alias("terms"), F.first("intercept").alias("intercept"))
+    one = one.groupBy("quarter_idx").agg(F.collect_list(F.struct("step", "terms", "intercept")).alias("fits"))
+    maps, term = _values(factors, macro)
+    rows = panel.where(F.col(label).isNotNull()).select("quarter_idx", "entity_id", F.col(label).alias("_label"), *factors, *macro)
+    rows = F.broadcast(one.withColumnRenamed("quarter_idx", "target")).join(rows, F.col("quarter_idx").between(F.col("target") - window, F.col("target") - 1)).withColumns(maps)
+    fitted = F.transform("fits", lambda f: F.struct(f["step"].alias("step"), F.aggregate(f["terms"], f["intercept"], lambda a, t: a + term(t)).alias("fit")))
+    rows = rows.withColumn("_y", average_rank("_label", "target")).select("target", "_y", F.explode(fitted).alias("f")).select("target", "_y", "f.step", "f.fit")
+    rows = rows.withColumn("_p", average_rank("fit", "target", "step"))
+    return rows.groupBy("target", "step").agg(correlation(F.col("_p"), F.col("_y"), least=3).alias("train_rankic")).withColumnRenamed("target", "quarter_idx")
+
+
+def log_with_rank_ics(log: DataFrame, train: DataFrame, quarterly: DataFrame) -> DataFrame:
+    """The log with train_rankic, and valid_rankic_if_available of the validation quarters; quarterly has (quarter_idx, split, rankic)."""
+    valid = quarterly.where("split = 'valid'").select("quarter_idx", F.col("rankic").alias("valid_rankic_if_available"))
+    return log.join(train, ["quarter_idx", "step"], "left").join(valid, "quarter_idx", "left")
+
+
+def predicted(panel: DataFrame, models: DataFrame, factors: list[str], macro: list[str]) -> DataFrame:
+    """panel rows of the target quarters with prediction, selected features in order and their number."""
+    maps, term = _values(factors, macro)
+    one = models.groupBy("quarter_idx").agg(F.array_sort(F.collect_list(F.struct(*_TERM))).alias("terms"), F.first("intercept").alias("intercept"))
+    rows = panel.join(F.broadcast(one), "quarter_idx").withColumns(maps)  # a row per target quarter
 
     names = F.filter(F.transform("terms", lambda t: t["feature"]), lambda x: x.isNotNull())
     rows = rows.withColumns({"prediction": F.col("intercept") + F.aggregate("terms", F.lit(0.0), lambda a, t: a + term(t)), "selected_features": F.array_join(names, ";"), "selected_feature_count": F.size(names)})

@@ -102,9 +102,21 @@ def _selection(spark: SparkSession, d: str, what: str, knobs: stepwise.Knobs = s
     return rows, stepwise.solved(stepwise.moments(rows, z, m, LABEL), targets, z, m, knobs, what)
 
 
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return _selection(spark, d, "log")[1]
+
+
 @query()
 def stepwise_log(spark: SparkSession, d: str) -> DataFrame:
-    return _selection(spark, d, "log")[1]
+    """Every step of every window, with the rank correlation of its fit and that of the validation quarter's predictions."""
+    rows, steps = _selection(spark, d, "steps")
+    z, m, knobs = [f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO], stepwise.Knobs()
+    targets = spark.range(1 + knobs.window, 28).select(F.col("id").cast("int").alias("quarter_idx"))
+    sums = stepwise.moments(rows, z, m, LABEL).persist()
+    predicted = stepwise.predicted(rows, stepwise.solved(sums, targets, z, m, knobs, "model"), z, m)
+    quarterly = evaluation.rank_ic(predicted, "prediction", LABEL).join(F.broadcast(predicted.select("quarter_idx", "split").distinct()), "quarter_idx")
+    train = stepwise.train_rank_ics(rows, steps, z, m, LABEL, knobs.window)
+    return stepwise.log_with_rank_ics(stepwise.solved(sums, targets, z, m, knobs, "log"), train, quarterly)
 
 
 @query()
@@ -117,7 +129,7 @@ def stepwise_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def feature_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return stepwise.frequency(stepwise_log(spark, d))
+    return stepwise.frequency(_log(spark, d))
 
 
 @query()
@@ -247,7 +259,7 @@ def _picks(spark: SparkSession, log: DataFrame) -> DataFrame:
 @query()
 def selected_composites(spark: SparkSession, d: str) -> DataFrame:
     """The composites of each quarter's net flows, with the coefficient whose sign is their direction."""
-    return _picks(spark, stepwise_log(spark, d).persist())
+    return _picks(spark, _log(spark, d).persist())
 
 
 def _composite_flows(spark: SparkSession, d: str) -> DataFrame:
@@ -388,7 +400,7 @@ def metric_profile(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def coef_heatmap(spark: SparkSession, d: str) -> DataFrame:
     """Mean coefficient by feature and quarter, 0 where a feature was not selected."""
-    return stepwise_log(spark, d).groupBy("selected_feature").pivot("quarter_idx", list(range(13, 28))).agg(F.avg("coefficient")).fillna(0.0)
+    return _log(spark, d).groupBy("selected_feature").pivot("quarter_idx", list(range(13, 28))).agg(F.avg("coefficient")).fillna(0.0)
 
 
 @query()

@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from quarterdeck.operators import stepwise
+from quarterdeck.operators import evaluation, stepwise
 
 Z, M = ["a", "b", "c", "d"], ["m1", "m2", "m3"]
 
@@ -61,6 +62,46 @@ def test_moments_give_the_same_selection_as_rows(spark):
             assert got["selected_feature_count"] == len(picks)
 
 
+def test_null_factors_take_the_window_s_median(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for q in range(1, 10):
+        macro = rng.standard_normal(3)
+        for e in range(40):
+            z = rng.standard_normal(4)
+            y = 2 * z[0] * macro[1] - z[2] * macro[0] + z[1] * macro[2] + rng.standard_normal()
+            z = [None if (k == 1 and rng.random() < 0.5) or rng.random() < 0.05 else float(x) for k, x in enumerate(z)]
+            rows.append((q, e, "valid", *z, *map(float, macro), float(y) if (q + e) % 9 else None))
+    df = spark.createDataFrame(rows, "quarter_idx int, entity_id int, split string, a double, b double, c double, d double, m1 double, m2 double, m3 double, y double")
+    knobs, targets = stepwise.Knobs(window=8, max_features=4), spark.createDataFrame([(9,)], "quarter_idx int")
+    sums, filled = stepwise.moments(df, Z, M, "y"), stepwise.fills(df, targets, Z, M, "y", 8)
+    with pytest.raises(Exception, match="fills"):
+        stepwise.solved(sums, targets, Z, M, knobs, "log").collect()
+    log = stepwise.solved(sums, targets, Z, M, knobs, "log", filled)
+    steps, models = stepwise.solved(sums, targets, Z, M, knobs, "steps", filled), stepwise.solved(sums, targets, Z, M, knobs, "model", filled)
+    value = np.array([[np.nan if x is None else x for x in r[3:]] for r in rows])
+    quarter, y = np.array([r[0] for r in rows]), value[:, 7]
+    c = (value[:, :4, None] * value[:, None, 4:7]).reshape(len(rows), -1)
+    train = (quarter < 9) & np.isfinite(y)
+    c = np.where(np.isnan(c), np.nanmedian(c[train], axis=0), c)
+    found, design, beta, mean, std, picks = direct(c[train], y[train], knobs)
+    names = [x for x, _, _ in stepwise.catalogue(Z, M)]
+    predicted = stepwise.predicted(df, models, Z, M)
+    expected = np.c_[np.ones(40), ((c[quarter == 9] - mean) / std)[:, picks]] @ beta
+    got = {r["entity_id"]: r["prediction"] for r in predicted.collect()}
+    assert [got[e] for e in range(40)] == pytest.approx(expected, abs=1e-9)
+    own = evaluation.rank_ic(predicted, "prediction", "y").crossJoin(spark.createDataFrame([("valid",)], "split string"))
+    out = stepwise.log_with_rank_ics(log, stepwise.train_rank_ics(df, steps, Z, M, "y", 8), own).orderBy("step").collect()
+    assert [(r["selected_feature"], r["coefficient"]) for r in out] == [(names[k], pytest.approx(b, abs=1e-9)) for k, b in found]
+    for k, r in enumerate(out):
+        a = design[:, : k + 2]
+        fit = a @ np.linalg.lstsq(a, y[train], rcond=None)[0]
+        assert r["train_rankic"] == pytest.approx(np.corrcoef(pd.Series(fit).rank(), pd.Series(y[train]).rank())[0, 1], abs=1e-9)
+    both = np.isfinite(y[quarter == 9])
+    valid = np.corrcoef(pd.Series(expected[both]).rank(), pd.Series(y[quarter == 9][both]).rank())[0, 1]
+    assert [r["valid_rankic_if_available"] for r in out] == pytest.approx([valid] * len(out), abs=1e-9)
+
+
 def test_nothing_to_select_predicts_the_mean(spark):
     rows = [(q, e, 0.0, 1.0, float(e)) for q in range(1, 4) for e in range(10)]
     df = spark.createDataFrame(rows, "quarter_idx int, entity_id int, a double, m1 double, y double")
