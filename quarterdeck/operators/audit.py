@@ -67,6 +67,31 @@ def issues(spark: SparkSession, checks: list[tuple[DataFrame, Column, tuple[str,
     return out
 
 
+def basis_points(items: DataFrame) -> DataFrame:
+    """item, value and status: an item named in basis points must be a number, and one between 0 and 1 looks like a fraction (error)."""
+    number = F.trim("value").try_cast("double")
+    named = F.col("item").contains("bps")
+    status = F.when(~named, "not_in_bps").when(number.isNull(), "error_not_a_number").when((number > 0) & (number < 1), "error_looks_like_a_fraction").otherwise("ok")
+    return items.select("item", "value", status.alias("status"))
+
+
+def fit_window_audit(params: DataFrame, scalers: DataFrame, panel: DataFrame) -> DataFrame:
+    """PASS or FAIL for each fit: parameters (column, quarter_idx) and scalers (column, fit_start, fit_end) may use the training quarters alone."""
+    train = panel.where("split = 'train'").agg(F.min("quarter_idx").alias("first"), F.max("quarter_idx").alias("last"))  # one row
+    own = params.where("quarter_idx IS NOT NULL").groupBy("column").agg(F.min("quarter_idx").alias("fit_start"), F.max("quarter_idx").alias("fit_end")).withColumn("fit", F.lit("parameters"))
+    both = own.unionByName(scalers.select("column", "fit_start", "fit_end").withColumn("fit", F.lit("scaler")))
+    inside = (F.col("fit_start") >= F.col("first")) & (F.col("fit_end") <= F.col("last"))
+    return both.crossJoin(F.broadcast(train)).select("fit", "column", "fit_start", "fit_end", F.when(inside, "PASS").otherwise("FAIL").alias("status"))
+
+
+def outlier_skew(profiles: DataFrame, outliers: DataFrame, skew: float, ratio: float, least: int = 20) -> DataFrame:
+    """Columns of at least `least` values that are skewed beyond `skew`, or with more outliers beyond 3 IQR than `ratio`, as one row of both lists."""
+    rows = profiles.select("column", "n", F.col("skew").alias("s")).join(outliers.select("column", F.col("outlier_rate").alias("o"), (F.col("q3") > F.col("q1")).alias("wide")), "column").where(F.col("n") >= least)
+    skewed, out = F.abs("s") > skew, F.col("wide") & (F.col("o") > ratio)
+    names = lambda when: F.coalesce(F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("column")))), ","), F.lit(""))  # noqa: E731  (names of columns, not rows)
+    return rows.agg(names(skewed).alias("skewed"), names(out).alias("outliers"))
+
+
 def macro_resolution(catalogue: DataFrame, needed: int) -> DataFrame:
     """Series in use with how they are resolved, and a row for each one that is missing up to the needed number."""
     use = F.when(F.col("in_quarterly"), "use_quarterly").otherwise("aggregate_monthly")

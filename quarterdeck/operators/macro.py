@@ -24,6 +24,42 @@ def explanation_rows_removed(rows: DataFrame, time: str) -> DataFrame:
     return rows.where(F.trim(F.coalesce(F.col(time).cast("string"), F.lit(""))) != "")
 
 
+#: Months at which a quarterly series is observed.
+QUARTER_MONTHS = (1, 4, 7, 10)
+_FATAL = ("time_parse_failed", "non_quarter_observation_in_quarter_sheet")
+
+
+def exceptions(rows: DataFrame, sheet: str, row: str, time: str, values: list[str], quarterly_sheet: bool = False) -> DataFrame:
+    """One row per fault of a raw sheet (sheet_name, row_index, raw_time, issue, row_preview): explanation rows that cleaning removes, times
+    that can't be parsed, values that are no numbers, and, in a quarterly sheet, months that no quarter starts with."""
+    month = parse_yyyymm(F.col(time))
+    raw = F.trim(F.coalesce(F.col(time).cast("string"), F.lit("")))
+    any_value = F.lit(False)
+    for c in values:
+        any_value = any_value | (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "")
+    faults = [
+        F.when((raw == "") & any_value, F.struct(F.lit("explanation_row_removed").alias("issue"), F.concat_ws("|", *(F.col(c).cast("string") for c in values)).alias("row_preview"))),
+        F.when((raw != "") & month.isNull(), F.struct(F.lit("time_parse_failed").alias("issue"), raw.alias("row_preview"))),
+    ]
+    for c in values:
+        text = F.trim(F.col(c).cast("string"))
+        faults.append(F.when((raw != "") & (text != "") & text.try_cast("double").isNull(), F.struct(F.lit("numeric_conversion_failed").alias("issue"), F.concat(F.lit(f"{c}="), text).alias("row_preview"))))
+    if quarterly_sheet:
+        faults.append(F.when(~F.month(month).isin(*QUARTER_MONTHS), F.struct(F.lit(_FATAL[1]).alias("issue"), F.concat(F.lit("month_period="), F.date_format(month, "yyyy-MM")).alias("row_preview"))))
+    found = rows.select(F.col(row).alias("row_index"), raw.alias("raw_time"), F.explode(F.array_compact(F.array(*faults))).alias("fault"))
+    return found.select(F.lit(sheet).alias("sheet_name"), "row_index", "raw_time", "fault.issue", "fault.row_preview")
+
+
+def cleaned(rows: DataFrame, sheet: str, row: str, time: str, values: list[str], quarterly_sheet: bool = False) -> DataFrame:
+    """The sheet with month_start and numeric values, without explanation rows; raises while it is read if a time is fatal."""
+    kept = explanation_rows_removed(rows, time).withColumn("month_start", parse_yyyymm(F.col(time)))
+    good = F.col("month_start").isNotNull()
+    if quarterly_sheet:
+        good = good & F.month("month_start").isin(*QUARTER_MONTHS)
+    kept = kept.where(F.assert_true(good, F.concat(F.lit(f"{sheet}: time can't be used: "), F.coalesce(F.col(time).cast("string"), F.lit("null")))).isNull())
+    return kept.select(row, "month_start", *(F.trim(F.col(c).cast("string")).try_cast("double").alias(c) for c in values))
+
+
 def quarterly(monthly: DataFrame, series: list[str], how: str) -> DataFrame:
     """Months to quarters: the last value that is not null (quarter_end), the mean (quarter_mean), or by the series' kind (by_class)."""
     def one(name: str) -> Column:

@@ -1,6 +1,6 @@
 """Hybrid scores, Top-K portfolios, turnover, performance and ratings."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.stats import EPS, average_rank_pct, grade_number
@@ -14,10 +14,19 @@ TOPK_PLAN = (
     ("hybrid_score_70_30", (10, 20)),
     ("hybrid_score_30_70", (10, 20)),
 )
+#: Parts of a strategy's name and what a display shows for them, in order.
+DISPLAY = (("_score", ""), ("pure_", ""), ("hybrid_", "hybrid "), ("_top", " top"), ("_", " "))
 #: Grades from best to worst.
 GRADES = ("AAA", "AA+", "AA", "AA-", "A+", "A", "A-", "BBB+", "BBB", "BBB-", "BB+", "BB", "B")
 
 
+def display_name(strategy: Column) -> Column:
+    """A strategy's name for tables and figures."""
+    for part, shown in DISPLAY:
+        strategy = F.replace(strategy, F.lit(part), F.lit(shown))
+    return strategy
+
+
 def hybrid_scores(model: DataFrame, flow: DataFrame) -> DataFrame:
     """Inner join of one row each on quarter and entity (nulls match nulls, repeated keys raise), percentile ranks, and their blends.
 

@@ -79,3 +79,28 @@ def test_min_max_of_equals(spark):
 
     rows = frame(spark, [2.0, 2.0]).select(stats.min_max(F.col("x"), Window.partitionBy("quarter_idx")).alias("m")).collect()
     assert [r["m"] for r in rows] == [0.5, 0.5]
+
+
+def test_macro_gate_and_display_names(spark):
+    from quarterdeck.operators import portfolio
+
+    sheet = spark.createDataFrame([(1, "201601", "1.5"), (2, None, "remark"), (3, " ", None), (4, "2016.04", "2"), (5, "201602", "x")], "k int, t string, v string")
+    got = {(r["row_index"], r["issue"]) for r in macro.exceptions(sheet, "q", "k", "t", ["v"], quarterly_sheet=True).collect()}
+    assert got == {(2, "explanation_row_removed"), (4, "time_parse_failed"), (5, "numeric_conversion_failed"), (5, "non_quarter_observation_in_quarter_sheet")}
+    assert [tuple(r)[::2] for r in macro.cleaned(sheet.where("k IN (1, 2, 3)"), "q", "k", "t", ["v"], quarterly_sheet=True).collect()] == [(1, 1.5)]
+    assert macro.cleaned(sheet.where("k = 5"), "m", "k", "t", ["v"]).first()["v"] is None
+    for k, quarterly in ((4, False), (5, True)):
+        with pytest.raises(Exception, match="time can't be used"):
+            macro.cleaned(sheet.where(f"k = {k}"), "q", "k", "t", ["v"], quarterly_sheet=quarterly).collect()
+    names = spark.createDataFrame([("hybrid_score_50_50_top10",), ("pure_stagewise_score_top20",)], "s string").select(portfolio.display_name(F.col("s")).alias("s")).collect()
+    assert [r["s"] for r in names] == ["hybrid 50 50 top10", "stagewise top20"]
+
+
+def test_label_proof_of_gaps_and_repeats(spark):
+    rows = [(1, 1, 5.0, 1.0), (1, 2, 2.0, 1.0), (2, 1, 7.0, 5.0), (2, 1, 7.0, 5.0), (4, 1, None, 7.0)]
+    df = spark.createDataFrame(rows, "quarter_idx int, entity_id int, label double, ret double")
+    report = labels.proof(df, "label", "ret")
+    got = {r["quarter_idx"]: r for r in report.collect()}
+    assert (got[1]["left_rows"], got[1]["right_rows"], got[1]["joined_rows"], got[1]["valid_compare_rows"], got[1]["matched_rows"], got[1]["missing_next_return_rows"], got[1]["duplicate_right_ids"], got[1]["assertion"]) == (2, 2, 3, 2, 2, 1, 2, "pass")
+    assert (got[2]["assertion"], got[2]["joined_rows"], got[2]["duplicate_left_ids"], got[4]["missing_label_rows"], got[4]["match_rate"]) == ("tail_without_t_plus_1", 0, 2, 1, None)
+    assert tuple(labels.decision(report).first())[:3] == (1.0, 2, 2)
