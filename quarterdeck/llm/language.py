@@ -8,8 +8,8 @@ length under every language is a sum over its bytes, whatever their order. The l
 Bytes are coded as they are, and a text is preceded by ORDER blanks.
 
 The trees are fitted on a bounded sample of the labelled rows that are not held out: texts drawn by their hash, about
-SAMPLE_ROWS rows and SAMPLE_BYTES bytes per language, each text once. Spark counts the contexts; a task per language
-makes its tree. Contexts seen fewer than LEAST_SEEN times are left out, and more of them until the
+SAMPLE_ROWS rows and SAMPLE_BYTES bytes per language, each text once. Spark counts the contexts and
+groups the bytes of each. Contexts seen fewer than LEAST_SEEN times are left out, and more of them until the
 model has at most MODEL_BYTES, which is checked before it is broadcast. All else covers all rows and whole texts.
 
 In a task all trees together are tables of (context, byte) with a column of code lengths per language, found by
@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterdeck.llm.groups import consecutive
 from quarterdeck.llm.storage import free_name, removed, saved
 from quarterdeck.llm.words import chunks, mixed, text_buffer
 
@@ -44,8 +43,6 @@ UNKNOWN = "und"
 
 _BLANK = 0x20202020
 _DRAWN = 1 << 30
-#: One row per context (symbol -1, bits of its escape) or byte in a context.
-_TREE = "lang int, order int, context long, symbol int, seen long, bits double"
 
 
 def context_codes(data: np.ndarray, before: int = _BLANK) -> np.ndarray:
@@ -67,24 +64,23 @@ def chunk_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree(codes: np.ndarray, counts: np.ndarray, least: int = LEAST_SEEN) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(order, contexts, symbols, seen, bits) of one language, by order; symbol -1 is the escape. seen is the context's total."""
-    for order in range(ORDER + 1):
-        pair, back = np.unique(codes & np.uint64((1 << (8 * (order + 1))) - 1), return_inverse=True)
-        n = np.bincount(back, weights=counts)
-        context, first, kinds = np.unique(pair >> np.uint64(8), return_index=True, return_counts=True)
-        total = np.add.reduceat(n, first)
-        of = np.repeat(np.arange(len(context)), kinds)
-        bits = -np.log2(n / (total + kinds)[of])
-        kept = total >= (least if order else 1)
-        own = kept[of]
-        yield (
-            order,
-            np.r_[pair[own] >> np.uint64(8), context[kept]].astype(np.int64),
-            np.r_[(pair[own] & np.uint64(255)).astype(np.int32), np.full(int(kept.sum()), -1, np.int32)],
-            np.r_[total[of][own], total[kept]].astype(np.int64),
-            np.r_[bits[own], -np.log2(kinds / (total + kinds))[kept]],
-        )
+def grown(counts: DataFrame, least: int = LEAST_SEEN) -> DataFrame:
+    """The trees of all languages from counts (lang, code, n) of contexts and bytes: lang, order, context, symbol (-1 is
+    the escape), seen (of the context) and bits.
+
+    A context has 256 bytes at most, so no group of rows is larger, however much one language holds of the sample."""
+    order = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("order")
+    pairs = counts.select("lang", "code", "n", order)
+    mask = F.element_at(F.array(*(F.lit((1 << (8 * (k + 1))) - 1).cast("long") for k in range(ORDER + 1))), F.col("order") + 1)
+    pairs = pairs.groupBy("lang", "order", F.col("code").bitwiseAND(mask).alias("pair")).agg(F.sum("n").alias("n"))
+    pairs = pairs.select("lang", "order", F.shiftright("pair", 8).alias("context"), F.col("pair").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
+    keys = ["lang", "order", "context"]
+    found = pairs.groupBy(*keys).agg(F.sum("n").alias("seen"), F.collect_list(F.struct("symbol", "n")).alias("bytes"))
+    found = found.where((F.col("order") == 0) | (F.col("seen") >= least))
+    total = F.col("seen") + F.size("bytes")
+    escape = F.struct(F.lit(-1).alias("symbol"), F.size("bytes").cast("long").alias("n"))
+    rows = found.select(*keys, "seen", total.alias("total"), F.explode(F.array_append("bytes", escape)).alias("b"))
+    return rows.select(*keys, "b.symbol", "seen", (-F.log2(F.col("b.n") / F.col("total"))).alias("bits"))
 
 
 class Lookup:
@@ -224,15 +220,8 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int =
                     code, n = np.unique(np.concatenate([context_codes(data[offsets[r] : offsets[r + 1]]) for r in rows.tolist()]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), number, np.int32)), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in consecutive(batches, 1):
-            number, codes, counts = (group.column(k).to_numpy() for k in range(3))
-            for order, context, symbol, seen, bits in tree(codes.view(np.uint64), counts):
-                columns = [np.full(len(context), number[0], np.int32), np.full(len(context), order, np.int32), context, symbol, seen, bits]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in _TREE.split(", ")])
-
     counts = sample.mapInArrow(count, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    trees, path = saved(counts.repartition("lang").sortWithinPartitions("lang").select("lang", "code", "n").mapInArrow(grow, _TREE), "trees")
+    trees, path = saved(grown(counts), "trees")
     # a (context, byte) takes its code and a float of each language, at most
     sizes = trees.groupBy(F.when(F.col("order") == 0, 1 << 62).otherwise(F.col("seen")).alias("seen")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("seen"))
     room, least = model_bytes // (8 + 4 * len(langs)), LEAST_SEEN
