@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from quarterdeck.llm.storage import removed, saved
 
 
+#: Neighbours from which an id counts as hot, and the number of hot ids (16 bytes each) that are broadcast.
+HOT, BROADCAST_ROWS = 500, 1 << 20
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id of an edge table (a, b): root is the smallest id of its component.
 
@@ -20,10 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = _digest(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # written, so that both sides of the join come straight from an exchange: only then can Spark split the rows of a hot id
-        least, least_path = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "least")
-        # large star: u > v hangs on v's smallest neighbour
-        large = now.select(F.col("b").alias("v"), F.col("a").alias("u")).join(least.withColumnRenamed("a", "v"), "v").select(F.col("u").alias("a"), F.col("root").alias("b"))
+        least, least_path = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "v"), "least")
+        # large star: u > v hangs on v's smallest neighbour; the edges of a v with many of them stay where they are
+        hot = least.where(F.col("n") > HOT).drop("n")
+        if before[0] // HOT <= BROADCAST_ROWS:  # each of them has more than HOT edges; beyond, Spark splits the join's large keys
+            hot = F.broadcast(hot)
+        star = now.select(F.col("b").alias("v"), F.col("a").alias("u"))
+        cold = star.join(hot, "v", "left_anti").join(least.where(F.col("n") <= HOT).drop("n"), "v")
+        large = star.join(hot, "v").unionByName(cold).select(F.col("u").alias("a"), F.col("root").alias("b"))
         # small star: v and its smaller neighbours hang on the smallest of them
         smallest = large.groupBy("a").agg(F.min("b").alias("root"))
         small = large.join(smallest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("root").alias("b")), F.struct(F.col("a"), F.col("root").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
