@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.stats import EPS, min_max
+from quarterdeck.functions.order import quantiles, with_prefix
+from quarterdeck.functions.stats import EPS
 
 
 def long_form(panel: DataFrame, features: dict[str, int]) -> DataFrame:
@@ -26,17 +27,18 @@ def composite_form(panel: DataFrame, picks: DataFrame, catalogue: list[tuple[str
 
 def benefits(long: DataFrame) -> DataFrame:
     """value as 0 to 1 within quarter and feature, after filling nulls with the median there (0 if there is none)."""
-    own = Window.partitionBy("quarter_idx", "feature")
-    medians = long.groupBy("quarter_idx", "feature").agg(F.coalesce(F.median("value"), F.lit(0.0)).alias("median"))
-    filled = long.join(F.broadcast(medians), ["quarter_idx", "feature"]).withColumn("value", F.coalesce("value", "median"))  # a row per quarter and feature
-    return filled.select("quarter_idx", "entity_id", "feature", min_max(F.col("value"), own).alias("benefit"))
+    by = ["quarter_idx", "feature"]
+    medians = quantiles(long, ["value"], (0.5,), tuple(by)).select(*by, F.coalesce(F.col("value")[0], F.lit(0.0)).alias("median"))
+    filled = long.join(F.broadcast(medians), by).withColumn("value", F.coalesce("value", "median"))  # a row per quarter and feature
+    ends = filled.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    share = F.when(F.col("high") - F.col("low") < EPS, F.lit(0.5)).otherwise(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")))
+    return filled.join(F.broadcast(ends), by).select("quarter_idx", "entity_id", "feature", share.alias("benefit"))
 
 
 def entropy_weights(benefit: DataFrame) -> DataFrame:
     """entropy and weight per quarter and feature; equal weights where no feature tells entities apart."""
-    own = Window.partitionBy("quarter_idx", "feature")
-    p = F.try_divide(F.col("benefit"), F.sum("benefit").over(own))
-    shares = benefit.select("quarter_idx", "feature", p.alias("p"))
+    sums = benefit.groupBy("quarter_idx", "feature").agg(F.sum("benefit").alias("total"))
+    shares = benefit.join(F.broadcast(sums), ["quarter_idx", "feature"]).withColumn("p", F.try_divide("benefit", "total"))  # a row per quarter and feature
     by = shares.groupBy("quarter_idx", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("p") > 0, -F.col("p") * F.ln("p"))).alias("h"))
     entropy = F.coalesce(F.try_divide(F.col("h"), F.ln(F.col("n").cast("double"))), F.lit(1.0))
     by = by.where("n > 1").withColumn("entropy", entropy).withColumn("d", F.greatest(F.lit(0.0), 1 - F.col("entropy")))
@@ -47,13 +49,10 @@ def entropy_weights(benefit: DataFrame) -> DataFrame:
 
 def flows(benefit: DataFrame, weights: DataFrame) -> DataFrame:
     """phi_plus, phi_minus and net_flow of linear preference max(0, a - b), by sorted prefix sums and no pairs."""
-    order = Window.partitionBy("quarter_idx", "feature").orderBy("benefit", "entity_id")
-    own = Window.partitionBy("quarter_idx", "feature")
-    before = F.coalesce(F.sum("benefit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = benefit.withColumns({"nth": F.row_number().over(order), "before": before, "total": F.sum("benefit").over(own), "n": F.count(F.lit(1)).over(own)})
+    rows = with_prefix(benefit, "benefit", ["quarter_idx", "feature"], "lower", "before").withColumnsRenamed({"_n": "n", "_total": "total"})
     x = F.col("benefit")
-    plus = x * (F.col("nth") - 1) - F.col("before")
-    minus = (F.col("total") - F.col("before") - x) - x * (F.col("n") - F.col("nth"))
+    plus = x * F.col("lower") - F.col("before")
+    minus = (F.col("total") - F.col("before") - x) - x * (F.col("n") - F.col("lower") - 1)
     rows = rows.join(F.broadcast(weights.select("quarter_idx", "feature", "weight")), ["quarter_idx", "feature"])  # a row per quarter and feature
     others = F.nullif(F.max("n") - 1, F.lit(0))
     out = rows.groupBy("quarter_idx", "entity_id").agg(F.try_divide(F.sum(plus * F.col("weight")), others).alias("phi_plus"), F.try_divide(F.sum(minus * F.col("weight")), others).alias("phi_minus"))

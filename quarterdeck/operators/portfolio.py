@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.stats import EPS, average_rank_pct, grade_number
+from quarterdeck.functions.order import quantiles, with_average_rank, with_ordinal
+from quarterdeck.functions.stats import EPS, grade_number
 
 PERIODS_PER_YEAR = 4
 #: Score and portfolio sizes of each strategy.
@@ -35,7 +36,8 @@ def hybrid_scores(model: DataFrame, flow: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("quarter_idx", "entity_id"))
     both = left.join(right, F.col("quarter_idx").eqNullSafe(F.col("_q")) & F.col("entity_id").eqNullSafe(F.col("_e"))).drop("_q", "_e")
     both = both.withColumn("_n", n).where(F.assert_true(F.col("_n") == 1, F.lit("quarter and entity are not unique")).isNull()).drop("_n")
-    both = both.withColumns({"pure_stagewise_score": average_rank_pct("prediction", "quarter_idx"), "pure_promethee_score": average_rank_pct("net_flow", "quarter_idx")})
+    both = with_average_rank(both, "prediction", ["quarter_idx"], "pure_stagewise_score", pct=True)
+    both = with_average_rank(both, "net_flow", ["quarter_idx"], "pure_promethee_score", pct=True)
     s, p = F.col("pure_stagewise_score"), F.col("pure_promethee_score")
     return both.withColumns({f"hybrid_score_{a}_{b}": a / 100 * p + b / 100 * s for a, b in ((50, 50), (70, 30), (30, 70))})
 
@@ -112,16 +114,17 @@ def performance(quarterly: DataFrame) -> DataFrame:
 
 def ratings(scores: DataFrame, score: str, grades: tuple[str, ...] = GRADES) -> DataFrame:
     """rating and its place in the quarter, by score (best first), then entity."""
-    quarter = Window.partitionBy("quarter_idx")
-    ranked = scores.where(F.col(score).isNotNull()).withColumn("rating_rank", F.row_number().over(quarter.orderBy(F.desc(score), "entity_id")))
-    number = grade_number(F.col("rating_rank"), F.count(F.lit(1)).over(quarter), len(grades))
-    return ranked.withColumn("rating", F.element_at(F.array(*map(F.lit, grades)), number + 1))
+    ranked = with_ordinal(scores.where(F.col(score).isNotNull()), score, "entity_id", ["quarter_idx"], "rating_rank", size="_rated")
+    number = grade_number(F.col("rating_rank"), F.col("_rated"), len(grades))
+    return ranked.withColumn("rating", F.element_at(F.array(*map(F.lit, grades)), number + 1)).drop("_rated")
 
 
 def rating_performance(rated: DataFrame, grades: tuple[str, ...] = GRADES) -> DataFrame:
     """Per split and grade; a missing return counts as not positive."""
+    middle = quantiles(rated, ["future_return_1q"], (0.5,), ("split", "rating")).select(F.col("split").alias("_s"), F.col("rating").alias("_r"), F.col("future_return_1q")[0].alias("median_future_return"))
     out = rated.groupBy("split", "rating").agg(
-        F.avg("future_return_1q").alias("avg_future_return"), F.median("future_return_1q").alias("median_future_return"), F.count("entity_id").alias("stock_count"),
+        F.avg("future_return_1q").alias("avg_future_return"), F.count("entity_id").alias("stock_count"),
         F.avg(F.coalesce(F.col("future_return_1q") > 0, F.lit(False)).cast("double")).alias("positive_rate"),
     )
+    out = out.join(F.broadcast(middle), F.col("split").eqNullSafe(F.col("_s")) & F.col("rating").eqNullSafe(F.col("_r"))).drop("_s", "_r")
     return out.withColumn("rating_order", F.array_position(F.array(*map(F.lit, grades)), F.col("rating")))

@@ -1,8 +1,9 @@
 """Preprocessing fitted on the training quarters alone: fill, winsorise, transform, scale."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarterdeck.functions.order import quantiles
 from quarterdeck.functions.stats import EPS, clipped, log1p_or_signed, rounded, scaled
 
 TRAIN = (1, 21)
@@ -12,9 +13,9 @@ TAILS = (0.01, 0.99)
 def train_params(panel: DataFrame, columns: list[str], train: tuple[int, int] = TRAIN) -> DataFrame:
     """One row: for each column the training median, the tails of the filled values, and mean and population deviation of the clipped ones."""
     rows = panel.where(F.col("quarter_idx").between(*train)).select(*columns)
-    medians = rows.agg(*(F.coalesce(F.median(c), F.lit(0.0)).alias(f"{c}__median") for c in columns))
+    medians = quantiles(rows, columns, (0.5,)).select(*(F.coalesce(F.col(c)[0], F.lit(0.0)).alias(f"{c}__median") for c in columns))
     rows = rows.crossJoin(F.broadcast(medians)).select(*(F.coalesce(c, f"{c}__median").alias(c) for c in columns))
-    tails = rows.agg(*(F.percentile(c, F.array(*map(F.lit, TAILS))).alias(c) for c in columns)).select(*(F.col(c)[0].alias(f"{c}__p01") for c in columns), *(F.col(c)[1].alias(f"{c}__p99") for c in columns))
+    tails = quantiles(rows, columns, TAILS).select(*(F.col(c)[0].alias(f"{c}__p01") for c in columns), *(F.col(c)[1].alias(f"{c}__p99") for c in columns))
     rows = rows.crossJoin(F.broadcast(tails)).select(*(clipped(F.col(c), F.col(f"{c}__p01"), F.col(f"{c}__p99")).alias(c) for c in columns))
     moments = rows.agg(*(F.avg(c).alias(f"{c}__mean") for c in columns), *(F.stddev_pop(c).alias(f"{c}__std") for c in columns))
     return medians.crossJoin(tails).crossJoin(moments)  # three single rows
@@ -51,11 +52,11 @@ def quarter_fits(panel: DataFrame, columns: list[str], train: tuple[int, int] =
     """Medians and tails by training quarter, and the same over all of them (one row)."""
     rows = panel.where(F.col("quarter_idx").between(*train))
 
-    def fits() -> list[Column]:
-        return [F.median(c).alias(f"{c}__med") for c in columns] + [F.percentile(c, F.array(*map(F.lit, TAILS))).alias(f"{c}__tails") for c in columns]
+    def fits(group: tuple[str, ...]) -> DataFrame:
+        found = quantiles(rows, columns, (0.5, *TAILS), group)
+        return found.select(*group, *(F.col(c)[0].alias(f"{c}__med") for c in columns), *(F.slice(c, 2, 2).alias(f"{c}__tails") for c in columns))
 
-    by_quarter = rows.groupBy("quarter_idx").agg(*fits())
-    over_all = rows.agg(*fits())
+    by_quarter, over_all = fits(("quarter_idx",)), fits(())
     for kind in ("med", "tails"):
         over_all = over_all.withColumnsRenamed({f"{c}__{kind}": f"{c}__all_{kind}" for c in columns})
     return by_quarter, over_all
@@ -97,18 +98,22 @@ def transformed(panel: DataFrame, columns: list[str]) -> DataFrame:
 def rescaled(panel: DataFrame, columns: list[str], how: str, train: tuple[int, int] = TRAIN) -> DataFrame:
     """Standard, robust or min-max scaling fitted on train; a constant training column becomes 0."""
     rows = panel.where(F.col("quarter_idx").between(*train))
-    fits = []
+    fits, fitted = [], rows
+    if how == "robust":
+        points = quantiles(rows, columns, (0.25, 0.5, 0.75)).withColumnsRenamed({c: f"{c}__points" for c in columns})
+        fitted = rows.crossJoin(F.broadcast(points))  # one row
     for c in columns:
         if how == "standard":
             centre, scale = F.avg(c), F.stddev_pop(c)
         elif how == "robust":
-            centre, scale = F.median(c), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+            at = F.first(f"{c}__points")
+            centre, scale = at[1], at[2] - at[0]
         elif how == "minmax":
             centre, scale = F.min(c), F.max(c) - F.min(c)
         else:
             raise ValueError(f"unknown scaling {how}")
         fits += [centre.alias(f"{c}__centre"), F.when(scale == 0, 1.0).otherwise(scale).alias(f"{c}__scale"), (F.max(c) == F.min(c)).alias(f"{c}__constant")]
-    out = panel.crossJoin(F.broadcast(rows.agg(*fits)))
+    out = panel.crossJoin(F.broadcast(fitted.agg(*fits)))
     return out.withColumns({c: F.when(F.col(f"{c}__constant"), 0.0).otherwise((F.col(c) - F.col(f"{c}__centre")) / F.col(f"{c}__scale")) for c in columns}).select(*panel.columns)
 
 

@@ -3,17 +3,17 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarterdeck.functions.order import quantiles
 from quarterdeck.functions.stats import adjusted_kurtosis, adjusted_skewness, rounded
 
 MEASURES = ("n", "missing_rate", "q01", "q05", "q50", "q95", "q99", "mean", "std", "skew", "kurtosis", "zero_rate", "negative_rate")
 
 
-def _measures(c: Column) -> dict[str, Column]:
-    quantiles = F.percentile(c, F.array(*map(F.lit, (0.01, 0.05, 0.5, 0.95, 0.99))))
+def _measures(c: Column, q: Column) -> dict[str, Column]:
     return {
         "n": F.count(c).cast("double"),
         "missing_rate": F.avg(c.isNull().cast("double")),
-        **{f"q{name}": quantiles[k] for k, name in enumerate(("01", "05", "50", "95", "99"))},
+        **{f"q{name}": F.first(q)[k] for k, name in enumerate(("01", "05", "50", "95", "99"))},
         "mean": F.avg(c),
         "std": F.when(F.count(c) > 1, F.stddev_samp(c)),
         "skew": adjusted_skewness(c),
@@ -25,7 +25,9 @@ def _measures(c: Column) -> dict[str, Column]:
 
 def profiled(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column with all MEASURES; rates besides missing_rate are among values that are there."""
-    wide = df.agg(*(rounded(x).alias(f"{c}__{m}") for c in columns for m, x in _measures(F.col(c).cast("double")).items()))
+    points = quantiles(df, columns, (0.01, 0.05, 0.5, 0.95, 0.99)).withColumnsRenamed({c: f"{c}__points" for c in columns})
+    rows = df.select(*columns).join(F.broadcast(points), how="right")  # one row, which stays if df has none
+    wide = rows.agg(*(rounded(x).alias(f"{c}__{m}") for c in columns for m, x in _measures(F.col(c).cast("double"), F.col(f"{c}__points")).items()))
     rows = F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{c}__{m}").alias(m) for m in MEASURES)) for c in columns))
     return wide.select(F.inline(rows))
 
@@ -51,7 +53,7 @@ def missingness(df: DataFrame, columns: list[str], above: float = 0.0, top: int
 
 def outliers(df: DataFrame, columns: list[str], width: float = 3.0) -> DataFrame:
     """Per column: quartiles and the share of values beyond them by more than width times their distance."""
-    limits = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns))
+    limits = quantiles(df, columns, (0.25, 0.75))
     limits = limits.select(*(F.col(c)[0].alias(f"{c}__q1") for c in columns), *(F.col(c)[1].alias(f"{c}__q3") for c in columns))
     both = df.select(*columns).crossJoin(F.broadcast(limits))  # one row
 

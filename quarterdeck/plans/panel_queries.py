@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.stats import average_rank_pct, rounded
+from quarterdeck.functions import order
+from quarterdeck.functions.stats import rounded
 from quarterdeck.operators import audit, labels, macro, preprocess, profile, schema
 from quarterdeck.sources import files
 from quarterdeck.sources import panel as source
@@ -37,8 +38,8 @@ def union(template: str, names) -> str:
 @query(f"""WITH {PANEL_SQL} SELECT quarter_idx, entity_id, {r6("(rank() OVER (PARTITION BY quarter_idx ORDER BY f_growth) + (count(*) OVER (PARTITION BY quarter_idx, f_growth) - 1) / 2.0) / count(f_growth) OVER (PARTITION BY quarter_idx)")} AS rank_pct
 FROM panel WHERE f_growth IS NOT NULL""")
 def avg_rank_pct(spark: SparkSession, d: str) -> DataFrame:
-    rows = source.panel(spark, d).withColumn("rank_pct", rounded(average_rank_pct("f_growth", "quarter_idx")))
-    return rows.where("f_growth IS NOT NULL").select("quarter_idx", "entity_id", "rank_pct")
+    rows = order.with_average_rank(source.panel(spark, d).select("quarter_idx", "entity_id", "f_growth"), "f_growth", ["quarter_idx"], "rank_pct", pct=True)
+    return rows.where("f_growth IS NOT NULL").select("quarter_idx", "entity_id", rounded(F.col("rank_pct")).alias("rank_pct"))
 
 
 @query(f"WITH {PANEL_SQL} SELECT quarter_idx, {r6('avg(future_return_1q)')} AS benchmark_return, count(future_return_1q) AS n FROM panel GROUP BY 1")

@@ -7,7 +7,8 @@ lost executor's part is computed again from the sources.
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.stats import average_rank_pct, correlation, min_max, rounded
+from quarterdeck.functions import order
+from quarterdeck.functions.stats import correlation, min_max, rounded
 from quarterdeck.operators import evaluation, macro, mcda, portfolio, preprocess, stepwise
 from quarterdeck.plans.panel_queries import _quarterly_sql, r6
 from quarterdeck.sources import panel as source
@@ -46,7 +47,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY quarter_idx ORDER BY score DESC,
 SELECT a.quarter_idx, {r6("a.portfolio_return")} AS portfolio_return, {r6("b.benchmark_return")} AS benchmark_return, {r6("a.portfolio_return - b.benchmark_return")} AS excess_return, holding_count
 FROM (SELECT quarter_idx, avg(future_return_1q) AS portfolio_return, count(*) AS holding_count FROM r WHERE k <= 10 GROUP BY 1) a JOIN (SELECT quarter_idx, avg(future_return_1q) AS benchmark_return FROM panel GROUP BY 1) b USING (quarter_idx)""")
 def topk_quarterly_returns_slice(spark: SparkSession, d: str) -> DataFrame:
-    rows = source.panel(spark, d).withColumn("score", average_rank_pct("f_disc", "quarter_idx"))
+    rows = order.with_average_rank(source.panel(spark, d).select("quarter_idx", "split", "entity_id", LABEL, "f_disc"), "f_disc", ["quarter_idx"], "score", pct=True)
     held = portfolio.holdings(rows, (("score", (10,)),))
     out = held.groupBy("quarter_idx").agg(F.avg(LABEL).alias("portfolio_return"), F.count(F.lit(1)).alias("holding_count")).join(portfolio.benchmark(rows), "quarter_idx")
     return _round_all(out.select("quarter_idx", "portfolio_return", "benchmark_return", (F.col("portfolio_return") - F.col("benchmark_return")).alias("excess_return"), "holding_count"))
@@ -123,8 +124,8 @@ def stepwise_log(spark: SparkSession, d: str) -> DataFrame:
 def stepwise_predictions(spark: SparkSession, d: str) -> DataFrame:
     rows, models = _selection(spark, d, "model")
     out = stepwise.predicted(rows, models, [f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO])
-    out = out.withColumn("stagewise_rank", F.row_number().over(Window.partitionBy("quarter_idx").orderBy(F.desc("prediction"), "entity_id")))
-    return out.withColumn("stagewise_rank_pct", average_rank_pct("prediction", "quarter_idx")).select("quarter_idx", "split", "entity_id", "entity_name", LABEL, "prediction", "stagewise_rank", "stagewise_rank_pct", "selected_feature_count", "selected_features")
+    out = order.with_ordinal(out, "prediction", "entity_id", ["quarter_idx"], "stagewise_rank")
+    return order.with_average_rank(out, "prediction", ["quarter_idx"], "stagewise_rank_pct", pct=True).select("quarter_idx", "split", "entity_id", "entity_name", LABEL, "prediction", "stagewise_rank", "stagewise_rank_pct", "selected_feature_count", "selected_features")
 
 
 @query()
@@ -210,7 +211,8 @@ fl AS (SELECT quarter_idx, entity_id, plus / others AS phi_plus, minus / others
 
 
 def _benefits(spark: SparkSession, d: str) -> DataFrame:
-    return mcda.benefits(mcda.long_form(source.panel(spark, d).where("quarter_idx >= 13"), FEATURES))
+    rows = source.panel(spark, d).where("quarter_idx >= 13").select("quarter_idx", "entity_id", *FEATURES).persist()
+    return mcda.benefits(mcda.long_form(rows, FEATURES)).persist()
 
 
 @query(f"{_BENEFIT} SELECT quarter_idx, entity_id, feature, {r6('benefit')} AS benefit FROM ben")
@@ -235,8 +237,8 @@ def promethee_flows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_FLOWS} SELECT quarter_idx, entity_id, CAST(row_number() OVER (PARTITION BY quarter_idx ORDER BY round(net_flow, 9) DESC, entity_id) AS INTEGER) AS promethee_rank FROM fl")
 def promethee_rank(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("quarter_idx").orderBy(F.desc("net_flow"), "entity_id")
-    return _round_all(_flows(spark, d), 9).select("quarter_idx", "entity_id", F.row_number().over(order).alias("promethee_rank"))
+    ranked = order.with_ordinal(_round_all(_flows(spark, d), 9), "net_flow", "entity_id", ["quarter_idx"], "promethee_rank")
+    return ranked.select("quarter_idx", "entity_id", F.col("promethee_rank").cast("int").alias("promethee_rank"))
 
 
 @query("""SELECT quarter_idx, feature, place, CAST(coefficient AS DOUBLE) AS coefficient FROM (VALUES (1, 'a', 1, 0.5), (1, 'b', 2, 0.1), (2, 'a', 1, 0.5), (2, 'b', 2, 0.1), (3, 'c', 1, 0.2), (4, 'a', 1, 0.5), (4, 'c', 2, 0.2)) t(quarter_idx, feature, place, coefficient)""")
@@ -267,7 +269,7 @@ def _composite_flows(spark: SparkSession, d: str) -> DataFrame:
     rows, log = _selection(spark, d, "log")
     names = stepwise.catalogue([f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO])
     log = spark.createDataFrame(log.collect(), log.schema)  # 15 quarters of 15 steps at most; the plan ends there
-    benefit = mcda.benefits(mcda.composite_form(rows, _picks(spark, log), names))
+    benefit = mcda.benefits(mcda.composite_form(rows, _picks(spark, log), names)).persist()
     return mcda.flows(benefit, mcda.entropy_weights(benefit))
 
 
