@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,15 +110,18 @@ def numeric(x: Column) -> Column:
 
 
 def conversion_log(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: values there, converted, failed, the share converted, up to five failed examples, and what to do."""
-    def one(c: str) -> Column:
-        text = F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
-        failed = text.isNotNull() & numeric(F.col(c)).isNull()
-        n, bad = F.count(text), F.count_if(failed)
-        examples = F.slice(F.array_sort(F.collect_set(F.when(failed, F.substring(text, 1, 40)))), 1, 5)
-        return F.struct(F.lit(c).alias("column"), n.alias("non_missing"), bad.alias("failed"), (n - bad).alias("success"), F.round(F.try_divide((n - bad).cast("double"), n), 6).alias("ratio"), F.array_join(examples, ";").alias("examples"), F.when(n > bad, "numeric").otherwise("string").alias("action"))
-
-    return df.agg(F.array(*map(one, columns)).alias("rows")).select(F.inline("rows"))
+    """Per column: values there, converted, failed, the share converted, the five smallest distinct failed values, and what to do."""
+    rows = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("text"), numeric(F.col(c)).isNull().alias("bad")) for c in columns))))
+    counts = rows.groupBy("column").agg(F.count("text").alias("n"), F.count_if(F.col("bad") & F.col("text").isNotNull()).alias("failed"))
+    failed = rows.where("bad AND text IS NOT NULL").select("column", "text").distinct().withColumn("part", F.pmod(F.xxhash64("text"), F.lit(1024)))
+    # the five smallest of each part of the values, and then of these: no task ranks all of a column
+    for part in (["column", "part"], ["column"]):
+        failed = failed.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy("text"))).where("place <= 5").drop("place")
+    examples = failed.groupBy(F.col("column").alias("_c")).agg(F.array_join(F.array_sort(F.collect_list("text")), ";").alias("examples"))
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = named.join(F.broadcast(counts), "column", "left").join(F.broadcast(examples), F.col("column") == F.col("_c"), "left")  # a row per column
+    n, bad = F.coalesce("n", F.lit(0)), F.coalesce("failed", F.lit(0))
+    return out.select("column", n.alias("non_missing"), bad.alias("failed"), (n - bad).alias("success"), F.round(F.try_divide((n - bad).cast("double"), n), 6).alias("ratio"), F.coalesce("examples", F.lit("")).alias("examples"), F.when(n > bad, "numeric").otherwise("string").alias("action"))
 
 
 def strategy_label(name: str) -> str:

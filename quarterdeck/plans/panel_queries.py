@@ -13,7 +13,7 @@ from quarterdeck.sources.panel import FACTORS, MACRO, MONTHLY_SQL, PANEL_SQL
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-PROFILED = ("f_disc", "f_unit", "f_pstd", "f_acct", "f_growth", "f_miss")
+PROFILED = (*FACTORS, "f_miss")
 KEYWORDS = ("license", "the", "que", "und")
 
 

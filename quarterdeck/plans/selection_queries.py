@@ -18,7 +18,6 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 FEATURES = {"f_disc": -1, "f_unit": 1, "f_rshare": -1, "f_growth": 1, "f_acct": 1}
-STEP_FACTORS = ("f_disc", "f_tax", "f_qty", "f_unit", "f_rshare", "f_pstd", "f_acct")
 #: Factors of the selection: all but f_growth, which is the return ret_3m.
 ELIGIBLE = tuple(f for f in FACTORS if f != "f_growth")
 LABEL = "future_return_1q"
@@ -56,9 +55,9 @@ def topk_quarterly_returns_slice(spark: SparkSession, d: str) -> DataFrame:
 # --- composites and selection ------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'composite_' || f || '__' || m AS composite_feature, f AS stock_factor, m AS macro_factor, 'z_' || f AS stock_standardized_column, 'z_' || m AS macro_standardized_column, 'z_' || f || ' * z_' || m AS formula, TRUE AS is_composite FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in STEP_FACTORS) + "]) AS f), (SELECT unnest([" + ", ".join(f"'{m}'" for m in MACRO) + "]) AS m)")
+@query("SELECT 'composite_' || f || '__' || m AS composite_feature, f AS stock_factor, m AS macro_factor, 'z_' || f AS stock_standardized_column, 'z_' || m AS macro_standardized_column, 'z_' || f || ' * z_' || m AS formula, TRUE AS is_composite FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in ELIGIBLE) + "]) AS f), (SELECT unnest([" + ", ".join(f"'{m}'" for m in MACRO) + "]) AS m)")
 def composite_catalog(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(c, f, m, f"z_{f}", f"z_{m}", f"z_{f} * z_{m}", True) for c, f, m in stepwise.catalogue(list(STEP_FACTORS), list(MACRO))]
+    rows = [(c, f, m, f"z_{f}", f"z_{m}", f"z_{f} * z_{m}", True) for c, f, m in stepwise.catalogue(list(ELIGIBLE), list(MACRO))]
     return spark.createDataFrame(rows, "composite_feature string, stock_factor string, macro_factor string, stock_standardized_column string, macro_standardized_column string, formula string, is_composite boolean")
 
 
@@ -74,7 +73,7 @@ def _z_sql(c: str) -> str:
     return f"(least(greatest(coalesce({c}, p_{c}.med), p_{c}.lo), p_{c}.hi) - p_{c}.mu) / CASE WHEN p_{c}.sd < 1e-12 THEN 1 ELSE p_{c}.sd END"
 
 
-_PAIRS = (("f_disc", "avg_price"), ("f_unit", "ordgr"), ("f_acct", "fshare"))
+_PAIRS = [(f, m) for f in ELIGIBLE for m in MACRO]
 _USED = sorted({x for p in _PAIRS for x in p})
 
 
@@ -384,12 +383,9 @@ def grade_counts(spark: SparkSession, d: str) -> DataFrame:
     return labels.join(_rated(spark, d).groupBy("rating").agg(F.count("entity_id").alias("n")), "rating", "left").select("rating", F.coalesce("n", F.lit(0)).alias("stock_count"))
 
 
-_BEST = GRADES[:3]
-
-
-@query(f"{_RATED} SELECT quarter_idx, " + ", ".join(f"{r6(f'avg(future_return_1q) FILTER (rating = {chr(39)}{g}{chr(39)})')} AS \"{g}\"" for g in _BEST) + " FROM rated GROUP BY 1")
+@query(f"{_RATED} SELECT quarter_idx, " + ", ".join(f"{r6(f'avg(future_return_1q) FILTER (rating = {chr(39)}{g}{chr(39)})')} AS \"{g}\"" for g in GRADES) + " FROM rated GROUP BY 1")
 def grade_quarter_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return _round_all(_rated(spark, d).groupBy("quarter_idx").pivot("rating", list(_BEST)).agg(F.avg(LABEL)).select("quarter_idx", *(F.col(f"`{g}`") for g in _BEST)))
+    return _round_all(_rated(spark, d).groupBy("quarter_idx").pivot("rating", list(GRADES)).agg(F.avg(LABEL)).select("quarter_idx", *(F.col(f"`{g}`") for g in GRADES)))
 
 
 @query(f"{_PERF}, m AS (SELECT strategy, cumulative_return AS x FROM pm WHERE scope = 'all') SELECT strategy, {r6('CASE WHEN max(x) OVER () - min(x) OVER () < 1e-12 THEN 0.5 ELSE (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) END')} AS cumulative_return_norm FROM m")
@@ -399,6 +395,27 @@ def metric_profile(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("strategy", rounded(min_max(F.col("cumulative_return"), Window.partitionBy())).alias("cumulative_return_norm"))
 
 
+@query(f"{_PERF} SELECT strategy, {r6('annualized_volatility')} AS annualized_volatility, {r6('pow(1 + cumulative_return, 4.0 / period_count) - 1')} AS annualized_return FROM pm WHERE scope = 'all'")
+def risk_return_points(spark: SparkSession, d: str) -> DataFrame:
+    """A point for each strategy, over all quarters."""
+    return _round_all(portfolio.performance(_returns(spark, d)).where("scope = 'all'").select("strategy", "annualized_volatility", "annualized_return"))
+
+
+@query(f"{_RETURNS} SELECT quarter_idx, {', '.join(f'{r6(f'avg(turnover) FILTER (strategy = {chr(39)}{n}_top10{chr(39)})')} AS {n}_top10' for n in _SCORES)} FROM q GROUP BY 1")
+def turnover_series(spark: SparkSession, d: str) -> DataFrame:
+    """Turnover of the ten best by each score, a column for each strategy."""
+    names = [f"{n}_top10" for n in _SCORES]
+    return _round_all(_returns(spark, d).where(F.col("strategy").isin(names)).groupBy("quarter_idx").pivot("strategy", names).agg(F.avg("turnover")))
+
+
+@query(f"SELECT * FROM (VALUES ('stock_factor', CAST({len(ELIGIBLE)} AS BIGINT)), ('macro_factor', {len(MACRO)}), ('composite', {len(ELIGIBLE) * len(MACRO)})) t(kind, n)")
+def factor_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Factors, macro series and composites of the catalogue."""
+    catalogue = composite_catalog(spark, d)
+    counts = catalogue.agg(F.countDistinct("stock_factor").alias("a"), F.countDistinct("macro_factor").alias("b"), F.count(F.lit(1)).alias("c"))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(n).alias("n")) for k, n in (("stock_factor", "a"), ("macro_factor", "b"), ("composite", "c"))))))
+
+
 @query()
 def coef_heatmap(spark: SparkSession, d: str) -> DataFrame:
     """Mean coefficient by feature and quarter, 0 where a feature was not selected."""

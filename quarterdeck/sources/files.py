@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: the name of a quarter.
 SHEET = r"([0-9]+)季(?:\.[a-z]+)?$"
+#: Fixed value: quarters that a folder must have.
+LEAST = 30
 CSV = {"header": True, "encoding": "UTF-8"}
 
 
-def read_quarters(spark: SparkSession, folder: str, kind: str = "parquet", pattern: str = SHEET, least: int = 1) -> DataFrame:
+def read_quarters(spark: SparkSession, folder: str, kind: str = "parquet", pattern: str = SHEET, least: int = LEAST) -> DataFrame:
     """A folder of one table per quarter (named <n>季), united by column name, with quarter_idx and sheet_name from the name."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     names = [s.getPath().getName() for s in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
@@ -25,6 +28,30 @@ def read_quarters(spark: SparkSession, folder: str, kind: str = "parquet", patte
     return out
 
 
+def read_quarters_loosely(spark: SparkSession, folder: str, kind: str = "csv") -> DataFrame:
+    """Every table with digits in its name, from one on; a column without a name, or named as pandas does, is row_id_raw."""
+    rows = read_quarters(spark, folder, kind, r"([0-9]+)", 1)
+    unnamed = next((c for c in rows.columns if c in ("_c0", "Unnamed: 0")), None)
+    return rows.withColumnRenamed(unnamed, "row_id_raw") if unnamed else rows
+
+
+def resolved(spark: SparkSession, path: str, root: str) -> str:
+    """The path where it is there, else the one file below root of its name; none or several raise."""
+    if exists(spark, path):
+        return path
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(fs_path, True)
+    found = []
+    while listed.hasNext():
+        here = listed.next().getPath()
+        if here.getName() == name:
+            found.append(here.toString())
+    if len(found) != 1:
+        raise FileNotFoundError(f"{name}: {len(found)} files below {root}: {sorted(found)[:5]}")
+    return found[0]
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     reader = spark.read.options(**CSV)
     return (reader.schema(schema) if schema else reader).csv(path)
@@ -67,12 +94,17 @@ def write_panel(df: DataFrame, path: str) -> None:
     df.repartition("quarter_idx").write.mode("overwrite").partitionBy("quarter_idx").parquet(path)
 
 
-def write_records(frames: list[DataFrame], order: list[str], path: str) -> None:
-    """Records of several kinds as one CSV: columns in the given order, blank where a kind lacks one, others left out."""
+def write_records(frames: list[DataFrame], order: list[str], path: str, mark: bool = False) -> None:
+    """Records of several kinds as one CSV: columns in the given order, blank where a kind lacks one, others left out.
+
+    mark: each part starts with a byte-order mark, before its header."""
     out = frames[0]
     for more in frames[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
-    out.select(*(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in order)).write.mode("overwrite").option("header", True).csv(path)
+    out = out.select(*(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in order))
+    if mark and order:
+        out = out.withColumnRenamed(order[0], f"\ufeff{order[0]}")  # the header's first name carries it
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -36,3 +36,15 @@ def test_score_sample_is_whole_or_uniform(spark):
     some = [r["entity_id"] for r in selection_queries._sampled(df, 500).collect()]
     assert len(set(some)) == 500 and 0.4 < sum(k < 1000 for k in some) / 500 < 0.6
     assert some == [r["entity_id"] for r in selection_queries._sampled(df.repartition(7), 500).collect()]
+
+
+def test_conversion_log_keeps_examples_whole(spark):
+    from quarterdeck.operators import schema
+
+    long = "x" * 45
+    rows = [(long + "b", "1"), (long + "a", " 2.0 "), (None, ""), ("7", None), *((f"y{k}", "3") for k in range(9))] * 2
+    got = {r["column"]: r for r in schema.conversion_log(spark.createDataFrame(rows, "t string, n string"), ["t", "n"]).collect()}
+    assert (got["t"]["non_missing"], got["t"]["failed"], got["t"]["examples"], got["t"]["action"]) == (24, 22, f"{long}a;{long}b;y0;y1;y2", "numeric")
+    assert (got["n"]["failed"], got["n"]["examples"], got["n"]["ratio"]) == (0, "", 1.0)
+    none = schema.conversion_log(spark.createDataFrame([], "t string"), ["t"]).first()
+    assert (none["non_missing"], none["failed"], none["ratio"], none["examples"]) == (0, 0, None, "")
