@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterdeck.llm import decontamination, embeddings, html, jaccard, language, licenses, oracles, packing, sharding, simple8b, warc
+from quarterdeck.llm import alignment, decontamination, embeddings, html, jaccard, language, licenses, multi_index, oracles, packing, repair, sharding, simple8b, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,22 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.searched(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.compared(_table(spark, sf_dir, "documents"), _tokenizer(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = (
     op1_warc, op2_packing, op3_html, op4_language, op5_licenses,
     op6_embeddings, op7_simple8b, op8_decontamination, op9_sharding, op10_jaccard,
+    op11_multi_index, op12_repair, op13_alignment,
 )
 
 
