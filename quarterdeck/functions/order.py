@@ -111,7 +111,8 @@ def quantiles(rows: DataFrame, columns: list[str], fractions: tuple[float, ...],
     data = settled(rows.select(*(F.col(g).alias(k) for g, k in zip(group, keys)), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns))))
     xs = range(len(columns))
     if _fits_a_task(data, keys):
-        whole = data.groupBy(*keys).agg(*(F.percentile(f"_x{i}", F.array(*map(F.lit, fractions))).alias(f"_x{i}") for i in xs))
+        asked = F.expr(f"array({', '.join(f'{float(p)!r}D' for p in fractions)})")  # one expression, however many
+        whole = data.groupBy(*keys).agg(*(F.percentile(f"_x{i}", asked).alias(f"_x{i}") for i in xs))
         named = spark.createDataFrame(whole.collect(), whole.schema).withColumnsRenamed({**dict(zip(keys, group)), **{f"_x{i}": c for i, c in enumerate(columns)}})
         data.unpersist()
         return named

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.functions.order import quantiles
 from quarterdeck.functions.stats import EPS, clipped, log1p_or_signed, rounded, scaled
+from quarterdeck.operators.scalers import power_scaled, quantile_scaled
 
 TRAIN = (1, 21)
 TAILS = (0.01, 0.99)
@@ -96,8 +97,10 @@ def transformed(panel: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def rescaled(panel: DataFrame, columns: list[str], how: str, train: tuple[int, int] = TRAIN) -> DataFrame:
-    """Standard, robust or min-max scaling fitted on train; a constant training column becomes 0."""
+    """Standard, robust, min-max, power or quantile_normal scaling fitted on train; a constant training column becomes 0."""
     rows = panel.where(F.col("quarter_idx").between(*train))
+    if how in ("power", "quantile_normal"):
+        return (power_scaled if how == "power" else quantile_scaled)(panel, columns, rows)
     fits, fitted = [], rows
     if how == "robust":
         points = quantiles(rows, columns, (0.25, 0.5, 0.75)).withColumnsRenamed({c: f"{c}__points" for c in columns})
@@ -112,7 +115,7 @@ def rescaled(panel: DataFrame, columns: list[str], how: str, train: tuple[int, i
             centre, scale = F.min(c), F.max(c) - F.min(c)
         else:
             raise ValueError(f"unknown scaling {how}")
-        fits += [centre.alias(f"{c}__centre"), F.when(scale == 0, 1.0).otherwise(scale).alias(f"{c}__scale"), (F.max(c) == F.min(c)).alias(f"{c}__constant")]
+        fits += [centre.alias(f"{c}__centre"), F.when(scale == 0, 1.0).otherwise(scale).alias(f"{c}__scale"), F.coalesce(F.max(c) == F.min(c), F.lit(True)).alias(f"{c}__constant")]
     out = panel.crossJoin(F.broadcast(fitted.agg(*fits)))
     return out.withColumns({c: F.when(F.col(f"{c}__constant"), 0.0).otherwise((F.col(c) - F.col(f"{c}__centre")) / F.col(f"{c}__scale")) for c in columns}).select(*panel.columns)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarterdeck.functions import order
 from quarterdeck.functions.stats import rounded
-from quarterdeck.operators import audit, labels, macro, preprocess, profile, schema
+from quarterdeck.operators import audit, labels, macro, preprocess, profile, scalers, schema
 from quarterdeck.sources import files
 from quarterdeck.sources import panel as source
 from quarterdeck.sources.panel import FACTORS, MACRO, MONTHLY_SQL, PANEL_SQL
@@ -245,20 +245,80 @@ _SCALED = {
 
 
 def _scale_sql(how: str) -> str:
-    centre, scale = (x.replace("{c}", "f_unit") for x in _SCALED[how])
-    return f"WITH {PANEL_SQL}, s AS (SELECT {centre} AS c, {scale} AS w FROM panel WHERE quarter_idx BETWEEN 1 AND 21) SELECT entity_id, quarter_idx, {r6('(f_unit - c) / CASE WHEN w = 0 THEN 1 ELSE w END')} AS f_unit FROM panel, s"
-
-
-def _scale(how: str):
+    centre, scale = _SCALED[how]
+    fits = ", ".join(f"{centre.format(c=c)} AS {c}_c, {scale.format(c=c)} AS {c}_w" for c in PROFILED)
+    out = ", ".join(f"{r6(f'({c} - {c}_c) / CASE WHEN {c}_w = 0 THEN 1 ELSE {c}_w END')} AS {c}" for c in PROFILED)
+    return f"WITH {PANEL_SQL}, s AS (SELECT {fits} FROM panel WHERE quarter_idx BETWEEN 1 AND 21) SELECT entity_id, quarter_idx, {out} FROM panel, s"
+
+
+# Yeo-Johnson by the same search over powers, in passes
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, {c} AS x FROM panel WHERE quarter_idx BETWEEN 1 AND 21 AND {c} IS NOT NULL" for c in PROFILED) + ")"
+
+
+def _power_sql(x: str, p: str) -> str:
+    return f"CASE WHEN {x} >= 0 THEN CASE WHEN {p} = 0 THEN ln(1 + {x}) ELSE (pow(1 + {x}, {p}) - 1) / {p} END WHEN {x} < 0 THEN -CASE WHEN {p} = 2 THEN ln(1 - {x}) ELSE (pow(1 - {x}, 2 - {p}) - 1) / (2 - {p}) END END"
+
+
+def _powers_sql() -> str:
+    parts, step, before = [], scalers.STEP, "SELECT f, CAST(0 AS DOUBLE) AS p FROM (SELECT DISTINCT f FROM long)"
+    k = 0
+    while step >= scalers.FINEST:
+        parts.append(f"""t{k} AS MATERIALIZED (SELECT f, p + i * {step!r} AS p FROM ({before}), range(-{scalers.REACH}, {scalers.REACH} + 1) r(i)),
+l{k} AS MATERIALIZED (SELECT f, p, CASE WHEN sqrt(v) > {scalers.NOISE!r} * abs(m) THEN -n / 2.0 * ln(v) + (p - 1) * s END AS fit FROM (SELECT f, p, count(*) AS n, avg(y) AS m, var_pop(y) AS v, sum(s) AS s FROM (SELECT f, p, {_power_sql("x", "p")} AS y, sign(x) * ln(1 + abs(x)) AS s FROM long JOIN t{k} USING (f)) GROUP BY ALL))""")
+        before, last = f"SELECT f, arg_max(p, fit) AS p FROM l{k} GROUP BY 1", step
+        step, k = step / scalers.REACH, k + 1
+    parts.append(f"""w AS (SELECT f, p, fit, lag(fit) OVER o AS a, lead(fit) OVER o AS b, row_number() OVER (PARTITION BY f ORDER BY fit DESC) AS place FROM l{k - 1} WINDOW o AS (PARTITION BY f ORDER BY p)),
+powers AS (SELECT f, p + {last!r} * (a - b) / (2 * (a - 2 * fit + b)) AS p FROM w WHERE place = 1)""")
+    return ", ".join(parts)
+
+
+def _power_scale_sql() -> str:
+    one = "SELECT " + ", ".join(f"max(p) FILTER (f = '{c}') AS {c}_p" for c in PROFILED) + " FROM powers"
+    fits = ", ".join(f"avg({_power_sql(c, f'{c}_p')}) AS {c}_c, stddev_pop({_power_sql(c, f'{c}_p')}) AS {c}_w" for c in PROFILED)
+    out = ", ".join(f"{r6(f'(({_power_sql(c, f'{c}_p')}) - {c}_c) / {c}_w')} AS {c}" for c in PROFILED)
+    return f"WITH {PANEL_SQL}, {_LONG}, {_powers_sql()}, p1 AS ({one}), s AS (SELECT {fits} FROM panel, p1 WHERE quarter_idx BETWEEN 1 AND 21) SELECT entity_id, quarter_idx, {out} FROM panel, p1, s"
+
+
+def _horner(row: tuple, r: str) -> str:
+    out = repr(row[0])
+    for c in row[1:]:
+        out = f"({out} * {r} + {c!r})"
+    return out
+
+
+def _quantile_scale_sql() -> str:
+    """Landmarks from each column's sorted list; a value's places among them by counting."""
+    ratio = {n: f"{_horner(getattr(scalers, n)[0], 'r')} / {_horner(getattr(scalers, n)[1], 'r')}" for n in ("CENTRAL", "MIDDLE", "FAR")}
+    edge = scalers.EDGE
+    return f"""WITH {PANEL_SQL}, {_LONG}, size AS (SELECT count(*) AS rows, least(greatest({scalers.LEAST_LANDMARKS}, least({scalers.MOST_LANDMARKS}, count(*))), count(*)) AS n FROM panel WHERE quarter_idx BETWEEN 1 AND 21),
+lists AS (SELECT f, list(x ORDER BY x) AS s, count(*) AS m FROM long GROUP BY 1),
+spots AS (SELECT f, s, i, (i / (n - 1)::DOUBLE) * (m - 1) AS pos FROM lists, size, range(0, {scalers.MOST_LANDMARKS}) r(i) WHERE i < n),
+edges AS (SELECT f, i, pos, s[CAST(floor(pos) AS BIGINT) + 1] AS a, s[CAST(ceil(pos) AS BIGINT) + 1] AS b FROM spots),
+marks AS MATERIALIZED (SELECT f, i, CASE WHEN a = b THEN a ELSE (ceil(pos) - pos) * a + (pos - floor(pos)) * b END AS q FROM edges),
+ends AS (SELECT f, min(q) AS q0, max(q) AS q1 FROM marks GROUP BY 1),
+given AS ({" UNION ALL ".join(f"SELECT '{c}' AS f, entity_id, quarter_idx, {c} AS x FROM panel" for c in PROFILED)}),
+vals AS (SELECT DISTINCT f, x FROM given WHERE x IS NOT NULL),
+upto AS (SELECT v.f, v.x, m.i + 1 AS upto, m.q AS low FROM vals v ASOF JOIN (SELECT f, q, max(i) AS i FROM marks GROUP BY 1, 2) m ON v.f = m.f AND v.x >= m.q),
+below AS (SELECT v.f, v.x, m.i AS below, m.q AS high FROM vals v ASOF JOIN (SELECT f, q, min(i) AS i FROM marks GROUP BY 1, 2) m ON v.f = m.f AND v.x <= m.q),
+shares AS (SELECT f, x, CASE WHEN x - {edge!r} < q0 THEN 0.0 WHEN x + {edge!r} > q1 THEN 1.0 WHEN low = high THEN (below + upto - 1) / 2.0 / (n - 1) ELSE (upto - 1 + (x - low) / (high - low)) / (n - 1) END AS share FROM vals JOIN ends USING (f) LEFT JOIN upto USING (f, x) LEFT JOIN below USING (f, x), size),
+clipped AS (SELECT f, x, least(greatest(share, {edge!r}), {1 - edge!r}) AS p FROM shares),
+scores AS (SELECT f, x, CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * (SELECT {ratio["CENTRAL"]} FROM (SELECT 0.180625 - (p - 0.5) * (p - 0.5) AS r))
+ELSE sign(p - 0.5) * CASE WHEN sqrt(-ln(least(p, 1 - p))) <= 5 THEN (SELECT {ratio["MIDDLE"]} FROM (SELECT sqrt(-ln(least(p, 1 - p))) - 1.6 AS r)) ELSE (SELECT {ratio["FAR"]} FROM (SELECT sqrt(-ln(least(p, 1 - p))) - 5 AS r)) END END AS z FROM clipped)
+SELECT entity_id, quarter_idx, {", ".join(f"{r6(f'max(z) FILTER (f = {chr(39)}{c}{chr(39)})')} AS {c}" for c in PROFILED)} FROM given LEFT JOIN scores USING (f, x) GROUP BY 1, 2"""
+
+
+def _scale(how: str, sql: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return preprocess.rescaled(source.panel(spark, d), ["f_unit"], how).select("entity_id", "quarter_idx", rounded(F.col("f_unit")).alias("f_unit"))
+        return preprocess.rescaled(source.panel(spark, d), list(PROFILED), how).select("entity_id", "quarter_idx", *(rounded(F.col(c)).alias(c) for c in PROFILED))
 
     run.__name__ = f"{how}_scale"
-    query(_scale_sql(how))(run)
+    query(sql)(run)
 
 
 for _how in _SCALED:
-    _scale(_how)
+    _scale(_how, _scale_sql(_how))
+_scale("power", _power_scale_sql())
+_scale("quantile_normal", _quantile_scale_sql())
 
 
 @query(f"""WITH {PANEL_SQL}{_FITS}, a AS (SELECT f_miss AS x FROM panel), b AS (SELECT least(greatest(v, lo), hi) AS x FROM w)
