@@ -1,26 +1,34 @@
-"""Rolling forward stepwise regression on macro by micro composites, from additive moments per quarter.
+"""Rolling forward stepwise regression on macro by micro composites, from mergeable moments per quarter.
 
 Within a quarter a macro value is constant, so every moment of a composite z_i * m_j is a moment of the z
 times products of the m. One aggregation over the entity factors alone (not over their composites) gives all
-that the selection needs; a window's moments are the sum of its quarters'. The solve for each target
-quarter is small and of a size that does not depend on the number of entities.
+that the selection needs: means and centred co-moments, which Spark merges pairwise. A window's are merged from its
+quarters' in the same way, so large means cost no digits. The solve for each target quarter is small and of a size that
+does not depend on the number of entities; it factorises step by step and squares no condition number.
 
-A composite that is null takes the window's median of that composite: sums over the null rows, which are additive
+A composite that is null takes the window's median of that composite: moments of the null marks, which merge
 too, let the moments be corrected for any fill, and only the medians (fills()) need another pass, where there are nulls.
+
+A target quarter is solved once: fits() has every step's terms, and the log and the final models are rows of it.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.functions.order import quantiles
 from quarterdeck.functions.stats import average_rank, correlation
 
-LOG = "quarter_idx int, window_start int, window_end int, step int, selected_feature string, coefficient double, train_r2 double, selection_abs_corr double, sse_improvement double"
-MODEL = "quarter_idx int, feature string, place int, stock_factor string, macro_factor string, mean double, std double, fill double, beta double, intercept double"
-STEPS = f"{MODEL}, step int"
+TERM = "feature string, place int, stock_factor string, macro_factor string, mean double, std double, fill double, beta double, intercept double"
+STEP = "train_r2 double, selection_abs_corr double, sse_improvement double"
+#: A row for each target quarter, step and term of its fit; last marks the final step (0 where nothing was selected).
+FITS = f"quarter_idx int, window_start int, window_end int, step int, last boolean, {TERM}, {STEP}"
+#: Share of a composite's variance that must be left beside those selected; below, it is theirs, and is null to the fit.
+INDEPENDENT = 1e-10
 
 
 @dataclass(frozen=True)
@@ -38,80 +46,109 @@ def catalogue(factors: list[str], macro: list[str]) -> list[tuple[str, str, str]
 
 
 def moments(panel: DataFrame, factors: list[str], macro: list[str], label: str) -> DataFrame:
-    """One row per quarter: n, sums of y, y * y, z, z * y and z * z' over labelled rows, the same of null marks u
-    (u, u * y, u * z', u * u'), and the quarter's macro values."""
+    """One row per quarter, over labelled rows: n, means of y and v, population covariances of v with y and with each other, variance of y,
+    where v are the factors (0 for null) and, after them, their null marks; and the quarter's macro values."""
     rows = panel.where(F.col(label).isNotNull())
-    y = F.col(label)
-    z, u = [F.coalesce(F.col(f), F.lit(0.0)) for f in factors], [F.col(f).isNull().cast("double") for f in factors]
-    p = range(len(factors))
-    upper = [(i, j) for i in p for j in range(i, len(factors))]
-
-    def sums(values) -> F.Column:
-        return F.array(*(F.sum(x) for x in values))
-
+    y = F.col(label).cast("double")
+    v = [*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in factors), *(F.col(f).isNull().cast("double") for f in factors)]
+    upper = [(i, j) for i in range(len(v)) for j in range(i, len(v))]
     return rows.groupBy("quarter_idx").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
-        sums(z).alias("sz"), sums(x * y for x in z).alias("szy"), sums(z[i] * z[j] for i, j in upper).alias("szz"),
-        sums(u).alias("su"), sums(x * y for x in u).alias("suy"), sums(u[i] * z[j] for i in p for j in p).alias("suz"), sums(u[i] * u[j] for i, j in upper).alias("suu"),
-        F.array(*(F.first(m) for m in macro)).alias("m"),
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg(y).alias("my"), F.var_pop(y).alias("cyy"), F.array(*(F.avg(x) for x in v)).alias("mv"), F.array(*(F.covar_pop(x, y) for x in v)).alias("cvy"),
+        F.array(*(F.covar_pop(v[i], v[j]) for i, j in upper)).alias("cvv"), F.array(*(F.first(m) for m in macro)).alias("m"),
     )
 
 
 def fills(panel: DataFrame, targets: DataFrame, factors: list[str], macro: list[str], label: str, window: int) -> DataFrame:
-    """(target, fill): the median of each composite over the labelled rows of the target's window; 0 if all are null."""
-    rows = _windows(panel.where(F.col(label).isNotNull()), targets, window)
-    medians = (F.coalesce(F.median(F.col(f) * F.col(m)), F.lit(0.0)) for f in factors for m in macro)
-    return rows.groupBy("target").agg(F.array(*medians).alias("fill"))
+    """(target, fill): the median of each composite over the labelled rows of the target's window; 0 if all are null.
+
+    The medians are ranks over cells of values, so that no window is sorted in one task when it is large."""
+    names = [x for x, _, _ in catalogue(factors, macro)]
+    values = {n: F.col(f) * F.col(m) for n, f, m in catalogue(factors, macro)}
+    rows = _windows(panel.where(F.col(label).isNotNull()), targets, window).select("target", *(values[n].alias(n) for n in names))
+    medians = quantiles(rows, names, (0.5,), ("target",))
+    return medians.select("target", F.array(*(F.coalesce(F.get(n, F.lit(0)), F.lit(0.0)) for n in names)).alias("fill"))
+
+
+@dataclass
+class Sums:
+    """n, means of all composites and of y, and centred sums: of composites with each other and with y, and of y."""
+
+    n: float
+    mean: np.ndarray
+    my: float
+    cc: np.ndarray
+    cy: np.ndarray
+    yy: float
+
+    def merged(self, other: "Sums") -> "Sums":
+        n, dc, dy = self.n + other.n, other.mean - self.mean, other.my - self.my
+        share = self.n * other.n / n
+        return Sums(n, self.mean + dc * other.n / n, self.my + dy * other.n / n, self.cc + other.cc + np.outer(dc, dc) * share, self.cy + other.cy + dc * dy * share, self.yy + other.yy + dy * dy * share)
+
+
+def expanded(row: pd.Series, p: int, fill: np.ndarray) -> Sums:
+    """A quarter's moments of all composites, filled where null: z * m + u * fill for factor z, its null mark u, and macro value m."""
+    m, n = np.asarray(row["m"], float), row["n"]
+    mean, cy, cc = np.asarray(row["mv"], float), np.asarray(row["cvy"], float), np.zeros((2 * p, 2 * p))
+    cc[np.triu_indices(2 * p)] = row["cvv"]
+    cc = cc + np.triu(cc, 1).T
+    one = np.ones(len(m))
 
+    def composites(z: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return np.kron(z, m) + fill * np.kron(u, one)
 
-def _square(row: pd.Series, name: str, p: int) -> np.ndarray:
-    upper = np.zeros((p, p))
-    upper[np.triu_indices(p)] = row[name]
-    return upper + np.triu(upper, 1).T
+    square = np.kron(cc[:p, :p], np.outer(m, m))
+    if np.any(mean[p:]):
+        cross = fill[:, None] * np.kron(cc[p:, :p], np.outer(one, m))
+        square = square + cross + cross.T + np.outer(fill, fill) * np.kron(cc[p:, p:], np.outer(one, one))
+    return Sums(n, composites(mean[:p], mean[p:]), row["my"], n * square, n * composites(cy[:p], cy[p:]), n * row["cyy"])
 
 
-def expanded(row: pd.Series, p: int, fill: np.ndarray) -> tuple[float, float, float, np.ndarray, np.ndarray, np.ndarray]:
-    """A quarter's moments of all composites, filled where null: n, sy, syy, sums, sums with y, and the Gram matrix."""
-    m = np.asarray(row["m"], float)
-    one = np.ones(len(m))
-    sc, scy, scc = np.kron(row["sz"], m), np.kron(row["szy"], m), np.kron(_square(row, "szz", p), np.outer(m, m))
-    if np.any(row["su"]):
-        cross = fill[:, None] * np.kron(np.reshape(row["suz"], (p, p)), np.outer(one, m))
-        sc, scy = sc + fill * np.kron(row["su"], one), scy + fill * np.kron(row["suy"], one)
-        scc = scc + cross + cross.T + np.outer(fill, fill) * np.kron(_square(row, "suu", p), np.outer(one, one))
-    return row["n"], row["sy"], row["syy"], sc, scy, scc
+@dataclass
+class Selection:
+    """steps: for each one the pick, the coefficients of all picks so far, and its measures; picks: all of them, in order."""
+
+    steps: list[dict]
+    picks: list[int]
+    mean: np.ndarray
+    std: np.ndarray
 
 
-def select(n: float, sy: float, syy: float, sc: np.ndarray, scy: np.ndarray, scc: np.ndarray, knobs: Knobs) -> tuple[list[dict], list[int], np.ndarray, np.ndarray, np.ndarray, float]:
-    """Forward selection on one window's moments: log rows, picks, their coefficients, all means and deviations, mean of y.
+def select(sums: Sums, knobs: Knobs) -> Selection:
+    """Forward selection on one window's moments.
 
     A step takes the candidate whose correlation with the residual is largest in size (the first of equals), refits on all
-    picks, and ends the selection if the squared error falls by too small a share."""
-    mean, my = sc / n, sy / n
-    cov = scc / n - np.outer(mean, mean)
-    std = np.sqrt(np.maximum(np.diag(cov), 0))
-    std = np.where(std < 1e-12, 1.0, std)
-    cov, cy = cov / np.outer(std, std), (scy / n - mean * my) / std
-    total = max(syy / n - my * my, 0.0)
-    picks: list[int] = []
-    beta, sse, log = np.zeros(0), total, []
-    while len(picks) < min(knobs.max_features, len(sc)):
-        against = cy - cov[:, picks] @ beta
-        scale = np.sqrt(np.maximum(np.diag(cov), 0) * max(sse, 0.0))
+    picks, and ends the selection if the squared error falls by too small a share. The refit adds a column to a triangular
+    factor of the picks' covariance and takes its part from all other columns; a candidate that the picks explain adds nothing."""
+    n = sums.n
+    var = np.maximum(np.diag(sums.cc) / n, 0)
+    std = np.where(np.sqrt(var) < 1e-12, 1.0, np.sqrt(var))
+    left, against = sums.cc / n / np.outer(std, std), sums.cy / n / std
+    own, total = np.diag(left).copy(), sums.yy / n
+    factor = np.zeros((0, len(std)))  # rows of the triangular factor, over all columns
+    shares, picks, steps, sse = np.zeros(0), [], [], total
+    while len(picks) < min(knobs.max_features, len(std)):
+        scale = np.sqrt(np.maximum(own, 0) * max(sse, 0.0))
         corr = np.where(scale > 1e-12, np.abs(against) / np.where(scale > 1e-12, scale, 1.0), 0.0)
         corr[picks] = -1.0
         best = int(corr.argmax())
         if corr[best] < knobs.min_abs_corr:
             break
-        tried = [*picks, best]
-        new = np.linalg.lstsq(cov[np.ix_(tried, tried)], cy[tried], rcond=None)[0]
-        left = total - 2 * new @ cy[tried] + new @ cov[np.ix_(tried, tried)] @ new
-        gain = (sse - left) / sse if sse > 1e-12 else 0.0
+        rest = left[best, best]
+        fresh = rest > INDEPENDENT * own[best]
+        row = left[best] / np.sqrt(rest) if fresh else np.zeros(len(std))
+        share = against[best] / np.sqrt(rest) if fresh else 0.0
+        gain = share * share / sse if sse > 1e-12 else 0.0
         if picks and gain < knobs.min_improvement:
             break
-        picks, beta, sse = tried, new, left
-        log.append({"step": len(picks), "pick": best, "coefficient": float(new[-1]), "train_r2": float(1 - left / total) if total > 1e-12 else None, "selection_abs_corr": float(corr[best]), "sse_improvement": float(gain), "picks": picks, "beta": beta})
-    return log, picks, beta, mean, std, my
+        left, against = left - np.outer(row, row), against - row * share
+        factor, shares, picks, sse = np.vstack([factor, row]), np.r_[shares, share], [*picks, best], sse - share * share
+        beta = np.zeros(len(picks))
+        for k in reversed(range(len(picks))):
+            pivot = factor[k, picks[k]]
+            beta[k] = (shares[k] - factor[k, picks] @ beta) / pivot if pivot else 0.0
+        steps.append({"beta": beta, "train_r2": float(1 - sse / total) if total > 1e-12 else None, "selection_abs_corr": float(corr[best]), "sse_improvement": float(gain)})
+    return Selection(steps, picks, sums.mean, std)
 
 
 def _windows(quarterly: DataFrame, targets: DataFrame, window: int) -> DataFrame:
@@ -119,42 +156,45 @@ def _windows(quarterly: DataFrame, targets: DataFrame, window: int) -> DataFrame
     return F.broadcast(targets.withColumnRenamed("quarter_idx", "target")).join(quarterly, F.col("quarter_idx").between(F.col("target") - window, F.col("target") - 1))
 
 
-def solved(quarterly: DataFrame, targets: DataFrame, factors: list[str], macro: list[str], knobs: Knobs, what: str, filled: DataFrame | None = None) -> DataFrame:
-    """The selection log (what = "log"), the fitted models (what = "model") or the fits of every step (what = "steps") of all target quarters.
-
-    filled is fills(), needed where factors are null."""
-    names, p, schema = catalogue(factors, macro), len(factors), {"log": LOG, "model": MODEL, "steps": STEPS}[what]
-
+def fits(quarterly: DataFrame, targets: DataFrame, factors: list[str], macro: list[str], knobs: Knobs, filled: DataFrame | None = None) -> DataFrame:
+    """The fit of every step of all target quarters, a row for each term. filled is fills(), needed where factors are null."""
+    names, p, columns = catalogue(factors, macro), len(factors), [x.split()[0] for x in FITS.split(", ")]
     given = filled is not None
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         target = int(rows["target"].iloc[0])
-        if not given and any(np.any(x) for x in rows["su"]):
+        if not given and any(np.any(np.asarray(x)[p:]) for x in rows["mv"]):
             raise ValueError("factors are null: fills() of the windows are needed")
         fill = np.asarray(rows["fill"].iloc[0], float) if given else np.zeros(len(names))
         parts = [expanded(r, p, fill) for _, r in rows.sort_values("quarter_idx").iterrows()]
-        n, sy, syy, sc, scy, scc = (sum(x) for x in zip(*parts, strict=True))
-        columns = [x.split()[0] for x in schema.split(", ")]
-        if n < knobs.least_rows:
+        sums = reduce(Sums.merged, parts)
+        if sums.n < knobs.least_rows:
             return pd.DataFrame(columns=columns)
-        log, picks, beta, mean, std, my = select(n, sy, syy, sc, scy, scc, knobs)
-
-        def terms(picks: list[int], beta: np.ndarray, step: int) -> list[dict]:
-            return [{"quarter_idx": target, "feature": names[k][0], "place": i + 1, "stock_factor": names[k][1], "macro_factor": names[k][2], "mean": mean[k], "std": std[k], "fill": fill[k], "beta": b, "intercept": my, "step": step} for i, (k, b) in enumerate(zip(picks, beta, strict=True))]
-
-        if what == "log":
-            out = [{"quarter_idx": target, "window_start": target - knobs.window, "window_end": target - 1, "selected_feature": names[r["pick"]][0], **r} for r in log]
-        elif what == "steps":
-            out = [t for r in log for t in terms(r["picks"], r["beta"], r["step"])]
-        else:
-            out = terms(picks, beta, len(picks))
-            out = out or [{"quarter_idx": target, "feature": None, "place": 0, "stock_factor": None, "macro_factor": None, "mean": 0.0, "std": 1.0, "fill": 0.0, "beta": 0.0, "intercept": my}]
+        found = select(sums, knobs)
+        head = {"quarter_idx": target, "window_start": target - knobs.window, "window_end": target - 1, "intercept": sums.my}
+        out = []
+        for step, fit in enumerate(found.steps, 1):
+            measures = {k: fit[k] for k in ("train_r2", "selection_abs_corr", "sse_improvement")}
+            for place, (k, b) in enumerate(zip(found.picks, fit["beta"], strict=False), 1):
+                out.append({**head, **measures, "step": step, "last": step == len(found.steps), "feature": names[k][0], "place": place, "stock_factor": names[k][1], "macro_factor": names[k][2], "mean": found.mean[k], "std": found.std[k], "fill": fill[k], "beta": b})
+        out = out or [{**head, "step": 0, "last": True, "feature": None, "place": 0, "stock_factor": None, "macro_factor": None, "mean": 0.0, "std": 1.0, "fill": 0.0, "beta": 0.0}]
         return pd.DataFrame(out, columns=columns)
 
     rows = _windows(quarterly, targets, knobs.window)
     if given:
         rows = rows.join(F.broadcast(filled), "target")  # a row for each target
-    return rows.groupBy("target").applyInPandas(solve, schema)
+    return rows.groupBy("target").applyInPandas(solve, FITS)
+
+
+def log_of(fitted: DataFrame) -> DataFrame:
+    """The selection log: what each step added, its coefficient at entry and the fit's measures."""
+    rows = fitted.where("place = step AND step > 0")
+    return rows.select("quarter_idx", "window_start", "window_end", "step", F.col("feature").alias("selected_feature"), F.col("beta").alias("coefficient"), "train_r2", "selection_abs_corr", "sse_improvement")
+
+
+def models_of(fitted: DataFrame) -> DataFrame:
+    """The terms of each quarter's last step."""
+    return fitted.where("last")
 
 
 _TERM = ("place", "feature", "stock_factor", "macro_factor", "mean", "std", "fill", "beta")
@@ -174,7 +214,7 @@ def _values(factors: list[str], macro: list[str]):
 
 def train_rank_ics(panel: DataFrame, steps: DataFrame, factors: list[str], macro: list[str], label: str, window: int) -> DataFrame:
     """(quarter_idx, step, train_rankic): rank correlation of each step's fit with the label over the window's labelled rows."""
-    one = steps.groupBy("quarter_idx", "step").agg(F.collect_list(F.struct(*_TERM)).alias("terms"), F.first("intercept").alias("intercept"))
+    one = steps.where("step > 0").groupBy("quarter_idx", "step").agg(F.collect_list(F.struct(*_TERM)).alias("terms"), F.first("intercept").alias("intercept"))
     one = one.groupBy("quarter_idx").agg(F.collect_list(F.struct("step", "terms", "intercept")).alias("fits"))
     maps, term = _values(factors, macro)
     rows = panel.where(F.col(label).isNotNull()).select("quarter_idx", "entity_id", F.col(label).alias("_label"), *factors, *macro)

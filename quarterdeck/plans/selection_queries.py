@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarterdeck.functions import order
 from quarterdeck.functions.stats import correlation, min_max, rounded
 from quarterdeck.operators import evaluation, macro, mcda, portfolio, preprocess, stepwise
+from quarterdeck.plans import selection_sql
 from quarterdeck.plans.panel_queries import _quarterly_sql, r6
 from quarterdeck.sources import panel as source
 from quarterdeck.sources.panel import FACTORS, MACRO, MONTHLY_SQL, PANEL_SQL
@@ -95,46 +96,98 @@ def _standardized(spark: SparkSession, d: str) -> DataFrame:
     return preprocess.standardized(rows, preprocess.train_params(rows, columns), columns).persist()
 
 
-def _selection(spark: SparkSession, d: str, what: str, knobs: stepwise.Knobs = stepwise.Knobs()) -> tuple[DataFrame, DataFrame]:
+_TARGETS = (13, 27)
+
+
+def _known(small: DataFrame) -> DataFrame:
+    """A table of a few rows for each quarter, computed once; the plan ends there."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
+def _selection(spark: SparkSession, d: str, knobs: stepwise.Knobs = stepwise.Knobs()) -> tuple[DataFrame, DataFrame]:
+    """The standardised rows, and the fits of all windows and steps (15 steps of 15 terms a quarter at most)."""
     rows = _standardized(spark, d)
     z, m = [f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO]
-    targets = spark.range(1 + knobs.window, 28).select(F.col("id").cast("int").alias("quarter_idx"))
-    return rows, stepwise.solved(stepwise.moments(rows, z, m, LABEL), targets, z, m, knobs, what)
+    targets = spark.range(_TARGETS[0], _TARGETS[1] + 1).select(F.col("id").cast("int").alias("quarter_idx"))
+    return rows, _known(stepwise.fits(stepwise.moments(rows, z, m, LABEL), targets, z, m, knobs))
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return _selection(spark, d, "log")[1]
+    return stepwise.log_of(_selection(spark, d)[1])
 
 
-@query()
+def _predicted(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    out = stepwise.predicted(rows, stepwise.models_of(fitted), [f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO])
+    return out.withColumn("prediction", rounded(F.col("prediction"), 9))
+
+
+_ROLLED = f"{_JOINED}{''.join(map(_fit_sql, _USED))}, zed AS MATERIALIZED (SELECT entity_id, entity_name, quarter_idx, split, future_return_1q AS y, " + ", ".join(f"{_z_sql(c)} AS z_{c}" for c in _USED) + f" FROM j, {', '.join(f'p_{c}' for c in _USED)}), "
+_ROLLED += selection_sql.rolling([f"composite_z_{a}__z_{b}" for a, b in _PAIRS], [f"z_{a} * z_{b}" for a, b in _PAIRS], stepwise.Knobs(), _TARGETS, stepwise.Knobs().max_features)
+_ICS = """, pr AS (SELECT p.*, split, entity_name FROM predicted p JOIN zed USING (entity_id, quarter_idx)),
+pk AS (SELECT quarter_idx, split, rank() OVER (PARTITION BY quarter_idx ORDER BY prediction) + (count(*) OVER (PARTITION BY quarter_idx, prediction) - 1) / 2.0 AS a, rank() OVER (PARTITION BY quarter_idx ORDER BY y) + (count(*) OVER (PARTITION BY quarter_idx, y) - 1) / 2.0 AS b FROM pr WHERE y IS NOT NULL),
+ics AS (SELECT quarter_idx, split, CASE WHEN count(*) >= 3 THEN corr(a, b) END AS rankic FROM pk GROUP BY ALL)"""
+
+
+def _log_sql(ctes: str) -> str:
+    return f"""{ctes}{_ICS} SELECT quarter_idx, step, window_start, window_end, selected_feature, {", ".join(f"{r6(c)} AS {c}" for c in ("coefficient", "train_r2", "selection_abs_corr", "sse_improvement", "train_rankic"))}, {r6("rankic")} AS valid_rankic_if_available
+FROM log LEFT JOIN train_ic USING (quarter_idx, step) LEFT JOIN (SELECT quarter_idx, rankic FROM ics WHERE split = 'valid') USING (quarter_idx)"""
+
+
+@query(_log_sql(_ROLLED))
 def stepwise_log(spark: SparkSession, d: str) -> DataFrame:
     """Every step of every window, with the rank correlation of its fit and that of the validation quarter's predictions."""
-    rows, steps = _selection(spark, d, "steps")
-    z, m, knobs = [f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO], stepwise.Knobs()
-    targets = spark.range(1 + knobs.window, 28).select(F.col("id").cast("int").alias("quarter_idx"))
-    sums = stepwise.moments(rows, z, m, LABEL).persist()
-    predicted = stepwise.predicted(rows, stepwise.solved(sums, targets, z, m, knobs, "model"), z, m)
+    rows, fitted = _selection(spark, d)
+    predicted = _predicted(rows, fitted)
     quarterly = evaluation.rank_ic(predicted, "prediction", LABEL).join(F.broadcast(predicted.select("quarter_idx", "split").distinct()), "quarter_idx")
-    train = stepwise.train_rank_ics(rows, steps, z, m, LABEL, knobs.window)
-    return stepwise.log_with_rank_ics(stepwise.solved(sums, targets, z, m, knobs, "log"), train, quarterly)
+    train = stepwise.train_rank_ics(rows, fitted, [f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO], LABEL, stepwise.Knobs().window)
+    return _round_all(stepwise.log_with_rank_ics(stepwise.log_of(fitted), train, quarterly))
 
 
-@query()
+#: A factor with nulls and two others: their composites take each window's median.
+_WITH_NULLS, _NULL_KNOBS = ("f_miss", "f_unit", "f_rshare"), stepwise.Knobs(max_features=3)
+_NULL_PAIRS = [(f, m) for f in _WITH_NULLS for m in MACRO]
+
+
+@query(f"""{_JOINED}, zed AS MATERIALIZED (SELECT entity_id, quarter_idx, split, future_return_1q AS y, {", ".join((*_WITH_NULLS, *MACRO))} FROM j),
+{selection_sql.rolling([f"composite_{a}__{b}" for a, b in _NULL_PAIRS], [f"{a} * {b}" for a, b in _NULL_PAIRS], _NULL_KNOBS, _TARGETS, 3)}
+SELECT quarter_idx, step, selected_feature, {", ".join(f"{r6(c)} AS {c}" for c in ("coefficient", "train_r2", "selection_abs_corr", "sse_improvement"))} FROM log""")
+def stepwise_null_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Selection over factors with nulls, which take the medians of their windows."""
+    rows, z, m = _with_macro(spark, d), list(_WITH_NULLS), list(MACRO)
+    targets = spark.range(_TARGETS[0], _TARGETS[1] + 1).select(F.col("id").cast("int").alias("quarter_idx"))
+    filled = stepwise.fills(rows, targets, z, m, LABEL, _NULL_KNOBS.window)
+    log = stepwise.log_of(stepwise.fits(stepwise.moments(rows, z, m, LABEL), targets, z, m, _NULL_KNOBS, filled))
+    return _round_all(log.drop("window_start", "window_end"))
+
+
+@query(f"""{_ROLLED}{_ICS} SELECT quarter_idx, split, entity_id, entity_name, {r6("y")} AS future_return_1q, {r6("prediction")} AS prediction, CAST(row_number() OVER (PARTITION BY quarter_idx ORDER BY prediction DESC, entity_id) AS INTEGER) AS stagewise_rank,
+{r6("(rank() OVER (PARTITION BY quarter_idx ORDER BY prediction) + (count(*) OVER (PARTITION BY quarter_idx, prediction) - 1) / 2.0) / count(*) OVER (PARTITION BY quarter_idx)")} AS stagewise_rank_pct, selected_feature_count, selected_features FROM pr""")
 def stepwise_predictions(spark: SparkSession, d: str) -> DataFrame:
-    rows, models = _selection(spark, d, "model")
-    out = stepwise.predicted(rows, models, [f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO])
-    out = order.with_ordinal(out, "prediction", "entity_id", ["quarter_idx"], "stagewise_rank")
+    out = _round_all(_ranked_predictions(spark, d))
+    return out.withColumn("stagewise_rank", F.col("stagewise_rank").cast("int"))
+
+
+def _ranked_predictions(spark: SparkSession, d: str) -> DataFrame:
+    out = order.with_ordinal(_predicted(*_selection(spark, d)), "prediction", "entity_id", ["quarter_idx"], "stagewise_rank")
     return order.with_average_rank(out, "prediction", ["quarter_idx"], "stagewise_rank_pct", pct=True).select("quarter_idx", "split", "entity_id", "entity_name", LABEL, "prediction", "stagewise_rank", "stagewise_rank_pct", "selected_feature_count", "selected_features")
 
 
-@query()
+_FREQUENCY = f"{_ROLLED}, freq AS (SELECT selected_feature, count(*) AS selected_count, {r6('avg(abs(coefficient))')} AS avg_abs_coefficient, {r6('avg(step)')} AS avg_step FROM log GROUP BY 1)"
+
+
+@query(f"{_FREQUENCY} SELECT * FROM freq")
 def feature_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return stepwise.frequency(_log(spark, d))
+    return _round_all(stepwise.frequency(_log(spark, d)))
 
 
-@query()
+_RESIDUAL = "(y - prediction)"
+_SUMMARY = [("mse", f"avg({_RESIDUAL} * {_RESIDUAL})"), ("rmse", f"sqrt(avg({_RESIDUAL} * {_RESIDUAL}))"), ("mae", f"avg(abs({_RESIDUAL}))"), ("r2", f"1 - avg({_RESIDUAL} * {_RESIDUAL}) / var_pop(y)")]
+
+
+@query(f"""{_ROLLED}{_ICS}, top AS (SELECT *, row_number() OVER (PARTITION BY quarter_idx ORDER BY prediction DESC, entity_id) AS place FROM pr)
+""" + " UNION ALL ".join([f"SELECT split, '{n}' AS metric, {r6(e)} AS value FROM pr WHERE y IS NOT NULL GROUP BY 1" for n, e in _SUMMARY] + [f"SELECT split, 'mean_rankic', {r6('avg(rankic)')} FROM ics GROUP BY 1"] + [f"SELECT split, 'top{k}_avg_return', {r6('avg(y)')} FROM top WHERE place <= {k} GROUP BY 1" for k in (10, 20, 30)]))
 def stepwise_model_summary(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.summary(stepwise_predictions(spark, d), "prediction", LABEL)
+    return _round_all(evaluation.summary(_ranked_predictions(spark, d), "prediction", LABEL))
 
 
 _STEP1 = "f_disc f_unit f_rshare f_acct".split()
@@ -257,18 +310,17 @@ def _picks(spark: SparkSession, log: DataFrame) -> DataFrame:
     return mcda.selected_features(chosen, targets, TOP_COMPOSITES)
 
 
-@query()
+@query(f"{_ROLLED} SELECT quarter_idx, selected_feature AS feature, CAST(row_number() OVER (PARTITION BY quarter_idx ORDER BY step) AS INTEGER) AS place, {r6('coefficient')} AS coefficient FROM log QUALIFY place <= {TOP_COMPOSITES}")
 def selected_composites(spark: SparkSession, d: str) -> DataFrame:
     """The composites of each quarter's net flows, with the coefficient whose sign is their direction."""
-    return _picks(spark, _log(spark, d).persist())
+    return _round_all(_picks(spark, _log(spark, d)))
 
 
 def _composite_flows(spark: SparkSession, d: str) -> DataFrame:
     """Net flows over each quarter's selected composites."""
-    rows, log = _selection(spark, d, "log")
+    rows, fitted = _selection(spark, d)
     names = stepwise.catalogue([f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO])
-    log = spark.createDataFrame(log.collect(), log.schema)  # 15 quarters of 15 steps at most; the plan ends there
-    benefit = mcda.benefits(mcda.composite_form(rows, _picks(spark, log), names)).persist()
+    benefit = mcda.benefits(mcda.composite_form(rows, _picks(spark, stepwise.log_of(fitted)), names)).persist()
     return mcda.flows(benefit, mcda.entropy_weights(benefit))
 
 
@@ -292,7 +344,12 @@ q AS (SELECT ret.*, benchmark_return, portfolio_return - benchmark_return AS exc
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    out = portfolio.hybrid_scores(_scored(spark, d), _round_all(_flows(spark, d), 9))
+    return _blended(_scored(spark, d), _flows(spark, d))
+
+
+def _blended(scored: DataFrame, flows: DataFrame) -> DataFrame:
+    """Hybrid scores of predictions and net flows, rounded so that ties are ties."""
+    out = portfolio.hybrid_scores(scored, _round_all(flows, 9))
     return out.withColumns({c: rounded(F.col(c), 9) for c in out.columns if c.startswith("hybrid")}).persist()
 
 
@@ -416,13 +473,13 @@ def factor_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(n).alias("n")) for k, n in (("stock_factor", "a"), ("macro_factor", "b"), ("composite", "c"))))))
 
 
-@query()
+@query(f"{_ROLLED} SELECT selected_feature, {', '.join(f'{r6(f'coalesce(avg(coefficient) FILTER (quarter_idx = {q}), 0)')} AS \"{q}\"' for q in range(_TARGETS[0], _TARGETS[1] + 1))} FROM log GROUP BY 1")
 def coef_heatmap(spark: SparkSession, d: str) -> DataFrame:
     """Mean coefficient by feature and quarter, 0 where a feature was not selected."""
-    return _log(spark, d).groupBy("selected_feature").pivot("quarter_idx", list(range(13, 28))).agg(F.avg("coefficient")).fillna(0.0)
+    return _round_all(_log(spark, d).groupBy("selected_feature").pivot("quarter_idx", list(range(13, 28))).agg(F.avg("coefficient")).fillna(0.0))
 
 
-@query()
+@query(f"{_FREQUENCY} SELECT * FROM freq ORDER BY selected_count DESC, selected_feature LIMIT 20")
 def top_selected_features(spark: SparkSession, d: str) -> DataFrame:
     return feature_frequency(spark, d).orderBy(F.desc("selected_count"), "selected_feature").limit(20)
 
@@ -438,8 +495,16 @@ def _sampled(scores: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(7), "quarter_idx", "entity_id"), "quarter_idx", "entity_id").limit(most)
 
 
-@query()
+def _mainline_sql() -> str:
+    """The SQL of perf_metrics, with the selected composites for its factors and the rolling predictions for its scores."""
+    _, after = SQL["perf_metrics"].split("filled AS (", 1)
+    own = after.replace("scored AS (SELECT quarter_idx, entity_id, split, future_return_1q, -f_growth AS prediction FROM panel WHERE quarter_idx >= 13)", "scored AS (SELECT quarter_idx, entity_id, split, y AS future_return_1q, prediction FROM pr)")
+    names = [f"composite_z_{a}__z_{b}" for a, b in _PAIRS]
+    return f"{_ROLLED}{_ICS}, {selection_sql.signed(names)}, long AS (SELECT * FROM picked), filled AS ({own}"
+
+
+@query(_mainline_sql())
 def mainline_performance(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain: rolling selection, predictions, entropy-weighted flows of the selected composites, hybrid scores, portfolios, measures."""
-    scores = portfolio.hybrid_scores(stepwise_predictions(spark, d), _composite_flows(spark, d)).persist()
-    return portfolio.performance(portfolio.returns(scores, portfolio.holdings(scores)))
+    scores = _blended(_ranked_predictions(spark, d), _composite_flows(spark, d))
+    return _round_all(portfolio.performance(portfolio.returns(scores, portfolio.holdings(scores))))

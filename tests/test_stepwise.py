@@ -43,8 +43,8 @@ def test_moments_give_the_same_selection_as_rows(spark):
     knobs = stepwise.Knobs(window=12, max_features=5)
     targets = spark.createDataFrame([(13,), (14,), (15,), (1,)], "quarter_idx int")
     sums = stepwise.moments(df, Z, M, "y")
-    log = stepwise.solved(sums, targets, Z, M, knobs, "log").orderBy("quarter_idx", "step").collect()
-    models = stepwise.solved(sums, targets, Z, M, knobs, "model")
+    fitted = stepwise.fits(sums, targets, Z, M, knobs)
+    log, models = stepwise.log_of(fitted).orderBy("quarter_idx", "step").collect(), stepwise.models_of(fitted)
     predicted = {(r["quarter_idx"], r["entity_id"]): r for r in stepwise.predicted(df, models, Z, M).collect()}
     names = [c for c, _, _ in stepwise.catalogue(Z, M)]
     assert {r["quarter_idx"] for r in log} == {13, 14, 15}
@@ -76,9 +76,9 @@ def test_null_factors_take_the_window_s_median(spark):
     knobs, targets = stepwise.Knobs(window=8, max_features=4), spark.createDataFrame([(9,)], "quarter_idx int")
     sums, filled = stepwise.moments(df, Z, M, "y"), stepwise.fills(df, targets, Z, M, "y", 8)
     with pytest.raises(Exception, match="fills"):
-        stepwise.solved(sums, targets, Z, M, knobs, "log").collect()
-    log = stepwise.solved(sums, targets, Z, M, knobs, "log", filled)
-    steps, models = stepwise.solved(sums, targets, Z, M, knobs, "steps", filled), stepwise.solved(sums, targets, Z, M, knobs, "model", filled)
+        stepwise.fits(sums, targets, Z, M, knobs).collect()
+    steps = stepwise.fits(sums, targets, Z, M, knobs, filled)
+    log, models = stepwise.log_of(steps), stepwise.models_of(steps)
     value = np.array([[np.nan if x is None else x for x in r[3:]] for r in rows])
     quarter, y = np.array([r[0] for r in rows]), value[:, 7]
     c = (value[:, :4, None] * value[:, None, 4:7]).reshape(len(rows), -1)
@@ -107,6 +107,43 @@ def test_nothing_to_select_predicts_the_mean(spark):
     df = spark.createDataFrame(rows, "quarter_idx int, entity_id int, a double, m1 double, y double")
     targets = spark.createDataFrame([(3,)], "quarter_idx int")
     knobs = stepwise.Knobs(window=2, min_abs_corr=0.1)
-    models = stepwise.solved(stepwise.moments(df, ["a"], ["m1"], "y"), targets, ["a"], ["m1"], knobs, "model")
+    models = stepwise.models_of(stepwise.fits(stepwise.moments(df, ["a"], ["m1"], "y"), targets, ["a"], ["m1"], knobs))
     got = stepwise.predicted(df, models, ["a"], ["m1"]).collect()
     assert {r["prediction"] for r in got} == {4.5} and {r["selected_feature_count"] for r in got} == {0}
+
+
+def test_large_means_and_nearly_equal_composites(spark):
+    """Means of a million and two factors that differ in the eighth digit, against least squares on the rows in extended precision."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for q in range(1, 5):
+        for e in range(200):
+            a, b, c = rng.standard_normal(3)
+            rows.append((q, 1e6 + a, 1e6 + a + 1e-3 * b, 1e6 + c, 2.0, 3 * a + 1e-3 * b - c + 0.1 * rng.standard_normal()))
+    df = spark.createDataFrame([tuple(map(float, r[1:])) + (r[0],) for r in rows], "a double, b double, c double, m1 double, y double, quarter_idx int")
+    targets, knobs = spark.createDataFrame([(5,)], "quarter_idx int"), stepwise.Knobs(window=4, max_features=3)
+    fitted = stepwise.fits(stepwise.moments(df, ["a", "b", "c"], ["m1"], "y"), targets, ["a", "b", "c"], ["m1"], knobs)
+    got = {r["stock_factor"]: r for r in stepwise.models_of(fitted).collect()}
+    x = np.array([[v * r[4] for v in r[1:4]] for r in rows], np.longdouble)
+    y = np.array([r[5] for r in rows], np.longdouble)
+    mean, std = x.mean(0), x.std(0)
+    q = []  # Gram-Schmidt, twice, in extended precision
+    z, coefficients = (x - mean) / std, np.zeros(3)
+    for k in range(3):
+        own = z[:, k].copy()
+        for _ in range(2):
+            own -= sum((own @ u) * u for u in q) if q else 0
+        q.append(own / np.sqrt(own @ own))
+    upper = np.array([[z[:, j] @ q[i] for j in range(3)] for i in range(3)], float)
+    coefficients = np.linalg.solve(np.triu(upper), np.array([(y - y.mean()) @ u for u in q], float))
+    assert [got[f]["beta"] for f in "abc"] == pytest.approx(coefficients.tolist(), rel=1e-5)
+    assert [got[f]["mean"] for f in "abc"] == pytest.approx(mean.astype(float).tolist(), rel=1e-14)
+
+
+def test_a_composite_that_the_picks_explain_adds_nothing(spark):
+    rng = np.random.default_rng(9)
+    rows = [(q, float(a), 2 * float(a) + 5, float(b), 1.0, float(a + 0.5 * b + 0.1 * e)) for q in (1, 2) for a, b, e in rng.standard_normal((100, 3))]
+    df = spark.createDataFrame(rows, "quarter_idx int, a double, b double, c double, m1 double, y double")
+    targets = spark.createDataFrame([(3,)], "quarter_idx int")
+    fitted = stepwise.fits(stepwise.moments(df, ["a", "b", "c"], ["m1"], "y"), targets, ["a", "b", "c"], ["m1"], stepwise.Knobs(window=2))
+    assert [r["selected_feature"] for r in stepwise.log_of(fitted).orderBy("step").collect()] == ["composite_a__m1", "composite_c__m1"]
