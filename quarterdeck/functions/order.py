@@ -10,7 +10,7 @@ from math import ceil, floor, inf
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 #: Rows of a group that one task sorts; larger groups are cut into cells, with the same results.
 ROWS_IN_TASK = 1_000_000
@@ -36,8 +36,21 @@ def _fits_a_task(rows: DataFrame, group: list[str]) -> bool:
     return (largest or 0) <= ROWS_IN_TASK
 
 
+def _with_tie_number(rows: DataFrame, group: list[str], tie: str) -> DataFrame:
+    """_tie: a number that never falls as the tie rises. That of a text is made of its six bytes after those that all texts of the group begin with."""
+    if isinstance(rows.schema[tie].dataType, NumericType):
+        return rows.withColumn("_tie", F.col(tie).cast("double"))
+    keys, raw = [f"_t{i}" for i in range(len(group))], F.col(tie).cast("binary")
+    ends = rows.groupBy(*(F.col(g).alias(k) for g, k in zip(group, keys))).agg(F.min(tie).cast("binary").alias("_low"), F.max(tie).cast("binary").alias("_high"))
+    shared = F.filter(F.sequence(F.lit(0), F.octet_length("_low")), lambda i: F.substring(F.col("_low"), F.lit(1), i) == F.substring(F.col("_high"), F.lit(1), i))
+    ends = ends.select(*keys, F.coalesce(F.size(shared) - 1, F.lit(0)).alias("_skip"))
+    out = rows.join(F.broadcast(ends), _same(zip(group, keys))).drop(*keys)  # a row per group
+    number = F.conv(F.rpad(F.hex(F.substring(raw, F.col("_skip") + 1, F.lit(6))), 12, "0"), 16, 10).cast("double")
+    return out.withColumn("_tie", number).drop("_skip")
+
+
 def celled(rows: DataFrame, group: list[str], value: str, tie: str | None = None) -> DataFrame:
-    """rows with _cell and _sub (ordered by value, then, inside one value, by a numeric tie), _alone (the cell holds one value), and
+    """rows with _cell and _sub (ordered by value, then, inside one value, by a numeric or text tie), _alone (the cell holds one value), and
     _before, _sum_before, _size (rows and sum of value in earlier cells of the group, rows in this), _n, _total (known values of the group, their sum).
 
     Null values share the last cell; null groups are a group."""
@@ -47,15 +60,18 @@ def celled(rows: DataFrame, group: list[str], value: str, tie: str | None = None
         own = Window.partitionBy(*group)
         rows = rows.withColumns({"_n": F.count(x).over(own), "_total": F.coalesce(F.sum(x).over(own), F.lit(0.0)), "_size": F.count(F.lit(1)).over(own), "_cell": x.isNull().cast("int"), "_sub": F.lit(0)})
         return rows.withColumns({"_alone": F.lit(False), "_before": F.when(x.isNull(), F.col("_n")).otherwise(F.lit(0)), "_sum_before": F.lit(0.0)})
-    ties = F.percentile_approx(F.col(tie).cast("double"), _GRID, ACCURACY) if tie and isinstance(rows.schema[tie].dataType, NumericType) else F.lit(None).cast("array<double>")
+    given = tie is not None and isinstance(rows.schema[tie].dataType, (NumericType, StringType))
+    if given:
+        rows = _with_tie_number(rows, group, tie)
+    ties = F.percentile_approx("_tie", _GRID, ACCURACY) if given else F.lit(None).cast("array<double>")
     cuts = rows.groupBy(*(F.col(g).alias(k) for g, k in zip(group, keys))).agg(F.array_distinct(F.percentile_approx(x, _GRID, ACCURACY)).alias("_cuts"), F.array_distinct(ties).alias("_ties"))
     cuts = rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
     out = rows.join(F.broadcast(cuts), _same(zip(group, keys))).drop(*keys)  # a row per group
     on_cut = F.array_contains("_cuts", x)
     cell = 2 * F.size(F.filter("_cuts", lambda c: c < x)) + on_cut.cast("int")
     out = out.withColumns({"_alone": F.coalesce(on_cut, F.lit(True)), "_cell": F.when(x.isNull(), _NULLS).otherwise(cell)})
-    sub = F.when(F.col("_alone") & F.col("_ties").isNotNull(), F.size(F.filter("_ties", lambda c: c < F.col(tie).cast("double")))) if tie else F.lit(0)
-    out = out.withColumn("_sub", F.coalesce(sub, F.lit(0))).drop("_cuts", "_ties")
+    sub = F.when(F.col("_alone") & F.col("_ties").isNotNull(), F.size(F.filter("_ties", lambda c: c < F.col("_tie")))) if given else F.lit(0)
+    out = out.withColumn("_sub", F.coalesce(sub, F.lit(0))).drop("_cuts", "_ties", "_tie")
     sizes = out.groupBy(*(F.col(g).alias(k) for g, k in zip(group, keys)), F.col("_cell").alias("_c"), F.col("_sub").alias("_s")).agg(F.count(F.lit(1)).alias("_size"), F.count(x).alias("_known"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_sum"))
     own = Window.partitionBy(*keys)  # a row per cell
     earlier = own.orderBy("_c", "_s").rowsBetween(Window.unboundedPreceding, -1)

@@ -103,13 +103,29 @@ def mapping(panel_quarters: DataFrame, macro: DataFrame) -> DataFrame:
 
 
 def with_macro(panel: DataFrame, macro: DataFrame, series: list[str], lag: int = 0) -> DataFrame:
-    """Many-to-one left join on the quarter; raises if a quarter has two macro rows or a value is missing."""
-    if not macro.groupBy("quarter_idx").count().where("count > 1").isEmpty():
-        raise ValueError("macro has several rows of one quarter")
-    right = macro.select((F.col("quarter_idx") + lag).alias("quarter_idx"), *series)
-    missing = F.greatest(*(F.col(c).isNull().cast("int") for c in series))
+    """Many-to-one left join on the quarter; raises, as it is read, if a quarter of the panel has two macro rows or a value is missing.
+
+    The macro rows of a quarter are counted by the shuffle that the join needs; nothing runs before."""
+    right = macro.groupBy((F.col("quarter_idx") + lag).alias("quarter_idx")).agg(*(F.first(c).alias(c) for c in series), F.count(F.lit(1)).alias("_rows"))
+    missing = F.greatest(*(F.col(c).isNull().cast("int") for c in series), F.lit(0))
     joined = panel.join(right, "quarter_idx", "left")
-    return joined.where(F.assert_true(missing == 0, F.lit("a quarter of the panel has no macro value")).isNull())
+    known = joined.where(F.assert_true(F.coalesce("_rows", F.lit(1)) == 1, F.lit("macro has several rows of one quarter")).isNull())
+    return known.where(F.assert_true(missing == 0, F.lit("a quarter of the panel has no macro value")).isNull()).drop("_rows")
+
+
+def projected(rows: DataFrame, series: list[str]) -> DataFrame:
+    """The key, the period and date where there are any, and the series, of whatever table has them; raises where a series is missing.
+
+    Without quarter_idx, rows are numbered by period, or else by date; a row for each quarter."""
+    absent = [c for c in series if c not in rows.columns]
+    if absent:
+        raise ValueError(f"macro has no {', '.join(absent)}")
+    known = [c for c in ("quarter_period", "date") if c in rows.columns]
+    if "quarter_idx" not in rows.columns:
+        if not known:
+            raise ValueError("macro has neither quarter_idx nor a period or date to number its rows by")
+        rows = rows.withColumn("quarter_idx", F.row_number().over(Window.orderBy(known[0])))
+    return rows.select("quarter_idx", *known, *series)
 
 
 def catalogue(monthly: list[str], native: list[str], defined: DataFrame) -> DataFrame:

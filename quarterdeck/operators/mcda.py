@@ -47,6 +47,13 @@ def entropy_weights(benefit: DataFrame) -> DataFrame:
     return by.select("quarter_idx", "feature", "entropy", F.when(total <= EPS, F.try_divide(F.lit(1.0), F.count(F.lit(1)).over(quarter))).otherwise(F.try_divide(F.col("d"), total)).alias("weight"))
 
 
+def weight_log(weights: DataFrame, picks: DataFrame) -> DataFrame:
+    """Entropy and weight of each quarter's features with the coefficient whose sign is their direction (0, so positive, where none is known)."""
+    given = picks.select("quarter_idx", "feature", F.col("coefficient").alias("coefficient_for_direction"))
+    rows = weights.join(given, ["quarter_idx", "feature"], "left").withColumn("coefficient_for_direction", F.coalesce("coefficient_for_direction", F.lit(0.0)))
+    return rows.withColumn("direction", F.when(F.col("coefficient_for_direction") >= 0, "positive").otherwise("negative"))
+
+
 def flows(benefit: DataFrame, weights: DataFrame) -> DataFrame:
     """phi_plus, phi_minus and net_flow of linear preference max(0, a - b), by sorted prefix sums and no pairs."""
     rows = with_prefix(benefit, "benefit", ["quarter_idx", "feature"], "lower", "before").withColumnsRenamed({"_n": "n", "_total": "total"})

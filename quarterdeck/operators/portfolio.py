@@ -28,14 +28,19 @@ def display_name(strategy: Column) -> Column:
     return strategy
 
 
+def _keyed(rows: DataFrame, values: list[str]) -> DataFrame:
+    """values by _key, quarter and entity as one value (so that nulls are equal); raises, as it is read, where a key is repeated. A join on the
+    key needs no further shuffle."""
+    one = rows.groupBy(F.struct("quarter_idx", "entity_id").alias("_key")).agg(*(F.first(c).alias(c) for c in values), F.count(F.lit(1)).alias("_n"))
+    return one.where(F.assert_true(F.col("_n") == 1, F.lit("quarter and entity are not unique")).isNull()).drop("_n")
+
+
 def hybrid_scores(model: DataFrame, flow: DataFrame) -> DataFrame:
     """Inner join of one row each on quarter and entity (nulls match nulls, repeated keys raise), percentile ranks, and their blends.
 
     In hybrid_score_70_30 the first number is the weight of the net flow's rank."""
-    left, right = model.select("quarter_idx", "entity_id", "split", "future_return_1q", "prediction"), flow.select(F.col("quarter_idx").alias("_q"), F.col("entity_id").alias("_e"), "net_flow")
-    n = F.count(F.lit(1)).over(Window.partitionBy("quarter_idx", "entity_id"))
-    both = left.join(right, F.col("quarter_idx").eqNullSafe(F.col("_q")) & F.col("entity_id").eqNullSafe(F.col("_e"))).drop("_q", "_e")
-    both = both.withColumn("_n", n).where(F.assert_true(F.col("_n") == 1, F.lit("quarter and entity are not unique")).isNull()).drop("_n")
+    both = _keyed(model, ["split", "future_return_1q", "prediction"]).join(_keyed(flow, ["net_flow"]), "_key")
+    both = both.select("_key.quarter_idx", "_key.entity_id", "split", "future_return_1q", "prediction", "net_flow")
     both = with_average_rank(both, "prediction", ["quarter_idx"], "pure_stagewise_score", pct=True)
     both = with_average_rank(both, "net_flow", ["quarter_idx"], "pure_promethee_score", pct=True)
     s, p = F.col("pure_stagewise_score"), F.col("pure_promethee_score")

@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.order import quantiles
-from quarterdeck.functions.stats import average_rank, correlation
+from quarterdeck.functions.order import quantiles, with_average_rank
+from quarterdeck.functions.stats import correlation
 
 TERM = "feature string, place int, stock_factor string, macro_factor string, mean double, std double, fill double, beta double, intercept double"
 STEP = "train_r2 double, selection_abs_corr double, sse_improvement double"
@@ -220,8 +220,9 @@ def train_rank_ics(panel: DataFrame, steps: DataFrame, factors: list[str], macro
     rows = panel.where(F.col(label).isNotNull()).select("quarter_idx", "entity_id", F.col(label).alias("_label"), *factors, *macro)
     rows = F.broadcast(one.withColumnRenamed("quarter_idx", "target")).join(rows, F.col("quarter_idx").between(F.col("target") - window, F.col("target") - 1)).withColumns(maps)
     fitted = F.transform("fits", lambda f: F.struct(f["step"].alias("step"), F.aggregate(f["terms"], f["intercept"], lambda a, t: a + term(t)).alias("fit")))
-    rows = rows.withColumn("_y", average_rank("_label", "target")).select("target", "_y", F.explode(fitted).alias("f")).select("target", "_y", "f.step", "f.fit")
-    rows = rows.withColumn("_p", average_rank("fit", "target", "step"))
+    # a label is ranked once in a window, not once in a step; large windows are ranked by cells
+    rows = with_average_rank(rows.select("target", "_label", fitted.alias("_fits")), "_label", ["target"], "_y").select("target", "_y", F.inline("_fits"))
+    rows = with_average_rank(rows, "fit", ["target", "step"], "_p")
     return rows.groupBy("target", "step").agg(correlation(F.col("_p"), F.col("_y"), least=3).alias("train_rankic")).withColumnRenamed("target", "quarter_idx")
 
 

@@ -145,6 +145,12 @@ def macro_quarter_mean(spark: SparkSession, d: str) -> DataFrame:
     return _macro(spark, d, "quarter_mean")
 
 
+@query(f"WITH {MONTHLY_SQL}, e AS ({_quarterly_sql(False)}) SELECT quarter_idx, quarter_period, date, {', '.join(MACRO)} FROM e")
+def macro_source(spark: SparkSession, d: str) -> DataFrame:
+    """Key, period, date and series of a macro table that has other columns and no number of its quarters."""
+    return macro.projected(_macro(spark, d, "quarter_end").drop("quarter_idx"), list(MACRO))
+
+
 _DUAL = f"WITH {MONTHLY_SQL}, e AS ({_quarterly_sql(False)}), m AS ({_quarterly_sql(True)})"
 
 

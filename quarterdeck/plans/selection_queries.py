@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.functions import order
-from quarterdeck.functions.stats import correlation, min_max, rounded
+from quarterdeck.functions.stats import clipped, correlation, min_max, rounded
 from quarterdeck.operators import evaluation, macro, mcda, portfolio, preprocess, stepwise
 from quarterdeck.plans import selection_sql
 from quarterdeck.plans.panel_queries import _quarterly_sql, r6
@@ -293,37 +293,54 @@ def promethee_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("quarter_idx", "entity_id", F.col("promethee_rank").cast("int").alias("promethee_rank"))
 
 
-@query("""SELECT quarter_idx, feature, place, CAST(coefficient AS DOUBLE) AS coefficient FROM (VALUES (1, 'a', 1, 0.5), (1, 'b', 2, 0.1), (2, 'a', 1, 0.5), (2, 'b', 2, 0.1), (3, 'c', 1, 0.2), (4, 'a', 1, 0.5), (4, 'c', 2, 0.2)) t(quarter_idx, feature, place, coefficient)""")
-def selected_features(spark: SparkSession, d: str) -> DataFrame:
-    """Own picks for quarters 1 and 3 and those of the past for 2 and 4, of two features at most."""
-    picks = spark.createDataFrame([(1, "a", 1, 0.5), (1, "b", 2, 0.1), (3, "c", 1, 0.2)], "quarter_idx int, feature string, step int, coefficient double")
-    return mcda.selected_features(picks, spark.range(1, 5).select(F.col("id").cast("int").alias("quarter_idx")), 2)
-
-
 #: Composites of a quarter that the net flows use at most, as published.
 TOP_COMPOSITES = 20
 
 
-def _picks(spark: SparkSession, log: DataFrame) -> DataFrame:
+def _picks(spark: SparkSession, log: DataFrame, last: int = _TARGETS[1]) -> DataFrame:
     chosen = log.select("quarter_idx", F.col("selected_feature").alias("feature"), "step", "coefficient")
-    targets = spark.range(1 + stepwise.Knobs().window, 28).select(F.col("id").cast("int").alias("quarter_idx"))
+    targets = spark.range(_TARGETS[0], last + 1).select(F.col("id").cast("int").alias("quarter_idx"))
     return mcda.selected_features(chosen, targets, TOP_COMPOSITES)
 
 
+@query(f"""{_ROLLED}, past AS (SELECT t.q AS quarter_idx, selected_feature AS feature, count(*) AS n, avg(abs(coefficient)) AS strength, avg(coefficient) AS coefficient FROM (SELECT CAST(i AS INTEGER) AS q FROM range(28, 31) r(i)) t JOIN log ON quarter_idx < t.q GROUP BY ALL),
+listed AS (SELECT quarter_idx, selected_feature AS feature, CAST(row_number() OVER (PARTITION BY quarter_idx ORDER BY step) AS INTEGER) AS place, coefficient FROM log
+UNION ALL SELECT quarter_idx, feature, CAST(row_number() OVER (PARTITION BY quarter_idx ORDER BY n DESC, strength DESC, feature) AS INTEGER), coefficient FROM past)
+SELECT quarter_idx, feature, place, {r6('coefficient')} AS coefficient FROM listed WHERE place <= {TOP_COMPOSITES}""")
+def selected_features(spark: SparkSession, d: str) -> DataFrame:
+    """Own picks of the quarters with a selection, and for 28 to 30, which have none, the composites picked most often before."""
+    return _round_all(_picks(spark, _log(spark, d), 30))
+
+
 @query(f"{_ROLLED} SELECT quarter_idx, selected_feature AS feature, CAST(row_number() OVER (PARTITION BY quarter_idx ORDER BY step) AS INTEGER) AS place, {r6('coefficient')} AS coefficient FROM log QUALIFY place <= {TOP_COMPOSITES}")
 def selected_composites(spark: SparkSession, d: str) -> DataFrame:
     """The composites of each quarter's net flows, with the coefficient whose sign is their direction."""
     return _round_all(_picks(spark, _log(spark, d)))
 
 
+def _composite_benefits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Benefits of each quarter's selected composites, and the picks."""
+    rows, fitted = _selection(spark, d)
+    names, picks = stepwise.catalogue([f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO]), _picks(spark, stepwise.log_of(fitted))
+    return mcda.benefits(mcda.composite_form(rows, picks, names)).persist(), picks
+
+
 def _composite_flows(spark: SparkSession, d: str) -> DataFrame:
     """Net flows over each quarter's selected composites."""
-    rows, fitted = _selection(spark, d)
-    names = stepwise.catalogue([f"z_{f}" for f in ELIGIBLE], [f"z_{x}" for x in MACRO])
-    benefit = mcda.benefits(mcda.composite_form(rows, _picks(spark, stepwise.log_of(fitted)), names)).persist()
+    benefit, _ = _composite_benefits(spark, d)
     return mcda.flows(benefit, mcda.entropy_weights(benefit))
 
 
+_PICKED = f"{_ROLLED}, {selection_sql.signed([f'composite_z_{a}__z_{b}' for a, b in _PAIRS])}, long AS (SELECT * FROM picked), filled AS ({_BENEFIT.split('filled AS (', 1)[1]}"
+
+
+@query(f"{_PICKED} SELECT we.quarter_idx, feature, {r6('entropy')} AS entropy, {r6('weight')} AS weight, {r6('coefficient')} AS coefficient_for_direction, CASE WHEN coefficient >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM we JOIN log ON log.quarter_idx = we.quarter_idx AND selected_feature = feature")
+def promethee_weight_log(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy, weight and direction of every selected composite of every quarter."""
+    benefit, picks = _composite_benefits(spark, d)
+    return _round_all(mcda.weight_log(mcda.entropy_weights(benefit), picks))
+
+
 # --- hybrid scores, portfolios, ratings --------------------------------------------------------------------------------
 
 _HYBRID = f"""{_FLOWS}, scored AS (SELECT quarter_idx, entity_id, split, future_return_1q, -f_growth AS prediction FROM panel WHERE quarter_idx >= 13), h0 AS (SELECT scored.*, round(net_flow, 9) AS net_flow FROM scored JOIN fl USING (quarter_idx, entity_id)),
@@ -445,11 +462,20 @@ def grade_quarter_pivot(spark: SparkSession, d: str) -> DataFrame:
     return _round_all(_rated(spark, d).groupBy("quarter_idx").pivot("rating", list(GRADES)).agg(F.avg(LABEL)).select("quarter_idx", *(F.col(f"`{g}`") for g in GRADES)))
 
 
-@query(f"{_PERF}, m AS (SELECT strategy, cumulative_return AS x FROM pm WHERE scope = 'all') SELECT strategy, {r6('CASE WHEN max(x) OVER () - min(x) OVER () < 1e-12 THEN 0.5 ELSE (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) END')} AS cumulative_return_norm FROM m")
+_PROFILE = ("annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "win_rate", "average_turnover")
+
+
+def _profile_sql() -> str:
+    scaled = ", ".join(f"{r6(f'CASE WHEN max({c}) OVER () - min({c}) OVER () < 1e-12 THEN 0.5 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END')} AS {c}" for c in _PROFILE)
+    return f"""{_PERF}, m AS (SELECT strategy, pow(1 + cumulative_return, 4.0 / period_count) - 1 AS annualized_return, annualized_volatility, (pow(1 + cumulative_return, 4.0 / period_count) - 1) / annualized_volatility AS sharpe_ratio, max_drawdown, win_rate, average_turnover FROM pm JOIN dd USING (scope, strategy) WHERE scope = 'all')
+SELECT strategy, {scaled} FROM m"""
+
+
+@query(_profile_sql())
 def metric_profile(spark: SparkSession, d: str) -> DataFrame:
-    """A metric of each strategy on a common scale; a row for each strategy, so one window over all is small."""
+    """Six measures of each strategy on a common scale; a row for each strategy, so one window over all is small."""
     rows = portfolio.performance(_returns(spark, d)).where("scope = 'all'")
-    return rows.select("strategy", rounded(min_max(F.col("cumulative_return"), Window.partitionBy())).alias("cumulative_return_norm"))
+    return rows.select("strategy", *(rounded(min_max(F.col(c), Window.partitionBy())).alias(c) for c in _PROFILE))
 
 
 @query(f"{_PERF} SELECT strategy, {r6('annualized_volatility')} AS annualized_volatility, {r6('pow(1 + cumulative_return, 4.0 / period_count) - 1')} AS annualized_return FROM pm WHERE scope = 'all'")
@@ -486,8 +512,12 @@ def top_selected_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def score_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Rows for the scatter of the two scores, coloured by the label: all that have the three, or a seeded sample of 6000, as the figure shows."""
-    return _sampled(_hybrid(spark, d), 6000)
+    """Rows for the scatter of the two scores, coloured by the label: all that have the three, or a seeded sample of 6000, as the figure shows.
+
+    colour is the label within its 2 and 98 % bounds."""
+    rows = _sampled(_hybrid(spark, d), 6000)
+    bounds = rows.agg(F.percentile(LABEL, F.array(F.lit(0.02), F.lit(0.98))).alias("_bounds"))  # of 6000 values at most
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("colour", clipped(F.col(LABEL), F.get("_bounds", F.lit(0)), F.get("_bounds", F.lit(1)))).drop("_bounds")
 
 
 def _sampled(scores: DataFrame, most: int) -> DataFrame:

@@ -89,9 +89,19 @@ def keyword_snippet(text: Column, keyword: str, around: int = 40) -> Column:
     return F.when(at > 0, F.substring(flat, start, at - start + len(keyword) + around))
 
 
-def write_panel(df: DataFrame, path: str) -> None:
-    """Parquet by quarter, so that a later filter on quarter_idx reads those folders alone."""
-    df.repartition("quarter_idx").write.mode("overwrite").partitionBy("quarter_idx").parquet(path)
+#: Rows of a file of a panel, and of a writer.
+FILE_ROWS = 5_000_000
+
+
+def write_panel(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Parquet by quarter, so that a later filter on quarter_idx reads those folders alone.
+
+    A quarter is dealt to writers by its number of rows, so that none writes much more than file_rows and no file holds more."""
+    counts = df.groupBy(F.col("quarter_idx").alias("_q")).agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("_writers"))
+    writers = counts.agg(F.sum("_writers")).first()[0] or 1
+    dealt = df.join(F.broadcast(counts), F.col("quarter_idx").eqNullSafe(F.col("_q"))).drop("_q")  # a row per quarter
+    dealt = dealt.withColumn("_writer", F.pmod(F.xxhash64(*df.columns), F.col("_writers"))).repartition(int(writers), "quarter_idx", "_writer")
+    dealt.select(df.columns).write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy("quarter_idx").parquet(path)
 
 
 def write_records(frames: list[DataFrame], order: list[str], path: str, mark: bool = False) -> None:

@@ -77,3 +77,15 @@ def test_empty(spark, in_task):
     assert order.with_ordinal(none, "x", "e", ["g"], "o").count() == 0
     assert [tuple(r) for r in order.quantiles(none, ["x"], (0.5,)).collect()] == [(None,)]
     assert order.quantiles(none, ["x"], (0.5,), ("g",)).count() == 0
+
+
+def test_equal_scores_under_text_ids_are_split(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS_IN_TASK", 0)
+    ids = [f"SH{k:06d}" for k in range(6000)]
+    random.Random(4).shuffle(ids)
+    df = spark.createDataFrame([(1, e, 0.5) for e in ids] + [(2, "é", 0.5), (2, "", 0.5), (2, None, 0.5), (3, "a", None)], "g int, e string, x double")
+    cells = order.celled(df, ["g"], "x", "e").groupBy("g", "_cell", "_sub").count()
+    assert cells.agg(F.max("count")).first()[0] < 100
+    got = {(r["g"], r["e"]): r["o"] for r in order.with_ordinal(df, "x", "e", ["g"], "o").collect()}
+    assert [got[1, e] for e in sorted(ids)] == list(range(1, 6001))
+    assert (got[2, None], got[2, ""], got[2, "é"]) == (1, 2, 3)

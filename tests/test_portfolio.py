@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarterdeck.operators import portfolio
+from quarterdeck.operators import macro, portfolio
 
 #: Published quarterly returns of one strategy and of the benchmark, quarters 13 to 30, in percent, and the turnover.
 PORTFOLIO = [-12.873576572665254, -2.6385514618926433, 5.726122996071049, -0.4636277542051226, 21.234406585081395, 18.201431820822357, 29.674794266904065, -6.673012723757222, 33.12681967424269, 0.05162673478435105, 4.095889221159005, -13.643910234204727, 18.02920516050336, -12.114279030155739, -3.21491396733208, 1.9849381100938375, -4.801534397191962, -5.552949168216482]
@@ -52,3 +52,25 @@ def test_hybrid_rejects_repeated_keys(spark):
     flow = spark.createDataFrame([(1, 1, 0.1)], "quarter_idx int, entity_id long, net_flow double")
     with pytest.raises(Exception, match="not unique"):
         portfolio.hybrid_scores(model, flow).collect()
+
+
+def test_validated_joins_take_one_exchange_a_side(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = spark.createDataFrame([(1, 1, "train", 0.1, 0.2), (1, None, "train", 0.3, 0.4)], "quarter_idx int, entity_id long, split string, future_return_1q double, prediction double")
+        flow = spark.createDataFrame([(1, 1, 0.5), (1, None, 0.6)], "quarter_idx int, entity_id long, net_flow double")
+        both = portfolio._keyed(model, ["prediction"]).join(portfolio._keyed(flow, ["net_flow"]), "_key")
+        assert both.count() == 2
+        assert both._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 0
+        assert both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
+        panel = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "quarter_idx int, e string")
+        series = spark.createDataFrame([(1, 5.0), (2, 6.0), (2, 7.0), (9, None)], "quarter_idx int, m double")
+        with pytest.raises(Exception, match="several rows"):
+            macro.with_macro(panel, series, ["m"]).collect()
+        with pytest.raises(Exception, match="no macro value"):
+            macro.with_macro(panel, series.where("quarter_idx <> 2"), ["m"]).collect()
+        assert macro.with_macro(panel, series.where("m <> 7"), ["m"]).count() == 3
+        with pytest.raises(ValueError, match="macro has no m2"):
+            macro.projected(series, ["m2"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,13 @@ def test_windowed_counts_drop_late_events(spark, tmp_path):
     stream = windows.windowed_counts(events, "at", "k").writeStream.format("memory").queryName("windowed").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     stream.awaitTermination(120)
     assert sorted((r["k"], r["events"]) for r in spark.table("windowed").collect()) == [("a", 2), ("b", 2)]  # a batch uses the watermark of the batch before last
+
+
+def test_a_large_quarter_has_several_writers(spark, tmp_path):
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, 1).when(F.col("id") < 2900, 2).when(F.col("id") < 2990, 3).alias("quarter_idx"), "id")
+    files.write_panel(df, str(tmp_path / "p"), file_rows=200)
+    folders = {q: [len(pq.read_table(f, partitioning=None)) for f in (tmp_path / "p" / f"quarter_idx={q}").glob("*.parquet")] for q in ("1", "2", "3", "__HIVE_DEFAULT_PARTITION__")}
+    assert {q: sum(n) for q, n in folders.items()} == {"1": 2000, "2": 900, "3": 90, "__HIVE_DEFAULT_PARTITION__": 10}
+    assert max(map(max, folders.values())) <= 200 and len(folders["1"]) >= 10 and len(folders["3"]) == 1
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).select("quarter_idx", "id").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    files.write_panel(df.limit(0), str(tmp_path / "none"))
