@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.order import quantiles, with_average_rank
-from quarterdeck.functions.stats import correlation
+from quarterdeck.functions.order import ROWS_IN_TASK, quantiles, with_average_rank
+from quarterdeck.functions.stats import average_rank, correlation
 
 TERM = "feature string, place int, stock_factor string, macro_factor string, mean double, std double, fill double, beta double, intercept double"
 STEP = "train_r2 double, selection_abs_corr double, sse_improvement double"
@@ -212,17 +212,41 @@ def _values(factors: list[str], macro: list[str]):
     return {"_z": z, "_m": m}, term
 
 
+def lines(panel: DataFrame, steps: DataFrame, factors: list[str], macro: list[str], window: int) -> DataFrame:
+    """Each step's fit as a line in the factors, a row for each target quarter, step and quarter of its window.
+
+    Within a quarter the macro values are constants: c, and for each factor a slope w, and u, what its composites add where it is null."""
+    series = panel.groupBy("quarter_idx").agg(*(F.first(m).alias(m) for m in macro))
+    terms = steps.where("step > 0").withColumnRenamed("quarter_idx", "target")
+    near = terms.join(F.broadcast(series), F.col("quarter_idx").between(F.col("target") - window, F.col("target") - 1))  # a row per quarter
+    m = F.element_at(F.create_map(*(x for c in macro for x in (F.lit(c), F.col(c)))), F.col("macro_factor"))
+    near = near.withColumns({"_m": m, "_b": F.coalesce(F.col("beta") / F.col("std"), F.lit(0.0))})
+    own = {f: (F.col("stock_factor") == f) & F.col("_m").isNotNull() for f in factors}
+    fixed = F.col("_b") * F.when(F.col("_m").isNull(), F.col("fill") - F.col("mean")).otherwise(-F.col("mean"))
+    return near.groupBy("target", "quarter_idx", "step").agg(
+        (F.first("intercept") + F.sum(fixed)).alias("_c"),
+        *(F.coalesce(F.sum(F.when(own[f], F.col("_b") * F.col("_m"))), F.lit(0.0)).alias(f"_w_{f}") for f in factors),
+        *(F.coalesce(F.sum(F.when(own[f], F.col("_b") * F.col("fill"))), F.lit(0.0)).alias(f"_u_{f}") for f in factors),
+    )
+
+
 def train_rank_ics(panel: DataFrame, steps: DataFrame, factors: list[str], macro: list[str], label: str, window: int) -> DataFrame:
-    """(quarter_idx, step, train_rankic): rank correlation of each step's fit with the label over the window's labelled rows."""
-    one = steps.where("step > 0").groupBy("quarter_idx", "step").agg(F.collect_list(F.struct(*_TERM)).alias("terms"), F.first("intercept").alias("intercept"))
-    one = one.groupBy("quarter_idx").agg(F.collect_list(F.struct("step", "terms", "intercept")).alias("fits"))
-    maps, term = _values(factors, macro)
-    rows = panel.where(F.col(label).isNotNull()).select("quarter_idx", "entity_id", F.col(label).alias("_label"), *factors, *macro)
-    rows = F.broadcast(one.withColumnRenamed("quarter_idx", "target")).join(rows, F.col("quarter_idx").between(F.col("target") - window, F.col("target") - 1)).withColumns(maps)
-    fitted = F.transform("fits", lambda f: F.struct(f["step"].alias("step"), F.aggregate(f["terms"], f["intercept"], lambda a, t: a + term(t)).alias("fit")))
-    # a label is ranked once in a window, not once in a step; large windows are ranked by cells
-    rows = with_average_rank(rows.select("target", "_label", fitted.alias("_fits")), "_label", ["target"], "_y").select("target", "_y", F.inline("_fits"))
-    rows = with_average_rank(rows, "fit", ["target", "step"], "_p")
+    """(quarter_idx, step, train_rankic): rank correlation of each step's fit with the label over the window's labelled rows.
+
+    A label is ranked once in a window, not once in a step. Windows beyond what a task sorts are ranked by cells."""
+    known = panel.where(F.col(label).isNotNull())
+    sizes = {r["quarter_idx"]: r["n"] for r in known.groupBy("quarter_idx").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per quarter
+    largest = max((sum(n for q, n in sizes.items() if t - window <= q < t) for t in range(min(sizes), max(sizes) + 2)), default=0) if sizes else 0
+
+    def ranked(rows: DataFrame, value: str, group: list[str], name: str) -> DataFrame:
+        return with_average_rank(rows, value, group, name) if largest > ROWS_IN_TASK else rows.withColumn(name, average_rank(value, *group))
+
+    fitted = lines(panel, steps, factors, macro, window)
+    fitted = fitted.groupBy("target", "quarter_idx").agg(F.collect_list(F.struct(*(c for c in fitted.columns if c not in ("target", "quarter_idx")))).alias("_lines"))
+    rows = known.select("quarter_idx", F.col(label).alias("_label"), *factors).join(F.broadcast(fitted), "quarter_idx")  # a row per target and quarter
+    rows = ranked(rows, "_label", ["target"], "_y").select("target", "_y", *factors, F.inline("_lines"))
+    fit = sum((F.when(F.col(f).isNull(), F.col(f"_u_{f}")).otherwise(F.col(f) * F.col(f"_w_{f}")) for f in factors), F.col("_c"))
+    rows = ranked(rows.select("target", "step", "_y", fit.alias("fit")), "fit", ["target", "step"], "_p")
     return rows.groupBy("target", "step").agg(correlation(F.col("_p"), F.col("_y"), least=3).alias("train_rankic")).withColumnRenamed("target", "quarter_idx")
 
 

@@ -62,7 +62,7 @@ def test_moments_give_the_same_selection_as_rows(spark):
             assert got["selected_feature_count"] == len(picks)
 
 
-def test_null_factors_take_the_window_s_median(spark):
+def test_null_factors_take_the_window_s_median(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = []
     for q in range(1, 10):
@@ -97,6 +97,9 @@ def test_null_factors_take_the_window_s_median(spark):
         a = design[:, : k + 2]
         fit = a @ np.linalg.lstsq(a, y[train], rcond=None)[0]
         assert r["train_rankic"] == pytest.approx(np.corrcoef(pd.Series(fit).rank(), pd.Series(y[train]).rank())[0, 1], abs=1e-9)
+    monkeypatch.setattr(stepwise, "ROWS_IN_TASK", 0)
+    by_cells = {r["step"]: r["train_rankic"] for r in stepwise.train_rank_ics(df, steps, Z, M, "y", 8).collect()}
+    assert by_cells == pytest.approx({r["step"]: r["train_rankic"] for r in out}, abs=1e-9)
     both = np.isfinite(y[quarter == 9])
     valid = np.corrcoef(pd.Series(expected[both]).rank(), pd.Series(y[quarter == 9][both]).rank())[0, 1]
     assert [r["valid_rankic_if_available"] for r in out] == pytest.approx([valid] * len(out), abs=1e-9)
