@@ -1,6 +1,5 @@
 """Names, types, roles and eligibility of columns: rules on schemas, and small tables of their outcome."""
 
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -122,7 +121,3 @@ def conversion_log(df: DataFrame, columns: list[str]) -> DataFrame:
     out = named.join(F.broadcast(counts), "column", "left").join(F.broadcast(examples), F.col("column") == F.col("_c"), "left")  # a row per column
     n, bad = F.coalesce("n", F.lit(0)), F.coalesce("failed", F.lit(0))
     return out.select("column", n.alias("non_missing"), bad.alias("failed"), (n - bad).alias("success"), F.round(F.try_divide((n - bad).cast("double"), n), 6).alias("ratio"), F.coalesce("examples", F.lit("")).alias("examples"), F.when(n > bad, "numeric").otherwise("string").alias("action"))
-
-
-def strategy_label(name: str) -> str:
-    return re.sub(r"_+", " ", name.replace("pure_", "").replace("_score", "").replace("hybrid", "mix")).strip()
