@@ -1,9 +1,12 @@
 """Audits: temporal split, coverage, leakage, problem scan, macro resolution, assumption ledger, expectations."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarterdeck.operators.schema import is_return_like
+from quarterdeck.operators.schema import RETURN_TOKENS
 
 ISSUE = ("issue", "category", "severity", "priority", "assertion")
 
@@ -41,12 +44,12 @@ def uncovered_quarters(panel: DataFrame, macro: DataFrame) -> DataFrame:
 
 
 def final_features(strategy: DataFrame, prohibited: list[str]) -> DataFrame:
-    """Every column with included_in_X and the first reason against it: prohibited, return-like, its action."""
-    names = [r["column"] for r in strategy.select("column").distinct().collect()]  # columns of a table, not its rows
-    returns = [n for n in names if is_return_like(n, "preprocess")]
-    banned, like, used = F.col("column").isin(prohibited), F.col("column").isin(returns), F.col("feature_action") == "transform_as_factor"
+    """Every column with its strategies, if given, included_in_X and the first reason against it: prohibited, return-like, its action."""
+    like = reduce(or_, (F.lower("column").contains(t) for t in RETURN_TOKENS["preprocess"]))
+    banned, used = F.col("column").isin(prohibited), F.col("feature_action") == "transform_as_factor"
+    shape = [c for c in ("scaling_strategy", "transform_strategy", "risk_flags") if c in strategy.columns]
     reason = F.when(banned, "prohibited_or_leakage_guard").when(like, "return_like_excluded").when(~used, F.concat(F.lit("feature_action="), "feature_action")).otherwise("")
-    return strategy.select("column", "role", "feature_action", (used & ~banned & ~like).alias("included_in_X"), like.alias("is_return_like"), banned.alias("is_prohibited"), reason.alias("exclusion_reason"))
+    return strategy.select("column", "role", "feature_action", *shape, (used & ~banned & ~like).alias("included_in_X"), like.alias("is_return_like"), banned.alias("is_prohibited"), reason.alias("exclusion_reason"))
 
 
 def leakage_report(features: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarterdeck.operators.profile import filled
+
 #: Tokens that mark a growth series, in its name or its definition.
 GROWTH_TOKENS = ("gr", "growth", "同比", "增速", "增长")
 
@@ -128,14 +130,30 @@ def projected(rows: DataFrame, series: list[str]) -> DataFrame:
     return rows.select("quarter_idx", *known, *series)
 
 
-def catalogue(monthly: list[str], native: list[str], defined: DataFrame) -> DataFrame:
-    """Every series of either source or the definitions, with what is missing: defined_no_data, data_no_definition, monthly_only, quarterly_only or ok."""
-    spark = defined.sparkSession
-    data = spark.createDataFrame([(x, x in monthly, x in native) for x in sorted({*monthly, *native})], "series string, in_monthly boolean, in_quarterly boolean")
-    both = data.join(defined, "series", "full")
-    held = F.coalesce("in_monthly", F.lit(False)), F.coalesce("in_quarterly", F.lit(False))
+def definitions(rows: DataFrame) -> DataFrame:
+    """series, definition and frequency from a sheet of definitions (acronym, variable, definition, frequency): trimmed, without rows that have no acronym; the variable where a definition is blank."""
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    return rows.select(text("acronym").alias("series"), F.coalesce(text("definition"), text("variable")).alias("definition"), text("frequency").alias("frequency")).where("series IS NOT NULL")
+
+
+def catalogue(monthly: DataFrame, native: DataFrame, months: list[str], quarters: list[str], defined: DataFrame) -> DataFrame:
+    """Every series of either source or the definitions, its values in each, and what is missing: defined_no_data, data_no_definition, monthly_only, quarterly_only or ok.
+
+    A series is in a source where that has a value of it."""
+    data = filled(monthly, months).withColumnRenamed("n_values", "n_monthly").join(filled(native, quarters).withColumnRenamed("n_values", "n_quarterly"), "column", "full")
+    both = data.withColumnRenamed("column", "series").join(defined.select("series", "definition"), "series", "full")
+    count = F.coalesce("n_monthly", F.lit(0)), F.coalesce("n_quarterly", F.lit(0))
+    held = count[0] > 0, count[1] > 0
     status = (
         F.when(~held[0] & ~held[1], "defined_no_data").when(F.col("definition").isNull(), "data_no_definition")
         .when(held[0] & ~held[1], "monthly_only").when(~held[0] & held[1], "quarterly_only").otherwise("ok")
     )
-    return both.select("series", "definition", held[0].alias("in_monthly"), held[1].alias("in_quarterly"), status.alias("status"))
+    return both.select("series", "definition", count[0].alias("n_monthly"), count[1].alias("n_quarterly"), held[0].alias("in_monthly"), held[1].alias("in_quarterly"), status.alias("status"))
+
+
+def conflicts(entries: DataFrame, documented: int) -> DataFrame:
+    """A row for each series of a catalogue whose sources and definition disagree, and one if the series with data are not as many as documented."""
+    own = entries.where("status <> 'ok'").select("series", F.col("status").alias("conflict"), F.concat(F.lit("monthly="), "n_monthly", F.lit("; quarterly="), "n_quarterly").alias("detail"))
+    present = entries.agg(F.count_if(F.col("in_monthly") | F.col("in_quarterly")).alias("n"))
+    number = present.where(F.col("n") != documented).select(F.lit("*").alias("series"), F.lit("series_count").alias("conflict"), F.concat(F.lit("present="), "n", F.lit(f"; documented={documented}")).alias("detail"))
+    return own.unionByName(number)

@@ -9,11 +9,14 @@ from quarterdeck.functions.stats import adjusted_kurtosis, adjusted_skewness, ro
 MEASURES = ("n", "missing_rate", "q01", "q05", "q50", "q95", "q99", "mean", "std", "skew", "kurtosis", "zero_rate", "negative_rate")
 
 
-def _measures(c: Column, q: Column) -> dict[str, Column]:
+#: Those that sums alone give.
+SHAPES = tuple(m for m in MEASURES if not m.startswith("q"))
+
+
+def _measures(c: Column) -> dict[str, Column]:
     return {
         "n": F.count(c).cast("double"),
         "missing_rate": F.avg(c.isNull().cast("double")),
-        **{f"q{name}": F.first(q)[k] for k, name in enumerate(("01", "05", "50", "95", "99"))},
         "mean": F.avg(c),
         "std": F.when(F.count(c) > 1, F.stddev_samp(c)),
         "skew": adjusted_skewness(c),
@@ -23,13 +26,17 @@ def _measures(c: Column, q: Column) -> dict[str, Column]:
     }
 
 
+def shapes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column with all SHAPES, in one aggregation; rates besides missing_rate are among values that are there."""
+    wide = df.agg(*(rounded(x).alias(f"{c}__{m}") for c in columns for m, x in _measures(F.col(c).cast("double")).items()))
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{c}__{m}").alias(m) for m in SHAPES)) for c in columns))))
+
+
 def profiled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column with all MEASURES; rates besides missing_rate are among values that are there."""
-    points = quantiles(df, columns, (0.01, 0.05, 0.5, 0.95, 0.99)).withColumnsRenamed({c: f"{c}__points" for c in columns})
-    rows = df.select(*columns).join(F.broadcast(points), how="right")  # one row, which stays if df has none
-    wide = rows.agg(*(rounded(x).alias(f"{c}__{m}") for c in columns for m, x in _measures(F.col(c).cast("double"), F.col(f"{c}__points")).items()))
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{c}__{m}").alias(m) for m in MEASURES)) for c in columns))
-    return wide.select(F.inline(rows))
+    """shapes() and the quantiles: one row per column with all MEASURES."""
+    points = quantiles(df, columns, (0.01, 0.05, 0.5, 0.95, 0.99))  # one row, also if df has none
+    named = F.array(*(F.struct(F.lit(c).alias("column"), *(rounded(F.get(F.col(c), F.lit(k)).cast("double")).alias(f"q{q}") for k, q in enumerate(("01", "05", "50", "95", "99")))) for c in columns))
+    return shapes(df, columns).join(F.broadcast(points.select(F.inline(named))), "column").select("column", *MEASURES)  # a row per column
 
 
 def before_after(before: DataFrame, after: DataFrame, columns: list[str], measures: tuple[str, ...] = ("missing_rate", "q01", "q99", "mean", "std", "skew", "kurtosis")) -> DataFrame:
@@ -40,6 +47,12 @@ def before_after(before: DataFrame, after: DataFrame, columns: list[str], measur
     return side(before, "before").join(side(after, "after"), "column")
 
 
+def filled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column and n_values, its values that are there: one pass over all columns."""
+    wide = df.agg(*(F.count(c).alias(c) for c in columns))
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_values")) for c in columns))))
+
+
 def missingness(df: DataFrame, columns: list[str], above: float = 0.0, top: int | None = None) -> DataFrame:
     """Share of nulls and blank strings per column, for columns above a threshold, largest first."""
     def blank(c: str) -> Column:

@@ -1,7 +1,7 @@
 """Names, types, roles and eligibility of columns: rules on schemas, and small tables of their outcome."""
 
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,11 @@ def safe_names(names: list[str], fixed: dict[str, str], roles: dict[str, str]) -
     return out
 
 
+def ordered(*names: list[str]) -> list[str]:
+    """All names, each once, in the order in which they come first: the columns of a projection."""
+    return list(dict.fromkeys(n for some in names for n in some))
+
+
 def eligibility(df: DataFrame, meta: set[str], macro: set[str]) -> list[tuple[str, bool, str]]:
     """(column, included, reason) by the first rule that applies."""
     out = []
@@ -78,11 +83,17 @@ def eligibility(df: DataFrame, meta: set[str], macro: set[str]) -> list[tuple[st
     return out
 
 
-def drift(spark: SparkSession, sheets: dict[str, list[str]]) -> DataFrame:
-    """Per sheet: columns missing from and beyond the baseline (the first sheet by name), and whether the order differs."""
-    baseline = F.array(*map(F.lit, sheets[min(sheets)]))
-    rows = spark.createDataFrame([(k, v) for k, v in sorted(sheets.items())], "sheet_name string, columns array<string>")
-    c = F.col("columns")
+def headed(cells: DataFrame) -> DataFrame:
+    """sheet_name and columns of every sheet, from its cells (sheet_name, column, place): each column once, by its first place and then its name."""
+    first = cells.groupBy("sheet_name", "column").agg(F.min("place").alias("place"))
+    heads = first.groupBy("sheet_name").agg(F.array_sort(F.collect_list(F.struct("place", "column"))).alias("heads"))  # a sheet's columns, not its rows
+    return heads.select("sheet_name", F.col("heads.column").alias("columns"))
+
+
+def drift(sheets: DataFrame) -> DataFrame:
+    """Per sheet (sheet_name, columns): columns missing from and beyond the baseline (the first sheet by name), and whether the order differs."""
+    rows = sheets.crossJoin(F.broadcast(sheets.agg(F.min_by("columns", "sheet_name").alias("baseline"))))  # one row
+    c, baseline = F.col("columns"), F.col("baseline")
     missing, extra = F.array_except(baseline, c), F.array_except(c, baseline)
     return rows.select("sheet_name", F.array_join(missing, ";").alias("missing_columns"), F.array_join(extra, ";").alias("extra_columns"), ((F.size(missing) == 0) & (F.size(extra) == 0) & (c != baseline)).alias("order_drift"))
 

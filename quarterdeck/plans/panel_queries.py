@@ -1,6 +1,6 @@
 """Queries on the panel and the macro series: profiles, labels, alignment, preprocessing, schema and audits."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.functions import order
@@ -182,19 +182,35 @@ def macro_join(spark: SparkSession, d: str) -> DataFrame:
     return macro.with_macro(source.panel(spark, d), _macro(spark, d, "quarter_end"), list(MACRO)).select("entity_id", "quarter_idx", "f_disc", "avg_price", "ordgr")
 
 
-@query("""SELECT * FROM (VALUES ('avg_price', 'mean order total', TRUE, TRUE, 'ok'), ('order_cnt', NULL, TRUE, FALSE, 'data_no_definition'), ('fshare', 'share of closed orders', TRUE, FALSE, 'monthly_only'),
-('ordgr', 'growth of orders', TRUE, TRUE, 'ok'), ('svar', 'variance', FALSE, FALSE, 'defined_no_data'), ('tms', 'term spread', FALSE, TRUE, 'quarterly_only')) t(series, definition, in_monthly, in_quarterly, status)""")
+#: The sheet of definitions: acronym, variable, definition, frequency.
+DEFINED = (("avg_price", "price", "mean order total", "quarterly"), (" fshare ", "share of closed orders", " ", "monthly"), ("ordgr", "growth", "growth of orders", "quarterly"), ("svar", "variance", "variance", "monthly"), ("pch", "change", "change of the mean order total", "quarterly"), (" ", "notes", "see the annex", None))
+_CATALOGUE = f"""{_DUAL}, n AS (SELECT *, avg_price - lag(avg_price) OVER (ORDER BY quarter_period) AS pch FROM e),
+cm AS ({" UNION ALL ".join(f"SELECT '{m}' AS series, count({m}) AS n FROM monthly" for m in MACRO)}), cq AS ({" UNION ALL ".join(f"SELECT '{m}' AS series, count({m}) AS n FROM n" for m in ("avg_price", "ordgr", "pch"))}),
+df AS (SELECT * FROM (VALUES ('avg_price', 'mean order total'), ('fshare', 'share of closed orders'), ('ordgr', 'growth of orders'), ('svar', 'variance'), ('pch', 'change of the mean order total')) t(series, definition)),
+cat0 AS (SELECT series, definition, coalesce(cm.n, 0) AS n_monthly, coalesce(cq.n, 0) AS n_quarterly FROM cm FULL JOIN cq USING (series) FULL JOIN df USING (series)),
+cat AS (SELECT *, n_monthly > 0 AS in_monthly, n_quarterly > 0 AS in_quarterly, CASE WHEN n_monthly = 0 AND n_quarterly = 0 THEN 'defined_no_data' WHEN definition IS NULL THEN 'data_no_definition'
+WHEN n_quarterly = 0 THEN 'monthly_only' WHEN n_monthly = 0 THEN 'quarterly_only' ELSE 'ok' END AS status FROM cat0)"""
+
+
+@query(f"{_CATALOGUE} SELECT * FROM cat")
 def macro_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    return macro.catalogue(list(MACRO), ["avg_price", "ordgr", "tms"], _definitions(spark))
+    """Series of the monthly table and of a quarterly one (with the change of a price, without the other two), against the definitions."""
+    native = _macro(spark, d, "quarter_end").select("quarter_period", "avg_price", "ordgr")
+    native = native.withColumn("pch", F.col("avg_price") - F.lag("avg_price").over(Window.orderBy("quarter_period")))  # a row per quarter
+    defined = macro.definitions(spark.createDataFrame(list(DEFINED), "acronym string, variable string, definition string, frequency string"))
+    return macro.catalogue(source.macro_monthly(spark, d), native, list(MACRO), ["avg_price", "ordgr", "pch"], defined)
 
 
-def _definitions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("avg_price", "mean order total"), ("fshare", "share of closed orders"), ("ordgr", "growth of orders"), ("svar", "variance"), ("tms", "term spread")], "series string, definition string")
+@query(f"""{_CATALOGUE} SELECT series, status AS conflict, 'monthly=' || n_monthly || '; quarterly=' || n_quarterly AS detail FROM cat WHERE status <> 'ok'
+UNION ALL SELECT '*', 'series_count', 'present=' || count(*) || '; documented=12' FROM cat WHERE in_monthly OR in_quarterly HAVING count(*) <> 12""")
+def macro_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return macro.conflicts(macro_catalogue(spark, d), 12)
 
 
-@query("""SELECT * FROM (VALUES ('avg_price', 'use_quarterly'), ('order_cnt', 'aggregate_monthly'), ('fshare', 'aggregate_monthly'), ('ordgr', 'use_quarterly'), ('tms', 'use_quarterly'), ('missing_1', 'documented_missing'), ('missing_2', 'documented_missing')) t(series, resolution)""")
+@query(f"""{_CATALOGUE} SELECT series, CASE WHEN in_quarterly THEN 'use_quarterly' ELSE 'aggregate_monthly' END AS resolution FROM cat WHERE in_monthly OR in_quarterly
+UNION ALL SELECT 'missing_' || i, 'documented_missing' FROM range(1, 13) t(i) WHERE i <= 12 - (SELECT count(*) FROM cat WHERE in_monthly OR in_quarterly)""")
 def macro_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return audit.macro_resolution(macro_catalogue(spark, d), 7)
+    return audit.macro_resolution(macro_catalogue(spark, d), 12)
 
 
 _K1 = """, t AS (SELECT * FROM panel WHERE quarter_idx BETWEEN 1 AND 21)""" + "".join(
@@ -338,13 +354,16 @@ _SHAPE = f"""SELECT '$c' AS "column", coalesce(abs(skewness($c)), 0) AS sk, coal
 coalesce(avg(CASE WHEN $c < 0 THEN CAST(1 AS DOUBLE) WHEN $c IS NOT NULL THEN CAST(0 AS DOUBLE) END), 0) AS ne, coalesce(avg(CASE WHEN $c = 0 THEN CAST(1 AS DOUBLE) WHEN $c IS NOT NULL THEN CAST(0 AS DOUBLE) END), 0) AS ze FROM panel WHERE quarter_idx BETWEEN 1 AND 21"""
 
 
+_CHOSEN = """CASE WHEN sk > 5 OR ku > 20 THEN 'QuantileTransformer(candidate) / RobustScaler(baseline)' WHEN sk > 2 OR ku > 10 THEN 'RobustScaler' ELSE 'StandardScaler' END AS scaling_strategy,
+CASE WHEN ze > 0.25 AND ne = 0 AND sk > 2 THEN 'log1p' WHEN sk > 5 OR ku > 20 THEN 'signed_log1p' WHEN sk > 2 OR ku > 10 THEN CASE WHEN ne > 0 THEN 'signed_log1p' ELSE 'log1p' END ELSE 'none' END AS transform_strategy,
+concat_ws(';', CASE WHEN mi > 0.4 THEN 'missing_too_high' END, CASE WHEN sk > 5 THEN 'extreme_skew' WHEN sk > 2 THEN 'high_skew' END, CASE WHEN ku > 20 THEN 'heavy_tail' END) AS risk_flags"""
+
+
 @query(f"""WITH {PANEL_SQL}, s AS ({union(_SHAPE, PROFILED)})
 SELECT "column", 'factor' AS role, 'transform_as_factor' AS feature_action,
-CASE WHEN sk > 5 OR ku > 20 THEN 'QuantileTransformer(candidate) / RobustScaler(baseline)' WHEN sk > 2 OR ku > 10 THEN 'RobustScaler' ELSE 'StandardScaler' END AS scaling_strategy,
-CASE WHEN ze > 0.25 AND ne = 0 AND sk > 2 THEN 'log1p' WHEN sk > 5 OR ku > 20 THEN 'signed_log1p' WHEN sk > 2 OR ku > 10 THEN CASE WHEN ne > 0 THEN 'signed_log1p' ELSE 'log1p' END ELSE 'none' END AS transform_strategy,
-concat_ws(';', CASE WHEN mi > 0.4 THEN 'missing_too_high' END, CASE WHEN sk > 5 THEN 'extreme_skew' WHEN sk > 2 THEN 'high_skew' END, CASE WHEN ku > 20 THEN 'heavy_tail' END) AS risk_flags FROM s""")
+{_CHOSEN} FROM s""")
 def strategy_table(spark: SparkSession, d: str) -> DataFrame:
-    return preprocess.strategies(profile.profiled(source.panel(spark, d).where("quarter_idx BETWEEN 1 AND 21"), list(PROFILED)))
+    return preprocess.strategies(profile.shapes(source.panel(spark, d).where("quarter_idx BETWEEN 1 AND 21"), list(PROFILED)))
 
 
 @query(f"WITH {PANEL_SQL} SELECT count(*) AS outside_train, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT DISTINCT quarter_idx FROM panel WHERE quarter_idx <= 21) WHERE quarter_idx > 18")
@@ -370,24 +389,38 @@ def split_assertions(spark: SparkSession, d: str) -> DataFrame:
     return audit.split_assertions(audit.split_manifest(rows), rows, 27)
 
 
-@query("SELECT * FROM (VALUES ('10季', '', '', FALSE), ('1季', 'f_tax', '', FALSE), ('2季', '', 'f_new', FALSE), ('3季', '', '', TRUE)) t(sheet_name, missing_columns, extra_columns, order_drift)")
+@query("""WITH c AS (SELECT CAST(date_diff('minute', TIMESTAMP '2024-01-01', date_trunc('minute', ts)) // 15 AS VARCHAR) || '季' AS sheet_name, event_type AS "column", min(ts) AS place FROM events GROUP BY 1, 2),
+h AS (SELECT sheet_name, list("column" ORDER BY place, "column") AS columns FROM c GROUP BY 1), b AS (SELECT columns AS baseline FROM h ORDER BY sheet_name LIMIT 1)
+SELECT sheet_name, array_to_string(list_filter(baseline, lambda x: NOT list_contains(columns, x)), ';') AS missing_columns, array_to_string(list_filter(columns, lambda x: NOT list_contains(baseline, x)), ';') AS extra_columns,
+list_sort(columns) = list_sort(baseline) AND columns <> baseline AS order_drift FROM h, b""")
 def schema_drift(spark: SparkSession, d: str) -> DataFrame:
-    base = ["entity_id", "f_disc", "f_tax"]
-    return schema.drift(spark, {"1季": base[:2], "2季": [*base, "f_new"], "3季": base[::-1], "10季": base})
+    """A sheet for every quarter of an hour of events, headed by the kinds of event in the order in which they come first."""
+    sheet = F.concat(F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / 900).cast("string"), F.lit("季"))
+    cells = source.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").select(sheet.alias("sheet_name"), F.col("event_type").alias("column"), F.col("ts").alias("place"))
+    return schema.drift(schema.headed(cells))
 
 
-@query("SELECT * FROM (VALUES ('entity_id', 'security_code', 'id'), ('entity_name', 'security_name', 'meta'), ('quarter_idx', 'quarter_idx', 'meta'), ('f_disc', 'factor_001', 'factor'), ('f_return', 'return_like_002', 'return_like'), ('future_return_1q', 'label', 'label'), ('f_tax', 'factor_003', 'factor')) t(original_column, safe_column, role)")
+#: Columns of the panel in its order, with the names and roles that they get.
+_SAFE = (("entity_id", "security_code", "id"), ("quarter_idx", "quarter_idx", "meta"), ("revenue", "factor_001", "factor"), *((f, f"factor_{k:03d}", "factor") for k, f in enumerate(FACTORS[:8], 2)), ("ret_3m", "factor_010", "factor"),
+         ("future_return_1q", "label", "label"), ("entity_name", "security_name", "meta"), ("f_acct", "factor_011", "factor"), ("f_growth", "factor_012", "factor"), ("f_miss", "factor_013", "factor"), ("split", "factor_014", "factor"))
+
+
+@query(f"WITH {PANEL_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS original_column, '{s}' AS safe_column, '{r}' AS role, count({n}) AS n_values FROM panel" for n, s, r in _SAFE))
 def safe_names(spark: SparkSession, d: str) -> DataFrame:
-    names = ["entity_id", "entity_name", "quarter_idx", "f_disc", "f_return", "future_return_1q", "f_tax"]
+    """The columns of the panel with safe name, role and the values that they hold."""
+    rows = source.panel(spark, d)
+    names = schema.normalized_names(rows.columns)
     roles = {n: schema.role(n, "entity_id", "entity_name", "future_return_1q") for n in names}
     safe = schema.safe_names(names, {"entity_id": "security_code", "entity_name": "security_name", "quarter_idx": "quarter_idx", "future_return_1q": "label"}, roles)
-    return spark.createDataFrame([(n, safe[n], roles[n]) for n in names], "original_column string, safe_column string, role string")
+    named = spark.createDataFrame([(n, safe[n], roles[n]) for n in names], "original_column string, safe_column string, role string")
+    return named.join(profile.filled(rows, names).withColumnRenamed("column", "original_column"), "original_column")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(r == 'included').upper()}, '{r}')" for n, r in [("entity_id", "meta_or_return"), ("quarter_idx", "meta_or_return"), ("revenue", "included"), *((f, "included") for f in FACTORS[:8]), ("ret_3m", "return_like"), ("future_return_1q", "meta_or_return"), ("entity_name", "non_numeric"), ("f_acct", "included"), ("f_growth", "included"), ("f_miss", "included"), ("split", "meta_or_return")]) + ") t(column_name, included, reason)")
+@query(f"WITH {PANEL_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS column_name, {str(r == 'included').upper()} AS included, '{r}' AS reason, count({n}) AS n_values FROM panel" for n, r in [("entity_id", "meta_or_return"), ("quarter_idx", "meta_or_return"), ("revenue", "included"), *((f, "included") for f in FACTORS[:8]), ("ret_3m", "return_like"), ("future_return_1q", "meta_or_return"), ("entity_name", "non_numeric"), ("f_acct", "included"), ("f_growth", "included"), ("f_miss", "included"), ("split", "meta_or_return")]))
 def factor_eligibility(spark: SparkSession, d: str) -> DataFrame:
-    rows = schema.eligibility(source.panel(spark, d), {"entity_id", "quarter_idx", "split", "future_return_1q"}, set(MACRO))
-    return spark.createDataFrame(rows, "column_name string, included boolean, reason string")
+    rows = source.panel(spark, d)
+    found = schema.eligibility(rows, {"entity_id", "quarter_idx", "split", "future_return_1q"}, set(MACRO))
+    return spark.createDataFrame(found, "column_name string, included boolean, reason string").join(profile.filled(rows, rows.columns).withColumnRenamed("column", "column_name"), "column_name")
 
 
 @query("SELECT s_suppkey, CASE WHEN length(CAST(s_suppkey AS VARCHAR)) < 6 THEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') ELSE CAST(s_suppkey AS VARCHAR) END AS plain, CAST(s_suppkey AS VARCHAR) || '.SZ' AS suffixed_raw, CASE WHEN length(CAST(s_suppkey AS VARCHAR) || '.SZ') < 6 THEN lpad(CAST(s_suppkey AS VARCHAR) || '.SZ', 6, '0') ELSE CAST(s_suppkey AS VARCHAR) || '.SZ' END AS suffixed FROM supplier")
@@ -427,13 +460,24 @@ def file_inventory(spark: SparkSession, d: str) -> DataFrame:
     return files.inventory(spark, d)
 
 
-@query("SELECT * FROM (VALUES ('f_disc', 'factor', 'transform_as_factor', TRUE, FALSE, FALSE, ''), ('ret_3m', 'factor', 'transform_as_factor', FALSE, TRUE, FALSE, 'return_like_excluded'), ('f_miss', 'factor', 'transform_as_factor', FALSE, FALSE, TRUE, 'prohibited_or_leakage_guard'), ('split', 'meta', 'preserve_unmodified', FALSE, FALSE, FALSE, 'feature_action=preserve_unmodified')) t(\"column\", role, feature_action, included_in_X, is_return_like, is_prohibited, exclusion_reason)")
+_META = ("revenue",)
+_FEATURES = f"""WITH {PANEL_SQL}, s AS ({union(_SHAPE, (*PROFILED, "ret_3m", *_META))}), st AS (
+SELECT "column", CASE WHEN "column" IN ({", ".join(f"'{m}'" for m in _META)}) THEN 'meta' ELSE 'factor' END AS role, {_CHOSEN} FROM s), ft AS (
+SELECT "column", role, CASE role WHEN 'meta' THEN 'preserve_unmodified' ELSE 'transform_as_factor' END AS feature_action, CASE role WHEN 'meta' THEN 'none' ELSE scaling_strategy END AS scaling_strategy,
+CASE role WHEN 'meta' THEN 'none' ELSE transform_strategy END AS transform_strategy, CASE role WHEN 'meta' THEN '' ELSE risk_flags END AS risk_flags, role <> 'meta' AND "column" NOT IN ('f_miss', 'ret_3m') AS included_in_X,
+"column" = 'ret_3m' AS is_return_like, "column" = 'f_miss' AS is_prohibited,
+CASE "column" WHEN 'f_miss' THEN 'prohibited_or_leakage_guard' WHEN 'ret_3m' THEN 'return_like_excluded' ELSE CASE role WHEN 'meta' THEN 'feature_action=preserve_unmodified' ELSE '' END END AS exclusion_reason FROM st)"""
+
+
+@query(f"{_FEATURES} SELECT * FROM ft")
 def final_feature_list(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("f_disc", "factor", "transform_as_factor"), ("ret_3m", "factor", "transform_as_factor"), ("f_miss", "factor", "transform_as_factor"), ("split", "meta", "preserve_unmodified")]
-    return audit.final_features(spark.createDataFrame(rows, "column string, role string, feature_action string"), ["f_miss"])
+    """The strategies of the training quarters' factors, a return and a column that is only carried along, with f_miss prohibited."""
+    measured = profile.shapes(source.panel(spark, d).where("quarter_idx BETWEEN 1 AND 21"), [*PROFILED, "ret_3m", *_META])
+    return audit.final_features(preprocess.strategies(measured, dict.fromkeys(_META, "meta")), ["f_miss"])
 
 
-@query("SELECT CAST(1 AS BIGINT) AS x_columns, CAST(0 AS BIGINT) AS prohibited_in_x, CAST(0 AS BIGINT) AS return_like_in_x, 'PASS' AS status")
+@query(f"""{_FEATURES} SELECT count_if(included_in_X) AS x_columns, count_if(included_in_X AND is_prohibited) AS prohibited_in_x, count_if(included_in_X AND is_return_like) AS return_like_in_x,
+CASE WHEN count_if(included_in_X AND (is_prohibited OR is_return_like)) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ft""")
 def leakage_assertion(spark: SparkSession, d: str) -> DataFrame:
     return audit.leakage_report(final_feature_list(spark, d))
 
@@ -456,10 +500,20 @@ def problem_scan(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
-@query("SELECT * FROM (VALUES ('window', '24', 'override', 'confirmed'), ('max_features', '15', 'seed', 'assumed'), ('cost_bps', '10', 'default', 'assumed'), ('extra', 'x', 'override', 'unknown_item')) t(item, value, source_type, status)")
+@query("""WITH l AS (SELECT CASE WHEN l_partkey = 1 THEN 2 ELSE l_partkey END AS k, l_quantity, l_returnflag FROM lineitem),
+o AS (SELECT CAST(k AS VARCHAR) AS item, CAST(CAST(max(l_quantity) AS INTEGER) AS VARCHAR) AS value FROM l WHERE l_returnflag = 'R' AND l_quantity >= 48 GROUP BY 1),
+s AS (SELECT CAST(k AS VARCHAR) AS item, CAST(CAST(min(l_quantity) AS INTEGER) AS VARCHAR) AS value FROM l WHERE l_quantity >= 44 GROUP BY 1),
+f AS (SELECT CASE WHEN p_partkey = 1 THEN '2' ELSE CAST(p_partkey AS VARCHAR) END AS item, max(CAST(p_size AS VARCHAR)) AS value FROM part WHERE p_size > 5 GROUP BY 1)
+SELECT item, coalesce(o.value, s.value, f.value) AS value, CASE WHEN o.value IS NOT NULL THEN 'override' WHEN s.value IS NOT NULL THEN 'seed' ELSE 'default' END AS source_type,
+CASE WHEN f.value IS NULL THEN 'unknown_item' WHEN o.value IS NOT NULL THEN 'confirmed' ELSE 'assumed' END AS status FROM o FULL JOIN s USING (item) FULL JOIN f USING (item)""")
 def assumption_ledger(spark: SparkSession, d: str) -> DataFrame:
-    pairs = lambda *x: spark.createDataFrame(x, "item string, value string")
-    return audit.ledger(pairs(("rolling_window", "24"), ("extra", "x")), pairs(("max_features", "15"), ("window", "18")), pairs(("window", "12"), ("max_features", "10"), ("cost_bps", "10")), {"rolling_window": "window"})
+    """Assumed order size of each part: its largest returned order of 48 or more, else its smallest of 44 or more, else its listed size; part 1 is sold as part 2."""
+    lines = source.table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("item"), F.col("l_quantity").cast("int").alias("n"), "l_returnflag")
+    lines = lines.withColumn("item", F.when(F.col("item") == "1", "2").otherwise(F.col("item")))  # the same part, before its orders are compared
+    overrides = lines.where("l_returnflag = 'R' AND n >= 48").groupBy("item").agg(F.max("n").cast("string").alias("value"))
+    seeds = lines.where("n >= 44").groupBy("item").agg(F.min("n").cast("string").alias("value"))
+    defaults = source.table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").cast("string").alias("item"), F.col("p_size").cast("string").alias("value"))
+    return audit.ledger(overrides, seeds, defaults, {"1": "2"})
 
 
 @query("SELECT * FROM (VALUES ('nations', CAST(25 AS BIGINT), CAST(25 AS BIGINT), 'PASS'), ('regions', 6, 5, 'FAIL'), ('sheets', 30, NULL, 'MISSING')) t(item, expected, found, status)")

@@ -1,8 +1,8 @@
 """All queries of the panel engine and their DuckDB SQL, by name."""
 
-from quarterdeck.plans import audit_queries, panel_queries, selection_queries
+from quarterdeck.plans import audit_queries, file_queries, panel_queries, selection_queries
 
-_MODULES = (panel_queries, selection_queries, audit_queries)
+_MODULES = (panel_queries, selection_queries, audit_queries, file_queries)
 
 
 def queries() -> dict:

@@ -11,7 +11,7 @@ from quarterdeck.functions import order
 from quarterdeck.functions.stats import clipped, correlation, min_max, rounded
 from quarterdeck.operators import evaluation, macro, mcda, portfolio, preprocess, stepwise
 from quarterdeck.plans import selection_sql
-from quarterdeck.plans.panel_queries import _quarterly_sql, r6
+from quarterdeck.plans.panel_queries import _macro, _quarterly_sql, r6
 from quarterdeck.sources import panel as source
 from quarterdeck.sources.panel import FACTORS, MACRO, MONTHLY_SQL, PANEL_SQL
 
@@ -56,13 +56,24 @@ def topk_quarterly_returns_slice(spark: SparkSession, d: str) -> DataFrame:
 # --- composites and selection ------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'composite_' || f || '__' || m AS composite_feature, f AS stock_factor, m AS macro_factor, 'z_' || f AS stock_standardized_column, 'z_' || m AS macro_standardized_column, 'z_' || f || ' * z_' || m AS formula, TRUE AS is_composite FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in ELIGIBLE) + "]) AS f), (SELECT unnest([" + ", ".join(f"'{m}'" for m in MACRO) + "]) AS m)")
+_JOINED = f"WITH {MONTHLY_SQL}, e AS ({_quarterly_sql(False)}), {PANEL_SQL}, j AS (SELECT panel.*, {', '.join(MACRO)} FROM panel JOIN e USING (quarter_idx)), t AS (SELECT * FROM j WHERE quarter_idx BETWEEN 1 AND 21)"
+
+_CATALOG = " UNION ALL ".join(f"SELECT 'composite_{f}__{m}' AS composite_feature, '{f}' AS stock_factor, '{m}' AS macro_factor, 'z_{f}' AS stock_standardized_column, 'z_{m}' AS macro_standardized_column, 'z_{f} * z_{m}' AS formula, TRUE AS is_composite, count(*) FILTER ({f} IS NOT NULL AND {m} IS NOT NULL) AS n_values FROM j" for f in ELIGIBLE for m in MACRO)
+
+
+@query(f"{_JOINED} {_CATALOG}")
 def composite_catalog(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(c, f, m, f"z_{f}", f"z_{m}", f"z_{f} * z_{m}", True) for c, f, m in stepwise.catalogue(list(ELIGIBLE), list(MACRO))]
-    return spark.createDataFrame(rows, "composite_feature string, stock_factor string, macro_factor string, stock_standardized_column string, macro_standardized_column string, formula string, is_composite boolean")
+    """Every product of a factor and a macro series, with the rows of the panel that have both.
 
+    Factors are counted by quarter before the macro series are joined, a row for each quarter."""
+    entries = stepwise.catalogue(list(ELIGIBLE), list(MACRO))
+    counts = source.panel(spark, d).groupBy("quarter_idx").agg(*(F.count(f).alias(f"n_{f}") for f in ELIGIBLE)).join(_macro(spark, d, "quarter_end").select("quarter_idx", *MACRO), "quarter_idx")
+    both = counts.agg(*(F.coalesce(F.sum(F.when(F.col(m).isNotNull(), F.col(f"n_{f}"))), F.lit(0)).alias(c) for c, f, m in entries))
+    return both.select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(_ENTRY, (c, f, m, f"z_{f}", f"z_{m}", f"z_{f} * z_{m}", True), strict=True)), F.col(c).alias("n_values")) for c, f, m in entries))))
+
+
+_ENTRY = ("composite_feature", "stock_factor", "macro_factor", "stock_standardized_column", "macro_standardized_column", "formula", "is_composite")
 
-_JOINED = f"WITH {MONTHLY_SQL}, e AS ({_quarterly_sql(False)}), {PANEL_SQL}, j AS (SELECT panel.*, {', '.join(MACRO)} FROM panel JOIN e USING (quarter_idx)), t AS (SELECT * FROM j WHERE quarter_idx BETWEEN 1 AND 21)"
 
 
 def _fit_sql(c: str) -> str:
@@ -491,10 +502,10 @@ def turnover_series(spark: SparkSession, d: str) -> DataFrame:
     return _round_all(_returns(spark, d).where(F.col("strategy").isin(names)).groupBy("quarter_idx").pivot("strategy", names).agg(F.avg("turnover")))
 
 
-@query(f"SELECT * FROM (VALUES ('stock_factor', CAST({len(ELIGIBLE)} AS BIGINT)), ('macro_factor', {len(MACRO)}), ('composite', {len(ELIGIBLE) * len(MACRO)})) t(kind, n)")
+@query(f"{_JOINED}, c AS ({_CATALOG}) SELECT 'stock_factor' AS kind, count(DISTINCT stock_factor) AS n FROM c WHERE n_values > 0 UNION ALL SELECT 'macro_factor', count(DISTINCT macro_factor) FROM c WHERE n_values > 0 UNION ALL SELECT 'composite', count(*) FROM c WHERE n_values > 0")
 def factor_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Factors, macro series and composites of the catalogue."""
-    catalogue = composite_catalog(spark, d)
+    """Factors, macro series and composites of the catalogue that have values."""
+    catalogue = composite_catalog(spark, d).where("n_values > 0")
     counts = catalogue.agg(F.countDistinct("stock_factor").alias("a"), F.countDistinct("macro_factor").alias("b"), F.count(F.lit(1)).alias("c"))
     return counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(n).alias("n")) for k, n in (("stock_factor", "a"), ("macro_factor", "b"), ("composite", "c"))))))
 

@@ -1,6 +1,8 @@
 """File sources and sinks: one table per quarter in a folder, CSV with a byte-order mark, optional tables, inventory, keyword search, reports."""
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines under a schema, so that no pass over the data infers one; an empty table where the path is not there."""
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def read_if_exists(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "csv") -> DataFrame:
     """An empty table of the schema where the path is not there."""
     if not exists(spark, path):
@@ -121,10 +128,27 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """line: the row of a Markdown table for every row, cells as text with | escaped and line ends as blanks, nulls empty."""
+    cell = lambda c: F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |")).alias("line"))
+
+
 def markdown(df: DataFrame, limit: int = 200) -> str:
     """A table of at most limit rows, with | escaped."""
-    def cell(x: object) -> str:
-        return "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
-
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in df.limit(limit).collect()])
+    return "\n".join(lines + [r["line"] for r in markdown_lines(df.limit(limit)).collect()])
+
+
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); in a folder of our own only where that is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="quarterdeck-files-")
+        _own[spark.sparkContext.applicationId] = root
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
