@@ -9,8 +9,8 @@ Bytes are coded as they are, and a text is preceded by ORDER blanks.
 
 The trees are fitted on a bounded sample of the labelled rows that are not held out: texts drawn by their hash, about
 SAMPLE_ROWS rows and SAMPLE_BYTES bytes per language, each text once. Spark counts the contexts and
-groups the bytes of each. Contexts seen fewer than LEAST_SEEN times are left out, and more of them until the
-model has at most MODEL_BYTES, which is checked before it is broadcast. All else covers all rows and whole texts.
+groups the bytes of each. Every context of the sample is kept. The trees' size is checked before they are broadcast: while
+they would take more than MODEL_BYTES, the sample is drawn again at half its size. All else covers all rows and whole texts.
 
 In a task all trees together are tables of (context, byte) with a column of code lengths per language, found by
 open addressing; a chunk of texts goes through the orders from the longest to the shortest.
@@ -35,7 +35,7 @@ from quarterdeck.llm.words import chunks, mixed, text_buffer
 
 ORDER = 4
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
-LEAST_SEEN = 3
+#: Bound of the sample by the whole trees that it gives.
 MODEL_BYTES = 64 << 20
 #: Bytes of text that are scored at once, for one language.
 SCORED_BYTES = 1 << 19
@@ -64,9 +64,9 @@ def chunk_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def grown(counts: DataFrame, least: int = LEAST_SEEN) -> DataFrame:
+def grown(counts: DataFrame) -> DataFrame:
     """The trees of all languages from counts (lang, code, n) of contexts and bytes: lang, order, context, symbol (-1 is
-    the escape), seen (of the context) and bits.
+    the escape) and bits.
 
     A context has 256 bytes at most, so no group of rows is larger, however much one language holds of the sample."""
     order = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("order")
@@ -76,11 +76,10 @@ def grown(counts: DataFrame, least: int = LEAST_SEEN) -> DataFrame:
     pairs = pairs.select("lang", "order", F.shiftright("pair", 8).alias("context"), F.col("pair").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
     keys = ["lang", "order", "context"]
     found = pairs.groupBy(*keys).agg(F.sum("n").alias("seen"), F.collect_list(F.struct("symbol", "n")).alias("bytes"))
-    found = found.where((F.col("order") == 0) | (F.col("seen") >= least))
     total = F.col("seen") + F.size("bytes")
     escape = F.struct(F.lit(-1).alias("symbol"), F.size("bytes").cast("long").alias("n"))
-    rows = found.select(*keys, "seen", total.alias("total"), F.explode(F.array_append("bytes", escape)).alias("b"))
-    return rows.select(*keys, "b.symbol", "seen", (-F.log2(F.col("b.n") / F.col("total"))).alias("bits"))
+    rows = found.select(*keys, total.alias("total"), F.explode(F.array_append("bytes", escape)).alias("b"))
+    return rows.select(*keys, "b.symbol", (-F.log2(F.col("b.n") / F.col("total"))).alias("bits"))
 
 
 class Lookup:
@@ -199,7 +198,8 @@ def held_out(doc_id) -> F.Column:
 
 
 def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, model_bytes: int = MODEL_BYTES) -> Trees:
-    """Trees from about sample_rows texts and sample_bytes bytes of each language that are not held out."""
+    """Trees from about sample_rows texts and sample_bytes bytes of each language that are not held out; from fewer of each
+    where the trees would take more than model_bytes."""
     spark = docs.sparkSession
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     labelled = docs.where(F.col("doc_id").isNotNull() & lang.isNotNull() & text.isNotNull() & ~held_out(F.col("doc_id"))).select(lang.alias("lang"), text.alias("text"))
@@ -207,9 +207,6 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int =
     langs = sorted(totals)
     if not langs:
         return Trees([], [])
-    rates = spark.createDataFrame([(k, x, int(_DRAWN * min(1.0, sample_rows / totals[x][0], sample_bytes / max(totals[x][1], 1)))) for k, x in enumerate(langs)], "number int, lang string, drawn long")
-    sample = labelled.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("text"), F.lit(_DRAWN)) < F.col("drawn")).select("number", "text").distinct()
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
@@ -220,19 +217,23 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int =
                     code, n = np.unique(np.concatenate([context_codes(data[offsets[r] : offsets[r + 1]]) for r in rows.tolist()]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), number, np.int32)), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
-    counts = sample.mapInArrow(count, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    trees, path = saved(grown(counts), "trees")
-    # a (context, byte) takes its code and a float of each language, at most
-    sizes = trees.groupBy(F.when(F.col("order") == 0, 1 << 62).otherwise(F.col("seen")).alias("seen")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("seen"))
-    room, least = model_bytes // (8 + 4 * len(langs)), LEAST_SEEN
-    for r in sizes.toLocalIterator():
-        room -= r["n"]
-        if room < 0 and r["seen"] < 1 << 62:
-            least = r["seen"] + 1
+    share = 1.0
+    while True:
+        drawn = [(k, x, int(_DRAWN * share * min(1.0, sample_rows / totals[x][0], sample_bytes / max(totals[x][1], 1)))) for k, x in enumerate(langs)]
+        rates = spark.createDataFrame(drawn, "number int, lang string, drawn long")  # a row per language
+        sample = labelled.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("text"), F.lit(_DRAWN)) < F.col("drawn")).select("number", "text").distinct()
+        counts = sample.mapInArrow(count, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        trees, path = saved(grown(counts), "trees")
+        # a (context, byte) and an escape take a code and a float of each language
+        size = trees.select("order", "context", "symbol").distinct().count() * (8 + 4 * len(langs))
+        if size <= model_bytes and (size or share == 1):
             break
-    kept = trees.where((F.col("order") == 0) | (F.col("seen") >= least)).toArrow()
+        removed(spark, path)
+        if not size:
+            raise ValueError(f"no sample gives trees of {model_bytes} bytes for {len(langs)} languages")
+        share /= 2
+    kept = trees.toArrow()
     removed(spark, path)
-    # a context's shorter ones were seen at least as often, so they are kept with it
     return merged(langs, *(kept.column(x).to_numpy() for x in ("lang", "order", "context", "symbol", "bits")))
 
 

@@ -180,7 +180,7 @@ def test_language_learns_and_rejects(spark):
     assert language.identified(df, model, whole_rows=True).columns[:5] == df.columns
 
 
-def ppm(texts, text, least=language.LEAST_SEEN):
+def ppm(texts, text):
     """Code length of a text by prediction by partial matching on plain dictionaries."""
     seen, pad = {}, b" " * language.ORDER
     for raw in texts:
@@ -193,7 +193,7 @@ def ppm(texts, text, least=language.LEAST_SEEN):
     def bits(context, byte):
         shorter = bits(context[1:], byte) if context else 8
         found = seen.get(context)
-        if not found or context and sum(found.values()) < least:
+        if not found:
             return shorter
         total, kinds = sum(found.values()), len(found)
         return -np.log2(found[byte] / (total + kinds)) if byte in found else -np.log2(kinds / (total + kinds)) + shorter
@@ -214,8 +214,16 @@ def test_code_lengths_against_brute_force(spark):
         own = [t.encode() for t in dict.fromkeys(learned[lang])]
         assert got[:-1, k] == pytest.approx([ppm(own, x) for x in raw[:-1]], rel=1e-5)
         assert got[-1, k] == pytest.approx(ppm(own, raw[-1][:13]) + 2999 * (ppm(own, raw[-1][:26]) - ppm(own, raw[-1][:13])), rel=1e-4)
-    small = language.fitted(docs(spark, [t for t, _ in rows], [x for _, x in rows], ids), model_bytes=2000)
-    assert small.nbytes < model.nbytes
+    # a bound on the trees draws fewer texts and cuts none of their contexts
+    small = language.fitted(docs(spark, [t for t, _ in rows], [x for _, x in rows], ids), model_bytes=model.nbytes * 3 // 4)
+    assert 0 < small.nbytes <= model.nbytes * 3 // 4
+    for lang, texts in learned.items():
+        k, own = small.langs.index(lang), [t.encode() for t in dict.fromkeys(texts)]
+        some = [[t for n, t in enumerate(own) if mask >> n & 1] for mask in range(1 << len(own))]
+        got = small.lengths(np.frombuffer(raw[0], np.uint8), np.array([0, len(raw[0])]))[0, k]
+        assert any(abs(got - ppm(part, raw[0])) < 1e-3 for part in some if part) or got == pytest.approx(8 * len(raw[0]))
+    with pytest.raises(ValueError):
+        language.fitted(docs(spark, [t for t, _ in rows], [x for _, x in rows], ids), model_bytes=10)
 
 
 def test_held_out_accuracy(spark):
