@@ -16,7 +16,7 @@ Elements that are boilerplate by their tag (nav, footer, aside, form, script, a
 and so on) are read but never count.
 
 A page is one row, so this is a map without a shuffle. Time and memory are linear in the page: a path is a node of a
-tree of steps, and end tags look no further up than LOOK elements.
+tree of steps, and the places of the open elements are kept by tag, so that no end tag searches them.
 
 Defined results: null, empty and text-free pages give an empty text and n_chars 0; null page_id and url are kept;
 repeated rows get a row each; broken markup is read as browsers do in the common cases (unclosed
@@ -25,7 +25,8 @@ best; no pages give no rows; other columns are ignored.
 """
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -38,8 +39,6 @@ THRESHOLD = 0.1
 SMOOTHING = 0.25
 #: Weight of a path with a step that class, id or role name as boilerplate, or with a class that holds such a word.
 STRONG, WEAK = 1e-6, 0.5
-#: Open elements that an end tag, or a tag that closes others, looks at.
-LOOK = 256
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
@@ -115,7 +114,9 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
     out: list[tuple[int, str, int]] = []
     paths = Paths()
     stack: list[tuple[str, int, bool]] = []  # tag, path, dropped
-    opened: Counter = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
+    solid: list[int] = []  # places of elements that are not inline
+    scopes: list[int] = []
     parts: list[str] = []
     path = links = dropped = 0
 
@@ -131,8 +132,11 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
         nonlocal dropped
         while len(stack) > k:
             tag, _, gone = stack.pop()
-            opened[tag] -= 1
+            opened[tag].pop()
             dropped -= gone
+            for places in (solid, scopes):
+                if places and places[-1] == len(stack):
+                    places.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -160,30 +164,19 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
                 parts.append(" ") if parts else None
             else:
                 closed()
-        least = max(len(stack) - LOOK, 0) if inline or tag in _CLOSES else 0
         if m[1]:
-            if opened[tag]:
-                for k in range(len(stack) - 1, least - 1, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                    if inline and stack[k][0] not in _INLINE:
-                        break
+            own = opened[tag][-1] if opened[tag] else -1
+            if own >= 0 and not (inline and solid and solid[-1] > own):
+                close(own)
             continue
         if tag in _CLOSES_P:
-            if opened["p"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] not in _INLINE:
-                        break
-        elif tag in _CLOSES and any(opened[x] for x in _CLOSES[tag]):
-            for k in range(len(stack) - 1, least - 1, -1):
-                if stack[k][0] in _CLOSES[tag]:
-                    close(k)
-                elif stack[k][0] in _SCOPE:
-                    break
+            if solid and stack[solid[-1]][0] == "p":
+                close(solid[-1])
+        elif tag in _CLOSES:
+            inside = scopes[-1] if scopes else -1
+            first = [places[k] for x in _CLOSES[tag] if (k := bisect_right(places := opened[x], inside)) < len(places)]
+            if first:
+                close(min(first))
         if tag in _RAW:
             m = _RAW_END[tag].search(page, at)
             at = m.end() if m else end
@@ -193,8 +186,12 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
         classes, weight, hidden = _attributes(m[3]) if m[3] else ("", 1.0, False)
         gone = tag in _DROPPED or tag == "header" and not (opened["article"] or opened["main"]) or hidden and tag not in ("html", "body")
         parent = stack[-1][1] if stack else 0
+        opened[tag].append(len(stack))
+        if not inline:
+            solid.append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
         stack.append((tag, parent if inline and weight != STRONG else paths.step(parent, tag, classes, weight), gone))
-        opened[tag] += 1
         dropped += gone
     closed()
     return paths, out
