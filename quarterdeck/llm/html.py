@@ -4,9 +4,10 @@ A page is read into blocks: runs of text between block-level tags, each with its
 path is the tag, for containers (div, section, article and the like) with its classes, and a flag where class, id
 or role names boilerplate. Over a page, text length, punctuation and link text are summed per path and divided by
 the path's blocks (text to tag path ratio). Both ratios are smoothed over paths in page order, between paths of one
-container or of a container and the one around it; they are fused by product and reduced by the share of link
-text and by the path's weight (STRONG where a step is named as boilerplate, WEAK where a class only contains such a
-word). A heading takes the score of the path that it heads. Paths over THRESHOLD of the best one are content paths.
+container or of a container or of a container and the one around it; they are fused by product and reduced by the share of link
+text and by the path's weight (STRONG where a step is named as boilerplate, WEAK where a name only contains such a
+word). A heading takes the score of the path that it heads, whatever its own class. Content paths are those over THRESHOLD of the best one, and in
+the region of that one those the root of whose score is, so that a paragraph a tenth as long as the others still counts.
 
 Content nodes are the containers at least half of whose own text is on content paths; all blocks of theirs are
 returned. So are those of containers inside them that are neither named as boilerplate nor mostly links: those in an
@@ -65,14 +66,21 @@ _MARKS = frozenset(
 #: First words of a class that speak of a part of the element, or of a part of the article; last words that tell a state.
 _OF_PART = frozenset("has with without no entry post article story content main hero".split())
 _STATE = frozenset("enabled disabled open closed active visible on off".split())
+#: Words that stand beside a mark in the name of boilerplate; a mark beside any other word names a subject (related-work, menu-of-the-day).
+_PARTS = frozenset(
+    "box boxes bar bars list lists item items wrap wrapper container inner outer area block blocks section group row col column grid panel card cards slot unit zone region link links button buttons icon icons form field "
+    "top bottom left right site page global main primary secondary mobile desktop sticky fixed post posts entry article articles story stories thread body content text js module component the".split()
+)
+#: Marks of readers' comments.
+_REPLIES = frozenset("comment comments commentlist disqus reply replies respond".split())
 _ROOTS = frozenset(("article", "main"))
 _CONTAINERS = frozenset("html body div section article main td th center details".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 @lru_cache(1 << 14)
-def _attributes(text: str) -> tuple[str, float, bool]:
-    """(classes without digits, weight, hidden) of a tag's attributes."""
+def _attributes(text: str, anchored: bool = False) -> tuple[str, float, bool]:
+    """(classes without digits, weight, hidden) of a tag's attributes; the id of a part of an article is an anchor (anchored) and names no boilerplate but readers' comments."""
     classes, weight = "", 1.0
     for name, value in _ATTRIBUTE.findall(text):
         value = value.strip("\"'").lower()
@@ -80,8 +88,9 @@ def _attributes(text: str) -> tuple[str, float, bool]:
             classes = ".".join(re.sub(r"[\d_-]+", "", value).split())
         for token in value.split():
             words = [x for x in re.split(r"[^a-z]+", token) if x]
-            if not _MARKS.isdisjoint(words):
-                named = len(words) == 1 or words[0] not in _OF_PART and words[-1] not in _STATE and (words[0] in _MARKS or words[-1] in _MARKS)
+            if not (_REPLIES if anchored and name.lower() == "id" else _MARKS).isdisjoint(words):
+                named = words[0] in _MARKS or words[0] not in _OF_PART and words[-1] in _MARKS
+                named = named and words[-1] not in _STATE and all(x in _MARKS or x in _PARTS for x in words)
                 weight = min(weight, STRONG if named else WEAK)
     return classes, weight, bool(re.search(r"\shidden(?=[\s=]|\Z)|aria-hidden\s*=\s*[\"']?true", text, re.I))
 
@@ -95,7 +104,7 @@ class Paths:
 
     def step(self, parent: int, tag: str, classes: str, weight: float) -> int:
         nested = tag == "article" and self.article[parent] >= 0  # an article in an article is a reader's comment
-        weight = STRONG if nested else 1.0 if tag in ("html", "body") else weight
+        weight = STRONG if nested else 1.0 if tag in ("html", "body") or tag in _HEADINGS else weight
         key = (parent, f"{tag}.{classes}!{weight}" if tag in _CONTAINERS else f"{tag}!{weight}")
         found = self.number.get(key)
         if found is None:
@@ -183,7 +192,7 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
             continue
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path", "use"):
             continue
-        classes, weight, hidden = _attributes(m[3]) if m[3] else ("", 1.0, False)
+        classes, weight, hidden = _attributes(m[3], tag == "section" and bool(opened["article"])) if m[3] else ("", 1.0, False)
         gone = tag in _DROPPED or tag == "header" and not (opened["article"] or opened["main"]) or hidden and tag not in ("html", "body")
         parent = stack[-1][1] if stack else 0
         opened[tag].append(len(stack))
@@ -239,14 +248,20 @@ def main_text(page: str) -> str:
     if not found:
         return ""
     fused, sums = scores(paths, found)
-    # a path's weight is its ratio times its share of blocks: many paragraphs outweigh one long notice
-    best = max(fused, key=lambda p: (fused[p] * sums[p][3], sums[p][0]))
-    least = THRESHOLD * fused[best]
+    # the fused ratio falls with the square of a block's length, its root in proportion to it: many paragraphs outweigh one long notice
+    best = max(fused, key=lambda p: (fused[p] ** 0.5 * sums[p][3], sums[p][0]))
+    region = (paths.container[best], paths.around[paths.container[best]])
+
+    def least(p: int) -> float:
+        """Of the best ratio: its root's share in the region of the best path (its container, those inside, beside and around it), elsewhere its own."""
+        c = paths.container[p]
+        return fused[best] * (THRESHOLD**2 if c in region or paths.around[c] in region else THRESHOLD)
+
     total: dict[int, list[float]] = {}  # of a container: its own text, that on content paths, and link text
     for p, s in sums.items():
         t = total.setdefault(paths.container[p], [0, 0, 0])
         t[0] += s[0]
-        t[1] += s[0] if fused[p] >= least else 0
+        t[1] += s[0] if fused[p] >= least(p) else 0
         t[2] += s[2]
     content = {c for c, t in total.items() if 2 * t[1] >= t[0]}
     articles = {paths.article[c] for c in content}
@@ -255,7 +270,7 @@ def main_text(page: str) -> str:
         if paths.container[c] != c:
             continue
         around = paths.around[c]
-        plain = paths.weight[c] == paths.weight[around] and 2 * total.get(c, (1, 0, 0))[2] < total.get(c, (1, 0, 0))[0]
+        plain = paths.weight[c] >= WEAK * paths.weight[around] and 2 * total.get(c, (1, 0, 0))[2] < total.get(c, (1, 0, 0))[0]
         if plain and (around in own or paths.article[c] >= 0 and paths.article[c] in articles):
             own.add(c)
             content.add(c)

@@ -317,6 +317,46 @@ def test_attributes_weigh_and_ratios_decide():
     assert html.main_text(f"<body class=ads><div class='sidebar'>{PROSE * 20}</div><div id=text><p>Short text.</p></div></body>") == "Short text."
 
 
+SUBJECTS = ("related-work", "search-algorithms", "menu-of-the-day", "footer-news", "comment-piece", "social-history", "login-theory", "advert-history")
+
+
+@pytest.mark.parametrize("name", SUBJECTS)
+def test_names_of_subjects_are_content(name):
+    """A name that only holds a word of boilerplate, as class or id, in an article, in main, or around all of a page."""
+    story = (PROSE * 3).strip()
+    rest = f"<p>{story}</p>" * 3
+    whole = " ".join([story] * 3)
+    for said in (f"class={name}", f"id={name}"):
+        for part in (f"<section {said}><h2>Part</h2><p>{story}</p></section>", f"<div {said}><h2>Part</h2><p>Short, and to the point.</p></div>"):
+            text = f"Part {story}" if "section" in part else "Part Short, and to the point."
+            assert html.main_text(f"<body><article>{rest}{part}</article></body>") == f"{whole} {text}"
+        assert html.main_text(f"<body><main>{rest}<div {said}><h2>Part</h2><p>{story}</p></div></main></body>") == f"{whole} Part {story}"
+        assert html.main_text(f"<body><div {said}>{rest}</div><div class=remark><p>A remark.</p></div></body>").startswith(whole)
+
+
+def test_anchors_headings_and_short_blocks_are_content():
+    story = (PROSE * 3).strip()
+    rest = f"<p>{story}</p>" * 3
+    whole = " ".join([story] * 3)
+    assert html.main_text(f"<body><article>{rest}<section id=login><h2>Login</h2><p>{story}</p></section></article></body>") == f"{whole} Login {story}"
+    assert html.main_text(f"<body><article>{rest}<section id=comments><p>{story}</p></section></article></body>") == whole
+    assert html.main_text(f"<body><article><h1 class=banner-title>Of banners</h1>{rest}</article></body>") == f"Of banners {whole}"
+    assert html.main_text(f"<body><article><h1 class=banner>Of banners</h1>{rest}</article></body>") == f"Of banners {whole}"
+    short = PROSE[:50] + "."
+    assert html.main_text(f"<body><div class=lead><p>{story}</p></div><div class=para><p>{story}</p></div><div class=closing><p>{short}</p></div></body>") == f"{story} {story} {short}"
+    assert html.main_text(f"<body><main><div class=intro><p>{short}</p></div><div class=body>{rest}</div></main></body>") == f"{short} {whole}"
+    three = f"<p>{PROSE}</p>" * 3
+    notice = (PROSE * 2).strip()
+    assert " ".join([PROSE.strip()] * 3) in html.main_text(f"<body><div><div class=story>{three}</div></div><section><div class=x><p>{notice}</p></div></section></body>")
+
+
+def test_boilerplate_by_name_still_goes():
+    rest = f"<p>{PROSE}</p>" * 4
+    whole = " ".join([PROSE.strip()] * 4)
+    for name in ("ad", "cookie-banner", "related-posts", "share-buttons", "site-footer", "comment-list", "newsletter_signup", "nav-links", "sidebar-right", "social"):
+        assert html.main_text(f"<body><div class={name}><p>{PROSE}</p></div><article>{rest}<div class={name}><p>{PROSE}</p></div></article></body>") == whole
+
+
 def test_path_scores_against_brute_force():
     """On pages of known structure: sums, smoothing and fusion written out per path."""
     rng = np.random.default_rng(6)
