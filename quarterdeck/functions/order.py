@@ -1,14 +1,14 @@
 """Exact ranks, prefix sums and quantiles of groups too large for one task.
 
 Groups of at most ROWS_IN_TASK rows, by their count, are sorted in a task each. Beyond, approximate percentiles cut the values of a group into cells, and the counts of the cells make the result exact, whatever the
-cuts are. Windows then run inside a cell, and a value that fills a cell alone, however often it stands, needs none. Through
-the driver go only the cuts, some numbers for each group (a quarter, or a quarter and feature) and column.
+cuts are. Windows then run inside a cell, and a value that fills a cell alone, however often it stands, needs none. Quantiles
+take cells at every size and run no job of their own; for ranks and prefix sums a count decides, and the cuts go through the driver:
+some numbers for each group (a quarter, or a quarter and feature).
 """
 
 from functools import reduce
-from math import ceil, floor, inf
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -16,8 +16,6 @@ from pyspark.sql.types import NumericType, StringType
 ROWS_IN_TASK = 1_000_000
 CUTS = 256
 ACCURACY = 10_000
-#: Distance, as a share of the rows, of the two cuts around a quantile.
-MARGIN = 0.002
 _GRID = [i / CUTS for i in range(CUTS + 1)]
 _NULLS = 2 * CUTS + 4  # the cell after all others
 
@@ -118,56 +116,98 @@ def with_prefix(rows: DataFrame, value: str, group: list[str], count: str, total
     return cells.withColumns({count: F.col("_before") + inside, total: F.col("_sum_before") + within}).drop("_cell", "_sub", "_alone", "_before", "_sum_before", "_size", "_salt")
 
 
-def quantiles(rows: DataFrame, columns: list[str], fractions: tuple[float, ...], group: tuple[str, ...] = ()) -> DataFrame:
+def number_until(marks: Column, n: int, x: Column, equal: bool) -> Column:
+    """How many of at most n sorted marks lie below x (or at it, if equal), by halving steps."""
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        mark = F.get(marks, at + step - 1)
+        return F.when(F.coalesce(mark <= x if equal else mark < x, F.lit(False)), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
+def _ranks(wanted: list[tuple[float, bool]], j: Column) -> tuple[Column, Column, Column]:
+    """Of the j-th wanted (fraction, filled): its place from 0 between two ranks, and those ranks among the _n values; a rank that one of the _z filled nulls holds is null.
+
+    A null filled by the median stands behind the lower of the two values around the middle."""
+    p = F.get(F.expr(f"array({', '.join(f'{float(p)!r}D' for p, _ in wanted)})"), j)
+    filled = F.get(F.expr(f"array({', '.join(str(f) for _, f in wanted)})"), j)
+    place = (F.col("_n") + F.when(filled, F.col("_z")).otherwise(0) - 1) * p
+    behind = F.floor((F.col("_n") - 1) / 2) + 1
+
+    def rank(k: Column) -> Column:
+        return F.when(~filled | (k < behind), k).when(k >= behind + F.col("_z"), k - F.col("_z"))
+
+    return place, rank(F.floor(place)), rank(F.ceil(place))
+
+
+def quantiles(rows: DataFrame, columns: list[str], fractions: tuple[float, ...], group: tuple[str, ...] = (), filled: tuple[float, ...] = ()) -> DataFrame:
     """One row per group (one at all without): for each column the array of its quantiles, linear between neighbours, null without values.
 
-    Three passes over the columns: cuts around the quantiles, the number of values up to each cut, and the values between the two
-    cuts that hold a wanted one, counted by value."""
-    spark, keys = rows.sparkSession, [f"_g{i}" for i in range(len(group))]
-    data = settled(rows.select(*(F.col(g).alias(k) for g, k in zip(group, keys)), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns))))
-    xs = range(len(columns))
-    if _fits_a_task(data, keys):
-        asked = F.expr(f"array({', '.join(f'{float(p)!r}D' for p in fractions)})")  # one expression, however many
-        whole = data.groupBy(*keys).agg(*(F.percentile(f"_x{i}", asked).alias(f"_x{i}") for i in xs))
-        named = spark.createDataFrame(whole.collect(), whole.schema).withColumnsRenamed({**dict(zip(keys, group)), **{f"_x{i}": c for i, c in enumerate(columns)}})
-        data.unpersist()
-        return named
-    grid = sorted({min(1.0, max(0.0, p + d)) for p in fractions for d in (-MARGIN, MARGIN)})
-    cuts = data.groupBy(*keys).agg(*(F.percentile_approx(f"_x{i}", grid, ACCURACY).alias(f"_c{i}") for i in xs))
-    found = cuts.collect()
-    edges = {tuple(r[k] for k in keys): [r[f"_c{i}"] for i in xs] for r in found}
-    table = spark.createDataFrame(found, cuts.schema).withColumnsRenamed({k: f"{k}_" for k in keys})
-    near = data.join(F.broadcast(table), _same((k, f"{k}_") for k in keys)) if keys else data.crossJoin(F.broadcast(table))  # a row per group
-    counts = near.groupBy(*keys).agg(*(F.count(f"_x{i}").alias(f"_n{i}") for i in xs), *(F.count_if(F.col(f"_x{i}") <= F.col(f"_c{i}")[j]).alias(f"_l{i}_{j}") for i in xs for j in range(len(grid)))).collect()
-    sizes, asks = {}, []
-    for r in counts:
-        g = tuple(r[k] for k in keys)
-        for i in xs:
-            sizes[g, i] = n = r[f"_n{i}"]
-            upto = [r[f"_l{i}_{j}"] for j in range(len(grid))]
-            for k in {f((n - 1) * p) for p in fractions for f in (floor, ceil)} if n else ():
-                j = next((j for j, m in enumerate(upto) if m > k), len(grid))
-                low, high = edges[g][i][j - 1] if j else -inf, edges[g][i][j] if j < len(grid) else inf
-                asks.append((*g, i, low, high, k - (upto[j - 1] if j else 0), k))
-    types = [f"{k}_ {data.schema[k].dataType.simpleString()}" for k in keys]
-    wanted = spark.createDataFrame(asks, ", ".join([*types, "_i_ int, _low double, _high double, _skip long, _k long"]))
-    ranges = wanted.select(*(f"{k}_" for k in keys), "_i_", "_low", "_high").distinct()
-    long = data.select(*keys, F.inline(F.array(*(F.struct(F.lit(i).alias("_i"), F.col(f"_x{i}").alias("_x")) for i in xs))))
-    inside = long.join(F.broadcast(ranges), _same([*((k, f"{k}_") for k in keys), ("_i", "_i_")]) & ((F.col("_x") > F.col("_low")) | (F.col("_low") == -inf)) & (F.col("_x") <= F.col("_high")))  # a row per group, column and quantile
-    spans = [*(f"{k}_" for k in keys), "_i_", "_low", "_high"]
-    inside = inside.groupBy(*spans, "_x").agg(F.count(F.lit(1)).alias("_m"))
-    inside = inside.withColumn("_end", F.sum("_m").over(Window.partitionBy(*spans).orderBy("_x")))
-    renamed = wanted.withColumnsRenamed({c: f"{c}w" for c in spans})
-    picked = inside.join(F.broadcast(renamed), _same((c, f"{c}w") for c in spans) & (F.col("_skip") < F.col("_end")) & (F.col("_skip") >= F.col("_end") - F.col("_m")))
-    values = {(tuple(r[f"{k}_"] for k in keys), r["_i_"], r["_k"]): r["_x"] for r in picked.select(*(f"{k}_" for k in keys), "_i_", "_k", "_x").collect()}
-    data.unpersist()
-
-    def quantile(g: tuple, i: int, p: float) -> float:
-        at = (sizes[g, i] - 1) * p
-        low, high = floor(at), ceil(at)
-        a, b = values[g, i, low], values[g, i, high]
-        return a if low == high or a == b else (high - at) * a + (at - low) * b
-
-    out = [(*g, *([quantile(g, i, p) for p in fractions] if sizes[g, i] else None for i in xs)) for g in edges]
-    named = [f"`{g}` {data.schema[k].dataType.simpleString()}" for g, k in zip(group, keys)]
-    return spark.createDataFrame(out, ", ".join([*named, *(f"`{c}` array<double>" for c in columns)]))
+    filled: fractions behind the others, of the column with its nulls at its median. The result is a plan without a job of its own. It passes over
+    rows three times: approximate percentiles cut each column into cells, counts of the cells tell those that hold a wanted rank, and the
+    values of these alone are counted by value and ordered inside their cell, a CUTS-th of the group at most but for a value that fills a
+    cell by itself and is one counted row. rows must hold the same values each time it is computed; else the query may end with an error that says so."""
+    keys, xs = [f"_g{i}" for i in range(len(group))], range(len(columns))
+    asked = [*((p, False) for p in fractions), *((p, True) for p in filled)]
+    wanted = sorted({*asked, *([(0.5, False)] if filled else [])})
+    last = len(wanted) - 1
+    data = rows.select(*(F.col(g).alias(k) for g, k in zip(group, keys)), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)))
+    none = F.array().cast("array<double>")
+    cuts = data.groupBy(*keys).agg(*(F.coalesce(F.array_distinct(F.percentile_approx(f"_x{i}", _GRID, ACCURACY)), none).alias(f"_c{i}") for i in xs))
+
+    def beside(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+        renamed = F.broadcast(right.withColumnsRenamed({k: f"{k}_" for k in names}))
+        return left.join(renamed, _same((k, f"{k}_") for k in names), how).drop(*(f"{k}_" for k in names))
+
+    near = beside(data, cuts, keys) if keys else data.crossJoin(F.broadcast(cuts))  # a row per group
+    cell = {i: F.when(F.col(f"_x{i}").isNull(), -1).otherwise(number_until(F.col(f"_c{i}"), len(_GRID), F.col(f"_x{i}"), False)) for i in xs}
+    long = near.select(*keys, F.inline(F.array(*(F.struct(F.lit(i).alias("_i"), cell[i].alias("_cell"), F.col(f"_x{i}").alias("_x")) for i in xs))))
+    own = Window.partitionBy(*keys, "_i")  # a row per cell
+    known = F.when(F.col("_cell") >= 0, F.col("_m")).otherwise(0)
+    counts = long.groupBy(*keys, "_i", "_cell").agg(F.count(F.lit(1)).alias("_m"))
+    counts = counts.withColumns({
+        "_before": F.coalesce(F.sum(known).over(own.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_n": F.sum(known).over(own), "_z": F.sum(F.col("_m") - known).over(own),
+    })
+
+    def held(j: Column, low: Column, high: Column) -> Column:
+        _, a, b = _ranks(wanted, j)
+        return F.coalesce((a >= low) & (a < high), F.lit(False)) | F.coalesce((b >= low) & (b < high), F.lit(False))
+
+    inside = F.filter(F.sequence(F.lit(0), F.lit(last)), lambda j: held(j, F.col("_before"), F.col("_before") + F.col("_m")))
+    places = counts.where("_cell >= 0").withColumn("_js", inside).where(F.size("_js") > 0)
+    places = places.select(*keys, "_i", "_cell", "_before", "_n", "_z", F.array_min("_js").alias("_from"), F.array_max("_js").alias("_to"))
+    spans = [*keys, "_i", "_cell"]
+    carried = ("_before", "_n", "_z", "_from", "_to")
+    values = beside(long, places, spans)  # a row per group, column and cell that holds a wanted rank
+    values = values.groupBy(*spans, "_x").agg(F.count(F.lit(1)).alias("_m"), *(F.max(c).alias(c) for c in carried))
+    values = values.withColumn("_end", F.col("_before") + F.sum("_m").over(Window.partitionBy(*spans).orderBy("_x")))
+
+    def slots(j: Column) -> Column:  # j for the lower rank, the next number after all j for the upper
+        _, a, b = _ranks(wanted, j)
+        hit = [F.coalesce((k >= F.col("_end") - F.col("_m")) & (k < F.col("_end")), F.lit(False)) for k in (a, b)]
+        return F.array(F.when(hit[0], j), F.when(hit[1], j + last + 1))
+
+    found = values.select(*keys, "_i", "_x", "_n", "_z", F.explode(F.array_compact(F.flatten(F.transform(F.sequence("_from", "_to"), slots)))).alias("_slot"))
+    found = found.groupBy(*keys, "_i").agg(F.max("_n").alias("_n"), F.max("_z").alias("_z"), F.map_from_entries(F.collect_list(F.struct("_slot", "_x"))).alias("_at"))
+    changed = F.raise_error(F.lit("a wanted rank is gone: the rows of these quantiles differ each time they are computed")).cast("double")
+
+    def value(j: Column, median: Column) -> Column:
+        place, *ranks = _ranks(wanted, j)
+        a, b = (F.when(k.isNull(), median).otherwise(F.coalesce(F.element_at("_at", slot), changed)) for k, slot in zip(ranks, (j, j + last + 1)))
+        low, high = F.floor(place), F.ceil(place)
+        return F.when((low == high) | (a == b), a).otherwise((high - place) * a + (place - low) * b)
+
+    at = {q: j for j, q in enumerate(wanted)}
+    if filled:
+        found = found.withColumn("_median", value(F.lit(at[0.5, False]), F.lit(None).cast("double")))
+    median = F.col("_median") if filled else F.lit(None).cast("double")
+    order = F.expr(f"array({', '.join(str(at[q]) for q in asked)})")
+    found = found.select(*keys, "_i", F.transform(order, lambda j: value(j, median)).alias("_q"))
+    out = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_q"))).alias("_of"))
+    if keys:  # groups without any value too; the cuts are asked again, so that Spark reads them from the same shuffle
+        out = beside(cuts, out, keys, "left")
+    has = {i: F.size(f"_c{i}") > 0 if keys else F.lit(True) for i in xs}
+    return out.select(*(F.col(k).alias(g) for k, g in zip(keys, group)), *(F.when(has[i], F.element_at("_of", F.lit(i))).alias(c) for i, c in enumerate(columns)))

@@ -14,12 +14,12 @@ TAILS = (0.01, 0.99)
 def train_params(panel: DataFrame, columns: list[str], train: tuple[int, int] = TRAIN) -> DataFrame:
     """One row: for each column the training median, the tails of the filled values, and mean and population deviation of the clipped ones."""
     rows = panel.where(F.col("quarter_idx").between(*train)).select(*columns)
-    medians = quantiles(rows, columns, (0.5,)).select(*(F.coalesce(F.col(c)[0], F.lit(0.0)).alias(f"{c}__median") for c in columns))
-    rows = rows.crossJoin(F.broadcast(medians)).select(*(F.coalesce(c, f"{c}__median").alias(c) for c in columns))
-    tails = quantiles(rows, columns, TAILS).select(*(F.col(c)[0].alias(f"{c}__p01") for c in columns), *(F.col(c)[1].alias(f"{c}__p99") for c in columns))
-    rows = rows.crossJoin(F.broadcast(tails)).select(*(clipped(F.col(c), F.col(f"{c}__p01"), F.col(f"{c}__p99")).alias(c) for c in columns))
+    points = quantiles(rows, columns, (0.5,), filled=TAILS)
+    names = ("median", "p01", "p99")
+    fitted = points.select(*(F.coalesce(F.get(F.col(c), F.lit(k)), F.lit(0.0)).alias(f"{c}__{name}") for c in columns for k, name in enumerate(names)))
+    rows = rows.crossJoin(F.broadcast(fitted)).select(*(clipped(F.coalesce(c, f"{c}__median"), F.col(f"{c}__p01"), F.col(f"{c}__p99")).alias(c) for c in columns))
     moments = rows.agg(*(F.avg(c).alias(f"{c}__mean") for c in columns), *(F.stddev_pop(c).alias(f"{c}__std") for c in columns))
-    return medians.crossJoin(tails).crossJoin(moments)  # three single rows
+    return fitted.crossJoin(moments)  # two single rows
 
 
 def params_table(params: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ applied as column expressions.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.order import quantiles, settled
+from quarterdeck.functions.order import number_until, quantiles, settled
 
 #: First grid of powers: multiples of STEP from -REACH to REACH times it; each pass divides the step by REACH.
 STEP, REACH = 0.5, 8
@@ -106,22 +106,11 @@ def normal_score(p: Column) -> Column:
     return F.when(F.abs(q) <= 0.425, q * ratio(CENTRAL, 0.180625 - q * q)).otherwise(tail)
 
 
-def _number_until(landmarks: Column, n: int, x: Column, equal: bool) -> Column:
-    """How many of n sorted landmarks lie below x (or at it, if equal), by halving steps."""
-    steps = [1 << k for k in reversed(range(n.bit_length()))]
-
-    def further(at: Column, step: Column) -> Column:
-        mark = F.get(landmarks, at + step - 1)
-        return F.when(F.coalesce(mark <= x if equal else mark < x, F.lit(False)), at + step).otherwise(at)
-
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
-
-
 def share_below(landmarks: Column, n: int, x: Column) -> Column:
     """Share of the training values below x by linear interpolation between landmarks; the middle of its range for a tie."""
     if n == 1:
         return F.when(x.isNotNull(), F.lit(0.5))
-    upto, below, last = _number_until(landmarks, n, x, True), _number_until(landmarks, n, x, False), n - 1
+    upto, below, last = number_until(landmarks, n, x, True), number_until(landmarks, n, x, False), n - 1
     place = F.struct(upto.alias("upto"), below.alias("below"))
 
     def share(at: Column) -> Column:

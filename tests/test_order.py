@@ -71,6 +71,33 @@ def test_quantiles(spark, in_task):
         assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
 
 
+def test_quantiles_of_filled_columns(spark, in_task):
+    rows = [*_rows(5), (7, 1, 1.0), (7, 2, None), (7, 3, 4.0), (7, 4, None), (8, 1, float("nan")), (8, 2, 2.0), (8, 3, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("y", F.when(F.col("e") % 3 > 0, F.col("x") * 1e9))
+    fractions = (0.0, 0.01, 0.3, 0.5, 0.99, 1.0)
+    asked = F.array(*map(F.lit, fractions))
+    got = order.quantiles(df, ["x", "y"], (0.25,), ("g",), filled=fractions)
+    middle = df.groupBy("g").agg(F.median("x").alias("mx"), F.median("y").alias("my")).withColumnRenamed("g", "h")
+    full = df.join(middle, F.col("g").eqNullSafe(F.col("h"))).withColumns({"fx": F.coalesce("x", "mx"), "fy": F.coalesce("y", "my")})
+    quarter = F.array(F.lit(0.25))
+    want = full.groupBy("g").agg(*(F.concat(F.percentile(c, quarter), F.percentile(f"f{c}", asked)).alias(c) for c in ("x", "y")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_quantiles_run_no_job_while_the_plan_is_built(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.assert_true(F.lit(False) & (F.col("id") < 0)).isNull().cast("double").alias("x"))
+    order.quantiles(df, ["x"], (0.5,), ("g",), filled=(0.1,))  # the rows raise when they are read
+    with pytest.raises(Exception, match="ASSERT|assert|false"):
+        order.quantiles(df, ["x"], (0.5,)).collect()
+
+
+def test_many_quantiles_of_a_constant(spark):
+    df = spark.range(5000).select(F.lit(2.5).alias("x"), F.col("id").cast("double").alias("y"))
+    got = order.quantiles(df, ["x", "y"], tuple(k / 999 for k in range(1000))).first()
+    assert got["x"] == [2.5] * 1000
+    assert got["y"] == df.agg(F.percentile("y", F.expr(f"array({', '.join(f'{k / 999!r}D' for k in range(1000))})"))).first()[0]
+
+
 def test_empty(spark, in_task):
     none = spark.createDataFrame([], SCHEMA)
     assert order.with_average_rank(none, "x", ["g"], "r").count() == 0
