@@ -1,19 +1,21 @@
 """Operator 5: license scan by an exact set-similarity join of text blocks with license templates.
 
-A template is a set of distinct words; a block matches if it holds at least THRESHOLD of them (containment of
-the template in the block). The join is exact: the template words are ordered by their frequency over the
+A token is two words that stand one after the other, so that a sentence with a notice's words in other places is none.
+A template is a set of distinct tokens; a block matches if it holds at least THRESHOLD of them (containment of
+the template in the block). The join is exact: the template tokens are ordered by their frequency over the
 whole corpus, rarest first, and
-  prefix      a block that misses all of a template's first |T| - need + 1 words can't hold `need` of them,
-  length      a block of fewer than `need` words can't either,
-  position    nor one whose words from the first shared one on are too few on either side;
-what passes is verified word by word. Templates of a notice's one sentence are looked for in lines, longer
-legal texts in paragraphs (lines up to an empty one). The templates are a constant of this module, so
+  prefix      a block that misses all of a template's first |T| - need + 1 tokens can't hold `need` of them,
+  length      a block of fewer than `need` tokens can't either,
+  position    nor one whose tokens from the first shared one on are too few on either side;
+what passes is verified token by token. Templates of a notice's one sentence are looked for in lines, longer
+legal texts in paragraphs (lines up to one of blanks alone, a carriage return among them). The templates are a constant of this module, so
 they travel with the code; the corpus is scanned in place and never shuffled.
 
 Base phrases are counted besides: all places at which a phrase's words stand consecutively.
 
 Defined results: a null or empty text has no words, no labels (empty strings), score 0 and null first and last
-word; a null doc_id is kept; repeated rows get a row each; other columns are ignored.
+word; a null doc_id is kept; repeated rows get a row each; other columns are ignored; an empty table gives no rows. Templates
+that tie in a block all give their labels. A very long text is scanned alone, at about 40 bytes of memory for each of its own.
 """
 
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.llm.words import Vocabulary, chunks, text_buffer, word_hashes, words
+from quarterdeck.llm.words import Vocabulary, Words, chunks, shingle_hashes, text_buffer, word_hashes, words
 
 THRESHOLD = 0.8
 
@@ -59,26 +61,41 @@ def hashes_of(text: str) -> np.ndarray:
     return word_hashes(words(data, np.array([0, len(data)]), unicode=False))
 
 
-def word_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """How often each word of the vocabulary stands in all texts."""
+def tokens(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's word hashes, those of its tokens, and the place of each token's first word."""
+    pairs, at = shingle_hashes(hashes, bounds, 2)
+    return pairs, np.arange(len(pairs)) + np.repeat(bounds[:-1] - at[:-1], np.diff(at))
+
+
+def tokens_of(text: str) -> np.ndarray:
+    """Hashes of a text's tokens in order."""
+    hashes = hashes_of(text)
+    if len(hashes) < 2:
+        raise ValueError("a template holds two words at least")
+    return tokens(hashes, np.array([0, len(hashes)]))[0]
+
+
+def token_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How often each token of the vocabulary stands in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary.hashes), np.int64)
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for first, last in chunks(offsets):
-                _, number = vocabulary.find(word_hashes(words(data, offsets[first : last + 1], unicode=False)))
+                found = words(data, offsets[first : last + 1], unicode=False)
+                _, number = vocabulary.find(tokens(word_hashes(found), found.bounds)[0])
                 total += np.bincount(number, minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["token", "n"])
 
     out = np.zeros(len(vocabulary.hashes), np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        out[r["word"]] = r["n"]
+    for r in docs.select(F.col("text").cast("string")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        out[r["token"]] = r["n"]
     return out
 
 
 class Join:
-    """Templates as ranked word sets: rank 0 is the corpus's rarest word of all templates."""
+    """Templates as ranked token sets: rank 0 is the corpus's rarest token of all templates."""
 
     def __init__(self, templates, vocabulary: Vocabulary, frequency: np.ndarray, threshold: float):
         self.vocabulary = vocabulary
@@ -88,7 +105,7 @@ class Join:
         self.labels, self.scopes, self.sets, self.need = [], [], [], []
         self.prefixes: dict[str, dict[int, list[tuple[int, int]]]] = {"line": {}, "paragraph": {}}
         for k, (label, scope, text) in enumerate(templates):
-            ranks = sorted(set(self.rank[vocabulary.find(hashes_of(text))[1]].tolist()))
+            ranks = sorted(set(self.rank[vocabulary.find(tokens_of(text))[1]].tolist()))
             need = int(np.ceil(threshold * len(ranks) - 1e-9))
             self.labels.append(label)
             self.scopes.append(scope)
@@ -100,8 +117,8 @@ class Join:
         for scope, by_rank in self.prefixes.items():
             self.first[scope][list(by_rank)] = True
 
-    def matches(self, scope: str, rank: np.ndarray, block: np.ndarray, n_words: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """Yields (block, template, containment). rank and block: of each template word found, by place; n_words: by block."""
+    def matches(self, scope: str, rank: np.ndarray, block: np.ndarray, n_tokens: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Yields (block, template, containment). rank and block: of each template token found, by place; n_tokens: by block."""
         for b in np.unique(block[self.first[scope][rank]]).tolist():
             a, z = np.searchsorted(block, [b, b + 1])
             held = np.unique(rank[a:z]).tolist()
@@ -111,7 +128,7 @@ class Join:
                     if k in tried:
                         continue
                     tried.add(k)
-                    if n_words[b] < self.need[k] or 1 + min(len(self.sets[k]) - i - 1, len(held) - j - 1) < self.need[k]:
+                    if n_tokens[b] < self.need[k] or 1 + min(len(self.sets[k]) - i - 1, len(held) - j - 1) < self.need[k]:
                         continue
                     shared = sum(x in own for x in self.sets[k])
                     if shared >= self.need[k]:
@@ -127,10 +144,18 @@ def phrase_places(hashes: np.ndarray, bounds: np.ndarray, phrase: np.ndarray, at
     return at
 
 
+def edges_of(found: Words) -> dict[str, np.ndarray]:
+    """First bytes of all lines, and of all paragraphs."""
+    newline = np.flatnonzero(found.data == 10)
+    marks = np.cumsum(found.data > 32)[newline]  # up to each line end
+    empty = newline[1:][np.diff(marks) == 0]
+    return {scope: np.unique(np.r_[found.offsets[:-1], cuts + 1]) for scope, cuts in (("line", newline), ("paragraph", empty))}
+
+
 def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document with its words, base places, labels and score (the largest containment; 1 for a base phrase)."""
-    vocabulary = Vocabulary(np.concatenate([hashes_of(text) for _, _, text in templates]))
-    join = Join(templates, vocabulary, word_frequencies(docs, vocabulary), threshold)
+    vocabulary = Vocabulary(np.concatenate([tokens_of(text) for _, _, text in templates]))
+    join = Join(templates, vocabulary, token_frequencies(docs, vocabulary), threshold)
     phrase_words = [(hashes_of(p), label) for p, label in phrases.items()]
     heads = Vocabulary(np.array([w[0] for w, _ in phrase_words], np.uint64))
 
@@ -155,15 +180,16 @@ def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: fl
                 at = np.sort(np.concatenate(places))
                 doc = np.searchsorted(found.bounds, at, "right") - 1
                 n_base = np.bincount(doc, minlength=n)
-                hit, number = vocabulary.find(hashes)
+                pairs, place = tokens(hashes, found.bounds)
+                hit, number = vocabulary.find(pairs)
                 rank = join.rank[number]
-                newline = np.flatnonzero(found.data == 10)
-                empty = newline[1:][np.diff(newline) == 1]
-                for scope, cuts in (("line", newline), ("paragraph", empty)):
-                    edges = np.unique(np.r_[found.offsets[:-1], cuts + 1])
-                    block = np.searchsorted(edges, found.starts, "right") - 1
-                    n_words = np.bincount(block, minlength=len(edges))
-                    for b, k, share in join.matches(scope, rank, block[hit], n_words):
+                for scope, edges in edges_of(found).items():
+                    of_word = np.searchsorted(edges, found.starts, "right") - 1
+                    block = of_word[place]
+                    inside = block == of_word[place + 1] if len(place) else np.zeros(0, bool)  # both words in one block
+                    n_tokens = np.bincount(block[inside], minlength=len(edges))
+                    own = inside[hit]
+                    for b, k, share in join.matches(scope, rank[own], block[hit][own], n_tokens):
                         d = int(np.searchsorted(found.offsets, edges[b], "right")) - 1
                         more[d].add(join.labels[k])
                         score[d] = max(score[d], share)

@@ -42,24 +42,26 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 
 
 def licenses(templates, phrases: dict[str, str], threshold: float) -> str:
-    """Operator 5: every line and paragraph against every template by shared words, every place against every phrase."""
+    """Operator 5: every line and paragraph against every template by shared pairs of adjacent words, every place against every phrase."""
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rows = []
     for label, scope, text in templates:
-        words = sorted(set(re.findall(pattern, text.lower())))
-        listed = ", ".join(f"'{w}'" for w in words)
-        rows.append(f"('{label}', '{scope}', [{listed}], {ceil(threshold * len(words) - 1e-9)})")
+        words = re.findall(pattern, text.lower())
+        tokens = sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+        listed = ", ".join(f"'{t}'" for t in tokens)
+        rows.append(f"('{label}', '{scope}', [{listed}], {ceil(threshold * len(tokens) - 1e-9)})")
     places = []
     for phrase, label in phrases.items():
         same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         places.append(f"SELECT r, '{label}' AS label, unnest([i - 1 FOR i IN range(1, len(w) + 1) IF {same}]) AS place FROM d")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS s, regexp_extract_all(s, '{pattern}') AS w FROM documents),
-t(label, scope, words, need) AS (VALUES {", ".join(rows)}),
-b AS (SELECT r, 'line' AS scope, unnest(string_split(s, chr(10))) AS block FROM d UNION ALL SELECT r, 'paragraph', unnest(string_split(s, chr(10) || chr(10))) FROM d),
-c AS (SELECT r, scope, regexp_extract_all(block, '{pattern}') AS held FROM b),
-m AS (SELECT r, label, len(list_intersect(words, held)) / len(words) AS share FROM c JOIN t USING (scope) WHERE len(list_intersect(words, held)) >= need),
+t(label, scope, tokens, need) AS (VALUES {", ".join(rows)}),
+b AS (SELECT r, 'line' AS scope, unnest(string_split(s, chr(10))) AS block FROM d UNION ALL SELECT r, 'paragraph', unnest(regexp_split_to_array(s, '\\n[\\x00-\\x20]*\\n')) FROM d),
+v AS (SELECT r, scope, regexp_extract_all(block, '{pattern}') AS h FROM b),
+c AS (SELECT r, scope, [h[i] || ' ' || h[i + 1] FOR i IN range(1, len(h))] AS held FROM v),
+m AS (SELECT r, label, len(list_intersect(tokens, held)) / len(tokens) AS share FROM c JOIN t USING (scope) WHERE len(list_intersect(tokens, held)) >= need),
 p AS ({" UNION ALL ".join(places)}),
 a AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM p GROUP BY r),
 l AS (SELECT r, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM (SELECT r, label, 1.0::DOUBLE AS share FROM p UNION ALL SELECT r, label, share FROM m) GROUP BY r)

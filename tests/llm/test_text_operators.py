@@ -248,12 +248,13 @@ def test_licenses_against_brute_force(spark):
     mit = licenses.TEMPLATES[[x[0] for x in licenses.TEMPLATES].index("mit-text")][2]
     texts = ["", None, "Released under the MIT License.", "gnu GENERAL public license gnu general public license", "cc\nby cc-by CC BY", "a mit x license", mit.replace(" ", "\n"), mit[: len(mit) // 2], "x " * 3000 + mit, "É " + "apache license " * 3, "Licensed under the Apache License", "mit license\n\nmit license"]
     got = {r["doc_id"]: r for r in licenses.scanned(docs(spark, texts)).collect()}
-    sets = [(label, scope, set(WORD.findall(t.translate(FOLD)))) for label, scope, t in licenses.TEMPLATES]
+    pairs = lambda t: set(zip(w := WORD.findall(t.translate(FOLD)), w[1:]))
+    sets = [(label, scope, pairs(t)) for label, scope, t in licenses.TEMPLATES]
     for k, text in enumerate(texts):
         words = WORD.findall((text or "").translate(FOLD))
         places = [(i, label) for p, label in licenses.PHRASES.items() for q in [p.split()] for i in range(len(words)) if words[i : i + len(q)] == q]
         base = {label for _, label in places}
-        more = {label for label, scope, s in sets for b in (text or "").split("\n" if scope == "line" else "\n\n") if len(s & set(WORD.findall(b.translate(FOLD)))) >= licenses.THRESHOLD * len(s) - 1e-9}
+        more = {label for label, scope, s in sets for b in re.split("\n" if scope == "line" else r"\n[\x00-\x20]*\n", text or "") if len(s & pairs(b)) >= licenses.THRESHOLD * len(s) - 1e-9}
         r = got[k]
         assert (r["n_words"], r["n_base"]) == (len(words), len(places))
         assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
@@ -262,6 +263,25 @@ def test_licenses_against_brute_force(spark):
     assert "mit-text" in got[6]["labels"]
 
 
+def test_license_words_in_other_places_are_no_notice(spark):
+    gpl = "This work is licensed under the GNU General Public License"
+    texts = [
+        "He released the book under the terms of a new driving license in 1999.",
+        "This work is a general one: the public licensed pubs under the oak.",
+        f"First lines.\r\n\r\n{licenses.TEMPLATES[4][2]}\r\n\r\nLast lines.",
+        f"First lines. {gpl}. Last lines.",
+        f"{gpl[:30]}\n{gpl[30:]}",  # a notice over two lines is none of a line
+        "no word of it, " * 200_000 + "\r\n \t\r\n" + licenses.TEMPLATES[5][2],
+    ]
+    rows = spark.createDataFrame([(k, t, "own", 1) for k, t in enumerate(texts)], "doc_id long, text string, labels string, n_base int")
+    got = {r["doc_id"]: r for r in licenses.scanned(rows).collect()}
+    assert [got[k]["labels"] for k in range(6)] == ["", "", "mpl-2.0-text", "gpl,gpl-notice", "gpl", "mit-text"]
+    assert got[5]["n_words"] == 800_000 + len(WORD.findall(licenses.TEMPLATES[5][2]))
+    assert licenses.scanned(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="two words"):
+        licenses.scanned(rows, templates=(("x", "line", "word"),))
+
+
 def test_page_text(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script><style>p{}</style></head><body><header class="top">Site</header>
     <nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies.</div><aside>Side bar text, long enough to look like prose.</aside><!-- <p>hidden</p> -->
