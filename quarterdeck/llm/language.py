@@ -21,7 +21,6 @@ row everything is `und`; ties go to the first language in order; no documents gi
 in parts, in bounded memory beside the text; other columns are ignored, or kept if whole_rows.
 """
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +85,7 @@ class Lookup:
     """Numbers of known 64-bit keys by open addressing; keys are distinct and below 2**63."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(int(3 * len(keys)).bit_length(), 4)
+        bits = max((3 * len(keys) // 2).bit_length(), 4)
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slot_key, self.slot_number = np.full(1 << bits, np.uint64(1) << np.uint64(63)), np.zeros(1 << bits, np.int32)
         pending, self.probes = np.arange(len(keys)), 0
@@ -121,11 +120,11 @@ class Trees:
     """Frozen code lengths of all languages: for each order the known (context, byte) codes and contexts, with a row of bits per language."""
 
     def __init__(self, langs: list[str], orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.langs, self.orders, self.key = langs, orders, uuid.uuid4().hex
+        self.langs, self.orders = langs, orders
         self._lookups: list[tuple[Lookup, Lookup]] = []
 
     def __getstate__(self):
-        return {"langs": self.langs, "orders": self.orders, "key": self.key, "_lookups": []}
+        return {"langs": self.langs, "orders": self.orders, "_lookups": []}
 
     @property
     def nbytes(self) -> int:
@@ -237,17 +236,6 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int =
     return merged(langs, *(kept.column(x).to_numpy() for x in ("lang", "order", "context", "symbol", "bits")))
 
 
-_trees: dict[str, Trees] = {}
-
-
-def _in_worker(model: Trees) -> Trees:
-    """The model with its lookups, made once in each Python worker."""
-    if model.key not in _trees:
-        _trees.clear()
-        _trees[model.key] = model
-    return _trees[model.key]
-
-
 def identified(docs: DataFrame, model: Trees, whole_rows: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the posterior of the language under equal priors); after all columns of docs if whole_rows
     (a name that docs has already gets an underscore)."""
@@ -258,7 +246,7 @@ def identified(docs: DataFrame, model: Trees, whole_rows: bool = False) -> DataF
     at_text = docs.columns.index("text") if whole_rows else n_kept + 2
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _in_worker(shared.value)
+        own = shared.value  # a worker keeps it, with its lookups, until its next task has no use for the broadcast
         names = np.array([*own.langs, UNKNOWN], object)
         for batch in batches:
             data, offsets = text_buffer(batch.column(at_text))
