@@ -9,7 +9,8 @@ Reading. The magic "WARC/1.1" may also stand inside a payload. Spark's text read
 magic, so tasks read ranges of a file in parallel and emit each candidate's length and the length its header
 declares, that is, its successor's offset. For each file, pointer jumping from offset 0 (every
 candidate's jump doubles in each round) keeps the candidates that the chain of records reaches; a magic
-in a payload is on no chain. A file holds at most RECORDS_PER_FILE records, which bounds the candidates' table.
+in a payload is on no chain. A file holds at most RECORDS_PER_FILE records; its candidates are these and the magics in its
+payloads, whose number only the payloads' bytes bound, and one task chains them.
 A payload that holds magics is put together from its candidates again, and every payload is held against its digest.
 Those candidates are found by the hash of what they hold: how Spark splits the files follows from the cores it has,
 so a candidate's place in one scan need not be its place in the next, after an executor was lost.

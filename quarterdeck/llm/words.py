@@ -4,7 +4,8 @@ A word is a maximal run of ASCII letters or digits and of bytes of non-ASCII cha
 lower case, by Unicode's simple mapping of single characters, so that copies that differ in case or punctuation agree.
 
 Spans are hashed eight bytes at a time by bijective mixing, so different words of up to eight bytes never share
-a hash; longer ones share one of 64 bits by chance only (no sums or powers that a chosen text could cancel).
+a hash; longer ones share one of 64 bits by chance only. A shingle's hash is the mixed sum of its words' hashes times powers,
+modulo 2**64: different shingles share one by chance, or if a text was made for it.
 """
 
 import hashlib
