@@ -287,13 +287,12 @@ def compared(docs: DataFrame, a_path: str, b_path: str, common: int = COMMON) ->
     own = table.where("kind = 0")
     b_size = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
     counts, _ = saved(pair_counts(table.where("kind = 1"), b_size), "pairs")
-    pairs, links = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
-    often = F.col("count") * common >= links  # of those there are `common` at most
+    links = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    often = F.col("count") * common >= links  # of those there are `common` at most; the rest may be any number, of few pairs too
     held = own.select("uid", F.inline(F.arrays_zip("pair", "n")))
     met = held.join(F.broadcast(counts.where(often)), "pair", "left")
-    sums = met.where("count IS NOT NULL")
-    if pairs > common:
-        sums = sums.unionByName(met.where("count IS NULL").select("uid", "pair", "n").join(counts.where(~often), "pair"))
+    rest = met.where("count IS NULL").select("uid", "pair", "n").join(counts.where(~often), "pair")
+    sums = met.where("count IS NOT NULL").unionByName(rest)
     sums = sums.groupBy("uid").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
     out = own.drop("pair", "n", "kind").join(sums, "uid", "left")
     zero = F.lit(0).cast("long")

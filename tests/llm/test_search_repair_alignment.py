@@ -285,3 +285,11 @@ def test_alignment_of_a_very_long_text_and_an_empty_table(spark):
     frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert list(map(tuple, alignment.compared(frame, A, B).collect())) == direct([(1, text)])
     assert alignment.compared(frame.limit(0), A, B).count() == 0
+
+
+@pytest.mark.parametrize("common", [1, 40, 1000, alignment.COMMON])
+def test_rare_pairs_count_whatever_is_broadcast(spark, common):
+    """Fewer pairs than may be broadcast, and many more links: a pair of one link is no common one and still counts."""
+    docs = [(k, "one and the same line of words\n" * 20) for k in range(30)] + [(99, "singular quixotic zephyr"), (100, "quixotic words")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, alignment.compared(frame, A, B, common).collect())) == Counter(direct(docs))
