@@ -72,9 +72,9 @@ def plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes text columns; keeps the ids of up to `keep` distinct words between batches."""
 
-    SLOTS = 22
+    SLOTS = 21
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -225,3 +225,9 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def release(path: str) -> None:
+    """Gives back the memory of the words that this Python worker's encoder knows; its tokenizer stays loaded."""
+    if (found := _encoders.get(path)) and found.n_words:
+        found.forget()

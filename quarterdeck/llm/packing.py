@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterdeck.llm.bpe import encoder
+from quarterdeck.llm.bpe import encoder, release
 from quarterdeck.llm.storage import saved
 
 CAPACITY = 1024
@@ -135,6 +135,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     where = places(plan(counts, capacity))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(tokenizer_path)  # all is encoded
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("length", "rank"))
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
@@ -149,5 +150,6 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             kept[2] = kept[2].cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = cut.join(offsets.drop("n"), ["length", "part"]).withColumn("rank", F.col("earlier") + F.col("nth"))
+    # a task's share of the offsets is small, and two sorts would take a page of memory each in every task
+    ranked = cut.join(offsets.drop("n").hint("shuffle_hash"), ["length", "part"]).withColumn("rank", F.col("earlier") + F.col("nth"))
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, PLACED)

@@ -116,6 +116,16 @@ def test_packing_covers_every_id_once(spark):
     assert packing.packed(docs(spark, []), PATH).collect() == []
 
 
+def test_packing_gives_the_words_back_and_sorts_no_pieces(spark):
+    encode = bpe.encoder(PATH)
+    before = [ids.tolist() for _, ids, _ in encode(pa.array(["some words of no weight"]))]
+    assert encode.n_words
+    bpe.release(PATH)
+    assert encode.n_words == encode.n_ids == 0 and [ids.tolist() for _, ids, _ in encode(pa.array(["some words of no weight"]))] == before
+    plan = packing.packed(docs(spark, ["a b", "c " * 3000, None]), PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Join" in plan
+
+
 def test_closest_fill_is_the_best_subset_sum():
     rng = np.random.default_rng(1)
     for _ in range(200):
