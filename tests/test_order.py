@@ -116,3 +116,20 @@ def test_equal_scores_under_text_ids_are_split(spark, monkeypatch):
     got = {(r["g"], r["e"]): r["o"] for r in order.with_ordinal(df, "x", "e", ["g"], "o").collect()}
     assert [got[1, e] for e in sorted(ids)] == list(range(1, 6001))
     assert (got[2, None], got[2, ""], got[2, "é"]) == (1, 2, 3)
+
+
+def test_quantiles_do_not_depend_on_where_the_cuts_fall(spark, monkeypatch):
+    """Approximate percentiles may differ each time they are computed, as the order of their parts does."""
+    given = F.percentile_approx
+    moved = F.udf(lambda cuts: cuts and sorted(c + random.uniform(-0.2, 0.2) for c in cuts), "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda *x: moved(given(*x)))
+    draw = random.Random(3)
+    values = {g: [draw.gauss(0, 1) for _ in range(2000)] for g in (1, 2)}
+    rows = spark.createDataFrame([(g, x) for g, xs in values.items() for x in xs], "g int, x double")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r["g"]: r["x"] for r in order.quantiles(rows, ["x"], (0.01, 0.5, 0.99), ("g",), filled=(0.25,)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    for g, xs in values.items():
+        assert got[g] == pytest.approx([pd.Series(xs).quantile(q) for q in (0.01, 0.5, 0.99, 0.25)], abs=1e-12)
