@@ -2,7 +2,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quarterdeck.sources import files
+from quarterdeck.sources import files, panel
 from quarterdeck.streaming import windows
 
 
@@ -75,3 +75,13 @@ def test_a_large_quarter_has_several_writers(spark, tmp_path):
     assert max(map(max, folders.values())) <= 200 and len(folders["1"]) >= 10 and len(folders["3"]) == 1
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).select("quarter_idx", "id").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     files.write_panel(df.limit(0), str(tmp_path / "none"))
+
+
+def test_cells_do_not_depend_on_the_order_of_lines(spark, tmp_path):
+    lines = panel.table(spark, "/root/testdata/sf0.01", "lineitem")
+    found = []
+    for k in range(2):
+        lines.orderBy(F.xxhash64(F.lit(k), *lines.columns)).coalesce(1 + k).write.parquet(str(tmp_path / f"{k}/lineitem.parquet"))
+        found.append(panel.cells(spark, str(tmp_path / f"{k}")))
+    assert found[0].count() > 2000
+    assert found[0].exceptAll(found[1]).count() == 0

@@ -1,3 +1,6 @@
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,24 @@ def test_label_proof_of_gaps_and_repeats(spark):
     assert (got[1]["left_rows"], got[1]["right_rows"], got[1]["joined_rows"], got[1]["valid_compare_rows"], got[1]["matched_rows"], got[1]["missing_next_return_rows"], got[1]["duplicate_right_ids"], got[1]["assertion"]) == (2, 2, 3, 2, 2, 1, 2, "pass")
     assert (got[2]["assertion"], got[2]["joined_rows"], got[2]["duplicate_left_ids"], got[4]["missing_label_rows"], got[4]["match_rate"]) == ("tail_without_t_plus_1", 0, 2, 1, None)
     assert tuple(labels.decision(report).first())[:3] == (1.0, 2, 2)
+
+
+def test_steady_sums_are_the_same_in_any_order(spark):
+    draw = random.Random(5)
+    values = [round(draw.uniform(900, 105_000), 2) for _ in range(3000)] + [draw.gauss(0, 1) for _ in range(3000)]
+    measures = [f(F.col("x")) for f in (stats.steady_sum, stats.steady_avg, stats.steady_stddev)]
+    found = set()
+    for parts in (1, 7, 30):
+        draw.shuffle(values)
+        found.add(tuple(frame(spark, values).repartition(parts).agg(*measures).first()))
+    assert len(found) == 1
+    total, mean, deviation = found.pop()
+    assert (total, mean) == (pytest.approx(statistics.fsum(values), rel=1e-14), pytest.approx(statistics.fmean(values), rel=1e-14))
+    assert deviation == pytest.approx(statistics.stdev(values), rel=1e-12)
+
+
+@pytest.mark.parametrize("values", [[100.123, 100.123, 100.123], [1e9, 1e9 + 1, 1e9 + 2], [1e15, 3e15], [1e-7, 3e-7, None], [4.5], [None], [], [1.0, float("nan")], [1.0, float("inf")]])
+def test_steady_sums_of_odd_values(spark, values):
+    got = frame(spark, values).agg(*(f(F.col("x")) for f in (stats.steady_sum, stats.steady_avg, stats.steady_stddev))).first()
+    wanted = frame(spark, values).agg(F.sum("x"), F.avg("x"), F.stddev_samp("x")).first()
+    assert [None if x is None else pytest.approx(x, rel=1e-8, abs=1e-15, nan_ok=True) for x in wanted] == list(got)
