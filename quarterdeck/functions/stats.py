@@ -13,8 +13,12 @@ def clean(x: Column) -> Column:
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    """Rounded, without a negative zero."""
-    return F.round(x, digits) + F.lit(0.0)
+    """Rounded half away from zero as doubles are in SQL, x * 10**digits being a double too, without a negative zero."""
+    x = x.cast("double")
+    units = F.abs(x) * F.lit(10.0**digits)
+    whole = F.floor(units)
+    near = F.when(units < 2.0**52, whole + (units - whole >= 0.5).cast("double")).when(units < float("inf"), units)
+    return F.coalesce(F.signum(x) * near / F.lit(10.0**digits), x) + F.lit(0.0)
 
 
 def _total(x: Column) -> Column:

@@ -1,6 +1,7 @@
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,15 @@ def test_label_proof_of_gaps_and_repeats(spark):
     assert tuple(labels.decision(report).first())[:3] == (1.0, 2, 2)
 
 
+def test_rounding_is_that_of_sql(spark):
+    draw = random.Random(7)
+    values = [*(draw.randrange(-(10**8), 10**8) / 10**7 for _ in range(20_000)), 0.5e-6, -0.5e-6, 1e300, 2.0**53 + 2, -0.0, float("nan"), float("inf"), float("-inf"), 5e-324, None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").select("k", "x", stats.rounded(F.col("x")).alias("got"), stats.rounded(F.col("x"), 9).alias("fine")).toPandas()
+    wanted = duckdb.sql("SELECT k, round(x, 6) + 0.0 AS got, round(x, 9) + 0.0 AS fine FROM rows ORDER BY k").df()
+    rows = rows.sort_values("k").reset_index(drop=True)
+    assert rows["got"].equals(wanted["got"]) and rows["fine"].equals(wanted["fine"])
+
+
 def test_steady_sums_are_the_same_in_any_order(spark):
     draw = random.Random(5)
     values = [round(draw.uniform(900, 105_000), 2) for _ in range(3000)] + [draw.gauss(0, 1) for _ in range(3000)]
