@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.order import quantiles
+from quarterdeck.functions.order import quantiles, settled
 from quarterdeck.functions.stats import EPS, clipped, log1p_or_signed, rounded, scaled
 from quarterdeck.operators.scalers import power_scaled, quantile_scaled
 
@@ -98,6 +98,8 @@ def transformed(panel: DataFrame, columns: list[str]) -> DataFrame:
 
 def rescaled(panel: DataFrame, columns: list[str], how: str, train: tuple[int, int] = TRAIN) -> DataFrame:
     """Standard, robust, min-max, power or quantile_normal scaling fitted on train; a constant training column becomes 0."""
+    if how == "power":  # its jobs while the plan is built would compute the panel, and shuffle its sources, each time
+        panel = settled(panel)
     rows = panel.where(F.col("quarter_idx").between(*train))
     if how in ("power", "quantile_normal"):
         return (power_scaled if how == "power" else quantile_scaled)(panel, columns, rows)

@@ -331,7 +331,7 @@ SELECT entity_id, quarter_idx, {", ".join(f"{r6(f'max(z) FILTER (f = {chr(39)}{c
 
 def _scale(how: str, sql: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return preprocess.rescaled(source.panel(spark, d), list(PROFILED), how).select("entity_id", "quarter_idx", *(rounded(F.col(c)).alias(c) for c in PROFILED))
+        return preprocess.rescaled(source.panel(spark, d).select("entity_id", "quarter_idx", *PROFILED), list(PROFILED), how).select("entity_id", "quarter_idx", *(rounded(F.col(c)).alias(c) for c in PROFILED))
 
     run.__name__ = f"{how}_scale"
     query(sql)(run)

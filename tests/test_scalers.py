@@ -106,3 +106,18 @@ def test_empty_and_named_strategies(spark):
     assert preprocess.rescaled(none, ["x"], "power").count() == 0
     assert preprocess.rescaled(none, ["x"], "quantile_normal").count() == 0
     assert [scalers.chosen(s) for s in ("StandardScaler", "RobustScaler", "QuantileTransformer(candidate) / RobustScaler(baseline)", "PowerTransformer", "QuantileTransformer", "MinMaxScaler")] == ["standard", "robust", "robust", "power", "quantile_normal", "minmax"]
+
+
+def test_power_scaling_computes_its_panel_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = [(1 + k % 20, float(k * k)) for k in range(200)]
+    panel = spark.createDataFrame(rows, "quarter_idx int, x double").mapInPandas(counted, "quarter_idx int, x double")
+    assert preprocess.rescaled(panel, ["x"], "power").count() == 200
+    assert preprocess.rescaled(panel, ["x"], "power").agg(F.sum("x")).first()[0] == pytest.approx(0, abs=1e-8)
+    assert seen.value == 400
